@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from taskweave.llm import decontaminate, substrings
+from taskweave.llm import decontaminate, secrets, substrings
 
 
 def queries() -> dict:
-    return {"op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5}
+    return {"op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substrings.ORACLE, "op5_decontamination": decontaminate.ORACLE}
+    return {"op2_secret_scan": secrets.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op5_decontamination": decontaminate.ORACLE}
