@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from taskweave.llm import decontaminate, secrets, substrings
+from taskweave.llm import decontaminate, packing, secrets, substrings
 
 
 def queries() -> dict:
-    return {"op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5}
+    return {"op1_packing": packing.op1, "op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5}
 
 
 def oracle_sql() -> dict[str, str]:
