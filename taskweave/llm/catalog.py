@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from taskweave.llm import decontaminate, packing, secrets, substrings
+from taskweave.llm import decontaminate, neardup, packing, secrets, substrings
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1, "op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5}
+    return {"op1_packing": packing.op1, "op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5, "op7_near_dedup": neardup.op7}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op5_decontamination": decontaminate.ORACLE}
+    return {"op2_secret_scan": secrets.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op7_near_dedup": neardup.ORACLE}
