@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from taskweave.llm import decontaminate, neardup, packing, secrets, substrings
+from taskweave.llm import decontaminate, neardup, packing, quality, secrets, substrings, toxicity
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1, "op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5, "op7_near_dedup": neardup.op7}
+    return {"op1_packing": packing.op1, "op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5, "op6_toxicity": toxicity.op6, "op7_near_dedup": neardup.op7, "op10_quality": quality.op10}
 
 
 def oracle_sql() -> dict[str, str]:
