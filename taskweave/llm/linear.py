@@ -28,7 +28,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: Rows, n: int, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 60) -> np.ndarray:
+def fit(rows: Rows, n: int, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 150) -> np.ndarray:
     """Weights of ``n`` sparse features, then of the columns of ``dense``, then the intercept: nonlinear conjugate gradients with a line search."""
     x = np.concatenate([dense, np.ones((len(rows), 1))], axis=1)
     sign = np.where(y > 0, 1.0, -1.0)
@@ -40,6 +40,9 @@ def fit(rows: Rows, n: int, dense: np.ndarray, y: np.ndarray, weight: np.ndarray
         r = -weight * sign * sigmoid(-sign * m)
         return np.concatenate([rows.turned(r, n), x.T @ r]) + penalty * np.append(w[:-1], 0.0)
 
+    def loss(w: np.ndarray, m: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, -sign * m)).sum() + penalty / 2 * (w[:-1] @ w[:-1]))
+
     w = np.zeros(n + x.shape[1])
     m = margins(w)
     gradient = slope(w, m)
@@ -48,14 +51,15 @@ def fit(rows: Rows, n: int, dense: np.ndarray, y: np.ndarray, weight: np.ndarray
     for _ in range(steps):
         if not (gradient @ ahead < 0):
             ahead = -scale * gradient
-        along = margins(ahead)
-        step = 0.0
-        for _ in range(6):  # Newton's method on the line
-            now = m + step * along
-            p = sigmoid(-sign * now)
-            first = -(weight * sign * p * along).sum() + penalty * ((w[:-1] + step * ahead[:-1]) @ ahead[:-1])
-            second = (weight * p * (1 - p) * along**2).sum() + penalty * (ahead[:-1] @ ahead[:-1])
-            step -= first / max(second, 1e-12)
+        along, now = margins(ahead), loss(w, m)
+        p = sigmoid(-sign * m)
+        curve = (weight * p * (1 - p) * along**2).sum() + penalty * (ahead[:-1] @ ahead[:-1])
+        down = gradient @ ahead
+        step = min(-down / max(curve, 1e-12), 4.0)
+        while step > 1e-8 and loss(w + step * ahead, m + step * along) > now + 1e-4 * step * down:
+            step /= 2
+        if step <= 1e-8:
+            break
         w, m = w + step * ahead, m + step * along
         new = slope(w, m)
         if np.abs(new).max() < 1e-5 * max(1.0, weight.sum()):
