@@ -28,7 +28,7 @@ CAPACITY, END_ID = 4096, 1
 CLASSES = 256
 ROUNDS = 400
 SALTS = 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -40,9 +40,9 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
         encoder = Encoder.of(path)
         for batch in slices(batches, "text", SLICE_BYTES):
-            docs, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            docs = batch.column(0)
             row, piece, start, length, crc, body = [], [], [], [], [], []
-            for i, found in enumerate(encoder.encode(texts)):
+            for i, found in enumerate(encoder.encode(batch.column(1))):
                 ids = np.append(found.astype("<u4"), np.uint32(end_id))
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     part = ids[a : a + capacity].tobytes()

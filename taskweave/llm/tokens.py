@@ -7,17 +7,41 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 KEPT = 300_000
+_MARKS = ".,;:!?|%$#&*"
 _PLAIN = re.compile(r"[!-~¡-ÿ]+")
 
 
+class Kept:
+    """Ids by string, in two generations: what a full one held and is asked for again moves to the new one."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def lacking(self, asked: Iterable[str]) -> list[str]:
+        """What isn't held; all else that is asked for is in ``now`` afterwards."""
+        if len(self.now) > KEPT:
+            self.now, self.before = {}, self.now
+        now, before, out = self.now, self.before, []
+        for x in asked:
+            if x not in now:
+                if (found := before.get(x)) is None:
+                    out.append(x)
+                else:
+                    now[x] = found
+        return out
+
+
 class Encoder:
     """Encodes with a vocabulary file of the ``tokenizers`` library that drops white space and never joins what it separates.
 
-    A text's ids are then those of its parts between spaces and line ends, one after another. Parts of Latin-1 characters are cut
-    further by ``pretoken``, the file's own rule for where tokens cannot reach across.
+    A text's ids are then those of its parts between ASCII white space, one after another. Parts of Latin-1 characters are cut
+    further by ``pretoken``, the file's own rule for where tokens cannot reach across, after its lower-casing.
     """
 
     _made: dict[tuple[str, str], Encoder] = {}
@@ -27,14 +51,18 @@ class Encoder:
 
     def __init__(self, path: str, pretoken: str = PRETOKEN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.whole = Tokenizer.from_file(path)
+        self.cut_up = Tokenizer.from_file(path)  # for parts that are cut and lower-cased already
+        self.cut_up.normalizer = normalizers.Sequence([])
+        self.cut_up.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.whole.get_vocab(with_added_tokens=True)
+        self.wide = "<u2" if max(names.values()) < 1 << 16 else "<u4"
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)  # tokens that end a word
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.cut = regex.compile(pretoken)
-        self.parts: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.parts, self.pieces = Kept(), Kept()
 
     @classmethod
     def of(cls, path: str, pretoken: str = PRETOKEN) -> Encoder:
@@ -43,38 +71,49 @@ class Encoder:
             cls._made[path, pretoken] = cls(path, pretoken)
         return cls._made[path, pretoken]
 
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part, from one call on all of them."""
-        if not parts:
-            return []
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-        ids = np.array(found.ids, dtype=self.wide)
-        owner = np.searchsorted(starts, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
-        edges = np.searchsorted(owner, np.arange(len(parts) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    def _pieces(self, pieces: list[str]) -> None:
+        """Learns pieces, each of which is one word to the tokenizer."""
+        groups = [pieces[i : i + 2000] for i in range(0, len(pieces), 2000)]
+        for group, found in zip(groups, self.cut_up.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=self.wide)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(stops) != len(group):
+                raise ValueError("a piece is not one word to the tokenizer")
+            body, stops = ids.tobytes(), [0, *stops.tolist()]
+            self.pieces.now.update(zip(group, [body[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], strict=True))
 
     def _learn(self, missing: list[str]) -> None:
-        plain = {p: self.cut.findall(p.lower()) for p in missing if _PLAIN.fullmatch(p) and "<|" not in p}
-        if len(self.pieces) > KEPT:
-            self.pieces = {}
-        new = list({x for cut in plain.values() for x in cut if x not in self.pieces})
-        for i in range(0, len(new), 1000):
-            self.pieces.update(zip(new[i : i + 1000], self._encoded(new[i : i + 1000]), strict=True))
-        for p, cut in plain.items():
-            self.parts[p] = b"".join([self.pieces[x] for x in cut])
-        rest = [p for p in missing if p not in plain]
-        for p in rest:
-            self.parts[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype=self.wide).tobytes()
-
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.parts) > KEPT:
-            self.older, self.parts = self.parts, {"": b""}
-        need = set().union(*cut) - self.parts.keys()
-        for p in need & self.older.keys():
-            self.parts[p] = self.older[p]
-        self._learn([p for p in need if p not in self.parts])
-        get = self.parts.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), dtype=self.wide) for c in cut]
+        plain, cut = [], []
+        for p in missing:
+            if p.isascii() or _PLAIN.fullmatch(p):
+                low = p.lower()
+                if low.isalpha():
+                    cut.append((low,))
+                elif (word := low.rstrip(_MARKS)).isalpha():
+                    cut.append((word, low[len(word) :]))
+                elif "<|" not in p and _PLAIN.fullmatch(p):
+                    cut.append(self.cut.findall(low))
+                else:
+                    continue
+                plain.append(p)
+        self._pieces(self.pieces.lacking({x for c in cut for x in c}))
+        get, parts = self.pieces.now.__getitem__, self.parts.now
+        for p, c in zip(plain, cut, strict=True):
+            parts[p] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+        for p in missing if len(plain) < len(missing) else ():
+            if p not in parts:
+                parts[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, dtype=self.wide).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column; a null has none."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.parts.lacking(distinct))
+        found = [self.parts.now[p] for p in distinct]
+        sizes = np.array(list(map(len, found)), dtype=np.int32) // np.dtype(self.wide).itemsize
+        which = words.indices.to_numpy()
+        every = np.frombuffer(b"".join(map(found.__getitem__, which.tolist())), dtype=self.wide)
+        reach = np.concatenate([[0], np.cumsum(sizes[which], dtype=np.int64)]) if len(which) else np.zeros(1, dtype=np.int64)
+        edges = reach[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [every[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
