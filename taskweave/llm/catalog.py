@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from taskweave.llm import decontaminate, neardup, packing, quality, secrets, substrings, toxicity
+from taskweave.llm import ann, decontaminate, neardup, packing, quality, secrets, substrings, toxicity, urls, warc
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1, "op2_secret_scan": secrets.op2, "op3_substring_dedup": substrings.op3, "op5_decontamination": decontaminate.op5, "op6_toxicity": toxicity.op6, "op7_near_dedup": neardup.op7, "op10_quality": quality.op10}
+    return {
+        "op1_packing": packing.op1,
+        "op2_secret_scan": secrets.op2,
+        "op3_substring_dedup": substrings.op3,
+        "op4_url_filter": urls.op4,
+        "op5_decontamination": decontaminate.op5,
+        "op6_toxicity": toxicity.op6,
+        "op7_near_dedup": neardup.op7,
+        "op8_warc": warc.op8,
+        "op9_neighbours": ann.op9,
+        "op10_quality": quality.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op7_near_dedup": neardup.ORACLE}
+    """Scores of trained models, packed places, base-32 digests and approximate searches are beyond SQL; tests hold them against brute force."""
+    return {
+        "op2_secret_scan": secrets.ORACLE,
+        "op3_substring_dedup": substrings.ORACLE,
+        "op5_decontamination": decontaminate.ORACLE,
+        "op7_near_dedup": neardup.ORACLE,
+    }

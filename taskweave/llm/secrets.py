@@ -105,6 +105,20 @@ def redacted(text: Column, mark: str = "[REDACTED]", rules: tuple[Rule, ...] = R
     return text
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """The documents with their secrets replaced, with all their columns: those that the scan finds any in, by ledger and paths.
+
+    A text is rewritten where its blob has spans; rows whose text is null stay as they are.
+    """
+    versions = docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text"))
+    new, _ = scan_versions(versions, ledger)
+    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION))
+    held = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_held"))
+    keyed = docs.withColumn("_blob", blob_of(F.col(text_col))).withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    text = F.when(F.col("_held"), redacted(F.col(text_col))).otherwise(F.col(text_col)).alias(text_col)
+    return keyed.join(held, ["_blob", "_salt"], "left").select([text if c == text_col else F.col(c) for c in docs.columns])
+
+
 def _is_kind(kind: str):
     return lambda span: span["kind"] == kind
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-KEPT = 300_000
+KEPT = 500_000
 _MARKS = ".,;:!?|%$#&*"
 _PLAIN = re.compile(r"[!-~¡-ÿ]+")
 
