@@ -1,20 +1,56 @@
-"""A corpus pipeline of five stages: each takes (spark, docs, sf_dir), and its rows are the next one's docs."""
+"""A corpus pipeline of five stages: each takes (spark, docs, sf_dir), and its rows are the next one's docs.
+
+Toxic documents go; of each group of near duplicates the one with the smallest id stays; benchmark passages are cut out of the texts;
+secrets are replaced by a mark; what is left is packed into sequences. The stages before the last return the columns of documents,
+with ``n_chars`` following the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taskweave.llm import decontaminate
+from taskweave.llm import decontaminate, neardup, packing, secrets, toxicity
 from taskweave.shared import written
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` after a stage that changes texts; a null text keeps what it had."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    chain = toxicity.fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean(docs, chain)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.dedup(docs)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(secrets.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("decontamination", decontamination)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", cut_benchmark_passages),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
 
-#: Trained scores and packing are beyond SQL; tests hold the stages against brute force.
+#: Trained scores and packed places are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
