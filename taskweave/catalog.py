@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from taskweave.plans import evaluation, prepare, splits  # noqa: F401  (they register)
+from taskweave.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
