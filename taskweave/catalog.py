@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskweave.plans import evaluation, prepare, splits  # noqa: F401  (they register)
+from taskweave.plans import evaluation, features, models, panel, prepare, scoring, splits, streams  # noqa: F401  (they register)
 from taskweave.plans.registry import ORACLES, QUERIES
 
 
