@@ -25,7 +25,7 @@ from taskweave.shared import partitions
 
 WINDOW, GRAM = 20, 3
 SLICE_BYTES = 8 << 20
-BUCKETS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 4
 NULL_ID = -(1 << 63)
 
 PACKED = "bucket int, strings binary, docs binary, starts binary"
@@ -173,8 +173,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(_pack(n * BUCKETS_PER_PARTITION), PACKED)
-    dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("docs"), F.lit(n)).cast("int"))
-    return packed.repartition(n, dealt).sortWithinPartitions("bucket").mapInArrow(_count, RANGES)
+    dealt = F.when(F.col("bucket") >= 0, F.col("bucket") % n).otherwise(F.pmod(F.xxhash64("docs"), F.lit(n))).cast("int")
+    return packed.repartitionById(n, dealt).sortWithinPartitions("bucket").mapInArrow(_count, RANGES)
 
 
 CUT = "doc_id long, n_words long, n_removed long, kept string"
