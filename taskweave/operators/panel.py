@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskweave.operators.splits import draw
+from taskweave.shared import partitions, written
+
+SMALL_STEPS = 100_000
 
 
 def complete_cells(rows: DataFrame, unit: list[str], condition: str, label: str, order: str, conditions: list[str]) -> DataFrame:
@@ -27,18 +30,19 @@ def long_outcomes(wide: DataFrame, unit: list[str], conditions: list[str]) -> Da
 def bootstrap(values: DataFrame, by: list[str], value: str, reps: int = 2000, seed: str = "boot") -> DataFrame:
     """(by..., mean, low, high, n): the mean of each group and its 95 % percentile interval.
 
-    Groups are collapsed to how often each distinct value comes, with running counts; a replicate draws places by the MD5 of seed,
-    replicate and draw, so a draw costs a lookup among the few distinct values and not a join with the rows.
+    Groups are collapsed to how often each distinct value comes, with running counts. A replicate draws places by the MD5 of seed,
+    replicate and draw; draws are made once for all groups of the same size and meet the few distinct values, not the rows.
     """
-    counts = values.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    steps = F.array_sort(F.collect_list(F.struct("_v", "_c")))
-    held = counts.groupBy(*by).agg(steps.alias("_steps"), F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
-    summed = F.aggregate("_steps", F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<struct<to:bigint,v:double>>").alias("out")), lambda s, x: F.struct((s["to"] + x["_c"]).alias("to"), F.concat(s["out"], F.array(F.struct((s["to"] + x["_c"]).alias("to"), x["_v"].cast("double").alias("v")))).alias("out")), lambda s: s["out"])
-    held = held.withColumn("_steps", summed)
-    draws = held.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    counts = written(values.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).where("_v is not null"), "values")
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    steps = counts.withColumn("_to", F.sum("_c").over(w.orderBy("_v"))).withColumn("n", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+    held = counts.groupBy(*by).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+    few = steps.count() <= SMALL_STEPS
+    drawn = held.select("n").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(partitions(values.sparkSession), "n", "rep").withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     place = F.conv(F.substring(draw(seed, F.concat_ws("|", "rep", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = draws.withColumn("_at", place).withColumn("_x", F.filter("_steps", lambda s: s["to"] > F.col("_at"))[0]["v"])
-    means = drawn.groupBy(*by, "rep").agg(F.avg("_x").alias("_m"))
+    drawn = drawn.select("n", "rep", place.alias("_at"))  # shared by all groups of the same size
+    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    means = drawn.join(F.broadcast(steps) if few else steps, "n").groupBy(*by, "n", "rep").agg((F.sum(F.when(inside, F.col("_v")).otherwise(0.0)) / F.col("n")).alias("_m"))
     spread = means.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
     return (held.join(spread, by) if by else held.crossJoin(spread)).select(*by, "mean", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "n")
 
