@@ -18,6 +18,7 @@ from taskweave.plans.features import COUNTS, counts
 from taskweave.plans.registry import query
 from taskweave.plans.scoring import ARG, COLUMNS
 from taskweave.shared import new_path, written
+from taskweave.sources import tables as S_
 
 c = F.col
 HELD = "task_id % 4 = 0"
@@ -50,19 +51,24 @@ def ml_refit_full(spark, sf):
     return M.predicted(model, held).select("task_id", "label", F.lit("full").alias("fit_scope"))
 
 
+@query("snk_model", "WITH " + V.CTE_TASKS + " SELECT 'E0|E1|E23' AS classes, 1 AS version, count(*)::BIGINT AS labelled_rows FROM labelled")
+def snk_model(spark, sf):
+    """Saved with a manifest, which is read back."""
+    train, _ = prepared(spark, sf)
+    path = new_path(spark, "model")
+    S_.save_model(M.one_vs_rest(train), path, L.CLASSES, 1, V.labelled(spark, sf).count())
+    return spark.read.schema(S_.MANIFEST).json(f"{path}/manifest")
+
+
 @query("src_model")
 def src_model(spark, sf):
-    """Saved with its classes and version, loaded again, refused if either differs, and scored."""
+    """Loaded, refused if its classes or version differ, and used to score held-out rows."""
     from pyspark.ml.classification import OneVsRestModel
 
     train, held = prepared(spark, sf)
     path = new_path(spark, "model")
-    M.one_vs_rest(train).save(f"{path}/model")
-    spark.createDataFrame([("|".join(L.CLASSES), 1)], "classes string, version int").write.json(f"{path}/manifest")
-    found = spark.read.schema("classes string, version int").json(f"{path}/manifest").first()
-    if found.classes.split("|") != list(L.CLASSES) or found.version != 1:
-        raise ValueError("the model has other classes or another version")
-    return M.predicted(OneVsRestModel.load(f"{path}/model"), held).select("task_id", "label")
+    S_.save_model(M.one_vs_rest(train), path, L.CLASSES, 1, 0)
+    return M.predicted(S_.load_model(spark, OneVsRestModel, path, L.CLASSES, 1), held).select("task_id", "label")
 
 
 @query("ml_svc_specialists")
