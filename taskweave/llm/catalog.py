@@ -21,10 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Scores of trained models, packed places, base-32 digests and approximate searches are beyond SQL; tests hold them against brute force."""
+    """Scores of trained models, packed places and approximate searches are beyond SQL; tests hold them against brute force."""
     return {
         "op2_secret_scan": secrets.ORACLE,
         "op3_substring_dedup": substrings.ORACLE,
         "op5_decontamination": decontaminate.ORACLE,
         "op7_near_dedup": neardup.ORACLE,
+        "op8_warc": warc.ORACLE,
     }

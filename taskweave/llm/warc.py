@@ -205,3 +205,16 @@ def read(archives: DataFrame) -> DataFrame:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc")))
+
+
+ORACLE = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (i // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest FROM p
+), g AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS first FROM d GROUP BY ALL
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN g USING (payload_digest, payload_bytes)
+"""
