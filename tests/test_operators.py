@@ -126,3 +126,15 @@ def test_stream_keeps_the_first_success(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [r.call_id for r in spark.table("firsts").collect()] == ["a"]
+
+
+def test_a_model_with_other_classes_is_refused(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.linalg import Vectors
+
+    model = LogisticRegression(labelCol="y").fit(spark.createDataFrame([(0.0, Vectors.dense([0.0])), (1.0, Vectors.dense([1.0]))], ["y", "features"]))
+    sources.save_model(model, str(tmp_path / "m"), ("a", "b"), 1, 2)
+    assert sources.load_model(spark, LogisticRegressionModel, str(tmp_path / "m"), ("a", "b"), 1).numFeatures == 1
+    for classes, version in ((("b", "a"), 1), (("a", "b"), 2)):
+        with pytest.raises(ValueError, match="other classes"):
+            sources.load_model(spark, LogisticRegressionModel, str(tmp_path / "m"), classes, version)
