@@ -2,8 +2,8 @@
 
 A document's set is its distinct shingles of consecutive words. A sketch has a register for each of ``REGISTERS`` buckets of hashes: the
 leading-zero count and some mantissa bits of the bucket's smallest hash. Bands of registers make candidates, each document with the
-smallest one in its band; the collision-corrected Jaccard estimate of two sketches drops chance meetings; what hangs together by the
-rest is a cluster. Within clusters full sets are compared, so links are exact: each member against the cluster's first document, and
+smallest one in its band; the collision-corrected Jaccard estimate of two sketches drops chance meetings. Members of a band that are
+not close to its smallest document are candidates with each other, in blocks; what hangs together by all these pairs is a cluster. Within clusters full sets are compared, so links are exact: each member against the cluster's first document, and
 those that it does not reach against all members, in blocks of bounded size. No pairs are made within a group of copies: equal sets
 count once, and a block reports a spanning forest of its links.
 
@@ -14,6 +14,7 @@ A row with a null doc_id is linked with nothing and has a null component. Rows t
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ from taskweave.shared import partitions, written
 REGISTERS, BAND = 200, 5
 MANTISSA = 10
 SHINGLE, PERCENT = 5, 80
-LOOSE = 0.4
+#: Pairs below LOOSE are dropped. What a CLOSE member is linked with is at 0.5 or more to the band's first document too, so it pairs with no others.
+LOOSE, CLOSE = 0.4, 0.7
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
 SMALL_ROWS = 500_000
 SALTS = 16
@@ -117,15 +119,63 @@ def _stars(batches):
         at = np.maximum.accumulate(np.where(new, np.arange(len(bands)), -1))
         leaders = np.where(at >= 0, reps[np.maximum(at, 0)], first if first is not None else 0)
         band, first = bands[-1], leaders[-1]
-        pairs = np.unique(np.stack([leaders[leaders != reps], reps[leaders != reps]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        other = leaders != reps
+        yield pa.RecordBatch.from_arrays([pa.array(bands[other]), pa.array(leaders[other]), pa.array(reps[other])], names=["band", "a", "b"])
 
 
 def _likely(batches):
     for batch in batches:
         if batch.num_rows:
-            keep = estimate(_matrix(batch.column(2)), _matrix(batch.column(3))) >= LOOSE
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            near = estimate(_matrix(batch.column(2)), _matrix(batch.column(3)))
+            keep = pa.array(near >= LOOSE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near >= CLOSE).filter(keep)], names=["a", "b", "close"])
+
+
+def _forest(reps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sketches at LOOSE or more."""
+    root, out = np.arange(len(reps)), []
+    for i in range(len(reps) - 1):
+        rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        for j in rest[estimate(sketches[i : i + 1], sketches[rest]) >= LOOSE].tolist():
+            if root[j] != root[i]:
+                out.append((int(reps[i]), int(reps[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _among(batches):
+    """Of rows (band, low, high, rep, sketch) sorted by the first four, likely pairs within each band's block."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks() if held is not None or batch is not None else None
+        if table is None:
+            return
+        rows = table.to_batches()[0]
+        keys = np.stack([rows.column(k).to_numpy() for k in range(3)], axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        ends = np.append(starts[1:], len(keys))
+        if batch is not None:  # the last group may go on
+            held = rows.slice(int(starts[-1]))
+            starts, ends = starts[:-1], ends[:-1]
+        reps, found = rows.column(3).to_numpy(), []
+        if len(starts):
+            sketches = _matrix(rows.column(4))
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                found += _forest(reps[a:b], sketches[a:b])
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _unled(stars: DataFrame, likely: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
+    """Likely pairs (a, b) among the members of a band that are not close to its first document."""
+    apart = written(stars.join(likely.where("close"), ["a", "b"], "left_anti").select("band", F.col("b").alias("rep")), "apart")
+    sizes = apart.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).cast("int").alias("n_blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    members = apart.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    others = F.when(F.col("n_blocks") > 1, F.array_remove(F.sequence(F.lit(0), F.col("n_blocks") - 1), F.col("block"))).otherwise(F.array(F.lit(0)))
+    met = members.join(sketches, "rep").withColumn("other", F.explode(others)).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "sketch")
+    return met.repartition(n, "band", "low", "high").sortWithinPartitions("band", "low", "high", "rep").mapInArrow(_among, "a long, b long")
 
 
 def _full_sets(words: int):
@@ -206,10 +256,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = written(signed.join(reps.select(F.col("rep").alias("doc_id"), F.col("digest").alias("of")), "doc_id").where("digest = of").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "sketches")
     n = partitions(spark)
     bands = kept.select("rep", "sketch").mapInArrow(_bands, "band long, rep long")
-    stars = bands.repartition(n, "band").sortWithinPartitions("band", "rep").mapInArrow(_stars, "a long, b long").distinct()
+    stars = written(bands.repartition(n, "band").sortWithinPartitions("band", "rep").mapInArrow(_stars, "band long, a long, b long"), "stars")
     sketches = lambda end: kept.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}"))
-    likely = stars.join(sketches("b"), "b").join(sketches("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long")
-    clusters = connected_components(likely)
+    pairs = stars.select("a", "b").distinct().join(sketches("b"), "b").join(sketches("a"), "a")
+    likely = written(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long, close boolean"), "likely")
+    clusters = connected_components(likely.select("a", "b").unionByName(_unled(stars, likely, kept.select("rep", "sketch"), n)))
     found = connected_components(_exact_links(docs, clusters, kept.select("rep", "n_shingles"), words, percent))
     named = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     by_part = parts.select("digest", "salt").join(named, "digest")

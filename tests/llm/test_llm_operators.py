@@ -335,6 +335,23 @@ def test_components_equal_brute_force(spark, monkeypatch, n, block):
     assert [found[i] for i in range(len(texts))] == brute_components(texts, n)
 
 
+@pytest.mark.parametrize("block", [1024, 100])
+def test_links_under_unrelated_leaders_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
+    random = np.random.default_rng(3)
+    held = np.stack([random.permutation(400) < 200 for _ in range(1020)])
+    for i in range(20):  # the last 20 documents are near copies of the 20 before them, all others only share a pool of words
+        held[1000 + i] = held[980 + i]
+        held[1000 + i, np.concatenate([random.choice(np.flatnonzero(held[980 + i] == x), 9, replace=False) for x in (False, True)])] ^= True
+    shared = held.astype(int) @ held.T.astype(int)
+    near = 100 * shared >= 80 * (400 - shared)
+    expected = [int(np.flatnonzero(row)[0]) for row in near]
+    assert sum(i != e for i, e in enumerate(expected)) == 20 == (near.sum() - len(held)) // 2
+    texts = [" ".join(f"w{k}" for k in np.flatnonzero(row)) for row in held]
+    found = {r.doc_id: r.component_id for r in neardup.components(docs(spark, texts).repartition(3), words=1).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
 def test_estimates_are_near(spark):
     random = np.random.default_rng(8)
     a = random.integers(0, 1 << 62, 2000).astype(np.uint64)
