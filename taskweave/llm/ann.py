@@ -3,7 +3,8 @@
 Vectors are scaled to length 1. Coarse centroids and the codebooks of residuals are fitted on at most ``SAMPLE`` vectors, picked by a
 hash of their ids; every vector is indexed: its list, and a code for each subspace. A query probes the lists nearest to it. A list is
 searched in blocks of codes by blocks of queries, with one table of inner products for each query and subspace, and each block keeps
-its best; the best of all are ranked again by the exact cosine of the original vectors in double precision.
+its best; the best of all are ranked again by the exact cosine of the original vectors in double precision. Equal vectors are searched
+as one, which stands for its smallest ids, so copies take no places from each other and ties go to the smaller vec_id.
 
 The data's structure decides how many lists have to be probed: ``PROBES`` of ``LISTS`` gives a recall of 0.9 or more on vectors without
 clusters. A query that finds fewer than ``k`` in its lists is searched in all lists. Vectors that are null, empty, zero, of another
@@ -123,14 +124,16 @@ def _search(index_of, width: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "vec_id": np.zeros(0, dtype=np.int64), "near": np.zeros(0, dtype=np.float32)})
+        rows = rows.sort_values("vec_id")
         ids = rows["vec_id"].to_numpy()
         own = queries["query_id"].to_numpy()
         near = index_of.value.scores(_matrix(queries["vector"], width), int(rows["list"].iloc[0]), np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["codes"]]))
-        near[own[:, None] == ids[None, :]] = -np.inf
-        keep = min(KEEP, len(ids))
-        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-        out = pd.DataFrame({"query_id": np.repeat(own, keep), "vec_id": ids[best].ravel(), "near": np.take_along_axis(near, best, axis=1).ravel()})
-        return out[np.isfinite(out["near"])]
+        keep = min(KEEP + 1, len(ids))  # one may be the query alone
+        least = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep, None]
+        above, tied = near > least, near == least
+        best = above | tied & (np.cumsum(tied, axis=1) <= keep - above.sum(axis=1, keepdims=True))
+        at, one = np.nonzero(best)
+        return pd.DataFrame({"query_id": own[at], "vec_id": ids[one], "near": near[at, one]})
 
     return run
 
@@ -142,7 +145,7 @@ def _cosines(width: int):
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = _exact(a, width), _exact(b, width)
                 score.append(float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "of", "score"])
 
     return run
 
@@ -158,9 +161,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = widths[0].width
     units = units.where(F.col("width") == width).select("vec_id", "vector")
+    same = Window.partitionBy("vector")
+    first_ids = units.withColumn("n", F.row_number().over(same.orderBy("vec_id"))).where(F.col("n") <= k + 1)  # a query may be one of them
+    copies = written(first_ids.withColumn("of", F.min("vec_id").over(same)), "copies")
+    distinct, members = copies.where("n = 1").select("vec_id", "vector"), copies.select("of", F.col("vec_id").alias("member"))
     sample = units.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(SAMPLE).collect()  # at most SAMPLE rows
     index = context.broadcast(Index.of(_matrix([r.vector for r in sample], width)))
-    coded = written(units.mapInArrow(_code(index, width), "list int, vec_id long, codes binary"), "codes")
+    coded = written(distinct.mapInArrow(_code(index, width), "list int, vec_id long, codes binary"), "codes")
     blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("n_blocks"))  # LISTS rows at most
     asked = units.where(is_query)
 
@@ -172,10 +179,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         keys = ["list", "block", "part"]
         near = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_search(index, width), "query_id long, vec_id long, near float")
         best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-        likely = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= RANKED).select("query_id", "vec_id")
-        pairs = likely.join(units.select("vec_id", F.col("vector").alias("b")), "vec_id").join(units.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("a")), "query_id")
+        likely = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= RANKED + 1).select("query_id", "vec_id")
+        pairs = likely.join(distinct.select("vec_id", F.col("vector").alias("b")), "vec_id").join(units.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("a")), "query_id")
         ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return pairs.select("query_id", "vec_id", "a", "b").mapInArrow(_cosines(width), "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        scored = pairs.select("query_id", "vec_id", "a", "b").mapInArrow(_cosines(width), "query_id long, of long, score double")
+        every = scored.join(members, "of").where("member <> query_id").select("query_id", F.col("member").alias("vec_id"), "score")
+        return every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     first = written(found(asked, probes), "neighbours")
     full = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))

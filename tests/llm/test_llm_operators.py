@@ -417,6 +417,18 @@ def test_recall_and_exact_scores(spark):
     assert len(found) == sum(ids % 50 == 0) and hits >= 0.9 * 5 * len(found)
 
 
+def test_copies_give_their_smallest_ids(spark):
+    random = np.random.default_rng(4)
+    x = random.normal(size=(1000, 8))
+    x[1::3] = x[1]
+    x[50] = x[1] + 0.01
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in ann.search(table, F.col("vec_id").isin(1, 50, 100)).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {1: [4, 7, 10, 13, 16], 50: [1, 4, 7, 10, 13], 100: [1, 4, 7, 10, 13]}
+
+
 def test_odd_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (150, [float("nan"), 1.0]), (1, [1.0, 0.1]), (2, [None, 1.0]), (3, [1.0]), (4, [0.9, 0.0]), (5, [2.0, 0.0])]
     found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
