@@ -12,6 +12,7 @@ columns of the inputs are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.llm.words import LETTERED, Words, scan, slices
+from taskweave.shared import written
 
 WINDOW = 10
 SAMPLE = 8
@@ -263,25 +265,33 @@ def _find(p_of):
     return run
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> list[Phrases]:
-    """The benchmark's windows in blocks of at most about ``block_bytes`` of text, read to the driver one at a time."""
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks of about ``block_bytes`` of text the benchmark has, and their windows, read to the driver one at a time."""
     rows = benchmark.select(F.col(item).cast("string").alias("name"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("name"), F.lit(n))
-    return [phrases([(r.name if r.name is not None else "", r.text) for r in rows.where(block == b).collect()], window) for b in range(n)]
+    return n, (phrases([(r.name if r.name is not None else "", r.text) for r in rows.where(block == b).collect()], window) for b in range(n))
+
+
+def _searched(rows: DataFrame, blocks: Iterator[Phrases], search, schema: str) -> DataFrame:
+    """What ``search`` finds for each block, written before the next block is read: one block is broadcast at a time."""
+    every = None
+    for p in blocks:
+        held = rows.sparkSession.sparkContext.broadcast(p)
+        part = written(rows.mapInArrow(search(held), schema), "block")
+        held.destroy()
+        every = part if every is None else every.unionByName(part)
+    return every
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document: id, words, words hit, items whose windows occur (sorted), and removal spans in words and in code points."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
-    parts = [rows.mapInArrow(_find(context.broadcast(p)), FOUND) for p in _blocks(benchmark, item_col, item_text_col, window, block_bytes)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", id_col)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    n, blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    if n == 1:
+        return rows.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(next(blocks))), FOUND).withColumnRenamed("key", id_col)
+    every = _searched(rows, blocks, _find, FOUND)
     merge = lambda c, a, b: F.aggregate(
         F.array_sort(F.flatten(F.collect_list(c))),
         F.array().cast(f"array<struct<{a}:int,{b}:int>>"),
@@ -292,6 +302,50 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return merged.select(F.col("key").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "words", "spans")
 
 
+def _without(body: bytes, cuts: list[tuple[int, int]]) -> str:
+    out, place = [], 0
+    for a, b in cuts:
+        out.append(body[place:a])
+        place = b
+    return b"".join([*out, body[place:]]).decode()
+
+
+def _spans(p_of):
+    """Of rows (row, text), the spans of one block: by words, and as bytes of the text."""
+
+    def run(batches):
+        p: Phrases = p_of.value
+        for batch, w, _, _, spans in _shards(batches, "text", p):
+            t, a, b = spans[:, 0], spans[:, 1], spans[:, 2]
+            row = batch.column(0).take(pa.array(t, pa.int64()))
+            word, byte = w.first[t].astype(np.int64), w.texts[t].astype(np.int64)
+            places = [a - word, b - word, w.start[a] - byte, w.end[b - 1] - byte]
+            yield pa.RecordBatch.from_arrays([row, *[pa.array(x.astype(np.int64)) for x in places]], names=["row", "first", "stop", "start", "end"])
+
+    return run
+
+
+def _cut_all(column: str, schema: pa.Schema):
+    """Cuts the union of a text's spans, which are in the last column."""
+
+    def run(batches):
+        at = schema.get_field_index(column)
+        for batch in batches:
+            texts, n = batch.column(at).to_pylist(), len(schema)
+            for i, spans in enumerate(batch.column(n).to_pylist()):
+                if spans:
+                    cuts: list[list[int]] = []
+                    for s in sorted(spans, key=lambda s: (s["first"], s["stop"])):
+                        if cuts and s["first"] <= cuts[-1][0]:
+                            cuts[-1][0], cuts[-1][2] = max(cuts[-1][0], s["stop"]), max(cuts[-1][2], s["end"])
+                        else:
+                            cuts.append([s["stop"], s["start"], s["end"]])
+                    texts[i] = _without(texts[i].encode(), [(a, b) for _, a, b in cuts])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, schema.field(i).type) if i == at else batch.column(i).cast(schema.field(i).type) for i in range(n)], schema=schema)
+
+    return run
+
+
 def _cut(p_of, column: str, schema: pa.Schema):
     def run(batches):
         p: Phrases = p_of.value
@@ -302,24 +356,25 @@ def _cut(p_of, column: str, schema: pa.Schema):
             for t, a, b in spans.tolist():
                 by_text.setdefault(t, []).append((int(w.start[a]), int(w.end[b - 1])))
             for t, cuts in by_text.items():
-                body, out, place = w.data[w.texts[t] : w.texts[t + 1]].tobytes(), [], 0
-                for a, b in cuts:
-                    out.append(body[place : a - int(w.texts[t])])
-                    place = b - int(w.texts[t])
-                texts[t] = b"".join([*out, body[place:]]).decode()
+                begin = int(w.texts[t])
+                texts[t] = _without(w.data[begin : w.texts[t + 1]].tobytes(), [(a - begin, b - begin) for a, b in cuts])
             yield pa.RecordBatch.from_arrays([pa.array(texts, schema.field(i).type) if i == at else c.cast(schema.field(i).type) for i, c in enumerate(batch.columns)], schema=schema)
 
     return run
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with every removal span cut out of the text; all other columns stay. Blocks of a large benchmark are cut one after another."""
+    """The documents with every removal span cut out of the text; all other columns stay. The spans of all blocks of a large benchmark are cut at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(docs.schema)
-    for p in _blocks(benchmark, "item_id", "text", window, block_bytes):
-        docs = docs.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(p), text_col, schema), docs.schema)
-    return docs
+    n, blocks = _blocks(benchmark, "item_id", "text", window, block_bytes)
+    if n == 1:
+        return docs.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(next(blocks)), text_col, schema), docs.schema)
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    found = _searched(keyed.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), blocks, _spans, "row long, first long, stop long, start long, end long")
+    spans = found.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("first", "stop", "start", "end")).alias("_spans"))
+    return keyed.join(spans, "_row", "left").select(*docs.columns, "_spans").mapInArrow(_cut_all(text_col, schema), docs.schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

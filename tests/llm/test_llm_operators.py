@@ -262,6 +262,15 @@ def test_removal_cuts_spans_and_leaves_clean_texts(spark):
     assert rows == {0: "before , after", 1: "clean text", 2: None, 3: ""}
 
 
+def test_removal_by_blocks_equals_one_block(spark):
+    w = [f"é{i}" for i in range(60)]
+    items = [(i, " ".join(w[i : i + 12])) for i in range(0, 48, 7)]
+    texts = ["before " + ", ".join(w[:54]) + " after", "clean", None, "", "é! " + " ".join(w[7:19]) + " x " + " ".join(w[14:26])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = [{r.doc_id: (r.text, r.rank) for r in decontaminate.remove(docs(spark, texts), bench, block_bytes=b).collect()} for b in (1 << 20, 150)]
+    assert one == many and one[0] == ("before  after", "x") and one[4] == ("é!  x ", "x")
+
+
 def test_an_empty_benchmark_hits_nothing(spark):
     found = decontaminate.find(docs(spark, ["a b c", None]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert all(r.n_hit == 0 and r.items == [] for r in found)
