@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-KEPT = 500_000
+#: Strings in a generation of a worker's table: about 75 MB in all for both.
+KEPT = 300_000
 _MARKS = ".,;:!?|%$#&*"
 _PLAIN = re.compile(r"[!-~¡-ÿ]+")
 
@@ -23,10 +24,13 @@ class Kept:
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def lacking(self, asked: Iterable[str]) -> list[str]:
-        """What isn't held; all else that is asked for is in ``now`` afterwards."""
+    def turn(self) -> None:
+        """Starts a new generation if this one is full."""
         if len(self.now) > KEPT:
             self.now, self.before = {}, self.now
+
+    def lacking(self, asked: Iterable[str]) -> list[str]:
+        """What isn't held; all else that is asked for is in ``now`` afterwards."""
         now, before, out = self.now, self.before, []
         for x in asked:
             if x not in now:
@@ -62,7 +66,7 @@ class Encoder:
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)  # tokens that end a word
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.cut = regex.compile(pretoken)
-        self.parts, self.pieces = Kept(), Kept()
+        self.kept = Kept()  # parts and the pieces they are cut into: a piece by itself is a part with the same ids
 
     @classmethod
     def of(cls, path: str, pretoken: str = PRETOKEN) -> Encoder:
@@ -80,7 +84,7 @@ class Encoder:
             if len(stops) != len(group):
                 raise ValueError("a piece is not one word to the tokenizer")
             body, stops = ids.tobytes(), [0, *stops.tolist()]
-            self.pieces.now.update(zip(group, [body[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], strict=True))
+            self.kept.now.update(zip(group, [body[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], strict=True))
 
     def _learn(self, missing: list[str]) -> None:
         plain, cut = [], []
@@ -96,8 +100,9 @@ class Encoder:
                 else:
                     continue
                 plain.append(p)
-        self._pieces(self.pieces.lacking({x for c in cut for x in c}))
-        get, parts = self.pieces.now.__getitem__, self.parts.now
+        self._pieces(self.kept.lacking({x for c in cut for x in c}))
+        parts = self.kept.now
+        get = parts.__getitem__
         for p, c in zip(plain, cut, strict=True):
             parts[p] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
         for p in missing if len(plain) < len(missing) else ():
@@ -109,8 +114,9 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn(self.parts.lacking(distinct))
-        found = [self.parts.now[p] for p in distinct]
+        self.kept.turn()
+        self._learn(self.kept.lacking(distinct))
+        found = [self.kept.now[p] for p in distinct]
         sizes = np.array(list(map(len, found)), dtype=np.int32) // np.dtype(self.wide).itemsize
         which = words.indices.to_numpy()
         every = np.frombuffer(b"".join(map(found.__getitem__, which.tolist())), dtype=self.wide)

@@ -5,9 +5,11 @@ probabilities of the categories before it. For training those probabilities are
 the other folds. The models are fitted on a bounded sample of labelled rows (``SAMPLE`` of each class, by a hash of the id); every
 whole text is scored.
 
-Null and empty texts have no features and get the chain's base rates. Rows of ``labels`` with a null id or a null toxic value are not
-learned from; a null quality counts as good. Of several labels of a document the largest toxic one counts. Without labelled toxic
-rows nothing is toxic. Rows that repeat a doc_id each get a row. Other columns are not looked at.
+Null and empty texts have no features and get the chain's base rates; texts of any length are scored whole. Rows of ``labels`` with a
+null id or a null toxic value are not learned from; a null quality counts as good. Of several labels of a document the largest toxic one
+counts, of those the one with the largest quality. Without labelled toxic rows nothing is toxic. Rows that repeat a doc_id or have a
+null one each get a row; of several texts of a labelled id the smallest is learned from. Equal probabilities are on the same side of the
+threshold. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -73,15 +75,22 @@ class Chain:
 
 
 def chosen(rows: list[np.ndarray], y: np.ndarray, most: int = HELD) -> np.ndarray:
-    """Features whose rows differ most from the rest in how often they are toxic, by a chi-square score; few enough to fit fast."""
-    every = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    found, at, n = np.unique(every, return_inverse=True, return_counts=True)
-    ones = np.bincount(at, weights=np.repeat(y, [len(r) for r in rows]), minlength=len(found))
-    rate = y.mean()
+    """Features whose rows differ most from the rest in how often they are toxic, by a chi-square score; few enough to fit fast.
+
+    A row has a feature once at most, so rows are counted into two tables of all features, one row after another.
+    """
+    n, ones = np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
+    for r, positive in zip(rows, y, strict=True):
+        n[r] += 1
+        if positive:
+            ones[r] += 1
+    found = np.flatnonzero(n >= LEAST_DOCS)
+    if not len(found):
+        return found.astype(np.int32)
+    n, ones, rate = n[found], ones[found], y.mean()
     score = (ones - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9)
-    score[n < LEAST_DOCS] = 0
     keep = np.argsort(-score, kind="stable")[:most]
-    return np.sort(found[keep[score[keep] > 4]])
+    return np.sort(found[keep[score[keep] > 4]]).astype(np.int32)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -99,7 +108,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def train(rows: list[np.ndarray], truth: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> Chain:
     """``truth``: a column for each category."""
     known = chosen(rows, truth.max(axis=1))
-    cut = [np.searchsorted(known, r[np.isin(r, known)]) for r in rows]
+    member = np.zeros(1 << BITS, dtype=bool)
+    member[known] = True
+    cut = [np.searchsorted(known, r[member[r]]) for r in rows]
     every = Rows(cut)
     earlier = np.zeros((len(rows), 0))
     weights = []
@@ -129,7 +140,7 @@ def _train(names: list[str]):
 def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> Chain:
     """Learns the chain from the labelled documents, at most ``sample`` toxic and ``sample`` others."""
     names = [name for name, _ in categories]
-    worst = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max_by("quality", "toxic").alias("quality"), F.max("toxic").alias("toxic"))
+    worst = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.struct("toxic", "quality")).alias("label")).select("doc_id", "label.*")
     order = F.xxhash64(F.lit("sample"), "doc_id")
     parts, counts = [], {r.toxic: r.n for r in worst.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r.toxic in (0, 1)}
     for value in (0, 1):
@@ -137,7 +148,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample:
         parts.append(worst.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(sample).withColumn("weight", F.lit(counts.get(value, 0) / max(held, 1))))
     flags = [F.coalesce(F.expr(rule), F.lit(False)).cast("int").alias(name) for name, rule in categories]
     picked = parts[0].unionByName(parts[1]).select("doc_id", "weight", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), *flags)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
+    keys = ["doc_id", "weight", "fold", *names]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy(*keys).agg(F.min("text").alias("text"))  # 2 * sample rows at most
     seen = rows.select("doc_id", "text", F.col("doc_id").alias("id"), "weight", "fold", *names).mapInArrow(_document_features, "id long, weight double, fold int, " + ", ".join(f"{n} int" for n in names) + ", features binary").withColumnRenamed("id", "doc_id")
     found = seen.groupBy().applyInPandas(_train(names), "chain binary").collect()
     return pickle.loads(found[0].chain) if found else Chain(np.zeros(0, dtype=np.int32), [np.append(np.zeros(k), -40.0) for k in range(len(names))])
@@ -146,18 +158,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample:
 def _score(chain_of, names: list[str]):
     def run(batches):
         chain: Chain = chain_of.value
-        table = np.zeros((len(chain.weights), 1 << BITS), dtype=np.float32)
-        for k, w in enumerate(chain.weights):
-            table[k, chain.known] = w[: len(chain.known)]
-        member = np.zeros(1 << BITS, dtype=bool)
+        weights = [w[: len(chain.known)] for w in chain.weights]
+        member = np.zeros(1 << BITS, dtype=bool)  # which features are known; their weights are looked up by rank
         member[chain.known] = True
         for batch in slices(batches, "text", SLICE_BYTES):
             w = scan(batch.column(1), LETTERED, lower=True)
             found = features(w)
             hit, at = np.nonzero(member[found])
             pairs = np.unique((w.text[at].astype(np.int64) << BITS) | found[hit, at])
-            text, feature = pairs >> BITS, pairs & ((1 << BITS) - 1)
-            sums = [np.bincount(text, weights=table[k, feature], minlength=batch.num_rows) for k in range(len(names))]
+            text, rank = pairs >> BITS, np.searchsorted(chain.known, pairs & ((1 << BITS) - 1))
+            sums = [np.bincount(text, weights=v[rank], minlength=batch.num_rows) for v in weights]
             p = chain.probabilities(sums)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, k]) for k in range(len(names))]], names=["doc_id", *[f"p_{n}" for n in names]])
 
@@ -178,7 +188,7 @@ def _clean(chain_of, names: list[str]):
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
             at = batch.schema.get_field_index("text")
-            p = next(iter(score_batches(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])]))))
+            p = next(score_batches(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])])))
             yield batch.filter(pa.array(p.column(p.num_columns - 1).to_numpy() < chain_of.value.threshold))
 
     return run
