@@ -6,8 +6,10 @@ to the bucket of that minimiser; there a sort brings equal windows together and
 Before anything travels, equal packed strings of a slice are reduced to the earliest, so that thousands of copies cost one string
 for each slice. What comes back are ranges of repeated windows, which cut words from the documents.
 
-Null and empty texts have no words. A null doc_id comes before all others; rows that repeat a doc_id do not count as copies of one
-another. Texts of any length are cut whole. Other columns are not looked at.
+Windows are ordered by (doc_id, start); of equal windows all that come first in this order stay, so windows at the same place of rows
+that repeat a doc_id do not count as copies of one another. Such rows are told apart by a hash of their text and are each cut by
+themselves. Null and empty texts have no words. A null doc_id comes before all others. An empty table gives no rows. Texts of any length
+are cut whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ WINDOW, GRAM = 20, 3
 SLICE_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 4
 NULL_ID = -(1 << 63)
+_LOW = (1 << 32) - 1
 
 PACKED = "bucket int, strings binary, docs binary, starts binary"
-RANGES = "doc long, start int, n int"
+RANGES = "doc long, key int, start int, n int"
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -42,21 +45,21 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows as ranges of consecutive ones."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _ranges(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows as ranges of consecutive ones: documents, keys, starts and numbers of windows."""
+    order = np.lexsort((start, key, doc))
+    doc, key, start = doc[order], key[order], start[order]
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
-    return doc[at], start[at], np.diff(np.append(at, len(doc)))
+    return doc[at], key[at], start[at], np.diff(np.append(at, len(doc)))
 
 
 def _pack(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", SLICE_BYTES):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, row_key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             joined = [b" ".join(x.as_buffer().to_pybytes().split()) if x.is_valid else b"" for x in batch.column(1).cast(pa.binary())]
             w = scan(pa.array(joined, pa.binary()), SPACED)
             if len(w.start) < WINDOW:
@@ -71,44 +74,32 @@ def _pack(n_buckets: int):
             at = np.flatnonzero(new)
             first, n = inside[at], np.diff(np.append(at, len(inside)))
             text = w.text[first]
-            order = np.lexsort((first, ids[text]))  # the earliest of equal strings comes first
+            order = np.lexsort((first - w.first[text], ids[text]))  # the earliest of equal strings comes first
             first, n, text = first[order], n[order], text[order]
             bucket = (mix(key[at][order]) % np.uint64(n_buckets)).astype(np.int64)
-            place = first - w.first[text]
+            doc, mark = ids[text], row_key[text] << 32 | (first - w.first[text])  # the row's key and the place in it
             body, a, b = w.data.tobytes(), w.start[first].tolist(), w.end[first + n + WINDOW - 2].tolist()
-            seen: set[bytes] = set()
-            fresh = np.ones(len(first), dtype=bool)
-            strings = []
+            least: dict[bytes, int] = {}
+            state = np.zeros(len(first), dtype=np.int8)  # 0: goes to its bucket; 1: an equal string is earlier in this slice; 2: the same place of an equal row
+            strings, owner, low, full = [], doc.tolist(), (mark & _LOW).tolist(), mark.tolist()
             for i in range(len(a)):
                 s = body[a[i] : b[i]]
-                if s in seen:
-                    fresh[i] = False
-                else:
-                    seen.add(s)
+                if (j := least.setdefault(s, i)) != i:
+                    state[i] = 1 if (owner[i], low[i]) != (owner[j], low[j]) else 2 if full[i] == full[j] else 0
                 strings.append(s)
-            doc = ids[text]
-            again = ~fresh
-            if again.any():  # an equal string is earlier in this slice, or in the same place of a row with the same id
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), *[pa.array([x.tobytes()], pa.binary()) for x in _again(strings, doc, place, n, again)]], names=["bucket", "strings", "docs", "starts"])
-            kept = np.flatnonzero(fresh)
+            again = np.flatnonzero(state == 1)
+            if len(again):
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([doc[again].tobytes()], pa.binary()), pa.array([np.stack([mark[again], n[again]]).tobytes()], pa.binary())], names=["bucket", "strings", "docs", "starts"])
+            kept = np.flatnonzero(state == 0)
             kept = kept[np.argsort(bucket[kept], kind="stable")]
             edges = np.flatnonzero(np.diff(bucket[kept], prepend=-1))
-            rows = [(int(bucket[k[0]]), packer.compress(b"\n".join([strings[i] for i in k])), doc[k].tobytes(), place[k].astype(np.int32).tobytes()) for k in np.split(kept, edges[1:])]
+            rows = [(int(bucket[k[0]]), packer.compress(b"\n".join([strings[i] for i in k])), doc[k].tobytes(), mark[k].tobytes()) for k in np.split(kept, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "strings", "docs", "starts"])
 
     return run
 
 
-def _again(strings: list[bytes], doc: np.ndarray, place: np.ndarray, n: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges of windows of strings that are later than an equal one: documents, and starts with numbers of windows."""
-    least = {}
-    for i in range(len(strings)):
-        least.setdefault(strings[i], i)
-    keep = [i for i in np.flatnonzero(again).tolist() if (doc[i], place[i]) != (doc[j := least[strings[i]]], place[j])]
-    return doc[keep], np.stack([place[keep], n[keep]]).astype(np.int32)
-
-
-def _repeated(strings: list[bytes], docs: list[np.ndarray], starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _repeated(strings: list[bytes], docs: list[np.ndarray], starts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Of the windows in a bucket's strings, the ranges that are not the earliest of their words."""
     body = b"\n".join(strings)
     data = np.frombuffer(body, dtype=np.uint8)
@@ -127,10 +118,11 @@ def _repeated(strings: list[bytes], docs: list[np.ndarray], starts: list[np.ndar
     pick = order[many]
     word = inside[pick]
     doc = np.concatenate(docs)[string[word]]
-    place = np.concatenate(starts)[string[word]].astype(np.int64) + word - first_word[string[word]]
+    mark = np.concatenate(starts)[string[word]]
+    key, place = mark >> 32, (mark & _LOW) + word - first_word[string[word]]
     a, b = start[word], end[word + WINDOW - 1]
     order = np.lexsort((place, doc, hashes[pick]))
-    doc, place, a, b, keys = doc[order], place[order], a[order].tolist(), b[order].tolist(), hashes[pick][order]
+    doc, key, place, a, b, keys = doc[order], key[order], place[order], a[order].tolist(), b[order].tolist(), hashes[pick][order]
     head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     owner = np.repeat(head, np.diff(np.append(head, len(keys)))).tolist()
     later = np.zeros(len(keys), dtype=bool)
@@ -141,21 +133,21 @@ def _repeated(strings: list[bytes], docs: list[np.ndarray], starts: list[np.ndar
             if s != body[a[h] : b[h]]:  # another window with the same hash
                 h = others.setdefault(s, i)
             later[i] = doc[i] != doc[h] or place[i] != place[h]
-    return _ranges(doc[later], place[later])
+    return _ranges(doc[later], key[later], place[later])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
     current, strings, docs, starts = None, [], [], []
 
-    def out(doc, start, n):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["doc", "start", "n"])
+    def out(doc, key, start, n):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x.astype(np.int32)) for x in (key, start, n)]], names=["doc", "key", "start", "n"])
 
     for batch in batches:
         for bucket, s, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if s is None:
-                start, n = np.frombuffer(t, dtype=np.int32).reshape(2, -1)
-                yield out(np.frombuffer(d, dtype=np.int64), start, n)
+                mark, n = np.frombuffer(t, dtype=np.int64).reshape(2, -1)
+                yield out(np.frombuffer(d, dtype=np.int64), mark >> 32, mark & _LOW, n)
                 continue
             if bucket != current:
                 if strings:
@@ -163,15 +155,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 current, strings, docs, starts = bucket, [], [], []
             strings.append(unpacker.decompress(s))
             docs.append(np.frombuffer(d, dtype=np.int64))
-            starts.append(np.frombuffer(t, dtype=np.int32))
+            starts.append(np.frombuffer(t, dtype=np.int64))
     if strings:
         yield out(*_repeated(strings, docs, starts))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ranges (doc, start, n): the ``n`` windows from word ``start`` on stand earlier elsewhere."""
+    """Ranges (doc, key, start, n): of the rows with this id and hash of the text, the ``n`` windows from word ``start`` on stand earlier elsewhere."""
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.hash(text_col).alias("key"))
     packed = rows.mapInArrow(_pack(n * BUCKETS_PER_PARTITION), PACKED)
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket") % n).otherwise(F.pmod(F.xxhash64("docs"), F.lit(n))).cast("int")
     return packed.repartitionById(n, dealt).sortWithinPartitions("bucket").mapInArrow(_count, RANGES)
@@ -203,9 +195,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: its id, words, words removed, and the words kept, joined by one space."""
-    ranges = repeated_windows(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(ranges, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), "left").select("doc_id", "text", "ranges")
+    ranges = repeated_windows(docs, id_col, text_col).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(text_col).alias("own"))
+    joined = rows.join(ranges, (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc")) & (F.col("own") == F.col("key")), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_cut, CUT).withColumnRenamed("doc_id", id_col)
 
 
