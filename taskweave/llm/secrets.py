@@ -1,20 +1,22 @@
 """Secret scans over a ledger of text blobs, with DataFrame functions only.
 
-Each version of a path (a document) is a blob, addressed by the SHA-256 of its text. The ledger has a row for each blob and rule
-version that was scanned, with the spans found. A run scans the blobs whose pair with the present rules is not in the ledger, once
-each however many paths hold them, and joins spans back to all paths.
+Each version of a path (a document) is a blob, addressed by the SHA-256 of its text. The ledger, a Parquet folder that runs append to,
+has a row for each blob and rule version that was scanned, with the spans found. A run scans the blobs whose pair with the present rules
+is not in the ledger, once each however many paths hold them, and joins spans back to all paths.
 
-A null text is the empty blob. Texts are scanned whole. A null id is a path like any other; repeated rows are paths of one blob.
+A null text is the empty blob. Texts of any length are scanned whole. A null id is a path like any other; repeated rows are paths of one
+blob. Spans that begin together are in the rules' order. An empty table gives no rows. Other columns, whatever their names, are carried
+by ``redact`` and not looked at otherwise.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskweave.shared import written
+from taskweave.shared import new_path
 
 
 @dataclass(frozen=True)
@@ -50,44 +52,63 @@ def _matches(text: Column, rule: Rule) -> Column:
     return F.arrays_zip(F.split(text, rule.pattern, -1).alias("before"), whole.alias("whole"), value.alias("value"))
 
 
-def _spans(text: Column, rank: int, rule: Rule) -> Column:
-    state = F.aggregate(
-        _matches(text, rule),
-        F.struct(F.lit(0).alias("place"), F.array().cast(SPANS).alias("spans")),
-        lambda s, m: F.when(m["whole"].isNull(), s).otherwise(
-            F.struct(
-                (s["place"] + F.length(m["before"]) + F.length(m["whole"])).alias("place"),
-                F.when(
-                    F.length(m["value"]) >= rule.least,
-                    F.concat(s["spans"], F.array(F.struct((s["place"] + F.length(m["before"])).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (s["place"] + F.length(m["before"]) + F.length(m["whole"])).alias("stop")))),
-                )
-                .otherwise(s["spans"])
-                .alias("spans"),
-            )
-        ),
-    )
-    return F.when(F.col("text").rlike(rule.pattern), state["spans"]).otherwise(F.array().cast(SPANS))
+LENGTHS = "array<struct<rank:int,place:int,before:int,whole:int,value:int>>"
+
+
+def _lengths(text: Column, rank: int, rule: Rule) -> Column:
+    """Each match's number, and how many characters lie before it, in it and in its value."""
+    found = F.transform(_matches(text, rule), lambda m, i: F.struct(F.lit(rank).alias("rank"), i.alias("place"), F.length(m["before"]).alias("before"), F.length(m["whole"]).alias("whole"), F.length(m["value"]).alias("value")))
+    found = F.filter(found, lambda m: m["whole"].isNotNull())  # what follows the last match
+    return F.when(text.rlike(rule.pattern), found.cast(LENGTHS)).otherwise(F.array().cast(LENGTHS))
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, text) rows with the spans of all rules, by start, then by the rules' order; offsets in code points."""
-    found = F.array_sort(F.concat(*[_spans(F.col("text"), rank, rule) for rank, rule in enumerate(rules)]))
-    return texts.select("blob", found.alias("spans"))
-
-
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """``versions``: rows of (path, text). Returns the ledger's new rows, written to the shared folder, and (path, spans) of all versions."""
-    addressed = versions.select("path", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    blobs = addressed.select("blob", "text")
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    new = written(scan(unseen, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "secret-ledger")
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version))
-    findings = known.where(F.size("spans") > 0).select("blob", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "spans")
-    paths = addressed.select("path", "blob", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
-    joined = paths.join(findings, ["blob", "salt"], "left").select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    return new, joined
+    """(blob, text) rows with the spans of all rules, by start, then by the rules' order; offsets in code points.
+
+    Matches become rows, whose places are running sums within a blob and rule, so that a text of many matches costs no more for each.
+    """
+    each = texts.select("blob", F.explode_outer(F.concat(*[_lengths(F.col("text"), rank, rule) for rank, rule in enumerate(rules)])).alias("m")).select("blob", "m.*")
+    stop = F.sum(F.col("before") + F.col("whole")).over(Window.partitionBy("blob", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    of_rule = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rank") + 1)
+    placed = each.withColumn("stop", stop)
+    span = F.struct((F.col("stop") - F.col("whole")).alias("start"), "rank", of_rule([r.kind for r in rules]).alias("kind"), "stop")
+    good = F.when(F.col("rank").isNotNull() & (F.col("value") >= of_rule([r.least for r in rules])), span)
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(good)).cast(SPANS).alias("spans"))
+
+
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored at a path; without rows where nothing is stored yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def addressed(versions: DataFrame) -> DataFrame:
+    return versions.select("path", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def record(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:
+    """Scans what ``ledger`` has no row of and appends it there. ``versions``: rows of (path, text)."""
+    spark = versions.sparkSession
+    seen = ledger_at(spark, ledger).where(F.col("rule_version") == rule_version).select("blob").distinct()
+    unseen = addressed(versions).select("blob", "text").join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    scan(unseen, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").option("compression", "zstd").parquet(ledger)
+
+
+def held_spans(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(blob, salt, spans) of the blobs with any, for each salt: a blob of many paths is joined in parts."""
+    known = ledger_at(spark, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+    return known.select("blob", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "spans")
+
+
+def scan_versions(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(path, spans) of all ``versions``, rows of (path, text), by the ledger at a path, to which this run adds; without one, by a new ledger."""
+    spark = versions.sparkSession
+    ledger = ledger or new_path(spark, "secret-ledger")
+    record(versions, ledger, rules, rule_version)
+    paths = addressed(versions).select("path", "blob", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+    return paths.join(held_spans(spark, ledger, rule_version), ["blob", "salt"], "left").select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _marked(rule: Rule, mark: str):
@@ -105,18 +126,18 @@ def redacted(text: Column, mark: str = "[REDACTED]", rules: tuple[Rule, ...] = R
     return text
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None) -> DataFrame:
     """The documents with their secrets replaced, with all their columns: those that the scan finds any in, by ledger and paths.
 
     A text is rewritten where its blob has spans; rows whose text is null stay as they are.
     """
-    versions = docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text"))
-    new, _ = scan_versions(versions, ledger)
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION))
-    held = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_held"))
-    keyed = docs.withColumn("_blob", blob_of(F.col(text_col))).withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    text = F.when(F.col("_held"), redacted(F.col(text_col))).otherwise(F.col(text_col)).alias(text_col)
-    return keyed.join(held, ["_blob", "_salt"], "left").select([text if c == text_col else F.col(c) for c in docs.columns])
+    spark = docs.sparkSession
+    ledger = ledger or new_path(spark, "secret-ledger")
+    record(docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text")), ledger)
+    keyed = docs.select(F.struct("*").alias("row"), blob_of(F.col(text_col)).alias("blob"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt"))
+    text = F.col("row")[text_col]
+    clean = F.when(F.col("spans").isNotNull(), redacted(text)).otherwise(text).alias(text_col)
+    return keyed.join(held_spans(spark, ledger), ["blob", "salt"], "left").select([clean if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _is_kind(kind: str):
@@ -129,7 +150,7 @@ def _joined(spans: Column) -> Column:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     versions = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
-    _, found = scan_versions(versions)
+    found = scan_versions(versions)
     counts = [F.size(F.filter("spans", _is_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in RULES]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
