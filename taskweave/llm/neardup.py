@@ -1,14 +1,17 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set is its distinct shingles of consecutive words. A sketch has a register for each of ``REGISTERS`` buckets of hashes: the
-leading-zero count and some mantissa bits of the bucket's smallest hash. Bands of registers make candidates, each document with the
-smallest one in its band; the collision-corrected Jaccard estimate of two sketches drops chance meetings. Members of a band that are
-not close to its smallest document are candidates with each other, in blocks; what hangs together by all these pairs is a cluster. Within clusters full sets are compared, so links are exact: each member against the cluster's first document, and
-those that it does not reach against all members, in blocks of bounded size. No pairs are made within a group of copies: equal sets
-count once, and a block reports a spanning forest of its links.
-
-Two documents are linked when their sets' Jaccard similarity reaches the threshold. Null and empty texts have empty sets and no links.
-A row with a null doc_id is linked with nothing and has a null component. Rows that repeat a doc_id each get a row. Other columns are not looked at.
+leading-zero count and some mantissa bits of the bucket's smallest hash. Bands of registers make candidates, each set with the first
+one in its band; the collision-corrected Jaccard estimate of two sketches drops chance meetings. Members of a band that are not close to
+its first one are candidates with each other, in blocks; what hangs together by all these pairs is a cluster. Within clusters full sets
+are compared, so links are exact: each member against the cluster's first, and those that it does not reach against all members, in
+blocks of bounded size. No pairs are made within a group of copies: equal sets count once, as one node, and a block reports a spanning
+forest of its links.
+
+Two documents are linked when their sets' Jaccard similarity reaches the threshold; a component is named by the smallest doc_id in it.
+Null and empty texts have empty sets and no links. A row with a null doc_id is linked with nothing and has a null component. Rows that
+repeat a doc_id are told apart by their text: each is in the component of its own text. Texts of any length are taken whole. An empty
+table gives no rows. Other columns, whatever their names, are carried by ``dedup`` and not looked at otherwise.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
 SMALL_ROWS = 500_000
 SALTS = 16
 SLICE_BYTES = 2 << 20
+WORD = r"[^\x20\x09-\x0D]"
 _U = np.uint64
 
 
@@ -67,11 +71,16 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarities of rows of sketches, without the registers that are equal by chance."""
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of rows of sketches of sets of the given sizes, without the registers that are equal by chance.
+
+    The smallest hashes of two independent buckets, exponential with the sets' sizes as rates, lie in one cell with this chance: a cell
+    at x is 0.72 x / 2 ** MANTISSA wide on average (1 / (2 ln 2)), and x times both densities integrates to n_a n_b / (n_a + n_b) ** 2.
+    """
     both = ((a > 0) | (b > 0)).sum(axis=1)
     same = ((a == b) & (a > 0)).sum(axis=1)
-    chance = 2.0**-MANTISSA / 3
+    n_a, n_b = np.asarray(n_a, dtype=np.float64), np.asarray(n_b, dtype=np.float64)
+    chance = 2.0**-MANTISSA / (2 * np.log(2)) * n_a * n_b / np.maximum(n_a + n_b, 1) ** 2
     return np.clip((same / np.maximum(both, 1) - chance) / (1 - chance), 0, 1)
 
 
@@ -83,7 +92,7 @@ def _sign(words: int):
                 n.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sketches.append(sketch(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "sketch"])
 
     return run
 
@@ -126,17 +135,17 @@ def _stars(batches):
 def _likely(batches):
     for batch in batches:
         if batch.num_rows:
-            near = estimate(_matrix(batch.column(2)), _matrix(batch.column(3)))
+            near = estimate(_matrix(batch.column(2)), _matrix(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy())
             keep = pa.array(near >= LOOSE)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near >= CLOSE).filter(keep)], names=["a", "b", "close"])
 
 
-def _forest(reps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+def _forest(reps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sketches at LOOSE or more."""
     root, out = np.arange(len(reps)), []
     for i in range(len(reps) - 1):
         rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        for j in rest[estimate(sketches[i : i + 1], sketches[rest]) >= LOOSE].tolist():
+        for j in rest[estimate(sketches[i : i + 1], sketches[rest], sizes[i], sizes[rest]) >= LOOSE].tolist():
             if root[j] != root[i]:
                 out.append((int(reps[i]), int(reps[j])))
                 root[root == root[j]] = root[i]
@@ -144,7 +153,7 @@ def _forest(reps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _among(batches):
-    """Of rows (band, low, high, rep, sketch) sorted by the first four, likely pairs within each band's block."""
+    """Of rows (band, low, high, rep, sketch, size) sorted by the first four, likely pairs within each band's block."""
     held = None
     for batch in itertools.chain(batches, [None]):
         if batch is not None and not batch.num_rows:
@@ -161,9 +170,9 @@ def _among(batches):
             starts, ends = starts[:-1], ends[:-1]
         reps, found = rows.column(3).to_numpy(), []
         if len(starts):
-            sketches = _matrix(rows.column(4))
+            sketches, sizes = _matrix(rows.column(4)), rows.column(5).to_numpy()
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                found += _forest(reps[a:b], sketches[a:b])
+                found += _forest(reps[a:b], sketches[a:b], sizes[a:b])
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -174,7 +183,7 @@ def _unled(stars: DataFrame, likely: DataFrame, sketches: DataFrame, n: int) ->
     sizes = apart.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).cast("int").alias("n_blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
     members = apart.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     others = F.when(F.col("n_blocks") > 1, F.array_remove(F.sequence(F.lit(0), F.col("n_blocks") - 1), F.col("block"))).otherwise(F.array(F.lit(0)))
-    met = members.join(sketches, "rep").withColumn("other", F.explode(others)).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "sketch")
+    met = members.join(sketches, "rep").withColumn("other", F.explode(others)).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "sketch", "n_shingles")
     return met.repartition(n, "band", "low", "high").sortWithinPartitions("band", "low", "high", "rep").mapInArrow(_among, "a long, b long")
 
 
@@ -218,18 +227,16 @@ def _linked(percent: int, probing: bool):
     return run
 
 
-def _exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of all links between documents of one cluster. ``clusters``: (node, component)."""
-    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
+def _exact_links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of all links between nodes of one cluster. ``clusters``: (node, component); ``nodes``: (rep, n_shingles, doc_id, text_key)."""
+    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(nodes, "rep")
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("n_blocks"))
-    members = written(members.join(blocks, "cluster").select("rep", "cluster", "n_blocks", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block")), "members")
-    n = members.count()
-    wanted = members.select(F.col("rep").alias("doc_id"))
-    if n <= SMALL_ROWS:  # checked: 8 bytes a row
+    members = written(members.join(blocks, "cluster").select("rep", "doc_id", "text_key", "cluster", "n_blocks", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block")), "members")
+    wanted = members.select("rep", "doc_id", "text_key")
+    if members.count() <= SMALL_ROWS:  # checked: 24 bytes a row
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if n > SMALL_ROWS else docs.join(wanted, "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_full_sets(words), "rep long, hashes binary")
-    held = written(members.join(sets, "rep"), "sets")
+    sets = docs.join(wanted, ["doc_id", "text_key"]).select("rep", "text").mapInArrow(_full_sets(words), "rep long, hashes binary")
+    held = written(members.select("rep", "cluster", "n_blocks", "block").join(sets.dropDuplicates(["rep"]), "rep"), "sets")  # rows may repeat
     leader = held.where((F.col("rep") == F.col("cluster")) & (F.col("n_blocks") > 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     edges = held.unionByName(leader).groupBy("cluster", "block").applyInPandas(_linked(percent, False), "a long, b long")
     large = held.where("n_blocks > 1")
@@ -245,35 +252,42 @@ def _exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, words:
     return written(edges.unionByName(more), "links")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for each row; a component is named by its smallest id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, digest binary, sketch binary"), "signatures")
-    salted = signed.where("digest is not null and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    parts = salted.groupBy("digest", "salt").agg(F.min("doc_id").alias("first"))
-    reps = parts.groupBy("digest").agg(F.min("first").alias("rep"))
-    kept = written(signed.join(reps.select(F.col("rep").alias("doc_id"), F.col("digest").alias("of")), "doc_id").where("digest = of").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "sketches")
-    n = partitions(spark)
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, node, component_id) of each row: ``node`` is the same for all rows of a component, null for rows without links or copies."""
+    n = partitions(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    salt = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).alias("salt")
+    signed = written(docs.mapInArrow(_sign(words), "doc_id long, text_key long, n_shingles long, digest binary, sketch binary"), "signatures")
+    parts = signed.where("digest is not null and doc_id is not null").groupBy("digest", salt).agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    reps = written(parts.groupBy("digest").agg(F.min("first").alias("first")).select("digest", "first.*", F.monotonically_increasing_id().alias("rep")), "nodes")
+    kept = written(signed.join(reps, ["doc_id", "text_key", "digest"]).dropDuplicates(["rep"]).select("rep", "n_shingles", "sketch", "doc_id", "text_key"), "sketches")
     bands = kept.select("rep", "sketch").mapInArrow(_bands, "band long, rep long")
     stars = written(bands.repartition(n, "band").sortWithinPartitions("band", "rep").mapInArrow(_stars, "band long, a long, b long"), "stars")
-    sketches = lambda end: kept.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}"))
+    sketches = lambda end: kept.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}"), F.col("n_shingles").alias(f"n_{end}"))
     pairs = stars.select("a", "b").distinct().join(sketches("b"), "b").join(sketches("a"), "a")
-    likely = written(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long, close boolean"), "likely")
-    clusters = connected_components(likely.select("a", "b").unionByName(_unled(stars, likely, kept.select("rep", "sketch"), n)))
-    found = connected_components(_exact_links(docs, clusters, kept.select("rep", "n_shingles"), words, percent))
-    named = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    by_part = parts.select("digest", "salt").join(named, "digest")
-    rows = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(by_part, ["digest", "salt"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
+    likely = written(pairs.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(_likely, "a long, b long, close boolean"), "likely")
+    clusters = connected_components(likely.select("a", "b").unionByName(_unled(stars, likely, kept.select("rep", "sketch", "n_shingles"), n)))
+    found = connected_components(_exact_links(docs, clusters, kept.select("rep", "n_shingles", "doc_id", "text_key"), words, percent))
+    linked = written(reps.select("rep", "digest", "doc_id").join(found.select(F.col("node").alias("rep"), F.col("component").alias("node")), "rep", "left").select("digest", "doc_id", F.coalesce("node", "rep").alias("node")), "linked")
+    names = linked.groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    named = parts.select("digest", "salt").join(linked.join(names, "node").select("digest", "node", "component_id"), "digest")
+    rows = signed.select("doc_id", "text_key", "n_shingles", "digest", salt).join(named, ["digest", "salt"], "left")
+    known = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "text_key", "n_shingles", F.when(known, F.col("node")).alias("node"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) for each row; a component is named by its smallest id."""
+    return _grouped(docs, id_col, text_col, words, percent).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that name their component, with all their columns; rows with a null id stay."""
-    found = components(docs, id_col, text_col, words, percent)
-    away = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(away, id_col, "left_anti").select(docs.columns)
+    """The documents, with all their columns, less all but one row of each component: the one with its smallest id stays. Rows with a null id or without words stay."""
+    found = _grouped(docs, id_col, text_col, words, percent).where("node is not null")
+    stay = found.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(F.col(text_col).rlike(WORD) & F.col(id_col).isNotNull(), F.lit(False)).alias("judged"))
+    first = rows.where("judged").join(stay, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return first.select("row.*").unionByName(rows.where("not judged").select("row.*"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
