@@ -1,13 +1,14 @@
 """Benchmark decontamination: an FM-index for every shard of the corpus, searched for all windows of the benchmark.
 
-A shard is a slice of a partition's texts. Its words are numbered by the benchmark's vocabulary; any other word, and the end of a
-text, is a terminator, as no window can reach across it. Stretches between terminators that are shorter than the shortest window
-hold no occurrence and stay out of the index. The index is exact: Burrows-Wheeler transform, wavelet-matrix ranks, suffix positions
-sampled at every ``SAMPLE``-th place and at each stretch's start.
+A shard is a slice of a partition's texts. All its words are numbered by the shard's own vocabulary; a terminator ends each text, as no
+window can reach across it. The index holds the whole shard and does not depend on the benchmark, whose windows are mapped to the
+shard's numbers: a Burrows-Wheeler transform, a wavelet matrix of packed bits for ranks, and suffix positions sampled at every
+``SAMPLE``-th place and at each text's start.
 
 A null text has no words; empty texts, texts without words and an empty benchmark give rows without hits. Items without words have
-no window. Rows that repeat a doc_id each get their own row (with more than one benchmark block, one row for each doc_id). Other
-columns of the inputs are not looked at.
+no window; of items that repeat an id the windows are one item's. Rows that repeat a doc_id or have a null one each get their own row,
+by what their own text holds. Texts of any length are one shard at least and are indexed whole. An empty table gives no rows. The size
+of the benchmark's blocks changes no result. Other columns of the inputs are not looked at.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from taskweave.shared import written
 
 WINDOW = 10
 SAMPLE = 8
-SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
 
 FOUND = "key long, n_words long, n_hit long, items array<string>, words array<struct<first:int,stop:int>>, spans array<struct<start:int,stop:int>>"
 
 
 @dataclass
 class Phrases:
-    """The distinct windows of a block of the benchmark, as numbers in its vocabulary."""
+    """The distinct windows of a block of the benchmark, as numbers from 1 in its vocabulary, filled up with 0, and the items that have each."""
 
     vocabulary: np.ndarray
     codes: np.ndarray
@@ -41,100 +42,108 @@ class Phrases:
     items: np.ndarray
     first_item: np.ndarray
     names: list[str]
-    passing: np.ndarray
-
-    @property
-    def shortest(self) -> int:
-        return int(self.lengths.min()) if len(self.lengths) else 0
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Of each word its number from 1, or 0 where the benchmark doesn't have it."""
-        out = np.zeros(len(hashes), dtype=np.int32)
-        if len(self.vocabulary):
-            at = np.flatnonzero(self.passing[hashes >> np.uint64(46)])
-            near = np.minimum(np.searchsorted(self.vocabulary, hashes[at]), len(self.vocabulary) - 1)
-            same = self.vocabulary[near] == hashes[at]
-            out[at[same]] = near[same] + 1
-        return out
+
+    def within(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows whose words are all in a shard's vocabulary: their numbers, and their codes in it."""
+        near = np.minimum(np.searchsorted(vocabulary, self.vocabulary), len(vocabulary) - 1)
+        own = np.concatenate([[0], np.where(vocabulary[near] == self.vocabulary, near + 1, -1)])[self.codes]
+        whole = np.flatnonzero((own >= 0).all(axis=1))
+        return whole, own[whole]
 
 
 def phrases(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
     """Windows of (name, text) rows; an item with fewer words than ``window`` is one window."""
     w = scan(pa.array([t for _, t in items], type=pa.string()), LETTERED, lower=True)
     vocabulary, numbers = np.unique(w.hash, return_inverse=True)
-    windows: dict[tuple[int, ...], list[int]] = {}
-    for i in range(len(items)):
-        own = (numbers[w.first[i] : w.first[i + 1]] + 1).tolist()
-        for a in range(max(1, len(own) - window + 1)) if own else ():
-            windows.setdefault(tuple(own[a : a + window]), []).append(i)
-    lengths = np.array([len(k) for k in windows], dtype=np.int64)
-    codes = np.zeros((len(windows), window), dtype=np.int64)
-    for i, k in enumerate(windows):
-        codes[i, : len(k)] = k
-    owners = [sorted(set(v)) for v in windows.values()]
-    passing = np.zeros(1 << 18, dtype=bool)
-    passing[(vocabulary >> np.uint64(46)).astype(np.int64)] = True
-    first_item = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-    return Phrases(vocabulary, codes, lengths, np.array([i for o in owners for i in o], dtype=np.int64), first_item, [n for n, _ in items], passing)
+    size = np.diff(w.first)
+    many = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(items)), many)
+    start = np.repeat(w.first[:-1], many) + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    length = np.minimum(size[item], window)
+    codes = np.zeros((len(item), window), dtype=np.int32)
+    for k in range(window):
+        at = np.flatnonzero(length > k)
+        codes[at, k] = numbers[start[at] + k] + 1
+    codes, which = np.unique(codes, axis=0, return_inverse=True) if len(codes) else (codes, item)
+    owners = np.unique(which.reshape(-1).astype(np.int64) * max(len(items), 1) + item)
+    first_item = np.searchsorted(owners, np.arange(len(codes) + 1) * max(len(items), 1))
+    return Phrases(vocabulary, codes, (codes > 0).sum(axis=1), owners % max(len(items), 1), first_item, [n for n, _ in items])
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: one bit vector with running counts for each bit of a symbol."""
+    """Ranks of symbols in a sequence: for each bit of a symbol a vector of packed bits, and how many are set before each of its words."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
-        self.counts, self.zeros = [], []
+        self.words, self.counts, self.zeros = [], [], []
         for b in range(bits - 1, -1, -1):
             ones = ((symbols >> b) & 1).astype(bool)
-            counts = np.zeros(len(symbols) + 1, dtype=np.int64)
-            np.cumsum(ones, out=counts[1:])
-            self.counts.append(counts)
-            self.zeros.append(len(symbols) - int(counts[-1]))
+            packed = np.packbits(np.append(ones, np.zeros(64 + -len(ones) % 64, dtype=bool)), bitorder="little").view(np.uint64)
+            self.words.append(packed)
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed)[:-1])]).astype(np.int32))
+            self.zeros.append(len(symbols) - int(ones.sum()))
             symbols = np.concatenate([symbols[~ones], symbols[ones]])
 
+    def _ones(self, level: int, before: np.ndarray) -> np.ndarray:
+        word, bit = before >> 6, (before & 63).astype(np.uint64)
+        mask = (np.uint64(1) << bit) - np.uint64(1)
+        return self.counts[level][word] + np.bitwise_count(self.words[level][word] & mask)
+
     def rank(self, symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         low, high = np.zeros_like(before), before
-        for level, (counts, zeros) in enumerate(zip(self.counts, self.zeros, strict=True)):
-            one = (symbols >> (len(self.counts) - 1 - level)) & 1 == 1
-            low_ones, high_ones = counts[low], counts[high]
+        for level, zeros in enumerate(self.zeros):
+            one = (symbols >> (len(self.zeros) - 1 - level)) & 1 == 1
+            low_ones, high_ones = self._ones(level, low), self._ones(level, high)
             low = np.where(one, zeros + low_ones, low - low_ones)
             high = np.where(one, zeros + high_ones, high - high_ones)
         return high - low
 
 
-def suffix_order(ranks: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; ``ranks`` ends each stretch with a number that no other place has."""
-    n, step = len(ranks), 1
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling; ``symbols`` ends each text with a number that no other place has.
+
+    As many symbols as fit a 64-bit key are compared at first; from then on only suffixes that are not told apart yet are sorted again.
+    """
+    n = len(symbols)
+    bits = int(symbols.max(initial=0) + 1).bit_length()
+    step = max(1, 63 // bits)
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: max(0, n - k)] |= symbols[k:] + 1
+    order = np.argsort(key, kind="stable")
+    at, key = np.arange(n), key[order]  # places in the order that are open, and what was compared
+    rank = np.empty(n, dtype=np.int64)
     while True:
-        follow = np.zeros(n, dtype=np.int64)
-        follow[: max(0, n - step)] = ranks[step:] + 1
-        key = ranks * (int(ranks.max()) + 2) + follow
-        order = np.argsort(key, kind="stable")
-        change = np.empty(n, dtype=bool)
-        change[:1] = True
-        change[1:] = key[order[1:]] != key[order[:-1]]
-        ranks = np.empty(n, dtype=np.int64)
-        ranks[order] = np.cumsum(change) - 1
-        if change.all():
+        new = np.ones(len(at) + 1, dtype=bool)
+        new[1:-1] = key[1:] != key[:-1]
+        rank[order[at]] = np.maximum.accumulate(np.where(new[:-1], at, 0))
+        at = at[~(new[:-1] & new[1:])]
+        if not len(at):
             return order
+        suffix = order[at]
+        follow = np.zeros(len(at), dtype=np.int64)
+        inside = suffix + step < n
+        follow[inside] = rank[suffix[inside] + step] + 1
+        key = rank[suffix] * (n + 1) + follow
+        again = np.argsort(key, kind="stable")
+        order[at], key = suffix[again], key[again]
         step *= 2
 
 
 class FMIndex:
-    """``text``: symbols from 1, each stretch ended by a 0."""
+    """``text``: symbols from 1, each text ended by a 0."""
 
     def __init__(self, text: np.ndarray, largest: int):
         self.n = len(text)
         ends = text == 0
-        ranks = np.where(ends, np.cumsum(ends) - 1, int(ends.sum()) + text)
-        order = suffix_order(ranks)
+        order = suffix_order(np.where(ends, np.cumsum(ends) - 1, int(ends.sum()) - 1 + text))
         self.last = text[order - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=largest + 1))]).astype(np.int64)
         self.tree = WaveletMatrix(self.last, max(1, int(largest).bit_length()))
-        sampled = (order % SAMPLE == 0) | (self.last == 0)
-        self.sampled = sampled
-        self.sample_rank = np.concatenate([[0], np.cumsum(sampled)])
-        self.samples = order[sampled]
+        self.sampled = (order % SAMPLE == 0) | (self.last == 0)
+        self.sample_rank = np.concatenate([[0], np.cumsum(self.sampled)])
+        self.samples = order[self.sampled]
 
     def step(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return self.before[symbols] + self.tree.rank(symbols, rows)
@@ -171,27 +180,18 @@ def occurrences(w: Words, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64)
     if not len(p.lengths) or not len(w.start):
         return none, none
-    numbers = p.numbers(w.hash).astype(np.int64)
-    known = numbers > 0
-    begins = known.copy()
-    begins[1:] &= ~(known[:-1] & (w.text[1:] == w.text[:-1]))
-    start = np.flatnonzero(begins)
-    stops = known.copy()
-    stops[:-1] &= ~(known[1:] & (w.text[1:] == w.text[:-1]))
-    length = np.flatnonzero(stops) + 1 - start
-    start, length = start[length >= p.shortest], length[length >= p.shortest]
-    if not len(start):
-        return none, none
-    room = length + 1
-    offset = np.cumsum(room) - room
-    place = np.arange(int(room.sum())) - np.repeat(offset, room)
-    word = np.repeat(start, room) + place
-    text = np.where(place == np.repeat(length, room), 0, numbers[np.minimum(word, len(numbers) - 1)])
-    index = FMIndex(text, len(p.vocabulary))
-    found, low, high = index.search(p.codes, p.lengths)
+    vocabulary, numbers = np.unique(w.hash, return_inverse=True)
+    asked, codes = p.within(vocabulary)
+    place = np.arange(len(w.start)) + w.text  # a terminator stands before each text but the first
+    text = np.zeros(len(w.start) + len(w.first) - 1, dtype=np.int64)
+    text[place] = numbers + 1
+    word = np.zeros(len(text), dtype=np.int64)
+    word[place] = np.arange(len(w.start))
+    index = FMIndex(text, len(vocabulary))
+    found, low, high = index.search(codes, p.lengths[asked])
     each = high - low
     rows = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
-    return word[index.locate(rows)], np.repeat(found, each)
+    return word[index.locate(rows)], np.repeat(asked[found], each)
 
 
 def _merged(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +291,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     n, blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
     if n == 1:
         return rows.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(next(blocks))), FOUND).withColumnRenamed("key", id_col)
-    every = _searched(rows, blocks, _find, FOUND)
+    keyed = written(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
+    every = _searched(keyed.select(F.col("row").alias("key"), "text"), blocks, _find, FOUND)
     merge = lambda c, a, b: F.aggregate(
         F.array_sort(F.flatten(F.collect_list(c))),
         F.array().cast(f"array<struct<{a}:int,{b}:int>>"),
@@ -299,7 +300,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     )
     merged = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merge("words", "first", "stop").alias("words"), merge("spans", "start", "stop").alias("spans"))
     n_hit = F.aggregate("words", F.lit(0).cast("long"), lambda out, x: out + x["stop"] - x["first"])
-    return merged.select(F.col("key").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "words", "spans")
+    own = keyed.select("row", F.col("key").alias(id_col))
+    return merged.join(own, F.col("key") == F.col("row")).select(id_col, "n_words", n_hit.alias("n_hit"), "items", "words", "spans")
 
 
 def _without(body: bytes, cuts: list[tuple[int, int]]) -> str:

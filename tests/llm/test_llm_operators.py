@@ -123,20 +123,22 @@ SECRET_TEXTS = [
 
 def test_spans_equal_brute_force(spark):
     table = docs(spark, SECRET_TEXTS).withColumnRenamed("doc_id", "path")
-    new, found = secrets.scan_versions(table)
-    for r in found.collect():
+    for r in secrets.scan_versions(table).collect():
         assert [f"{s.kind}:{s.start}:{s.stop}" for s in r.spans] == brute_spans(SECRET_TEXTS[r.path] or "")
-    assert new.count() == len({t or "" for t in SECRET_TEXTS})
 
 
 def test_ledger_scans_only_unseen_blobs(spark):
+    """Two runs over a stored ledger: the second adds the new blob only, whose findings reach all its paths; a new rule version scans all."""
+    ledger, blobs = new_path(spark, "ledger"), len({t or "" for t in SECRET_TEXTS})
     table = docs(spark, SECRET_TEXTS).withColumnRenamed("doc_id", "path")
-    ledger, _ = secrets.scan_versions(table)
-    more = table.unionByName(docs(spark, ["token=brandnew1"]).withColumnRenamed("doc_id", "path").withColumn("path", F.lit(99)))
-    new, found = secrets.scan_versions(more, ledger)
-    assert new.count() == 1 and found.count() == len(SECRET_TEXTS) + 1
-    again, _ = secrets.scan_versions(more, ledger, rule_version="2")
-    assert again.count() == len({t or "" for t in SECRET_TEXTS}) + 1
+    first = {r.path: r.spans for r in secrets.scan_versions(table, ledger).collect()}
+    assert secrets.ledger_at(spark, ledger).count() == blobs
+    more = table.unionByName(docs(spark, ["token=brandnew1"] * 2).withColumnRenamed("doc_id", "path").withColumn("path", F.col("path") + 99))
+    second = {r.path: r.spans for r in secrets.scan_versions(more, ledger).collect()}
+    assert secrets.ledger_at(spark, ledger).count() == blobs + 1
+    assert {k: v for k, v in second.items() if k < 99} == first and [len(second[k]) for k in (99, 100)] == [1, 1]
+    secrets.record(more, ledger, rule_version="2")
+    assert secrets.ledger_at(spark, ledger).groupBy("rule_version").count().orderBy("rule_version").collect()[1][1] == blobs + 1
 
 
 def test_redaction_keeps_the_rest(spark):
@@ -177,12 +179,12 @@ def test_cut_equals_brute_force(spark):
 def test_super_kmers_in_small_slices_equal_one_slice(spark, monkeypatch):
     random = np.random.default_rng(4)
     texts = [" ".join(random.choice(["a", "b", "c", "d"], size=80)) for _ in range(40)] * 2
-    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int32())], names=["doc", "text", "key"])
 
     def ranges(size):
         monkeypatch.setattr(substrings, "SLICE_BYTES", size)
         packed = pa.Table.from_batches(substrings._pack(8)(iter([table]))).sort_by("bucket").to_batches()
-        return {(d, s + k) for b in substrings._count(iter(packed)) for d, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for k in range(n)}
+        return {(d, s + k) for b in substrings._count(iter(packed)) for d, _, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for k in range(n)}
 
     assert ranges(1 << 20) == ranges(500)
 
@@ -366,7 +368,7 @@ def test_estimates_are_near(spark):
     a = random.integers(0, 1 << 62, 2000).astype(np.uint64)
     b = np.concatenate([a[:1600], random.integers(0, 1 << 62, 400).astype(np.uint64)])
     s = [neardup.sketch(np.unique(x))[None, :] for x in (a, b)]
-    assert abs(neardup.estimate(*s)[0] - 1600 / 2400) < 0.15
+    assert abs(neardup.estimate(*s, 2000, 2000)[0] - 1600 / 2400) < 0.15
 
 
 def test_dedup_keeps_one_of_each_group(spark):
