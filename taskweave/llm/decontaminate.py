@@ -373,10 +373,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window
     n, blocks = _blocks(benchmark, "item_id", "text", window, block_bytes)
     if n == 1:
         return docs.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(next(blocks)), text_col, schema), docs.schema)
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    found = _searched(keyed.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), blocks, _spans, "row long, first long, stop long, start long, end long")
-    spans = found.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("first", "stop", "start", "end")).alias("_spans"))
-    return keyed.join(spans, "_row", "left").select(*docs.columns, "_spans").mapInArrow(_cut_all(text_col, schema), docs.schema)
+    keyed = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
+    found = _searched(keyed.select("row", F.col("doc")[text_col].alias("text")), blocks, _spans, "row long, first long, stop long, start long, end long")
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "stop", "start", "end")).alias("spans"))
+    spare = "spans" + "_" * max(map(len, docs.columns))  # no column has this name
+    joined = keyed.join(spans, "row", "left").select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("spans").alias(spare))
+    return joined.mapInArrow(_cut_all(text_col, schema), docs.schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Best-fit packing of token sequences.
 
 Lengths are counted over all pieces, which gives a histogram of at most ``capacity`` entries however many documents there are. The
-configuration linear program over it (how often to use each multiset of lengths that fits a sequence) is solved by multiplicative
-weights: each round prices length classes by their weights, a knapsack dynamic program finds the dearest configuration, and the
-weights of what it covers fall. The fractional counts are rounded down, filled with exact lengths, and the rest goes by best fit, all
-on the histogram. Pieces then find their places by their rank among pieces of equal length.
-
-A null text is empty, and an empty document is one piece that holds only the end id. Rows that repeat a doc_id are packed each by
-itself. An empty table gives no rows. Other columns are not looked at.
+configuration linear program over it (how often to use each multiset of length classes that fits a sequence, so that every class is
+covered) is solved by multiplicative weights: a class of n pieces and weight w has the price w / n, a knapsack dynamic program finds the
+dearest configuration, and the weights of what it covers fall. Prices over the dearest configuration's price are a dual solution, whose
+best value bounds every packing of the classes from below. The fractional counts are rounded down, filled with exact lengths, and the
+rest goes by best fit, all on the histogram. Pieces then find their places by their rank among pieces of equal length.
+
+A null text is empty, and an empty document is one piece that holds only the end id. Very long texts are cut into as many pieces as they
+need. Rows that repeat a doc_id or have a null one are packed each by itself; pieces of equal length are in the order of doc_id, piece
+and checksum. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from pyspark.sql import functions as F
 
 from taskweave.llm.tokens import Encoder
 from taskweave.llm.words import slices
-from taskweave.shared import written
+from taskweave.shared import partitions, written
 
 CAPACITY, END_ID = 4096, 1
-CLASSES = 256
-ROUNDS = 400
+CLASSES, SMALL = 256, 4
 SALTS = 32
+#: How far the weights' steps go, the gap to the dual bound that is near enough, and steps at most.
+RATE, GAP, STEPS = 0.02, 0.01, 20_000
 SLICE_BYTES = 4 << 20
 
+#: Degrees of rounding: how much of a fractional count is used; the plan with the fewest sequences is taken.
+SHARES = (1.0, 0.9, 0.5)
+
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -85,26 +91,54 @@ def knapsack(prices: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return taken
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = ROUNDS, rate: float = 2.0) -> dict[tuple[int, ...], float]:
-    """Fractional counts of configurations that cover about all of ``counts``; sizes ascend."""
-    out: dict[tuple[int, ...], float] = {}
-    covered = np.zeros(len(sizes))
-    for _ in range(rounds):
-        short = np.clip(1 - covered / counts, 0, None)
-        if short.max() < 1e-3:
-            break
-        weights = np.exp(-rate * covered / counts) * (short > 0)
-        taken = knapsack(weights * sizes, sizes, room)
-        used = taken > 0
-        if not used.any():
-            break
-        step = float(np.min(np.maximum(counts[used] * 0.25, counts[used] - covered[used]) / taken[used]))
-        step = min(step, float(np.min((counts[used] - covered[used]) / taken[used])) if (counts[used] > covered[used]).all() else step)
-        if step <= 0:
+def _completed(used: np.ndarray, covered: np.ndarray, sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[float, np.ndarray, float]:
+    """The scale of ``used`` and the further sequences of one class each that cover everything with the least total, and that total."""
+    each = room // sizes
+    best = (0.0, counts / each, float((counts / each).sum()))
+    for q in np.unique(np.quantile(covered[covered > 0], np.linspace(0, 1, 41))) if (covered > 0).any() else ():
+        rest = np.maximum(1 - covered / q, 0) * counts / each
+        if (total := used.sum() / q + rest.sum()) < best[2]:
+            best = (1 / q, rest, float(total))
+    return best
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, room: int, rate: float = RATE, gap: float = GAP, steps: int = STEPS) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional counts of configurations that cover ``counts`` of ascending ``sizes``, and a lower bound on every cover's total.
+
+    Weights begin at the room that a class takes. Prices only fall, so the price of the last dearest configuration bounds all that come:
+    a known configuration is used again while it is within ``gap`` of that, and the knapsack runs when none is.
+    """
+    configurations, used = np.zeros((len(sizes), 0)), np.zeros(0)
+    weights, covered = counts * sizes / (counts * sizes).max(), np.zeros(len(sizes))
+    top, bound = np.inf, 0.0
+    known: dict[tuple[int, ...], int] = {}
+    for step in range(steps):
+        prices = weights / counts
+        worth = prices @ configurations
+        k = int(worth.argmax()) if len(worth) else -1
+        if k < 0 or worth[k] < (1 - gap) * top:
+            taken = knapsack(prices, sizes, room)
+            top = float(prices @ taken)
+            bound = max(bound, float(weights.sum()) / top)
+            k = known.setdefault(tuple(taken.tolist()), len(known))
+            if k == len(used):
+                configurations, used = np.concatenate([configurations, taken[:, None]], axis=1), np.append(used, 0.0)
+        share = configurations[:, k] / counts
+        many = 1 / share.max()  # its scarcest class is covered once
+        used[k] += many
+        covered += share * many
+        weights *= np.exp(-rate * share * many)
+        if weights.max() < 1e-200:  # the scale of prices is free
+            top /= weights.max()
+            weights /= weights.max()
+        if step % 200 == 199 and _completed(used, covered, sizes, counts, room)[2] <= (1 + gap) * bound:
             break
-        out[tuple(taken.tolist())] = out.get(tuple(taken.tolist()), 0.0) + step
-        covered += taken * step
-    return out
+    scale, rest, _ = _completed(used, covered, sizes, counts, room)
+    out = {taken: float(used[k]) * scale for taken, k in known.items()}
+    for i in np.flatnonzero(rest).tolist():
+        alone = tuple(int(room // sizes[i]) if j == i else 0 for j in range(len(sizes)))
+        out[alone] = out.get(alone, 0.0) + float(rest[i])
+    return out, bound
 
 
 class _Rest:
@@ -175,25 +209,27 @@ def best_fit(rest: _Rest, capacity: int, plan: Plan) -> None:
 
 
 def plan_for(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Sequences as (lengths, number of such sequences); of several ways to round the program, the one with the fewest sequences."""
+    """Sequences as (lengths, number of such sequences); of several ways to round the program, the one with the fewest sequences.
+
+    Lengths are rounded up to classes, and down, where a configuration's exact lengths have to fit anew. Lengths under ``SMALL`` classes,
+    which rounding would distort, are kept out of the program and fill what it leaves.
+    """
     if not histogram:
         return []
     width = -(-capacity // CLASSES)
-    of = lambda length: -(-length // width)
-    counts = np.zeros(CLASSES + 2)
-    for length, n in histogram.items():
-        counts[of(length)] += n
-    classes = np.flatnonzero(counts)
-    tops = classes * width
-    fractional = solve(classes, counts[classes], capacity // width)
+    lengths = np.array([x for x in histogram if x >= SMALL * width], dtype=np.int64)
     best: Plan = []
-    for share in (1.0, 0.9, 0.5, 0.0):
-        rest, plan = _Rest(histogram, capacity), []
-        for taken, x in sorted(fractional.items(), key=lambda c: -c[1]):
-            _fill(rest, taken, tops, tops - width + 1, int(x * share), capacity, plan)
-        best_fit(rest, capacity, plan)
-        if not best or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
+    for up in (width - 1, 0):
+        classes, at = np.unique((lengths + up) // width, return_inverse=True)
+        counts = np.bincount(at, weights=[histogram[x] for x in lengths.tolist()], minlength=len(classes))
+        fractional = solve(classes, counts, capacity // width)[0] if len(classes) else {}
+        for share in SHARES:
+            rest, plan = _Rest(histogram, capacity), []
+            for taken, x in sorted(fractional.items(), key=lambda c: -c[1]):
+                _fill(rest, taken, classes * width - up + width - 1, classes * width - up, int(x * share), capacity, plan)
+            best_fit(rest, capacity, plan)
+            if not best or sum(n for _, n in plan) < sum(n for _, n in best):
+                best = plan
     return best
 
 
@@ -245,11 +281,12 @@ def _place(places_of):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (of ``tokenize``) with sequence_id and offset. They are written to the shared folder first, without ids."""
     pieces = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    salts = max(SALTS, partitions(pieces.sparkSession))  # pieces of one length are ranked in so many tasks
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row for each length
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("own", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
     places = pieces.sparkSession.sparkContext.broadcast(Places.of(plan_for(histogram, capacity)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -263,9 +300,11 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 
 def sequences(docs: DataFrame, placed: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The packed sequences themselves: sequence_id, the ids of its pieces in their order, and where each piece begins."""
-    ids = tokenize(docs, path, capacity=capacity, end_id=end_id, with_ids=True).select("doc_id", "piece", "ids")
+    keys = ["doc_id", "piece", "length", "ids_crc32"]
+    ids = tokenize(docs, path, capacity=capacity, end_id=end_id, with_ids=True).select(*[F.col(c).alias(f"own_{c}") for c in keys], "ids").dropDuplicates([f"own_{c}" for c in keys])
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in keys]  # rows that repeat an id have equal ids where these agree
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # a sequence has ``capacity`` ids at most
-    joined = placed.join(ids, ["doc_id", "piece"]).groupBy("sequence_id").agg(parts.alias("parts"))
+    joined = placed.join(ids, same[0] & same[1] & same[2] & same[3]).groupBy("sequence_id").agg(parts.alias("parts"))
     return joined.select("sequence_id", F.transform("parts", lambda p: p["offset"]).alias("offsets"), F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))").alias("ids"))
 
 

@@ -27,10 +27,11 @@ LABELLED = (
     ("http://win-money-fast.test/now", 1), ("https://free-prize.test/win", 1), ("http://poker-win.test/free", 1), ("https://xxx-cams.test/live", 1), ("http://adult-cams.test/", 1), ("https://adult-xx.test/", 1), ("http://spam-links.test/en/", 1), ("https://www.spam-site.test/farm", 1), ("https://loans-cheap.test/apply", 1),
     ("http://library.test/catalog/12", 0), ("https://www.university.test/en/research", 0), ("http://blog.gardening.test/roses.html", 0), ("https://news.test/2024/05/story", 0), ("http://m.weather.test/fr/today", 0), ("https://docs.python.test/3/library", 0),
     ("http://museum.test/de/hours", 0), ("https://recipes.test/es/soup?page=2", 0), ("http://city-council.test/minutes/7", 0), ("https://forum.cycling.test/topic/88#top", 0), ("http://history.test/articles/rome", 0), ("https://school.test/en/timetable", 0),
-    ("http://blog.tion.test/en/7817", 0), ("https://www.thering.test/fr/1291/", 0), ("http://music.test/notes/4163", 0), ("https://m.theory.test/de/873", 0), ("http://science.test/paper/99.html", 0), ("https://www.northern.test/es/1837", 0),
+    ("http://blog.garden.test/en/7817", 0), ("https://www.bridge.test/fr/1291/", 0), ("http://music.test/notes/4163", 0), ("https://m.harbour.test/de/873", 0), ("http://science.test/paper/99.html", 0), ("https://www.station.test/es/1837", 0),
+    ("http://old.market.test/en/2048.html", 0), ("https://thesaurus.test/t/anthem", 0), ("http://www.weather.test/nl/7", 0), ("https://m.physics.test/en/51?page=3", 0), ("http://blog.anthology.test/fr/620", 0), ("https://www.tenth.test/en/11/", 0),
 )
 GRAMS = (3, 4, 5)
-BITS = 18
+BITS = 40
 PENALTY, BLOCK_AT = 0.05, 0.5
 
 
@@ -67,24 +68,36 @@ def grams(column: pa.Array) -> list[np.ndarray]:
         start, owner = start[inside], owner[inside]
         found.append((mix(hash_words(data, start, start + n, True) ^ np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64))
         text.append(owner)
-    pairs = np.unique((np.concatenate(text) << BITS) | np.concatenate(found))
-    edges = np.searchsorted(pairs >> BITS, np.arange(len(column) + 1))
-    return [pairs[a:b] & ((1 << BITS) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    text, found = np.concatenate(text), np.concatenate(found)
+    order = np.lexsort((found, text))
+    text, found = text[order], found[order]
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (found[1:] != found[:-1])
+    text, found = text[new], found[new]
+    edges = np.searchsorted(text, np.arange(len(column) + 1))
+    return [found[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def train(hosts: list[str], paths: list[str], y: list[int]) -> np.ndarray:
-    """Weights of the n-grams, then the intercept."""
-    rows = Rows(grams(pa.array([f"^{h}$ {p}" for h, p in zip(hosts, paths, strict=True)])))
-    return fit(rows, 1 << BITS, np.zeros((len(rows), 0)), np.array(y, dtype=np.float64), np.ones(len(rows)), PENALTY)
+def train(hosts: list[str], paths: list[str], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The known n-grams' numbers, ascending, and their weights, then the intercept."""
+    found = grams(pa.array([f"^{h}$ {p}" for h, p in zip(hosts, paths, strict=True)], pa.string()))
+    known = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+    rows = Rows([np.searchsorted(known, x) for x in found])
+    return known, fit(rows, len(known), np.zeros((len(rows), 0)), np.array(y, dtype=np.float64), np.ones(len(rows)), PENALTY)
 
 
-def _judge(weights_of):
+def probabilities(shapes: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How likely each ``^host$ path`` is one to block."""
+    known, weights = model
+    own = [x[np.isin(x, known)] for x in grams(shapes)]
+    return sigmoid(Rows([np.searchsorted(known, x) for x in own]).dot(weights[:-1]) + weights[-1])
+
+
+def _judge(model_of):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                weights = weights_of.value
-                score = sigmoid(Rows(grams(batch.column("shape"))).dot(weights[:-1]) + weights[-1])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score)], names=["page_id", "host", "path", "rule", "verdict", "p_block"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(probabilities(batch.column("shape"), model_of.value))], names=["page_id", "host", "path", "rule", "verdict", "p_block"])
 
     return run
 
@@ -94,12 +107,12 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, id_c
     spark = pages.sparkSession
     table = labelled if labelled is not None else spark.createDataFrame(list(LABELLED), "url string, label int")
     seen = table.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label").where("label is not null").collect()  # small by contract
-    weights = spark.sparkContext.broadcast(train([r.host for r in seen], [r.path for r in seen], [r.label for r in seen]))
+    model = spark.sparkContext.broadcast(train([r.host for r in seen], [r.path for r in seen], [r.label for r in seen]))
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("match", matched(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "match.rule", "match.verdict", F.concat(F.lit("^"), "host", F.lit("$ "), "path").alias("shape"))
-    out = rows.mapInArrow(_judge(weights), f"page_id {dict(rows.dtypes)['page_id']}, host string, path string, rule string, verdict string, p_block double")
+    out = rows.mapInArrow(_judge(model), f"page_id {dict(rows.dtypes)['page_id']}, host string, path string, rule string, verdict string, p_block double")
     learned = F.when(F.col("p_block") >= BLOCK_AT, "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce("verdict", learned)).withColumnRenamed("page_id", id_col)
 

@@ -100,6 +100,29 @@ def test_plans_reach_the_bound_on_known_cases():
     assert packing.plan_for({}) == []
 
 
+@pytest.mark.parametrize("lengths", [lambda r: r.integers(1000, 2100, 5000), lambda r: r.integers(1, 4097, 5000), lambda r: np.clip(r.lognormal(5.5, 1.2, 20000), 1, 4096).astype(int)])
+def test_the_program_covers_all_and_is_near_its_dual_bound(lengths):
+    """The fractional value is never above a packing of the same classes by more than the gap that is allowed."""
+    classes, counts = np.unique(-(-lengths(np.random.default_rng(0)) // 16), return_counts=True)
+    found, bound = packing.solve(classes, counts.astype(float), 256)
+    assert all(np.dot(c, classes) <= 256 for c in found)
+    assert (sum(np.array(c) * x for c, x in found.items()) >= counts * (1 - 1e-9)).all()
+    rest, plan = packing._Rest(dict(zip((classes * 16).tolist(), counts.tolist(), strict=True)), 4096), []
+    packing.best_fit(rest, 4096, plan)
+    value = sum(found.values())
+    assert bound <= value <= 1.012 * bound and value <= 1.012 * sum(n for _, n in plan)
+
+
+def test_every_piece_has_the_checksum_of_its_ids(spark):
+    from tokenizers import Tokenizer
+
+    whole, expected = Tokenizer.from_file(vocabulary()), set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = [*whole.encode(r.text or "", add_special_tokens=False).ids, 1]
+        expected |= {(r.doc_id, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], dtype="<u4").tobytes())) for k in range(0, len(ids), 4096)}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in catalog.queries()["op1_packing"](spark, SF).collect()} == expected
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack_documents(docs(spark, []), vocabulary()).count() == 0
 
@@ -447,6 +470,205 @@ def test_odd_vectors_take_no_part(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+# --- awkward rows in every operator ---------------------------------------------------------------------------------
+
+PASSAGE = " ".join(f"p{i}" for i in range(60))
+ODD = [(1, f"start {PASSAGE} middle {PASSAGE} end"), (1, "only three words"), (None, PASSAGE), (2, PASSAGE), (2, PASSAGE), (3, None), (4, ""), (5, "word " * 400_000 + PASSAGE), (6, "x password=abcdefgh1 tail"), (6, None)]
+CLASHES = ["salt", "rank", "row", "blob", "spans", "key", "own", "node", "rep", "text_key", "_row", "_blob", "_spans", "judged", "label", "weight"]
+
+
+def odd(spark, rows=None):
+    """Repeated and null ids with different texts, empty and very long texts, and columns whose names operators use themselves."""
+    rows = ODD if rows is None else rows
+    return spark.createDataFrame([(*r, *["kept"] * len(CLASHES)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)).repartition(3)
+
+
+def shown(rows, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=repr)
+
+
+def kept_columns(found, table):
+    assert found.columns == table.columns and all(r[c] == "kept" for r in found.collect() for c in CLASHES)
+    return found
+
+
+def test_odd_rows_are_packed(spark):
+    table = odd(spark)
+    rows = packing.pack_documents(table, vocabulary()).collect()
+    whole = tokens.Encoder.of(vocabulary()).encode(pa.array([t for _, t in ODD]))
+    assert sum(r.length for r in rows) == sum(len(x) + 1 for x in whole) and shown([r for r in rows if r.piece == 0], "doc_id") == shown([{"doc_id": i} for i, _ in ODD], "doc_id")
+    joined = packing.sequences(table, packing.pack_documents(table, vocabulary()), vocabulary()).collect()
+    assert sum(len(r.ids) // 4 for r in joined) == sum(r.length for r in rows) and len({r.sequence_id for r in joined}) == len(joined)
+
+
+def test_odd_rows_are_scanned_and_redacted(spark):
+    table = odd(spark)
+    found = secrets.scan_versions(table.withColumnRenamed("doc_id", "path")).collect()
+    assert [(r.path, len(r.spans)) for r in found if r.spans] == [(6, 1)] and len(found) == len(ODD)
+    rows = kept_columns(secrets.redact(table), table).collect()
+    assert shown(rows, "doc_id", "text") == shown([{"doc_id": i, "text": t.replace("abcdefgh1", "[REDACTED]") if t else t} for i, t in ODD], "doc_id", "text")
+
+
+def test_odd_rows_are_cut(spark):
+    place = lambda i: -1 if i is None else i
+    words = [(place(i), (t or "").split()) for i, t in ODD]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - 19):
+            first[tuple(w[k : k + 20])] = min(first.get(tuple(w[k : k + 20]), (i, k)), (i, k))
+    expected = []
+    for i, w in words:
+        gone = {k + j for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] < (i, k) for j in range(20)}
+        expected.append({"id": i, "n_words": len(w), "n_removed": len(gone), "kept": " ".join(x for k, x in enumerate(w) if k not in gone)})
+    found = [{"id": place(r.doc_id), **r.asDict()} for r in substrings.dedup(odd(spark)).collect()]
+    assert shown(found, "id", "n_words", "n_removed", "kept") == shown(expected, "id", "n_words", "n_removed", "kept")
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_odd_rows_are_decontaminated(spark, block_bytes):
+    items = [(1, PASSAGE[:80]), (2, "three words"), (2, PASSAGE[100:180]), (None, "only three"), (3, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find(odd(spark), bench, block_bytes=block_bytes).collect()
+    merged = [("" if i is None else i, t) for i, t in items]
+    expected = brute_hits([t for _, t in ODD if t is None or len(t) < 10_000], merged)
+    short = [{"doc_id": i, "n": e} for (i, _), e in zip([x for x in ODD if x[1] is None or len(x[1]) < 10_000], expected, strict=True)]
+    assert shown([{"doc_id": r.doc_id, "n": (r.n_words, r.n_hit, r["items"])} for r in found if r.n_words < 10_000], "doc_id", "n") == shown(short, "doc_id", "n")
+    assert [r.n_hit for r in found if r.n_words >= 10_000] == [next(e for (i, t), e in zip(ODD, brute_hits([t if t == PASSAGE else None for _, t in ODD], merged), strict=True) if t == PASSAGE)[1]]
+    table = odd(spark)
+    cut = kept_columns(decontaminate.remove(table, bench, block_bytes=block_bytes), table)
+    assert cut.count() == len(ODD) and shown(cut.where("doc_id = 1").collect(), "text")[0][0] == ""
+
+
+def test_odd_rows_are_judged_toxic_or_not(spark):
+    random = np.random.default_rng(1)
+    known = [(100 + i, " ".join(random.choice(["calm", "tree", "lake"] + ["vile"] * (i % 2), 12)) + (" vile" if i % 2 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in known] + [(i, 0, i % 2) for i, _ in known] + [(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    table = odd(spark, ODD + known + [(None, "vile vile"), (101, "calm tree")])
+    chain = toxicity.fit_chain(table, labels)
+    found = toxicity.score(table, chain).collect()
+    assert len(found) == len(ODD) + len(known) + 2 and not any(r.toxic for r in found if r.doc_id in (1, 2, 3, 4, 5, 6))
+    assert sorted(r.toxic for r in found if r.doc_id is None) == [False, True] and sorted(r.toxic for r in found if r.doc_id == 101) == [False, True]
+    assert kept_columns(toxicity.clean(table, chain), table).count() == sum(not r.toxic for r in found)
+
+
+def test_odd_rows_keep_their_links(spark):
+    twin = PASSAGE.replace("p0 ", "q0 ")
+    rows = ODD + [(7, "alone here with some words"), (7, twin), (0, "first of the three words"), (8, "first of the three words")]
+    brute = brute_components([t if i is not None else None for i, t in rows], 5)
+    least = {}
+    for (i, _), (n, root) in zip(rows, brute, strict=True):
+        if n:
+            least[root] = min(least.get(root, i), i)
+    expected = [{"doc_id": i, "n": n if i is not None else 56, "c": least[root] if n else i} for (i, _), (n, root) in zip(rows, brute, strict=True)]
+    found = neardup.components(odd(spark, rows)).collect()
+    assert shown([{"doc_id": r.doc_id, "n": r.n_shingles, "c": r.component_id} for r in found], "doc_id", "n", "c") == shown(expected, "doc_id", "n", "c")
+    table = odd(spark, rows)
+    kept = kept_columns(neardup.dedup(table), table).collect()
+    left, groups = [], set()
+    for (i, t), (n, root) in zip(rows, brute, strict=True):
+        if not n or (i == least[root] and root not in groups):
+            left.append({"doc_id": i, "text": t})
+            groups.add(root if n else None)
+    assert len(left) < len(rows) - 3 and shown(kept, "doc_id", "text") == shown(left, "doc_id", "text")
+
+
+def test_odd_rows_are_scored_for_quality(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (4, None), (6, 0)], "doc_id long, quality int")
+    found = quality.score(odd(spark), labels, F.lit(True)).collect()
+    assert shown(found, "doc_id") == shown([{"doc_id": i} for i, _ in ODD], "doc_id") and all(0 <= r.score <= 1 for r in found)
+
+
+def test_odd_urls_and_empty_tables(spark):
+    rows = urls.judge(spark.createDataFrame([(1, "http://a.com/"), (1, None), (None, "http://a.com/" + "x" * 100_000), (1, "http://a.com/")], "page_id long, url string").withColumn("host", F.lit(1))).collect()
+    assert len(rows) == 4 and [r.verdict for r in rows if r.host == "a.com"] == ["allow"] * 3
+    none = odd(spark, [])
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for empty in (
+        packing.pack_documents(none, vocabulary()), secrets.scan_versions(none.withColumnRenamed("doc_id", "path")), secrets.redact(none), substrings.dedup(none), urls.judge(pages), decontaminate.find(none, bench), decontaminate.remove(none, bench, block_bytes=1),
+        toxicity.score(none, toxicity.fit_chain(none, labels)), neardup.components(none), neardup.dedup(none), warc.read(warc.write(pages, new_path(spark, "warc"))), quality.score(none, labels, F.lit(True)),
+    ):
+        assert empty.count() == 0
+
+
+# --- trained operators against direct computation ---------------------------------------------------------------------
+
+
+def test_url_scores_equal_direct_computation(spark):
+    """The same regression on n-grams that are numbered one by one, not hashed."""
+    from urllib.parse import urlsplit
+
+    shape = lambda u: f"^{urlsplit(u).netloc.lower()}$ {urlsplit(u).path}".lower().encode()
+    grams = lambda b: {b[i : i + n] for n in urls.GRAMS for i in range(len(b) - n + 1)}
+    seen = [grams(shape(u)) for u, _ in urls.LABELLED]
+    number = {g: i for i, g in enumerate(sorted(set().union(*seen)))}
+    w = linear.fit(linear.Rows([np.array([number[g] for g in s]) for s in seen]), len(number), np.zeros((len(seen), 0)), np.array([y for _, y in urls.LABELLED], dtype=float), np.ones(len(seen)), urls.PENALTY)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").where("url like '%://%'")
+    for r in urls.judge(pages).join(pages.select("page_id", "url"), "page_id").collect():
+        assert abs(r.p_block - 1 / (1 + np.exp(-(sum(w[number[g]] for g in grams(shape(r.url)) if g in number) + w[-1])))) < 0.02
+
+
+def test_url_model_on_urls_left_out():
+    """Leave-one-out over the labelled table."""
+    hosts, paths, y = zip(*[(u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0].split("#")[0], v) for u, v in urls.LABELLED], strict=True)
+    right = 0
+    for i in range(len(y)):
+        rest = [k for k in range(len(y)) if k != i]
+        model = urls.train([hosts[k] for k in rest], [paths[k] for k in rest], [y[k] for k in rest])
+        right += (urls.probabilities(pa.array([f"^{hosts[i]}$ {paths[i]}"]), model)[0] >= urls.BLOCK_AT) == y[i]
+    assert right >= 0.7 * len(y)  # 0.53 without learning
+
+
+def test_chain_scores_equal_direct_computation(spark):
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    chain = toxicity.fit_chain(table, labels)
+    place = {int(f): i for i, f in enumerate(chain.known)}
+    seen = {}
+
+    def numbers(word):
+        if word not in seen:
+            seen[word] = set(toxicity.features(words.scan(pa.array([word]), words.LETTERED, lower=True)).ravel().tolist())
+        return seen[word]
+
+    found = {r.doc_id: r for r in toxicity.score(table, chain).collect()}
+    for r in table.collect():
+        every = set().union(*[numbers(x) for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r.text or "")])
+        p = []
+        for w in chain.weights:
+            z = sum(w[place[f]] for f in every if f in place) + sum(a * b for a, b in zip(p, w[len(place) :], strict=False)) + w[-1]
+            p.append(1 / (1 + np.exp(-z)))
+        assert np.allclose([found[r.doc_id][f"p_{n}"] for n, _ in toxicity.CATEGORIES], p, atol=1e-9) and found[r.doc_id].toxic == (p[-1] >= chain.threshold)
+
+
+def test_quality_scores_equal_direct_computation(spark):
+    """Normal equations, fold scores and pooling over all rows at once in numpy."""
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    learn = F.pmod(F.col("doc_id"), F.lit(3)) > 0
+    found = {r.doc_id: r.score for r in quality.score(table, labels, learn).collect()}
+    rows = table.select("doc_id", "text", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(quality.FOLDS)).alias("fold")).orderBy("doc_id").collect()
+    x = quality.statistics(pa.array([r.text for r in rows]))
+    random = np.random.default_rng(quality.SEED)
+    turn, shift = random.normal(size=(x.shape[1], quality.FEATURES)) / quality.WIDTH, random.uniform(0, 2 * np.pi, quality.FEATURES)
+    spread = x.std(axis=0)
+    z = np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - x.mean(axis=0)) / np.where(spread > 0, spread, 1), -6, 6) @ turn + shift)
+    z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
+    known = {r.doc_id: r.quality for r in labels.where("quality is not null").collect() if r.doc_id % 3 > 0}
+    at = np.array([i for i, r in enumerate(rows) if r.doc_id in known])
+    y, fold = np.array([known[rows[i].doc_id] for i in at], dtype=float), np.array([rows[i].fold for i in at])
+
+    def ridge(pick):
+        penalty = np.eye(z.shape[1]) * quality.RIDGE * pick.sum() / quality.FEATURES
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(z[at[pick]].T @ z[at[pick]] + penalty, z[at[pick]].T @ y[pick])
+
+    raw = np.array([z[i] @ ridge(fold != f) for i, f in zip(at, fold, strict=True)])
+    bins = quality._bin(raw)
+    levels = quality.pooled(np.bincount(bins, minlength=quality.BINS), np.bincount(bins, weights=y, minlength=quality.BINS))
+    place = np.clip((z @ ridge(np.ones(len(at), dtype=bool)) + 0.25) / 1.5 * quality.BINS - 0.5, 0, quality.BINS - 1)
+    expected = np.clip(np.interp(place, np.arange(quality.BINS), levels), 0, 1)
+    assert np.allclose([found[r.doc_id] for r in rows], expected, atol=1e-6)
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
