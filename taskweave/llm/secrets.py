@@ -92,7 +92,8 @@ def record(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, ru
     """Scans what ``ledger`` has no row of and appends it there. ``versions``: rows of (path, text)."""
     spark = versions.sparkSession
     seen = ledger_at(spark, ledger).where(F.col("rule_version") == rule_version).select("blob").distinct()
-    unseen = addressed(versions).select("blob", "text").join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = addressed(versions).groupBy("blob").agg(F.first("text").alias("text"))  # copies are reduced before they travel
+    unseen = blobs.join(seen, "blob", "left_anti")
     scan(unseen, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").option("compression", "zstd").parquet(ledger)
 
 
