@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]{2,}"
-#: Fixed value: English words that carry no content in titles and tasks.
+#: A short list of English words that carry little in titles and tasks; operators take another as ``stop``.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
 
 
@@ -14,6 +14,11 @@ def word_tokens(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside the lambdas of ``use`` the expression itself would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _grams_of(tokens: Column, n: int, glue: str) -> Column:
     count = F.size(tokens) - n + 1
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), glue))).otherwise(F.array().cast("array<string>"))
@@ -21,15 +26,13 @@ def _grams_of(tokens: Column, n: int, glue: str) -> Column:
 
 def word_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
     """All word n-grams, with repeats."""
-    tokens = word_tokens(text)
-    return F.concat(*[_grams_of(tokens, n, " ") for n in range(low, high + 1)])
+    return bound(word_tokens(text), lambda tokens: F.concat(*[_grams_of(tokens, n, " ") for n in range(low, high + 1)]))
 
 
 def char_ngrams(text: Column, low: int = 3, high: int = 4) -> Column:
     """All character n-grams of the lower-cased, collapsed text."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    one = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[one(n) for n in range(low, high + 1)])
+    characters = F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "), F.lit("(?s)."), F.lit(0))
+    return bound(characters, lambda c: F.concat(*[_grams_of(c, n, "") for n in range(low, high + 1)]))
 
 
 def char_wb_ngrams(text: Column, low: int = 3, high: int = 4) -> Column:
@@ -86,14 +89,16 @@ def blocks(df: DataFrame, row: str, specs: list[tuple[str, Column, float]], leas
 
 
 def slug(prefix: str, text: Column) -> Column:
-    return F.concat(F.lit(prefix), F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+", "_"))
+    """ASCII letters and digits of a text, with one underscore for what lies between them."""
+    joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "_")
+    return F.concat(F.lit(prefix), F.regexp_replace(joined, "^_|_$", ""))
 
 
 def cross_pairs(left: Column, right: Column, most_left: int, most_right: int, mark: str = "__X__", stop=STOP) -> Column:
     """Pairs of the first content words of two texts."""
     content = lambda c, n: F.slice(F.filter(word_tokens(c), lambda t: ~t.isin(*stop)), 1, n)
-    a, b = content(left, most_left), content(right, most_right)
-    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit(mark), y))))
+    a = content(left, most_left)
+    return bound(content(right, most_right), lambda b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit(mark), y)))))
 
 
 def nb_ratio(counts: DataFrame, row: str, labels: DataFrame, positive: Column) -> DataFrame:
@@ -124,9 +129,9 @@ def top_terms(counts: DataFrame, most: int = 50, least_df: int = 2) -> DataFrame
 
 
 def activity(counts: DataFrame, row: str, vocab: DataFrame) -> DataFrame:
-    """(row, active, known_share): distinct known terms, and their share of the row's distinct terms."""
+    """(row, active, known_share): distinct known terms, and the share of known ones among the row's terms, with repeats."""
     seen = counts.join(vocab.select("term", F.lit(1).alias("_k")), "term", "left")
-    return seen.groupBy(row).agg(F.count("_k").alias("active"), (F.count("_k") / F.count("*")).alias("known_share"))
+    return seen.groupBy(row).agg(F.count("_k").alias("active"), (F.coalesce(F.sum(F.when(F.col("_k") == 1, F.col("tf"))), F.lit(0)) / F.sum("tf")).alias("known_share"))
 
 
 def vectors(weights: DataFrame, row: str, size: int = 1 << 18) -> DataFrame:

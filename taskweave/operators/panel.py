@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from taskweave.operators.splits import draw
 from taskweave.shared import partitions, written
 
-SMALL_STEPS = 100_000
+BLOCK = 4096
 
 
 def complete_cells(rows: DataFrame, unit: list[str], condition: str, label: str, order: str, conditions: list[str]) -> DataFrame:
@@ -27,24 +31,47 @@ def long_outcomes(wide: DataFrame, unit: list[str], conditions: list[str]) -> Da
     return cells.select(*unit, "condition", "label", F.explode(F.create_map(*[x for k, v in outcomes(F.col("label")).items() for x in (F.lit(k), v.cast("int"))])).alias("outcome", "value"))
 
 
+def _replicates(by: list[str], reps: int, seed: str):
+    """Of rows (by..., group, block, n, values, totals), the sums of each replicate's draws from the block."""
+
+    def run(batches):
+        start = zlib.crc32(seed.encode())
+        for batch in batches:
+            rows, sums = [], []
+            for i, (group, block, n, values, totals) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_group", "_block", "n", "_values", "_totals")], strict=True)):
+                v, c = np.array([(x["_v"], x["_c"]) for x in values]).T
+                shares = np.array([t["_c"] for t in totals], dtype=np.float64) / n
+                place = [t["_block"] for t in totals].index(block)
+                for rep in range(reps):
+                    key = [start, group & (1 << 64) - 1, rep]
+                    own = n if len(shares) == 1 else int(np.random.default_rng(key).multinomial(n, shares)[place])
+                    sums.append(float(np.random.default_rng([*key, block + 1]).multinomial(own, c / c.sum()) @ v))
+                rows += [i] * reps
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in by], pa.array(list(range(reps)) * (len(rows) // reps), pa.int32()), pa.array(sums, pa.float64())], names=[*by, "_rep", "_s"])
+
+    return run
+
+
 def bootstrap(values: DataFrame, by: list[str], value: str, reps: int = 2000, seed: str = "boot") -> DataFrame:
     """(by..., mean, low, high, n): the mean of each group and its 95 % percentile interval.
 
-    Groups are collapsed to how often each distinct value comes, with running counts. A replicate draws places by the MD5 of seed,
-    replicate and draw; draws are made once for all groups of the same size and meet the few distinct values, not the rows.
+    A replicate of n draws with replacement is a multinomial count of the group's distinct values, so the work is replicates by distinct
+    values, however many rows there are. Distinct values are held in blocks of about ``BLOCK``: a replicate's draws are first shared
+    among blocks. Draws depend on seed, group, replicate and block alone.
     """
-    counts = written(values.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).where("_v is not null"), "values")
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    steps = counts.withColumn("_to", F.sum("_c").over(w.orderBy("_v"))).withColumn("n", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
-    held = counts.groupBy(*by).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
-    few = steps.count() <= SMALL_STEPS
-    drawn = held.select("n").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(partitions(values.sparkSession), "n", "rep").withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    place = F.conv(F.substring(draw(seed, F.concat_ws("|", "rep", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = drawn.select("n", "rep", place.alias("_at"))  # shared by all groups of the same size
-    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    means = drawn.join(F.broadcast(steps) if few else steps, "n").groupBy(*by, "n", "rep").agg((F.sum(F.when(inside, F.col("_v")).otherwise(0.0)) / F.col("n")).alias("_m"))
-    spread = means.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
-    return (held.join(spread, by) if by else held.crossJoin(spread)).select(*by, "mean", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "n")
+    keys = by or ["_all"]
+    values = values if by else values.withColumn("_all", F.lit(0))
+    counts = values.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).where("_v is not null")
+    counts = written(counts.withColumn("_group", F.xxhash64(*keys)), "values")
+    held = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_n_blocks"))
+    blocks = counts.join(held.select(*keys, "n", "_n_blocks"), keys).groupBy(*keys, "_group", "n", F.pmod(F.xxhash64("_v"), F.col("_n_blocks")).cast("int").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_values"), F.sum("_c").alias("_c"))
+    totals = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_c"))).alias("_totals"))
+    rows = blocks.join(totals, keys).select(*keys, "_group", "_block", "n", "_values", "_totals").repartition(partitions(values.sparkSession), *keys, "_block")
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("_rep", T.IntegerType()), T.StructField("_s", T.DoubleType())])
+    means = rows.mapInArrow(_replicates(keys, reps, seed), schema).groupBy(*keys, "_rep").agg(F.sum("_s").alias("_s")).join(held, keys).select(*keys, (F.col("_s") / F.col("n")).alias("_m"))
+    spread = means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
+    return held.join(spread, keys).select(*by, "mean", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "n")
 
 
 def agreement(a: Column, b: Column) -> Column:

@@ -49,17 +49,34 @@ def percentile_rank(values: DataFrame, row: str, value: str, reference: DataFram
     return lower.select(row, ((F.col("_low") + F.col("_in")) / F.col("_all")).alias("rank"))
 
 
-def review_levels(margin_rank: Column, coverage: Column, n_tokens: Column, low: float = 0.1, very_low: float = 0.03, least_coverage: float = 0.5) -> dict[str, Column]:
-    """``reasons`` (array), ``level`` and ``needs_review`` from calibrated cutoffs."""
-    reasons = F.array_compact(F.array(F.when(margin_rank <= low, F.lit("low_margin")), F.when(coverage < least_coverage, F.lit("unknown_words")), F.when(n_tokens < 4, F.lit("short_text"))))
-    level = F.when(margin_rank <= very_low, "high").when(F.size(reasons) > 1, "high").when(F.size(reasons) == 1, "medium").otherwise("low")
-    return {"reasons": reasons, "level": level, "needs_review": level != "low"}
-
-
-def calibrate(df: DataFrame, margin: str, wrong: Column, low: float = 0.1, very_low: float = 0.03) -> DataFrame:
-    """(low_cut, very_low_cut, review_rate, error_in_review, error_outside) of out-of-fold signals."""
-    cuts = df.agg(F.percentile(margin, F.array(F.lit(low), F.lit(very_low))).alias("_q"))
-    seen = df.crossJoin(F.broadcast(cuts)).withColumn("_in", F.col(margin) <= F.col("_q")[0])
-    return seen.groupBy(F.col("_q")[0].alias("low_cut"), F.col("_q")[1].alias("very_low_cut")).agg(
-        F.avg(F.col("_in").cast("int")).alias("review_rate"), F.avg(F.when(F.col("_in"), wrong.cast("int"))).alias("error_in_review"), F.avg(F.when(~F.col("_in"), wrong.cast("int"))).alias("error_outside")
-    )
+#: Signals of a prediction, the reason that each gives when it is low, and the quantile of the reference below which it is;
+#: review scores from which a prediction's level is medium and high.
+REVIEW = {"margin": ("low_decision_margin", 0.10), "word_coverage": ("low_word_coverage", 0.03), "char_coverage": ("low_char_coverage", 0.03), "total_coverage": ("low_total_feature_coverage", 0.03)}
+MEDIUM, HIGH = 0.80, 0.99
+
+
+def review_thresholds(reference: DataFrame) -> DataFrame:
+    """One row with the least value of each signal that is not low, ``least_`` and its name."""
+    return reference.agg(*[F.round(F.percentile(name, q), 9).alias(f"least_{name}") for name, (_, q) in REVIEW.items()])
+
+
+def review_levels(rows: DataFrame, row: str, reference: DataFrame, medium: float = MEDIUM, high: float = HIGH, buckets: int = 64) -> DataFrame:
+    """(row, review_reasons, review_score, review_level, needs_review) of rows with the signals of ``REVIEW``, against a reference with the same.
+
+    The score is the largest share of the reference that is above a signal. Any reason, or a high score, makes the level high, and only
+    that level needs review.
+    """
+    out = rows.select(row, *REVIEW).crossJoin(F.broadcast(review_thresholds(reference)))  # one row
+    for name in REVIEW:
+        out = out.join(percentile_rank(rows.select(row, name), row, name, reference.select(name), name, buckets).withColumnRenamed("rank", f"rank_{name}"), row)
+    score = F.greatest(*[1 - F.col(f"rank_{name}") for name in REVIEW])
+    reasons = F.array_compact(F.array(*[F.when(F.col(name) < F.col(f"least_{name}"), F.lit(reason)) for name, (reason, _) in REVIEW.items()]))
+    level = F.when((F.size(reasons) > 0) | (score >= high), "high").when(score >= medium, "medium").otherwise("low")
+    return out.select(row, reasons.alias("review_reasons"), score.alias("review_score"), level.alias("review_level"), (level == "high").alias("needs_review"))
+
+
+def calibrate(rows: DataFrame, row: str, wrong: Column, buckets: int = 64) -> DataFrame:
+    """One row: thresholds from out-of-fold signals, the share of rows that would be reviewed, and the error rates inside and outside."""
+    seen = review_levels(rows, row, rows, buckets=buckets).select(row, "needs_review").join(rows.select(row, wrong.cast("int").alias("_wrong")), row)
+    rates = seen.agg(F.avg(F.col("needs_review").cast("int")).alias("review_rate"), F.avg(F.when(F.col("needs_review"), F.col("_wrong"))).alias("error_in_review"), F.avg(F.when(~F.col("needs_review"), F.col("_wrong"))).alias("error_outside"))
+    return review_thresholds(rows).crossJoin(F.broadcast(rates))

@@ -6,6 +6,10 @@ how often each (truth, scores) comes.
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +60,32 @@ def collapsed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def offset_grid(df: DataFrame, truth: str, scores: list[str], classes, grid: list[list[float]]) -> DataFrame:
-    """(b0, b1, ..., macro_f1) for each combination of class offsets."""
-    rows = collapsed(df, [truth, *scores])
-    for k, points in enumerate(grid):
-        rows = rows.withColumn(f"b{k}", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    shifted = [F.round(F.col(s) + F.col(f"b{k}"), 6) for k, s in enumerate(scores)]
-    rows = rows.withColumn("_p", argmax(shifted, classes))
-    return macro_f1(rows, [f"b{k}" for k in range(len(scores))], truth, "_p", "_n", classes)
+    """(b0, b1, ..., macro_f1) for each combination of class offsets; ties of scores, to six decimals, go to the first class.
+
+    Each task counts its rows into one confusion matrix a combination; only those travel, so the work is rows times combinations and
+    the shuffle is of fixed size.
+    """
+    names, table = list(classes), np.array(list(itertools.product(*grid)), dtype=np.float64)
+
+    def count(batches):
+        total = np.zeros((len(table), len(names) + 1, len(names)), dtype=np.int64)  # the last row is for other labels
+        for batch in batches:
+            if batch.num_rows:
+                place = {c: i for i, c in enumerate(names)}
+                y = np.array([place.get(c, len(names)) for c in batch.column(0).to_pylist()])
+                x = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(names))], axis=1)
+                for i, offsets in enumerate(table):
+                    called = np.rint((x + offsets) * 1e6).argmax(axis=1)
+                    total[i] += np.bincount(y * len(names) + called, minlength=total[i].size).reshape(total[i].shape)
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([*[pa.array(a.astype(np.int32)) for a in at], pa.array(total[at])], names=["_i", "_y", "_c", "_n"])
+
+    rows = df.select(truth, *[F.col(s).cast("double") for s in scores]).na.drop(subset=scores)
+    counts = rows.mapInArrow(count, "_i int, _y int, _c int, _n long").groupBy("_i", "_y", "_c").agg(F.sum("_n").alias("_n"))
+    sums = macro_f1(counts, ["_i"], "_y", "_c", "_n", range(len(names)))
+    columns = [f"b{k}" for k in range(len(scores))]
+    candidates = df.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(table)], "_i int, " + ", ".join(f"{c} double" for c in columns))  # the grid
+    return sums.join(F.broadcast(candidates), "_i").select(*columns, "macro_f1")
 
 
 def coordinate_search(df: DataFrame, truth: str, scores: list[str], classes, points: list[float], passes: int = 3) -> list[float]:

@@ -45,12 +45,15 @@ def group_holdout(df: DataFrame, group: str, label: str, seed: int = 42) -> Data
 
 
 def split_cost(df: DataFrame, group: str, label: str, splits: DataFrame, target: dict[str, float]) -> DataFrame:
-    """(cost): squared differences of row and class shares from the target shares, over splits and classes."""
+    """(cost): squared relative differences of each split's rows from its share of all rows, and of its rows of each class from its share of the class."""
     rows = df.join(splits, group)
     each = rows.groupBy("split", label).agg(F.count("*").alias("n"))
-    total = rows.groupBy(label).agg(F.count("*").alias("t"))
-    want = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col("split")]
-    return each.join(total, label).agg(F.sum(F.pow(F.col("n") / F.col("t") - want, 2)).alias("cost"))
+    wanted = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])
+    grid = rows.groupBy(label).agg(F.count("*").alias("t")).select(label, "t", F.explode(wanted).alias("split", "want"))  # classes by splits
+    cells = grid.join(each, ["split", label], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("goal", F.col("want") * F.col("t"))
+    miss = lambda n, goal: F.pow((n - goal) / F.greatest(goal, F.lit(1.0)), 2)
+    by_split = cells.groupBy("split").agg(F.sum(miss(F.col("n"), F.col("goal"))).alias("class_cost"), F.sum("n").alias("n"), F.sum("goal").alias("goal"))
+    return by_split.agg(F.sum(F.col("class_cost") + miss(F.col("n"), F.col("goal"))).alias("cost"))
 
 
 def row_folds(df: DataFrame, row: str, label: str, k: int = 5, seed: int = 7) -> DataFrame:

@@ -76,16 +76,22 @@ def rendered(template: str, **values: Column) -> Column:
 
 
 def parsed_label(raw: Column, classes=("E0", "E1", "E2", "E3")) -> Column:
-    """The label of an answer: from JSON, else from its label line, else from its first word; null if there is none."""
-    names = "|".join(classes)
+    """The label of an answer: from JSON as it is, else, in either case and with marks of bold type, from its label line or from the
+    first line that begins with one; null if there is none."""
+    names, upper = "|".join(classes), F.upper(raw)
     found = F.coalesce(
         F.get_json_object(raw, "$.label"),
-        F.nullif(F.regexp_extract(raw, rf"LABEL \({'/'.join(classes)}\):\s*\**\s*({names})", 1), F.lit("")),
-        F.nullif(F.regexp_extract(raw, rf"^\s*({names})\b", 1), F.lit("")),
+        F.nullif(F.regexp_extract(upper, rf"LABEL\s*\({'/'.join(classes)}\)\s*:\s*\**\s*({names})\b", 1), F.lit("")),
+        F.nullif(F.regexp_extract(upper, rf"(?m)^\s*\**\s*({names})\b", 1), F.lit("")),
     )
     return F.when(found.isin(*classes), found)
 
 
+def answer_reason(raw: Column, most: int = 500) -> Column:
+    """An answer's reason: from JSON, else the beginning of the answer."""
+    return F.coalesce(F.get_json_object(raw, "$.truncated_reason"), F.left(raw, F.lit(most)))
+
+
 def request_error(task: Column, action: Column, object_: Column, purpose: Column, title: Column) -> Column:
     """What is wrong with a request, or null: too long a field, or neither a task nor an action with an object."""
     given = lambda c: normalize_ws(c) != ""

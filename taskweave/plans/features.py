@@ -69,7 +69,7 @@ br AS (SELECT task_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM label
 
 
 WORDS_OF = lambda column: f"SELECT task_id, unnest(regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM labelled"
-SLUG = "'A_' || regexp_replace(lower(trim(action)), '[^\\p{L}\\p{N}]+', '_', 'g') || '__O_' || regexp_replace(lower(trim(object)), '[^\\p{L}\\p{N}]+', '_', 'g')"
+SLUG = "'A_' || trim(regexp_replace(lower(coalesce(action, '')), '[^a-z0-9]+', '_', 'g'), '_') || '__O_' || trim(regexp_replace(lower(coalesce(object, '')), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
 def action_object():
@@ -140,7 +140,7 @@ def ft_top_terms(spark, sf):
     return X.top_terms(counts(spark, sf))
 
 
-@query("ft_active_and_coverage", W + VOCAB + " SELECT task_id, count(v.term)::BIGINT AS active, round(count(v.term) / count(*), 6) AS known_share FROM counts k LEFT JOIN vocab v USING (term) GROUP BY task_id")
+@query("ft_active_and_coverage", W + VOCAB + " SELECT task_id, count(v.term)::BIGINT AS active, round(coalesce(sum(tf) FILTER (v.term IS NOT NULL), 0) / sum(tf), 6) AS known_share FROM counts k LEFT JOIN vocab v USING (term) GROUP BY task_id")
 def ft_active_and_coverage(spark, sf):
     k = counts(spark, sf)
     return X.activity(k, "task_id", X.vocabulary(k)).select("task_id", "active", F.round("known_share", 6).alias("known_share"))

@@ -21,10 +21,11 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    rest = lambda a: part(F.lit(a), F.greatest(F.size(w) - (a - 1), F.lit(0)))
     label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "E0").when((F.col("quality") == 0) & (F.col("toxic") == 0), "E1").when((F.col("quality") == 1) & (F.col("toxic") == 1), "E2").when((F.col("quality") == 0) & (F.col("toxic") == 1), "E3")
     return docs.select(
-        F.col("doc_id").alias("task_id"), F.concat("source", F.lit("-"), "lang").alias("jobrole_id"), part(1, 2).alias("jobrole_title"), F.col("lang").alias("sector_title"), part(3, 10).alias("task"),
-        part(3, 1).alias("action"), part(4, 3).alias("object"), F.when(F.col("doc_id") % 5 != 0, part(7, 6)).alias("purpose"), label.alias("label"),
+        F.col("doc_id").alias("task_id"), F.concat("source", F.lit("-"), "lang").alias("jobrole_id"), part(1, 2).alias("jobrole_title"), F.col("lang").alias("sector_title"), rest(3).alias("task"),
+        part(3, 1).alias("action"), part(4, 3).alias("object"), F.when(F.col("doc_id") % 5 != 0, rest(7)).alias("purpose"), label.alias("label"),
     )
 
 
@@ -50,8 +51,8 @@ PROMPTS, MODELS = ("legacy", "production", "production_legacy_anchors"), ("gpt_4
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(parent, child, grain) of the panel."""
-    parents = table(spark, sf_dir, "orders").where("o_orderkey % 15 = 0").select(F.col("o_orderkey").alias("parent"), F.lit(0).cast("long").alias("child"), F.lit("raw_parent").alias("grain"))
-    children = table(spark, sf_dir, "lineitem").where("l_orderkey % 15 = 0").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("long").alias("child"), F.lit("atomic_child").alias("grain")).distinct()
+    parents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), F.lit(0).cast("long").alias("child"), F.lit("raw_parent").alias("grain"))
+    children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("long").alias("child"), F.lit("atomic_child").alias("grain")).distinct()
     return parents.unionByName(children)
 
 
@@ -83,7 +84,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(parent, history, sector, role) of the panel's parents."""
     p = F.col("o_orderpriority")
     label = F.when(p == "1-URGENT", "E1").when(p == "2-HIGH", "E2").when(p == "3-MEDIUM", "E3").otherwise("E0")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 15 = 0")
+    orders = table(spark, sf_dir, "orders")
     return orders.join(table(spark, sf_dir, "customer"), orders["o_custkey"] == F.col("c_custkey")).select(F.col("o_orderkey").alias("parent"), label.alias("history"), F.col("c_mktsegment").alias("sector"), F.col("c_custkey").alias("role"))
 
 
@@ -104,8 +105,8 @@ h = lambda text, chars=1: H.format(text, chars)
 
 CTE_TASKS = r"""
 base AS (SELECT d.doc_id, d.lang, d.source, string_split(trim(regexp_replace(d.text, '\s+', ' ', 'g')), ' ') AS w, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)),
-tasks AS (SELECT doc_id AS task_id, source || '-' || lang AS jobrole_id, array_to_string(w[1:2], ' ') AS jobrole_title, lang AS sector_title, array_to_string(w[3:12], ' ') AS task,
-  array_to_string(w[3:3], ' ') AS action, array_to_string(w[4:6], ' ') AS object, CASE WHEN doc_id % 5 <> 0 THEN array_to_string(w[7:12], ' ') END AS purpose,
+tasks AS (SELECT doc_id AS task_id, source || '-' || lang AS jobrole_id, array_to_string(w[1:2], ' ') AS jobrole_title, lang AS sector_title, array_to_string(w[3:], ' ') AS task,
+  array_to_string(w[3:3], ' ') AS action, array_to_string(w[4:6], ' ') AS object, CASE WHEN doc_id % 5 <> 0 THEN array_to_string(w[7:], ' ') END AS purpose,
   CASE WHEN quality = 1 AND toxic = 0 THEN 'E0' WHEN quality = 0 AND toxic = 0 THEN 'E1' WHEN quality = 1 AND toxic = 1 THEN 'E2' WHEN quality = 0 AND toxic = 1 THEN 'E3' END AS label FROM base),
 labelled AS (SELECT *, CASE WHEN label IN ('E2', 'E3') THEN 'E23' ELSE label END AS y FROM tasks WHERE label IS NOT NULL AND task <> '')"""
 CTE_PRED = CTE_TASKS + f""",
@@ -113,10 +114,10 @@ predictions AS (SELECT task_id, jobrole_id, task, y AS y_true, CASE WHEN {h("'p|
 CTE_SCORES = CTE_TASKS + f""",
 scores AS (SELECT task_id, y, round(({h("'s0|' || task_id")} % 4001) / 1000.0 - 2 + (y = 'E0')::INT, 3) AS s0, round(({h("'s1|' || task_id")} % 4001) / 1000.0 - 2 + (y = 'E1')::INT, 3) AS s1, round(({h("'s2|' || task_id")} % 4001) / 1000.0 - 2 + (y = 'E23')::INT, 3) AS s2 FROM labelled)"""
 CTE_PANEL = f"""
-units AS (SELECT o_orderkey AS parent, 0::BIGINT AS child, 'raw_parent' AS grain FROM orders WHERE o_orderkey % 15 = 0 UNION ALL SELECT DISTINCT l_orderkey, l_linenumber::BIGINT, 'atomic_child' FROM lineitem WHERE l_orderkey % 15 = 0),
+units AS (SELECT o_orderkey AS parent, 0::BIGINT AS child, 'raw_parent' AS grain FROM orders UNION ALL SELECT DISTINCT l_orderkey, l_linenumber::BIGINT, 'atomic_child' FROM lineitem),
 manifest AS (SELECT *, substr(sha256(key), 1, 20) AS call_id FROM (SELECT parent, child, grain, prompt, model, concat_ws('|', parent, child, grain, prompt, model) AS key FROM units, (VALUES ('legacy'), ('production'), ('production_legacy_anchors')) p(prompt), (VALUES ('gpt_4o'), ('gpt_5_2')) m(model))),
 coded AS (SELECT *, {h('key')} % 100 AS h1, {h('key', 9)} % 100 AS h9, CASE prompt WHEN 'legacy' THEN 75 WHEN 'production' THEN 40 ELSE 55 END - CASE model WHEN 'gpt_5_2' THEN 10 ELSE 0 END AS e0 FROM manifest),
 responses AS (SELECT parent, child, grain, prompt, model, key, call_id, h1, CASE WHEN h9 < 2 THEN 'error' ELSE 'success' END AS status, CASE WHEN h1 < e0 THEN 'E0' WHEN h1 < e0 + 0.4 * (100 - e0) THEN 'E1' WHEN h1 < e0 + 0.95 * (100 - e0) THEN 'E2' ELSE 'E3' END AS label, (h1 % 3 + 1)::INT AS attempt_count, (h1 * 17 % 900 + 100)::DOUBLE AS latency_ms FROM coded),
-history AS (SELECT o_orderkey AS parent, CASE o_orderpriority WHEN '1-URGENT' THEN 'E1' WHEN '2-HIGH' THEN 'E2' WHEN '3-MEDIUM' THEN 'E3' ELSE 'E0' END AS history, c_mktsegment AS sector, c_custkey AS role FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 15 = 0)"""
+history AS (SELECT o_orderkey AS parent, CASE o_orderpriority WHEN '1-URGENT' THEN 'E1' WHEN '2-HIGH' THEN 'E2' WHEN '3-MEDIUM' THEN 'E3' ELSE 'E0' END AS history, c_mktsegment AS sector, c_custkey AS role FROM orders JOIN customer ON o_custkey = c_custkey)"""
 CTE_LOG = """
 log AS (SELECT event_id, ts::TIMESTAMP AS ts, user_id % 10 AS cohort, CASE WHEN event_type = 'view' THEN 'E0' WHEN event_type IN ('click', 'signup') THEN 'E1' ELSE 'E23' END AS label, (event_id * 37 % 1000) / 1000.0 AS review_score, (event_id * 53 % 1000) / 1000.0 AS coverage FROM events)"""

@@ -1,4 +1,4 @@
-"""Queries: matched-panel analysis. Checked queries use 200 bootstrap replicates; 2,000 is the operator's default."""
+"""Queries: matched-panel analysis, with the bootstrap's 2,000 replicates; its draws have no SQL and are held against numpy."""
 
 from __future__ import annotations
 
@@ -12,19 +12,10 @@ from taskweave.plans.registry import query
 
 P = "WITH " + V.CTE_PANEL
 CONDITIONS = [f"{p}__{m}" for p in V.PROMPTS for m in V.MODELS]
-REPS = 200
-
 WIDE = P + ", ok AS (SELECT parent, child, grain, prompt || '__' || model AS condition, label FROM responses WHERE status = 'success'), wide AS (SELECT parent, child, grain, " + ", ".join(f"max(label) FILTER (condition = '{c}') AS {c}" for c in CONDITIONS) + " FROM ok GROUP BY ALL), complete AS (SELECT * FROM wide WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in CONDITIONS) + ")"
 LONG = WIDE + ", long AS (" + " UNION ALL ".join(f"SELECT parent, child, grain, '{c}' AS condition, {c} AS label FROM complete" for c in CONDITIONS) + "), vals AS (" + " UNION ALL ".join(f"SELECT parent, child, grain, condition, '{o}' AS outcome, ({e})::INT AS value FROM long" for o, e in {"E0": "label = 'E0'", "E1": "label = 'E1'", "E2": "label = 'E2'", "E3": "label = 'E3'", "E23": "label IN ('E2', 'E3')", "impacted": "label <> 'E0'"}.items()) + ")"
 
 
-def boot_sql(source: str, by: str) -> str:
-    """The interval of ``v`` in ``source`` for each ``by``, by the same draws."""
-    return f""", b0 AS (SELECT {by}, v, count(*) AS c FROM {source} GROUP BY ALL), b1 AS (SELECT {by}, v, sum(c) OVER (PARTITION BY {by} ORDER BY v) AS upto, c FROM b0), bn AS (SELECT {by}, sum(c) AS n, sum(v * c) / sum(c) AS mean FROM b0 GROUP BY {by}),
-b2 AS (SELECT {by}, n, rep, i, {V.h("'boot|' || rep || '|' || i")} % n AS pos FROM (SELECT {by}, n, rep, unnest(generate_series(0, n::BIGINT - 1)) AS i FROM bn, (SELECT unnest(generate_series(0, {REPS - 1})) AS rep))),
-b3 AS (SELECT {by}, rep, avg(v) AS m FROM b2 JOIN b1 USING ({by}) WHERE upto > pos AND upto - c <= pos GROUP BY {by}, rep), boot AS (SELECT {by}, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, n::BIGINT AS n FROM b3 JOIN bn USING ({by}) GROUP BY {by}, mean, n)"""
-
-
 def six(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -51,19 +42,19 @@ def pa_distribution(spark, sf):
     return outcome_rows(spark, sf).groupBy("grain", "condition", "outcome").agg(F.sum("value").alias("n"), F.round(F.avg("value"), 6).alias("share"))
 
 
-@query("pa_bootstrap_ci", LONG + ", src AS (SELECT outcome, value AS v FROM vals WHERE grain = 'raw_parent' AND condition = 'legacy__gpt_4o')" + boot_sql("src", "outcome") + " SELECT * FROM boot")
+@query("pa_bootstrap_ci")
 def pa_bootstrap_ci(spark, sf):
     rows = outcome_rows(spark, sf).where("grain = 'raw_parent' and condition = 'legacy__gpt_4o'")
-    return A.bootstrap(rows, ["outcome"], "value", REPS).select("outcome", *six("mean", "low", "high"), "n")
+    return A.bootstrap(rows, ["outcome"], "value").select("outcome", *six("mean", "low", "high"), "n")
 
 
-@query("pa_paired_delta", LONG + ", src AS (SELECT a.outcome, (b.value - a.value) * 100 AS v FROM vals a JOIN vals b USING (parent, child, grain, outcome) WHERE grain = 'raw_parent' AND a.condition = 'legacy__gpt_4o' AND b.condition = 'production__gpt_4o')" + boot_sql("src", "outcome") + ", agree AS (SELECT round(avg((legacy__gpt_4o = production__gpt_4o)::INT), 6) AS agreement FROM complete WHERE grain = 'raw_parent') SELECT boot.*, agreement FROM boot, agree")
+@query("pa_paired_delta")
 def pa_paired_delta(spark, sf):
     wide = complete(spark, sf).where("grain = 'raw_parent'")
     left, right = F.col("legacy__gpt_4o"), F.col("production__gpt_4o")
     pairs = wide.select(F.explode(F.create_map(*[x for k, v in A.outcomes(right).items() for x in (F.lit(k), (v.cast("int") - A.outcomes(left)[k].cast("int")) * 100)])).alias("outcome", "v"))
     agree = wide.agg(F.round(A.agreement(left, right), 6).alias("agreement"))
-    return A.bootstrap(pairs, ["outcome"], "v", REPS).select("outcome", *six("mean", "low", "high"), "n").crossJoin(F.broadcast(agree))
+    return A.bootstrap(pairs, ["outcome"], "v").select("outcome", *six("mean", "low", "high"), "n").crossJoin(F.broadcast(agree))
 
 
 @query("pa_representation", WIDE + """, kids AS (SELECT parent, avg((legacy__gpt_4o <> 'E0')::INT) AS child_rate, count(*) AS n FROM complete WHERE grain = 'atomic_child' GROUP BY parent)

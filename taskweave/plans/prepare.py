@@ -262,12 +262,12 @@ def join_lookup_overlay(spark, sf):
     return found.select("task_id", T.overlay(F.col("y_pred"), F.col("known_label"), (F.col("support") >= 2) & (F.col("confidence") >= 0.6)).alias("label"))
 
 
-@query("anti_pending_calls", P + " SELECT call_id FROM manifest WHERE call_id NOT IN (SELECT call_id FROM responses WHERE status = 'success')")
+@query("anti_pending_calls", P + " SELECT call_id FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.call_id = m.call_id AND status = 'success')")
 def anti_pending_calls(spark, sf):
     return V.manifest(spark, sf).join(S.successful_ids(V.responses(spark, sf)), "call_id", "left_anti").select("call_id")
 
 
-@query("limit_n", P + " SELECT call_id FROM manifest WHERE call_id NOT IN (SELECT call_id FROM responses WHERE status = 'success') ORDER BY call_id LIMIT 25")
+@query("limit_n", P + " SELECT call_id FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.call_id = m.call_id AND status = 'success') ORDER BY call_id LIMIT 25")
 def limit_n(spark, sf):
     return anti_pending_calls(spark, sf).orderBy("call_id").limit(25)
 

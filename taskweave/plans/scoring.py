@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taskweave.operators import evaluate as E
+from taskweave.operators import features as T
 from taskweave.operators import labels as L
 from taskweave.operators import scoring as C
 from taskweave.operators import search as Q
 from taskweave.operators import text as X
 from taskweave.plans import fixtures as V
+from taskweave.plans.features import COUNTS, WB
 from taskweave.plans.registry import query
+from taskweave.shared import written
 
 S = "WITH " + V.CTE_SCORES
 CLASSES = L.CLASSES
@@ -85,18 +88,37 @@ def sc_percentile_rank(spark, sf):
     return ranks(spark, sf).select("task_id", F.round("rank", 6).alias("rank"))
 
 
-@query("sc_review_levels", RANKS + """, r AS (SELECT task_id, rank, list_filter([CASE WHEN rank <= 0.1 THEN 'low_margin' END, CASE WHEN coverage < 0.5 THEN 'unknown_words' END, CASE WHEN n_tokens < 4 THEN 'short_text' END], lambda x: x IS NOT NULL) AS reasons FROM sig JOIN ranks USING (task_id)),
-l AS (SELECT task_id, array_to_string(reasons, ',') AS reasons, CASE WHEN rank <= 0.03 OR len(reasons) > 1 THEN 'high' WHEN len(reasons) = 1 THEN 'medium' ELSE 'low' END AS level FROM r) SELECT task_id, reasons, level, level <> 'low' AS needs_review FROM l""")
+known = lambda terms, vocabulary, out: f"(SELECT task_id, coalesce(sum(tf) FILTER (v.term IS NOT NULL), 0) / sum(tf) AS {out} FROM {terms} k LEFT JOIN (SELECT term FROM {terms} WHERE task_id % 2 = 0 GROUP BY term HAVING count(*) >= 2) v USING (term) GROUP BY task_id)"
+FOUR = S + COUNTS + WB + f""", chars AS (SELECT task_id, term, count(*)::BIGINT AS tf FROM wb GROUP BY ALL), four AS (SELECT s.task_id, y, {ARG.format('s0', 's1', 's2')} AS label, {MARGIN} AS margin, round(coalesce(w, 0), 9) AS word_coverage, round(coalesce(c, 0), 9) AS char_coverage, round((coalesce(w, 0) + coalesce(c, 0)) / 2, 9) AS total_coverage
+FROM scores s LEFT JOIN {known('counts', 'words', 'w')} USING (task_id) LEFT JOIN {known('chars', 'chars', 'c')} USING (task_id)), ref AS (SELECT * FROM four WHERE task_id % 2 = 0)"""
+LEAST = lambda table: "least AS (SELECT " + ", ".join(f"round(quantile_cont({n}, {q}), 9) AS least_{n}" for n, (_, q) in C.REVIEW.items()) + f" FROM {table})"
+LEVELS = lambda table: (
+    LEAST(table) + ", scored AS (SELECT task_id, y, label, list_filter([" + ", ".join(f"CASE WHEN {n} < least_{n} THEN '{r}' END" for n, (r, _) in C.REVIEW.items()) + "], lambda x: x IS NOT NULL) AS reasons, greatest(" + ", ".join(f"1 - (SELECT count(*) FROM {table} r WHERE r.{n} <= four.{n}) / (SELECT count(*) FROM {table})" for n in C.REVIEW) + ") AS score FROM four, least)"
+)
+
+
+def four_signals(spark, sf):
+    """(task_id, y, label and the signals of a prediction): terms are known if two even tasks have them."""
+    tasks = V.labelled(spark, sf)
+    s = V.scores(spark, sf).select("task_id", "y", Q.argmax(cols(*COLUMNS), CLASSES).alias("label"), F.round(C.margin(cols(*COLUMNS)), 6).alias("margin"))
+    for name, terms in (("word_coverage", T.word_ngrams(F.col("task"), 1, 2)), ("char_coverage", T.char_wb_ngrams(F.col("task"), 3, 4))):
+        counts = T.term_counts(tasks, "task_id", terms)
+        s = s.join(T.activity(counts, "task_id", T.vocabulary(counts.where("task_id % 2 = 0"))).select("task_id", F.col("known_share").alias(name)), "task_id", "left")
+    w, c = F.coalesce("word_coverage", F.lit(0.0)), F.coalesce("char_coverage", F.lit(0.0))
+    return written(s.withColumn("total_coverage", F.round((w + c) / 2, 9)).withColumn("word_coverage", F.round(w, 9)).withColumn("char_coverage", F.round(c, 9)), "signals")
+
+
+@query("sc_review_levels", FOUR + ", " + LEVELS("ref") + f" SELECT task_id, array_to_string(reasons, ',') AS reasons, round(score, 6) AS review_score, CASE WHEN len(reasons) > 0 OR score >= {C.HIGH} THEN 'high' WHEN score >= {C.MEDIUM} THEN 'medium' ELSE 'low' END AS level, len(reasons) > 0 OR score >= {C.HIGH} AS needs_review FROM scored")
 def sc_review_levels(spark, sf):
-    rows = signals(spark, sf).join(ranks(spark, sf), "task_id")
-    found = C.review_levels(F.col("rank"), F.col("coverage"), F.col("n_tokens"))
-    return rows.select("task_id", F.array_join(found["reasons"], ",").alias("reasons"), found["level"].alias("level"), found["needs_review"].alias("needs_review"))
+    rows = four_signals(spark, sf)
+    found = C.review_levels(rows, "task_id", rows.where("task_id % 2 = 0"), buckets=16)
+    return found.select("task_id", F.array_join("review_reasons", ",").alias("reasons"), F.round("review_score", 6).alias("review_score"), F.col("review_level").alias("level"), "needs_review")
 
 
-@query("sc_review_calibrate", SIGNALS + ", q AS (SELECT quantile_cont(margin, 0.1) AS a, quantile_cont(margin, 0.03) AS b FROM sig) SELECT round(any_value(a), 6) AS low_cut, round(any_value(b), 6) AS very_low_cut, round(avg((margin <= a)::INT), 6) AS review_rate, round(avg(CASE WHEN margin <= a THEN (label <> y)::INT END), 6) AS error_in_review, round(avg(CASE WHEN margin > a THEN (label <> y)::INT END), 6) AS error_outside FROM sig, q")
+@query("sc_review_calibrate", FOUR + ", " + LEVELS("four") + f", s2 AS (SELECT (label <> y)::INT AS wrong, len(reasons) > 0 OR score >= {C.HIGH} AS high FROM scored) SELECT least.*, (SELECT round(avg(high::INT), 6) FROM s2) AS review_rate, (SELECT round(avg(wrong) FILTER (high), 6) FROM s2) AS error_in_review, (SELECT round(avg(wrong) FILTER (NOT high), 6) FROM s2) AS error_outside FROM least")
 def sc_review_calibrate(spark, sf):
-    out = C.calibrate(signals(spark, sf), "margin", F.col("label") != F.col("y"))
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    out = C.calibrate(four_signals(spark, sf), "task_id", F.col("label") != F.col("y"), 16)
+    return out.select(*[c if c.startswith("least") else F.round(c, 6).alias(c) for c in out.columns])
 
 
 # --- decision search ------------------------------------------------------------------------------------------------

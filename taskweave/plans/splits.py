@@ -29,7 +29,7 @@ def grp_split_summary(spark, sf):
     return rows.join(S.group_folds(rows, "jobrole_id", "y").select("jobrole_id", "fold"), "jobrole_id").groupBy("fold").agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("y") == c).alias(c) for c in L.CLASSES])
 
 
-@query("split_group_holdout", HELD + " SELECT jobrole_id, split, (SELECT round(sum((n / t - CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END) ** 2), 6) FROM (SELECT split, y, count(*)::DOUBLE AS n FROM labelled JOIN splits USING (jobrole_id) GROUP BY ALL) JOIN (SELECT y, count(*) AS t FROM labelled GROUP BY y) USING (y)) AS cost FROM splits")
+@query("split_group_holdout", HELD + " SELECT jobrole_id, split, (SELECT round(sum(c) + sum(((n - goal) / greatest(goal, 1)) ** 2), 6) FROM (SELECT split, sum(n) AS n, sum(goal) AS goal, sum(((n - goal) / greatest(goal, 1)) ** 2) AS c FROM (SELECT split, y, want * t AS goal, coalesce(n, 0)::DOUBLE AS n FROM (SELECT y, count(*) AS t FROM labelled GROUP BY y) CROSS JOIN (VALUES ('train', 0.7::DOUBLE), ('validation', 0.15::DOUBLE), ('test', 0.15::DOUBLE)) v(split, want) LEFT JOIN (SELECT split, y, count(*) AS n FROM labelled JOIN splits USING (jobrole_id) GROUP BY ALL) USING (split, y)) GROUP BY split)) AS cost FROM splits")
 def split_group_holdout(spark, sf):
     rows = V.labelled(spark, sf)
     splits = S.group_holdout(rows, "jobrole_id", "y")
