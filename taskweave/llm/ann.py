@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by cosine: an inverted file with product-quantised residuals.
 
-Vectors are scaled to length 1. Coarse centroids and the codebooks of residuals are fitted on at most ``SAMPLE`` vectors, picked by a
-hash of their ids; every vector is indexed: its list, and a code for each subspace. A query probes the lists nearest to it. A list is
-searched in blocks of codes by blocks of queries, with one table of inner products for each query and subspace, and each block keeps
-its best; the best of all are ranked again by the exact cosine of the original vectors in double precision. Equal vectors are searched
-as one, which stands for its smallest ids, so copies take no places from each other and ties go to the smaller vec_id.
-
-The data's structure decides how many lists have to be probed: ``PROBES`` of ``LISTS`` gives a recall of 0.9 or more on vectors without
-clusters. A query that finds fewer than ``k`` in its lists is searched in all lists. Vectors that are null, empty, zero, of another
+Vectors are scaled to length 1. The number of lists grows with the square root of the rows, up to ``MOST_LISTS``. Coarse centroids and
+the codebooks of residuals are fitted on ``PER_LIST`` vectors for each list, picked by a hash of their ids; every vector is indexed:
+its list, and a code for each subspace. Lists are laid into blocks of about ``BLOCK_ROWS`` codes, several short lists in one block, a
+long list in several. A query probes the lists nearest to it and travels once to each block that holds one of them; a block keeps its
+``RANKED`` best of the query, found by one table of inner products for each query and subspace. The best of all are ranked again by
+the exact cosine of the original vectors in double precision. Equal vectors are searched as one, which stands for its smallest ids, so
+copies take no places from each other and ties go to the smaller vec_id.
+
+The data's structure decides how many lists have to be probed: as many as hold the share ``COVERED`` of the nearest neighbours within
+the sample. A query that finds fewer than ``k`` in its lists is searched in all lists. Vectors that are null, empty, zero, of another
 length than most, or that hold null or non-finite components take no part, as queries or as candidates; nor do rows with a null id.
+Components so large or small that their squares leave the range of doubles are scaled by the largest first.
 Of rows that repeat an id the first in the order of their components counts. An empty table gives no rows. Other columns are not
 looked at.
 """
@@ -25,10 +28,12 @@ from pyspark.sql import functions as F
 
 from taskweave.shared import written
 
-SAMPLE, LISTS, PROBES = 8192, 64, 48
+FEWEST_LISTS, MOST_LISTS, PER_LIST = 16, 1024, 32
+COVERED, MEASURED = 0.97, 512
 SPACES, CODES = 32, 256
-KEEP, RANKED = 60, 100
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
+RANKED = 100
+BLOCK_ROWS, BLOCK_QUERIES = 16384, 1024
+CELLS = 1 << 22
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -54,8 +59,8 @@ class Index:
     books: list[np.ndarray]
 
     @classmethod
-    def of(cls, sample: np.ndarray) -> Index:
-        lists = centers_of(sample, LISTS)
+    def of(cls, sample: np.ndarray, n_lists: int) -> Index:
+        lists = centers_of(sample, n_lists)
         rest = sample - lists[nearest(sample, lists)]
         return cls(lists, [centers_of(rest[:, s], CODES) for s in cls._spaces(sample.shape[1])])
 
@@ -64,6 +69,21 @@ class Index:
         edges = np.linspace(0, width, min(SPACES, width) + 1).astype(int)
         return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """For each vector the lists, nearest first."""
+        return np.argsort((self.lists**2).sum(axis=1) - 2 * x @ self.lists.T, axis=1, kind="stable")
+
+    def probes(self, sample: np.ndarray, k: int) -> int:
+        """How many lists hold ``COVERED`` of the ``k`` nearest others of ``MEASURED`` vectors, within the sample."""
+        asked = np.linspace(0, len(sample) - 1, min(MEASURED, len(sample))).astype(int)
+        near = sample[asked] @ sample.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        if not best.size:
+            return len(self.lists)
+        place = np.argsort(self.order(sample[asked]), axis=1)  # of each list in the query's order
+        return int(np.quantile(np.take_along_axis(place, nearest(sample, self.lists)[best], axis=1), COVERED, method="higher")) + 1
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = nearest(x, self.lists)
         rest = x - self.lists[at]
@@ -82,9 +102,10 @@ def _units(batches):
         ids, rows = [], []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid and i is not None else np.zeros(0)
-            if len(x) and np.isfinite(x).all() and (length := np.sqrt((x * x).sum())) > 0 and np.isfinite(length):
+            if len(x) and np.isfinite(x).all() and (largest := np.abs(x).max()) > 0:
                 ids.append(i)
-                rows.append((x / length).astype(np.float32).tobytes() + x.tobytes())
+                y = x / largest
+                rows.append((y / np.sqrt((y * y).sum())).astype(np.float32).tobytes() + x.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) // 12 for r in rows], pa.int32()), pa.array(rows, pa.binary())], names=["vec_id", "width", "vector"])
 
 
@@ -92,8 +113,44 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.stack([np.frombuffer(x, dtype=np.float32, count=width) for x in column])
 
 
-def _exact(x: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(x, dtype=np.float64, offset=4 * width)
+def _exact(column, width: int) -> np.ndarray:
+    """The original vectors; those whose squares overflow or vanish are scaled by the largest component."""
+    x = np.stack([np.frombuffer(v, dtype=np.float64, offset=4 * width) for v in column])
+    with np.errstate(over="ignore", under="ignore"):
+        square = (x * x).sum(axis=1)
+    odd = ~np.isfinite(square) | (square < np.finfo(np.float64).tiny / np.finfo(np.float64).eps)
+    x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+    return x
+
+
+@dataclass
+class Layout:
+    """Where each list lies: the first of its blocks, and how many it has. A block holds short lists together or a part of a long one."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray) -> Layout:
+        first, parts = np.zeros(len(sizes), dtype=np.int64), np.maximum(1, -(-sizes // BLOCK_ROWS))
+        free, held = 0, 0  # the open block, and its rows
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > BLOCK_ROWS:
+                free, held = free + 1, 0
+            first[i] = free
+            if parts[i] > 1:
+                free, held = free + int(parts[i]), 0
+            else:
+                held += n
+        return cls(first, parts)
+
+    def blocks(self, lists: np.ndarray) -> dict[int, list[int]]:
+        """The blocks that hold these lists, and which of the lists each holds."""
+        found: dict[int, list[int]] = {}
+        for i in lists.tolist():
+            for b in range(int(self.first[i]), int(self.first[i] + self.parts[i])):
+                found.setdefault(b, []).append(i)
+        return found
 
 
 def _code(index_of, width: int):
@@ -106,34 +163,44 @@ def _code(index_of, width: int):
     return run
 
 
-def _probe(index_of, width: int, probes: int):
+def _probe(index_of, layout_of, width: int, probes: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                index = index_of.value
                 x = _matrix(batch.column(1).to_pylist(), width)
-                far = (index.lists**2).sum(axis=1) - 2 * x @ index.lists.T
-                at = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                row = pa.array(np.repeat(np.arange(len(x)), at.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int32()), batch.column(0).take(row), batch.column(1).take(row)], names=["list", "query_id", "vector"])
+                to = [layout_of.value.blocks(lists) for lists in index_of.value.order(x)[:, :probes]]
+                row = pa.array(np.repeat(np.arange(len(x)), [len(t) for t in to]))
+                block, lists = [b for t in to for b in t], [np.array(v, dtype=np.int32).tobytes() for t in to for v in t.values()]
+                unit = pa.array([v.tobytes() for v in x], pa.binary())  # without the doubles
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column(0).take(row), unit.take(row), pa.array(lists, pa.binary())], names=["block", "query_id", "vector", "lists"])
 
     return run
 
 
 def _search(index_of, width: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "vec_id": np.zeros(0, dtype=np.int64), "near": np.zeros(0, dtype=np.float32)})
-        rows = rows.sort_values("vec_id")
-        ids = rows["vec_id"].to_numpy()
-        own = queries["query_id"].to_numpy()
-        near = index_of.value.scores(_matrix(queries["vector"], width), int(rows["list"].iloc[0]), np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["codes"]]))
-        keep = min(KEEP + 1, len(ids))  # one may be the query alone
-        least = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep, None]
-        above, tied = near > least, near == least
-        best = above | tied & (np.cumsum(tied, axis=1) <= keep - above.sum(axis=1, keepdims=True))
-        at, one = np.nonzero(best)
-        return pd.DataFrame({"query_id": own[at], "vec_id": ids[one], "near": near[at, one]})
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
+        if len(queries) and len(rows):
+            rows = rows.sort_values(["list", "vec_id"])
+            ids, codes = rows["vec_id"].to_numpy(), np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["codes"]])
+            lists, edges = np.unique(rows["list"].to_numpy(), return_index=True)
+            edges = np.append(edges, len(ids))
+            own, x = queries["query_id"].to_numpy(), _matrix(queries["vector"], width)
+            probed = np.stack([np.isin(lists, np.frombuffer(v, dtype=np.int32)) for v in queries["lists"]])
+            by_id = np.argsort(ids, kind="stable")
+            step = max(1, CELLS // len(ids))
+            for i in range(0, len(own), step):
+                near = np.full((len(own[i : i + step]), len(ids)), -np.inf, dtype=np.float32)
+                for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    here = np.flatnonzero(probed[i : i + step, j])
+                    near[here, a:b] = index_of.value.scores(x[i : i + step][here], int(lists[j]), codes[a:b])
+                near = near[:, by_id]
+                keep = min(RANKED + 1, len(ids))  # one may be the query alone
+                least = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep, None]
+                above, tied = near > least, (near == least) & (near > -np.inf)
+                at, one = np.nonzero(above | tied & (np.cumsum(tied, axis=1) <= keep - above.sum(axis=1, keepdims=True)))
+                found.append((own[i + at], ids[by_id][one], near[at, one]))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "near"), zip(*found, strict=True), strict=True)})
 
     return run
 
@@ -141,17 +208,20 @@ def _search(index_of, width: int):
 def _cosines(width: int):
     def run(batches):
         for batch in batches:
-            score = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = _exact(a, width), _exact(b, width)
-                score.append(float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()))))
+            if not batch.num_rows:
+                continue
+            x, y = _exact(batch.column(2).to_pylist(), width), _exact(batch.column(3).to_pylist(), width)
+            score = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "of", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): of the rows that ``is_query`` picks, the ``k`` nearest other rows that are found."""
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): of the rows that ``is_query`` picks, the ``k`` nearest other rows that are found.
+
+    ``probes`` lists are probed for each query; where it is not given, as many as the sample asks for.
+    """
     context = vectors.sparkSession.sparkContext
     units = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_units, "vec_id long, width int, vector binary")
     units = units.groupBy("vec_id").agg(F.min_by(F.struct("width", "vector"), F.struct("width", "vector")).alias("x")).select("vec_id", "x.width", "x.vector")
@@ -165,18 +235,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     first_ids = units.withColumn("n", F.row_number().over(same.orderBy("vec_id"))).where(F.col("n") <= k + 1)  # a query may be one of them
     copies = written(first_ids.withColumn("of", F.min("vec_id").over(same)), "copies")
     distinct, members = copies.where("n = 1").select("vec_id", "vector"), copies.select("of", F.col("vec_id").alias("member"))
-    sample = units.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(SAMPLE).collect()  # at most SAMPLE rows
-    index = context.broadcast(Index.of(_matrix([r.vector for r in sample], width)))
+    n_lists = int(np.clip(2 ** round(np.log2(distinct.count()) / 2), FEWEST_LISTS, MOST_LISTS))
+    sample = _matrix([r.vector for r in distinct.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(n_lists * PER_LIST).collect()], width)  # at most MOST_LISTS * PER_LIST
+    fitted = Index.of(sample, n_lists)
+    probes = fitted.probes(sample, k) if probes is None else probes
+    index = context.broadcast(fitted)
     coded = written(distinct.mapInArrow(_code(index, width), "list int, vec_id long, codes binary"), "codes")
-    blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("n_blocks"))  # LISTS rows at most
+    sizes = np.zeros(len(fitted.lists), dtype=np.int64)
+    for r in coded.groupBy("list").count().collect():  # a row for each list
+        sizes[r.list] = r["count"]
+    layout = Layout.of(sizes)
+    placed = context.broadcast(layout)
+    place = vectors.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(zip(layout.first.tolist(), layout.parts.tolist(), strict=True))], "list int, first int, parts int")
     asked = units.where(is_query)
 
     def found(asked: DataFrame, probes: int) -> DataFrame:
-        per_list = asked.count() // BLOCK_QUERIES + 1
-        part = F.pmod(F.xxhash64("query_id"), F.lit(per_list)).cast("int").alias("part")
-        queries = asked.mapInArrow(_probe(index, width, probes), "list int, query_id long, vector binary").join(F.broadcast(blocks), "list").select("list", "query_id", "vector", part, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-        rows = coded.join(F.broadcast(blocks), "list").select("list", "vec_id", "codes", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(per_list - 1))).alias("part"))
-        keys = ["list", "block", "part"]
+        n_parts = asked.count() // BLOCK_QUERIES + 1
+        queries = asked.mapInArrow(_probe(index, placed, width, probes), "block int, query_id long, vector binary, lists binary").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int"))
+        block = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+        rows = coded.join(F.broadcast(place), "list").select("list", "vec_id", "codes", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
+        keys = ["block", "part"]
         near = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_search(index, width), "query_id long, vec_id long, near float")
         best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
         likely = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= RANKED + 1).select("query_id", "vec_id")
@@ -189,9 +267,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     first = written(found(asked, probes), "neighbours")
     full = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
     short = written(asked.join(full, "vec_id", "left_anti"), "short")
-    if probes >= LISTS or not short.limit(1).count():
+    if probes >= len(fitted.lists) or not short.limit(1).count():
         return first
-    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(found(short, LISTS))
+    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(found(short, len(fitted.lists)))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -470,6 +470,29 @@ def test_odd_vectors_take_no_part(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_small_blocks_find_the_same_neighbours(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(random.normal(size=(1500, 12)))], "vec_id long, embedding array<double>").repartition(3)
+    asked = F.col("vec_id") % 10 == 0
+    whole = shown(ann.search(table, asked).collect(), "query_id", "rank", "vec_id", "score")
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 32)
+    assert shown(ann.search(table, asked).collect(), "query_id", "rank", "vec_id", "score") == whole and len(whole) == 750
+
+
+def test_lists_are_laid_into_blocks(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
+    layout = ann.Layout.of(np.array([4, 5, 3, 25, 0, 10, 1]))
+    assert layout.parts.tolist() == [1, 1, 1, 3, 1, 1, 1] and layout.first.tolist() == [0, 0, 1, 2, 5, 5, 6]
+    assert layout.blocks(np.array([3, 0, 1])) == {2: [3], 3: [3], 4: [3], 0: [0, 1]}
+
+
+def test_cosines_of_very_long_and_very_short_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e300, 0.0]), (3, [1.0, -1.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 3] and np.allclose([r.score for r in found], [1, 0.5**0.5, 0])
+
+
 # --- awkward rows in every operator ---------------------------------------------------------------------------------
 
 PASSAGE = " ".join(f"p{i}" for i in range(60))
