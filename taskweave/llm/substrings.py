@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words of one document. Its minimiser is the s
 depends on the window's words alone. Consecutive windows with one minimiser travel as one packed string, the words that they span,
 to the bucket of that minimiser; there a sort brings equal windows together and the words themselves confirm that they are equal.
 Before anything travels, equal packed strings of a slice are reduced to the earliest, so that thousands of copies cost one string
-for each slice. What comes back are ranges of repeated windows, which cut words from the documents.
+for each slice. A run of words that is frequent in many contexts would fill one bucket: minimisers are counted first, and windows whose
+minimiser is as heavy as an average bucket go by the hash of the whole window instead, which spreads all but equal windows. What comes back are ranges of repeated windows, which cut words from the documents.
 
 Windows are ordered by (doc_id, start); of equal windows all that come first in this order stay, so windows at the same place of rows
 that repeat a doc_id do not count as copies of one another. Such rows are told apart by a hash of their text and are each cut by
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.llm.words import SPACED, hash_words, mix, runs, scan, slices
-from taskweave.shared import partitions
+from taskweave.shared import partitions, written
 
 WINDOW, GRAM = 20, 3
 SLICE_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 4
+CELL_BITS, HOT = 16, 1.0
 NULL_ID = -(1 << 63)
 _LOW = (1 << 32) - 1
 
@@ -55,28 +57,61 @@ def _ranges(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.nda
     return doc[at], key[at], start[at], np.diff(np.append(at, len(doc)))
 
 
-def _pack(n_buckets: int):
+def _strings(texts: pa.Array, hot: np.ndarray, bits: int):
+    """The words, and of each packed string the first word, the number of windows and the key; None without windows.
+
+    The key is the minimiser of the string's windows, or the hash of the whole window where the minimiser's cell is one of ``hot``.
+    """
+    joined = [b" ".join(x.as_buffer().to_pybytes().split()) if x.is_valid else b"" for x in texts.cast(pa.binary())]
+    w = scan(pa.array(joined, pa.binary()), SPACED)
+    if len(w.start) < WINDOW:
+        return None
+    least = _sliding_min(runs(w.hash, GRAM), WINDOW - GRAM + 1)
+    inside = np.flatnonzero(w.text[: len(least)] == w.text[WINDOW - 1 : WINDOW - 1 + len(least)])
+    if not len(inside):
+        return None
+    key = least[inside]
+    if len(hot):
+        heavy = np.isin(_cell(key, bits), hot)
+        key[heavy] = runs(w.hash, WINDOW)[inside[heavy]]
+    new = np.ones(len(inside), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (inside[1:] != inside[:-1] + 1)
+    at = np.flatnonzero(new)
+    return w, inside[at], np.diff(np.append(at, len(inside))), key[at]
+
+
+def _cell(key: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _weigh(bits: int):
+    """Cells of minimisers, with the windows of their strings that differ within a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for batch in slices(batches, "text", SLICE_BYTES):
+            if (found := _strings(batch.column(1), np.zeros(0, dtype=np.int64), bits)) is not None:
+                w, first, n, key = found
+                _, one = np.unique(mix(runs(w.hash, WINDOW)[first]) + n.astype(np.uint64), return_index=True)
+                total += np.bincount(_cell(key[one], bits), weights=n[one], minlength=len(total)).astype(np.int64)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+
+    return run
+
+
+def _pack(n_buckets: int, hot: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", SLICE_BYTES):
             ids, row_key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            joined = [b" ".join(x.as_buffer().to_pybytes().split()) if x.is_valid else b"" for x in batch.column(1).cast(pa.binary())]
-            w = scan(pa.array(joined, pa.binary()), SPACED)
-            if len(w.start) < WINDOW:
-                continue
-            least = _sliding_min(runs(w.hash, GRAM), WINDOW - GRAM + 1)
-            inside = np.flatnonzero(w.text[: len(least)] == w.text[WINDOW - 1 : WINDOW - 1 + len(least)])
-            if not len(inside):
+            if (found := _strings(batch.column(1), hot, bits)) is None:
                 continue
-            key = least[inside]
-            new = np.ones(len(inside), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (inside[1:] != inside[:-1] + 1)
-            at = np.flatnonzero(new)
-            first, n = inside[at], np.diff(np.append(at, len(inside)))
+            w, first, n, key = found
             text = w.text[first]
             order = np.lexsort((first - w.first[text], ids[text]))  # the earliest of equal strings comes first
             first, n, text = first[order], n[order], text[order]
-            bucket = (mix(key[at][order]) % np.uint64(n_buckets)).astype(np.int64)
+            bucket = (mix(key[order]) % np.uint64(n_buckets)).astype(np.int64)
             doc, mark = ids[text], row_key[text] << 32 | (first - w.first[text])  # the row's key and the place in it
             body, a, b = w.data.tobytes(), w.start[first].tolist(), w.end[first + n + WINDOW - 2].tolist()
             least: dict[bytes, int] = {}
@@ -164,7 +199,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Ranges (doc, key, start, n): of the rows with this id and hash of the text, the ``n`` windows from word ``start`` on stand earlier elsewhere."""
     n = partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.hash(text_col).alias("key"))
-    packed = rows.mapInArrow(_pack(n * BUCKETS_PER_PARTITION), PACKED)
+    n_buckets = n * BUCKETS_PER_PARTITION
+    bits = max(CELL_BITS, (16 * n_buckets - 1).bit_length())  # an average cell is a small part of a bucket
+    cells = written(rows.mapInArrow(_weigh(bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    mean = (cells.agg(F.sum("n")).first()[0] or 0) / n_buckets
+    hot = np.array([r.cell for r in cells.where(F.col("n") > HOT * mean).collect()], dtype=np.int64)  # fewer than buckets / HOT
+    packed = rows.mapInArrow(_pack(n_buckets, hot, bits), PACKED)
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket") % n).otherwise(F.pmod(F.xxhash64("docs"), F.lit(n))).cast("int")
     return packed.repartitionById(n, dealt).sortWithinPartitions("bucket").mapInArrow(_count, RANGES)
 

@@ -204,12 +204,24 @@ def test_super_kmers_in_small_slices_equal_one_slice(spark, monkeypatch):
     texts = [" ".join(random.choice(["a", "b", "c", "d"], size=80)) for _ in range(40)] * 2
     table = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int32())], names=["doc", "text", "key"])
 
-    def ranges(size):
+    def ranges(size, hot=()):
         monkeypatch.setattr(substrings, "SLICE_BYTES", size)
-        packed = pa.Table.from_batches(substrings._pack(8)(iter([table]))).sort_by("bucket").to_batches()
+        packed = pa.Table.from_batches(substrings._pack(8, np.array(hot, dtype=np.int64), 4)(iter([table]))).sort_by("bucket").to_batches()
         return {(d, s + k) for b in substrings._count(iter(packed)) for d, _, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for k in range(n)}
 
-    assert ranges(1 << 20) == ranges(500)
+    assert ranges(1 << 20) == ranges(500) == ranges(1 << 20, range(16)) == ranges(500, range(0, 16, 2))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2])
+def test_windows_of_frequent_runs_are_cut_alike(spark, monkeypatch, share):
+    monkeypatch.setattr(substrings, "HOT", share)
+    random = np.random.default_rng(8)
+    texts = [" ".join([*random.choice(["a", "b"], size=25), "one line in many contexts", *random.choice(["c", "d"], size=25)]) for _ in range(60)]
+    texts += [*texts[:5], texts[7] + " more", None, ""]
+    expected = brute_cut(texts)
+    assert sum(e[1] for e in expected) > 300
+    for r in substrings.dedup(docs(spark, texts).repartition(3)).collect():
+        assert (r.n_words, r.n_removed, r.kept) == expected[r.doc_id]
 
 
 # --- urls -----------------------------------------------------------------------------------------------------------
