@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
         context_dir = context._jsc.sc().getCheckpointDir()
         if context_dir.isDefined():
             return context_dir.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:/tmp/taskweave-checkpoints"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(found)
