@@ -109,9 +109,10 @@ def nb_ratio(counts: DataFrame, row: str, labels: DataFrame, positive: Column) -
     return each.crossJoin(F.broadcast(total)).select("term", (F.ln(F.col("p") / F.col("_p")) - F.ln(F.col("q") / F.col("_q"))).alias("ratio"))
 
 
-def scaled(df: DataFrame, columns: list[str], with_mean: bool = True) -> DataFrame:
-    """Columns divided by their standard deviation (0 leaves them), after taking off the mean."""
-    stats = df.agg(*[F.mean(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+def scaled(df: DataFrame, columns: list[str], with_mean: bool = True, of: Column | None = None) -> DataFrame:
+    """Columns divided by their standard deviation (0 leaves them), after taking off the mean; both are those of the rows ``of``, or of all."""
+    value = (lambda c: F.col(c)) if of is None else (lambda c: F.when(of, F.col(c)))
+    stats = df.agg(*[F.mean(value(c)).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(value(c)).alias(f"_s_{c}") for c in columns])
     one = lambda c: (F.col(c) - (F.col(f"_m_{c}") if with_mean else 0)) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
     return df.crossJoin(F.broadcast(stats)).select(*[F.col(c) if c not in columns else one(c).alias(c) for c in df.columns])
 

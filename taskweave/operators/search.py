@@ -59,43 +59,74 @@ def collapsed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("_n"))
 
 
-def offset_grid(df: DataFrame, truth: str, scores: list[str], classes, grid: list[list[float]]) -> DataFrame:
-    """(b0, b1, ..., macro_f1) for each combination of class offsets; ties of scores, to six decimals, go to the first class.
+def _macro_of_calls(df: DataFrame, truth: str, scores: list[str], classes, candidates: np.ndarray, call) -> DataFrame:
+    """(_i, macro_f1) of each candidate; ``call(x, candidate)`` gives the class scores of a batch, whose ties, to six decimals, go to the first class.
 
-    Each task counts its rows into one confusion matrix a combination; only those travel, so the work is rows times combinations and
-    the shuffle is of fixed size.
+    Each task counts its rows into one confusion matrix a candidate; only those travel, so the work is rows times candidates and the
+    shuffle is of fixed size.
     """
-    names, table = list(classes), np.array(list(itertools.product(*grid)), dtype=np.float64)
+    names = list(classes)
 
     def count(batches):
-        total = np.zeros((len(table), len(names) + 1, len(names)), dtype=np.int64)  # the last row is for other labels
+        total = np.zeros((len(candidates), len(names) + 1, len(names)), dtype=np.int64)  # the last row is for other labels
         for batch in batches:
             if batch.num_rows:
                 place = {c: i for i, c in enumerate(names)}
                 y = np.array([place.get(c, len(names)) for c in batch.column(0).to_pylist()])
-                x = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(names))], axis=1)
-                for i, offsets in enumerate(table):
-                    called = np.rint((x + offsets) * 1e6).argmax(axis=1)
+                x = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(scores))], axis=1)
+                for i, candidate in enumerate(candidates):
+                    called = np.rint(call(x, candidate) * 1e6).argmax(axis=1)
                     total[i] += np.bincount(y * len(names) + called, minlength=total[i].size).reshape(total[i].shape)
         at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([*[pa.array(a.astype(np.int32)) for a in at], pa.array(total[at])], names=["_i", "_y", "_c", "_n"])
 
     rows = df.select(truth, *[F.col(s).cast("double") for s in scores]).na.drop(subset=scores)
     counts = rows.mapInArrow(count, "_i int, _y int, _c int, _n long").groupBy("_i", "_y", "_c").agg(F.sum("_n").alias("_n"))
-    sums = macro_f1(counts, ["_i"], "_y", "_c", "_n", range(len(names)))
+    return macro_f1(counts, ["_i"], "_y", "_c", "_n", range(len(names)))
+
+
+def _grid(df: DataFrame, truth: str, scores: list[str], classes, grid: list[list[float]], call) -> DataFrame:
+    table = np.array(list(itertools.product(*grid)), dtype=np.float64)
+    sums = _macro_of_calls(df, truth, scores, classes, table, call)
     columns = [f"b{k}" for k in range(len(scores))]
     candidates = df.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(table)], "_i int, " + ", ".join(f"{c} double" for c in columns))  # the grid
     return sums.join(F.broadcast(candidates), "_i").select(*columns, "macro_f1")
 
 
-def coordinate_search(df: DataFrame, truth: str, scores: list[str], classes, points: list[float], passes: int = 3) -> list[float]:
-    """Offsets by coordinate passes that keep strict improvements; one job for each coordinate, of which a row comes back."""
+def offset_grid(df: DataFrame, truth: str, scores: list[str], classes, grid: list[list[float]]) -> DataFrame:
+    """(b0, b1, ..., macro_f1) for each combination of class offsets."""
+    return _grid(df, truth, scores, classes, grid, lambda x, offsets: x + offsets)
+
+
+def passed_grid(df: DataFrame, truth: str, scores: list[str], classes, grid: list[list[float]]) -> DataFrame:
+    """(b0, b1, ..., macro_f1) for each combination of thresholds of boundary scores; the rank of a class is how many are passed."""
+    ranks = np.arange(len(classes))
+    return _grid(df, truth, scores, classes, grid, lambda x, cuts: (x >= cuts).sum(axis=1)[:, None] == ranks)
+
+
+def blend_trials(df: DataFrame, truth: str, matrices: list[list[str]], classes, trials: int, seed: str = "blend") -> DataFrame:
+    """(trial, w, macro_f1) of score matrices, each a list of columns by class, blended by random weights."""
+    drawn = simplex_weights(df.sparkSession, trials, len(matrices), seed).orderBy("trial").collect()  # ``trials`` rows
+    table = np.array([r.w for r in drawn])
+
+    def mixed(x, w):
+        return np.tensordot(w, x.reshape(len(x), len(w), -1), axes=(0, 1))
+
+    flat = [c for m in matrices for c in m]
+    unique = df.select(truth, *[F.col(c).alias(f"_m{i}") for i, c in enumerate(flat)])
+    sums = _macro_of_calls(unique, truth, [f"_m{i}" for i in range(len(flat))], classes, table, mixed)
+    candidates = df.sparkSession.createDataFrame([(r.trial, r.w) for r in drawn], "trial long, w array<double>")
+    return sums.join(F.broadcast(candidates), F.col("_i") == F.col("trial")).select("trial", "w", "macro_f1")
+
+
+def coordinate_search(df: DataFrame, truth: str, scores: list[str], classes, points: list[float], passes: int = 3, evaluate=offset_grid) -> list[float]:
+    """Offsets, or thresholds with ``passed_grid``, by coordinate passes that keep strict improvements; one job for each coordinate, of which a row comes back."""
     held, top = [0.0] * len(scores), -1.0
     for _ in range(passes):
         before = list(held)
         for k in range(len(scores)):
             grid = [[h] if i != k else [held[k], *points] for i, h in enumerate(held)]
-            found = best(offset_grid(df, truth, scores, classes, grid), "macro_f1", f"b{k}").first()
+            found = best(evaluate(df, truth, scores, classes, grid), "macro_f1", f"b{k}").first()
             if found.macro_f1 > top + 1e-12:
                 held[k], top = found[f"b{k}"], found.macro_f1
         if held == before:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
@@ -17,8 +18,20 @@ def normalize_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
 
 
+#: What case folding makes of characters that lower-casing leaves as they are, by Unicode's rule as Python has it.
+FOLDED = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.lower() == c != c.casefold()}
+
+
+def casefold(c: Column) -> Column:
+    """Unicode case folding; texts without a character of ``FOLDED`` are only lower-cased."""
+    low = F.lower(c)
+    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    each = F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(low.rlike("[" + "".join(FOLDED) + "]"), F.array_join(each, "")).otherwise(low)
+
+
 def casefold_key(c: Column) -> Column:
-    return F.replace(F.lower(normalize_ws(c)), F.lit("ß"), F.lit("ss"))
+    return casefold(normalize_ws(c))
 
 
 @F.pandas_udf(StringType())

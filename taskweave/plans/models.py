@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from taskweave.operators import evaluate as E
 from taskweave.operators import features as X
 from taskweave.operators import labels as L
 from taskweave.operators import models as M
@@ -16,7 +17,7 @@ from taskweave.operators import splits as S
 from taskweave.plans import fixtures as V
 from taskweave.plans.features import COUNTS, counts
 from taskweave.plans.registry import query
-from taskweave.plans.scoring import ARG, COLUMNS
+from taskweave.plans.scoring import ARG, COLUMNS, OFFSETS
 from taskweave.shared import new_path, written
 from taskweave.sources import tables as S_
 
@@ -71,16 +72,45 @@ def src_model(spark, sf):
     return M.predicted(S_.load_model(spark, OneVsRestModel, path, L.CLASSES, 1), held).select("task_id", "label")
 
 
+def picked(candidates, validation, positive, fit):
+    """The candidate whose scores have the best F1 on validation rows: (candidate, its model, threshold)."""
+    top = None
+    for candidate in candidates:
+        model = fit(candidate)
+        found = Q.best(Q.threshold_grid(M.scored(model, validation(candidate), "s"), positive, "s", [k / 20 - 2 for k in range(81)]), "f1", "t").first()
+        if top is None or found.f1 > top[0]:
+            top = found.f1, candidate, model, found.t
+    return top[1:]
+
+
+def weighted_svc(rows, positive, constant, weight):
+    return M.binary_svc(rows.withColumn("weight", F.when(positive, float(weight)).otherwise(1.0)), positive, constant)
+
+
+#: View, C and weight of the positive rows.
+SPECIALISTS = [("word", 0.25, 2), ("word", 1.0, 8), ("char_word", 0.25, 2), ("char_word", 1.0, 16)]
+VIEWS = {"word": [("word", X.word_ngrams(c("task"), 1, 2), 1.0)], "char_word": [("word", X.word_ngrams(c("task"), 1, 2), 1.0), ("char", X.char_wb_ngrams(c("task"), 3, 4), 0.65)]}
+VALIDATION = "task_id % 4 = 1"
+
+
 @query("ml_svc_specialists")
 def ml_svc_specialists(spark, sf):
-    """One binary SVM a class; each class's threshold is the one with the best F1 on training rows."""
-    train, held = prepared(spark, sf)
-    out = held.select("task_id", "y", "features", "weight")
-    for name in L.CLASSES:
-        model = M.binary_svc(train, c("y") == name)
-        best = Q.best(Q.threshold_grid(M.scored(model, train, "s"), c("y") == name, "s", [k / 20 - 2 for k in range(81)]), "f1", "t").first()
-        out = M.scored(model, out, f"score_{name}").withColumn(f"is_{name}", c(f"score_{name}") >= best.t)
-    return out.drop("features", "weight")
+    """One binary SVM a class: view, C, weight and threshold are those with the best F1 on validation rows; the highest score above its threshold, with offsets found there, wins."""
+    data = {view: prepared(spark, sf, specs) for view, specs in VIEWS.items()}
+    known, out = None, None
+    for k, name in enumerate(L.CLASSES):
+        positive = c("y") == name
+        fit = lambda s: weighted_svc(data[s[0]][0].where(f"not ({VALIDATION})"), positive, *s[1:])  # noqa: B023, E731
+        setting, model, t = picked(SPECIALISTS, lambda s: data[s[0]][0].where(VALIDATION), positive, fit)
+        train, held = data[setting[0]]
+        centred = lambda model, rows: M.scored(model, rows, "s").select("task_id", "y", (c("s") - t).alias(f"score_{k}"))  # noqa: B023, E731
+        seen, asked = centred(model, train.where(VALIDATION)), centred(weighted_svc(train, positive, *setting[1:]), held)
+        known = seen if known is None else known.join(seen, ["task_id", "y"])
+        out = asked if out is None else out.join(asked, ["task_id", "y"])
+    columns = [f"score_{k}" for k in range(len(L.CLASSES))]
+    offsets = Q.coordinate_search(written(known, "specialists"), "y", columns, L.CLASSES, OFFSETS)
+    label = Q.argmax([c(s) + F.lit(b) for s, b in zip(columns, offsets, strict=True)], L.CLASSES)
+    return out.select("task_id", "y", *[c(f"score_{k}").alias(f"score_{n}") for k, n in enumerate(L.CLASSES)], *[(c(f"score_{k}") >= 0).alias(f"is_{n}") for k, n in enumerate(L.CLASSES)], label.alias("label"))
 
 
 @query("ml_char_word_svc")
@@ -160,6 +190,41 @@ def ml_ordinal_svm(spark, sf):
     return V.scores(spark, sf).select("task_id", M.passed_rank([c("s0"), c("s1")], [0.0, 0.25]).alias("rank"))
 
 
+@query("ml_ordinal_threshold_fit")
+def ml_ordinal_threshold_fit(spark, sf):
+    """A logistic model for each step of the order, decoded into class probabilities; the likeliest class wins."""
+    train, out = prepared(spark, sf)
+    for t in range(len(L.CLASSES) - 1):
+        model = M.logistic(train.withColumn("index", (c("index") > t).cast("double")))
+        out = model.transform(out).withColumn(f"over_{t}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    p = M.monotone_classes([c(f"over_{t}") for t in range(len(L.CLASSES) - 1)])
+    out = out.select("task_id", "y", *[v.alias(k) for k, v in p.items()])
+    return out.withColumn("label", Q.argmax([c(k) for k in L.CLASSES], L.CLASSES))
+
+
+#: C and weight of the positive rows.
+BOUNDARIES = [(0.25, 1), (0.5, 1), (0.5, 2), (0.75, 2), (1.0, 4)]
+
+
+@query("ml_ordinal_svm_fit")
+def ml_ordinal_svm_fit(spark, sf):
+    """A boundary SVM for each step of the order, its setting by F1 on validation rows, all thresholds by macro F1 there; models of all training rows score the rest."""
+    train, out = prepared(spark, sf)
+    fitting, known = train.where(f"not ({VALIDATION})"), train.where(VALIDATION)
+    columns = [f"over_{t}" for t in range(len(L.CLASSES) - 1)]
+    for t, name in enumerate(columns):
+        positive, top = c("index") > t, None
+        for setting in BOUNDARIES:
+            model = weighted_svc(fitting, positive, *setting)
+            f1 = Q.threshold_grid(M.scored(model, train.where(VALIDATION), "s"), positive, "s", [0.0]).first().f1
+            if top is None or f1 > top[0]:
+                top = f1, setting, model
+        known = M.scored(top[2], known, name)
+        out = M.scored(weighted_svc(train, positive, *top[1]), out, name)
+    cuts = Q.coordinate_search(written(known.select("y", *columns), "boundaries"), "y", columns, L.CLASSES, [k / 20 - 2 for k in range(81)], 4, Q.passed_grid)
+    return out.select("task_id", "y", *columns, L.from_rank(M.passed_rank([c(n) for n in columns], cuts)).alias("label"))
+
+
 @query("ml_ordered_logit")
 def ml_ordered_logit(spark, sf):
     s = V.scores(spark, sf).withColumn("r", L.rank(c("y")))
@@ -199,27 +264,34 @@ def embedded(spark, sf):
     return V.labelled(spark, sf).select("task_id", "y").join(vectors, "task_id").withColumn("weight", F.lit(1.0)).withColumn("index", L.rank(c("y")).cast("double"))
 
 
+def ridge_labels(train, rows):
+    """Ridge to +1 and -1 for each class; the highest wins."""
+    for k, name in enumerate(L.CLASSES):
+        model = M.ridge(train.withColumn("t", F.when(c("y") == name, 1.0).otherwise(-1.0)), "t")
+        rows = model.transform(rows).withColumnRenamed("prediction", f"r{k}")
+    return rows.withColumn("label", Q.argmax([c(f"r{k}") for k in range(3)], L.CLASSES))
+
+
 @query("ml_ridge_classifier")
 def ml_ridge_classifier(spark, sf):
-    """Ridge to +1 and -1 for each class, on dense vectors; the highest wins."""
+    """On dense vectors."""
     rows = written(embedded(spark, sf), "dense")
-    out = rows.where(HELD)
-    for k, name in enumerate(L.CLASSES):
-        train = rows.where(f"not ({HELD})").withColumn("t", F.when(c("y") == name, 1.0).otherwise(-1.0))
-        out = M.ridge(train, "t").transform(out).withColumnRenamed("prediction", f"r{k}")
-    return out.select("task_id", "y", Q.argmax([c(f"r{k}") for k in range(3)], L.CLASSES).alias("label"))
+    return ridge_labels(rows.where(f"not ({HELD})"), rows.where(HELD)).select("task_id", "y", "label")
 
 
 @query("ml_dense_probe")
 def ml_dense_probe(spark, sf):
-    """Several estimators on dense vectors, with their accuracy on held-out rows."""
-    rows = written(embedded(spark, sf), "dense")
-    train, held = rows.where(f"not ({HELD})"), rows.where(HELD)
+    """Three estimators on dense vectors with their metrics on validation and test rows; ``best`` marks the highest macro F1 on validation rows."""
+    rows = embedded(spark, sf).withColumn("split", F.when(F.expr(HELD), "test").when(F.expr(VALIDATION), "validation").otherwise("train"))
+    rows = written(rows, "dense")
+    train, asked = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    calls = {"ridge": ridge_labels(train, asked), "logistic": M.predicted(M.logistic(train), asked), "svc": M.predicted(M.one_vs_rest(train), asked)}
     out = None
-    for name, model in (("logistic", M.logistic(train)), ("svc", M.one_vs_rest(train))):
-        part = M.predicted(model, held).agg(F.avg((c("label") == c("y")).cast("int")).alias("accuracy")).withColumn("model", F.lit(name))
+    for name, found in calls.items():
+        part = found.select(F.lit(name).alias("model"), "split", c("y").alias("y_true"), c("label").alias("y_pred"))
         out = part if out is None else out.unionByName(part)
-    return out
+    by = ["model", "split"]
+    return Q.leaderboard(E.metrics(E.confusion(out, by=by), by).select(*by, "accuracy", "macro_f1"), "model", "macro_f1", "split")
 
 
 @query("ml_trees")
@@ -250,39 +322,37 @@ def ml_platt(spark, sf):
     return s.where(HELD).select("task_id", "y", *[(r / total).alias(f"p_{n}") for r, n in zip(raw, L.CLASSES, strict=True)])
 
 
-def out_of_fold(spark, sf, folds: int = 2):
-    """Every row's base scores from models that did not see its fold."""
+def out_of_fold(spark, sf, folds: int = 4):
+    """Base scores o0, o1, o2: training rows' from models that did not see their fold, held-out rows' (fold -1) from a model of all training rows."""
     train, held = prepared(spark, sf)
-    data = train.unionByName(held)
-    data = data.join(S.group_folds(data, "jobrole_id", "y", folds).select("jobrole_id", "fold"), "jobrole_id")
-    parts = [M.predicted(M.one_vs_rest(data.where(c("fold") != f)), data.where(c("fold") == f)) for f in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("task_id", "y", "index", "weight", "fold", "scores")
+    dealt = written(train.join(S.group_folds(train, "jobrole_id", "y", folds).select("jobrole_id", "fold"), "jobrole_id"), "folds")
+    out = M.predicted(M.one_vs_rest(train), held.withColumn("fold", F.lit(-1)))
+    for f in range(folds):
+        out = out.unionByName(M.predicted(M.one_vs_rest(dealt.where(c("fold") != f)), dealt.where(c("fold") == f)))
+    return out.select("task_id", "y", "index", "weight", "fold", *[c("scores")[k].alias(f"o{k}") for k in range(3)])
 
 
 def stacked(rows, inputs):
-    data = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
-    model = M.logistic(data)
-    return M.predicted(model, data).select("task_id", "y", "fold", "label")
+    """Held-out rows by a logistic model of the scaled inputs and offsets; scale, model and offsets are fitted on training rows."""
+    train = c("fold") >= 0
+    data = VectorAssembler(inputCols=inputs, outputCol="features").transform(X.scaled(rows, inputs, of=train))
+    fitted = M.predicted(M.logistic(data.where(train)), data).select("task_id", "y", "fold", *[c("scores")[k].alias(f"m{k}") for k in range(3)])
+    fitted, columns = written(fitted, "stacked"), ["m0", "m1", "m2"]
+    offsets = Q.coordinate_search(fitted.where(train), "y", columns, L.CLASSES, OFFSETS)
+    return fitted.where("fold = -1").select("task_id", "y", Q.argmax([c(m) + F.lit(b) for m, b in zip(columns, offsets, strict=True)], L.CLASSES).alias("label"))
 
 
 @query("ml_oof_stack")
 def ml_oof_stack(spark, sf):
-    base = out_of_fold(spark, sf)
-    rows = written(base.select("*", *[c("scores")[k].alias(f"o{k}") for k in range(3)]).drop("scores"), "oof")
-    return stacked(X.scaled(rows, ["o0", "o1", "o2"]), ["o0", "o1", "o2"])
+    return stacked(written(out_of_fold(spark, sf), "oof"), ["o0", "o1", "o2"])
 
 
 @query("ml_oof_enriched")
 def ml_oof_enriched(spark, sf):
     """The stack with more signals: the score table, their products with the base scores."""
-    base = out_of_fold(spark, sf).select("*", *[c("scores")[k].alias(f"o{k}") for k in range(3)]).drop("scores")
-    rows = base.join(V.scores(spark, sf).select("task_id", *COLUMNS), "task_id")
+    rows = out_of_fold(spark, sf).join(V.scores(spark, sf).select("task_id", *COLUMNS), "task_id")
     rows = written(rows.select("*", *[(c(f"o{k}") * c(f"s{k}")).alias(f"x{k}") for k in range(3)]), "oof")
-    inputs = [f"{p}{k}" for p in "osx" for k in range(3)]
-    return stacked(X.scaled(rows, inputs), inputs)
+    return stacked(rows, [f"{p}{k}" for p in "osx" for k in range(3)])
 
 
 @query("ft_svd")

@@ -146,11 +146,27 @@ def op_bias_grid(spark, sf):
     return Q.best(grid, "macro_f1", "b0", "b1", "b2").withColumn("macro_f1", F.round("macro_f1", 6))
 
 
-@query("op_bias_coordinate", OFFSET.format(grid=B_SQL.format("b0") + ", (SELECT 0.0::DOUBLE AS b1), (SELECT 0.0::DOUBLE AS b2)") + " SELECT b0, round(macro_f1, 6) AS macro_f1 FROM m ORDER BY round(macro_f1, 9) DESC, b0 LIMIT 1")
+def _coordinate_sql(passes: int = 3) -> str:
+    """Each step tries one coordinate's points and the offset that is held, and keeps the best if it is strictly better."""
+    steps, names = ["h0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, -1.0::DOUBLE AS top)"], ["b0", "b1", "b2"]
+    for i in range(3 * passes):
+        b = f"b{i % 3}"
+        tried = ", ".join("v.v AS " + n if n == b else "h." + n for n in names)
+        steps.append(f"g{i} AS (SELECT {tried} FROM h{i} h, (SELECT {b} AS v FROM h{i} UNION SELECT v FROM {B_SQL.format('v')}) v)")
+        called = ARG.format("round(s0 + b0, 6)", "round(s1 + b1, 6)", "round(s2 + b2, 6)")
+        steps.append(f"m{i} AS (SELECT b0, b1, b2, {macro('p', '1')} AS macro_f1 FROM (SELECT b0, b1, b2, y, {called} AS p FROM scores, g{i}) GROUP BY ALL)")
+        steps.append(f"t{i} AS (SELECT * FROM m{i} ORDER BY round(macro_f1, 9) DESC, {b} LIMIT 1)")
+        kept = ", ".join(f"CASE WHEN t.macro_f1 > h.top + 1e-12 THEN t.{n} ELSE h.{n} END AS {n}" for n in names)
+        steps.append(f"h{i + 1} AS (SELECT {kept}, CASE WHEN t.macro_f1 > h.top + 1e-12 THEN t.macro_f1 ELSE h.top END AS top FROM h{i} h, t{i} t)")
+    return S + ", " + ", ".join(steps) + f" SELECT b0, b1, b2, round(top, 6) AS macro_f1 FROM h{3 * passes}"
+
+
+@query("op_bias_coordinate", _coordinate_sql())
 def op_bias_coordinate(spark, sf):
-    """One pass over the first coordinate; ``coordinate_search`` runs them all."""
-    grid = Q.offset_grid(V.scores(spark, sf), "y", COLUMNS, CLASSES, [OFFSETS, [0.0], [0.0]])
-    return Q.best(grid, "macro_f1", "b0").select("b0", F.round("macro_f1", 6).alias("macro_f1"))
+    """Three passes over all coordinates."""
+    rows = written(V.scores(spark, sf).select("y", *COLUMNS), "scores")
+    held = Q.coordinate_search(rows, "y", COLUMNS, CLASSES, OFFSETS)
+    return Q.offset_grid(rows, "y", COLUMNS, CLASSES, [[h] for h in held]).withColumn("macro_f1", F.round("macro_f1", 6))
 
 
 GUESS = "round(CASE y WHEN 'E0' THEN 0.1 WHEN 'E23' THEN 0.4 ELSE 0.7 END + s0 / 8, 3)::DOUBLE"
@@ -188,18 +204,15 @@ def op_gate_grid(spark, sf):
     return Q.best(grid, "macro_f1", "t", "m").withColumn("macro_f1", F.round("macro_f1", 6))
 
 
+TRIALS = 2000
 U = lambda k: f"(({V.h(chr(39) + 'blend|' + chr(39) + f' || trial || ' + chr(39) + f'|{k}' + chr(39))} + 1) / 4294967297.0)"
-BLEND = S + f", e AS (SELECT trial, -ln({U(0)}) AS e0, -ln({U(1)}) AS e1 FROM (SELECT unnest(generate_series(0, 63)) AS trial)), w AS (SELECT trial, round(e0 / (e0 + e1), 6) AS w0, round(e1 / (e0 + e1), 6) AS w1 FROM e), c AS (SELECT trial, w0, w1, y, round(w0 * s0 + w1 * s1, 6) AS a, round(w0 * s1 + w1 * s2, 6) AS b, round(w0 * s2 + w1 * s0, 6) AS d FROM scores, w), m AS (SELECT trial, w0, w1, {macro('p', '1')} AS macro_f1 FROM (SELECT *, {ARG.format('a', 'b', 'd')} AS p FROM c) GROUP BY ALL)"
+BLEND = S + f", e AS (SELECT trial, -ln({U(0)}) AS e0, -ln({U(1)}) AS e1 FROM (SELECT unnest(generate_series(0, {TRIALS - 1})) AS trial)), w AS (SELECT trial, round(e0 / (e0 + e1), 6) AS w0, round(e1 / (e0 + e1), 6) AS w1 FROM e), c AS (SELECT trial, w0, w1, y, round(w0 * s0 + w1 * s1, 6) AS a, round(w0 * s1 + w1 * s2, 6) AS b, round(w0 * s2 + w1 * s0, 6) AS d FROM scores, w), m AS (SELECT trial, w0, w1, {macro('p', '1')} AS macro_f1 FROM (SELECT *, {ARG.format('a', 'b', 'd')} AS p FROM c) GROUP BY ALL)"
 
 
 @query("op_blend", BLEND + " SELECT trial, round(w0, 5) AS w0, round(w1, 5) AS w1, round(macro_f1, 6) AS macro_f1 FROM m ORDER BY round(macro_f1, 9) DESC, trial LIMIT 1")
 def op_blend(spark, sf):
     """Two score matrices (one a turn of the other) blended by random weights."""
-    w = Q.simplex_weights(spark, 64, 2)
-    rows = V.scores(spark, sf).crossJoin(F.broadcast(w))  # trials, not rows, are broadcast
-    mix = lambda a, b: F.round(F.col("w")[0] * F.col(a) + F.col("w")[1] * F.col(b), 6)
-    rows = rows.select("trial", "w", "y", Q.argmax([mix("s0", "s1"), mix("s1", "s2"), mix("s2", "s0")], CLASSES).alias("p"))
-    m = Q.macro_f1(rows.groupBy("trial", "w", "y", "p").agg(F.count("*").alias("_n")), ["trial", "w"], "y", "p", "_n", CLASSES)
+    m = Q.blend_trials(V.scores(spark, sf), "y", [["s0", "s1", "s2"], ["s1", "s2", "s0"]], CLASSES, TRIALS)
     return Q.best(m, "macro_f1", "trial").select("trial", F.round(F.col("w")[0], 5).alias("w0"), F.round(F.col("w")[1], 5).alias("w1"), F.round("macro_f1", 6).alias("macro_f1"))
 
 

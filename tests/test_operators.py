@@ -192,3 +192,24 @@ def test_offsets_equal_brute_force(spark):
         called = np.array(classes)[np.round(s + np.array(b), 6).argmax(axis=1)]
         f1 = [2 * ((y == c) & (called == c)).sum() / max(((y == c).sum() + (called == c).sum()), 1) for c in classes]
         assert abs(found[b] - np.mean(f1)) < 1e-12
+
+
+def test_casefold_is_unicodes(spark):
+    from pyspark.sql import functions as F
+
+    cases = ["Straße", "ΣΊΣΥΦΟΣ", "ﬁne ﬂow", "İstanbul", "µ-Wave", "ŉ ǰ ΐ", "plain", "", None, "ẞ", "ſo"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string")
+    found = [r.y for r in rows.select("i", text.casefold(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert found == [None if x is None else x.casefold() for x in cases]
+
+
+def test_thresholds_equal_brute_force(spark):
+    rows = [("abc"[i % 3], (i * 7 % 11) / 10, (i * 5 % 13) / 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "y string, s0 double, s1 double")
+    points = [0.2, 0.5, 0.9]
+    found = {(r.b0, r.b1): r.macro_f1 for r in search.passed_grid(df, "y", ["s0", "s1"], ["a", "b", "c"], [points, points]).collect()}
+    for (a, b), value in found.items():
+        called = ["abc"[(x >= a) + (z >= b)] for _, x, z in rows]
+        each = [2 * sum(r[0] == k == p for r, p in zip(rows, called, strict=True)) / max(1, sum(r[0] == k for r in rows) + called.count(k)) for k in "abc"]
+        assert abs(value - sum(each) / 3) < 1e-9
+    assert len(found) == 9
