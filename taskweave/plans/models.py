@@ -89,14 +89,14 @@ def weighted_svc(rows, positive, constant, weight):
 
 #: View, C and weight of the positive rows.
 SPECIALISTS = [("word", 0.25, 2), ("word", 1.0, 8), ("char_word", 0.25, 2), ("char_word", 1.0, 16)]
-VIEWS = {"word": [("word", X.word_ngrams(c("task"), 1, 2), 1.0)], "char_word": [("word", X.word_ngrams(c("task"), 1, 2), 1.0), ("char", X.char_wb_ngrams(c("task"), 3, 4), 0.65)]}
 VALIDATION = "task_id % 4 = 1"
 
 
 @query("ml_svc_specialists")
 def ml_svc_specialists(spark, sf):
     """One binary SVM a class: view, C, weight and threshold are those with the best F1 on validation rows; the highest score above its threshold, with offsets found there, wins."""
-    data = {view: prepared(spark, sf, specs) for view, specs in VIEWS.items()}
+    word, char = ("word", X.word_ngrams(c("task"), 1, 2), 1.0), ("char", X.char_wb_ngrams(c("task"), 3, 4), 0.65)
+    data = {"word": prepared(spark, sf, [word]), "char_word": prepared(spark, sf, [word, char])}
     known, out = None, None
     for k, name in enumerate(L.CLASSES):
         positive = c("y") == name
