@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskweave.llm import ann, decontaminate, neardup, packing, quality, secrets, substrings, toxicity, urls, warc
+from taskweave.llm import ann, decontaminate, mixing, neardup, negatives, packing, quality, secrets, substrings, toxicity, urls, variants, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_warc": warc.op8,
         "op9_neighbours": ann.op9,
         "op10_quality": quality.op10,
+        "op11_hard_negatives": negatives.op11,
+        "op12_mix_sources": mixing.op12,
+        "op13_spelling_variants": variants.op13,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontaminate.ORACLE,
         "op7_near_dedup": neardup.ORACLE,
         "op8_warc": warc.ORACLE,
+        "op11_hard_negatives": negatives.ORACLE,
+        "op13_spelling_variants": variants.ORACLE,
     }
