@@ -5,14 +5,17 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Strings in a generation of a worker's table: about 75 MB in all for both.
-KEPT = 300_000
+#: Bytes of a generation of a worker's table, of which there are two, by the estimate ``Kept.cost``.
+KEPT_BYTES = 24 << 20
+#: The longest string that is kept, and how many strings are learned at once.
+LONGEST, AT_ONCE = 1024, 8192
 _MARKS = ".,;:!?|%$#&*"
 _PLAIN = re.compile(r"[!-~¡-ÿ]+")
 
@@ -23,11 +26,22 @@ class Kept:
     def __init__(self):
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.held = 0
+
+    @staticmethod
+    def cost(text: str, ids: bytes) -> int:
+        """About the bytes of an entry: two objects with their heads, and a place in a table that is half empty."""
+        return 200 + len(text) + len(ids)
+
+    def add(self, text: str, ids: bytes) -> None:
+        if text not in self.now:
+            self.now[text] = ids
+            self.held += self.cost(text, ids)
 
     def turn(self) -> None:
         """Starts a new generation if this one is full."""
-        if len(self.now) > KEPT:
-            self.now, self.before = {}, self.now
+        if self.held > KEPT_BYTES:
+            self.now, self.before, self.held = {}, self.now, 0
 
     def lacking(self, asked: Iterable[str]) -> list[str]:
         """What isn't held; all else that is asked for is in ``now`` afterwards."""
@@ -37,7 +51,7 @@ class Kept:
                 if (found := before.get(x)) is None:
                     out.append(x)
                 else:
-                    now[x] = found
+                    self.add(x, found)
         return out
 
 
@@ -75,8 +89,9 @@ class Encoder:
             cls._made[path, pretoken] = cls(path, pretoken)
         return cls._made[path, pretoken]
 
-    def _pieces(self, pieces: list[str]) -> None:
-        """Learns pieces, each of which is one word to the tokenizer."""
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each of which is one word to the tokenizer."""
+        out: list[bytes] = []
         groups = [pieces[i : i + 2000] for i in range(0, len(pieces), 2000)]
         for group, found in zip(groups, self.cut_up.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype=self.wide)
@@ -84,9 +99,23 @@ class Encoder:
             if len(stops) != len(group):
                 raise ValueError("a piece is not one word to the tokenizer")
             body, stops = ids.tobytes(), [0, *stops.tolist()]
-            self.kept.now.update(zip(group, [body[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], strict=True))
+            out += [body[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        return out
+
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype=self.wide).tobytes()
+
+    def _long(self, part: str) -> bytes:
+        """A part that is too long to be kept, cut and encoded a few pieces at a time."""
+        if "<|" in part or not _PLAIN.fullmatch(part):
+            return self._whole(part)
+        pieces, out = (m.group() for m in self.cut.finditer(part.lower())), bytearray()
+        while some := list(islice(pieces, AT_ONCE)):
+            out += b"".join(self._of_pieces(some))
+        return bytes(out)
 
     def _learn(self, missing: list[str]) -> None:
+        """Keeps the ids of parts, none of them long."""
         plain, cut = [], []
         for p in missing:
             if p.isascii() or _PLAIN.fullmatch(p):
@@ -100,23 +129,31 @@ class Encoder:
                 else:
                     continue
                 plain.append(p)
-        self._pieces(self.kept.lacking({x for c in cut for x in c}))
-        parts = self.kept.now
-        get = parts.__getitem__
+        pieces = self.kept.lacking(dict.fromkeys(x for c in cut for x in c))
+        for piece, ids in zip(pieces, self._of_pieces(pieces), strict=True):
+            self.kept.add(piece, ids)
+        get = self.kept.now.__getitem__
         for p, c in zip(plain, cut, strict=True):
-            parts[p] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+            self.kept.add(p, get(c[0]) if len(c) == 1 else b"".join(map(get, c)))
         for p in missing if len(plain) < len(missing) else ():
-            if p not in parts:
-                parts[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, dtype=self.wide).tobytes()
+            if p not in self.kept.now:
+                self.kept.add(p, self._whole(p))
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts; the table turns between a few of them, so that one batch cannot outgrow it."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), AT_ONCE):
+            some = parts[i : i + AT_ONCE]
+            self.kept.turn()
+            self._learn(self.kept.lacking(p for p in some if len(p) <= LONGEST))
+            out += [self.kept.now[p] if len(p) <= LONGEST else self._long(p) for p in some]
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string column; a null has none."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.kept.turn()
-        self._learn(self.kept.lacking(distinct))
-        found = [self.kept.now[p] for p in distinct]
+        found = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.array(list(map(len, found)), dtype=np.int32) // np.dtype(self.wide).itemsize
         which = words.indices.to_numpy()
         every = np.frombuffer(b"".join(map(found.__getitem__, which.tolist())), dtype=self.wide)
