@@ -2,10 +2,12 @@
 
 Payloads are grouped by digest and length. In a group of equal payloads of ``LEAST`` bytes or more the largest page id is a response,
 and the others revisit it; every smaller payload is a response. Writers roll their archives at ``ARCHIVE_BYTES``. The reader
-decompresses archives piece by piece, frames records by their content length, and holds blocks and payloads against their digests; it
+decompresses archives piece by piece, frames records by their content length, and holds blocks and payloads against their digests; a cut
+archive, or one with another number of records than were written, is an error. It
 never has more than a piece of an archive in memory, and ``records`` gives payloads where they are wanted.
 
-A null html is an empty payload. A null url is written as an empty one. Rows that repeat the largest id of a group are all responses.
+An empty table gives no archives and no rows. Payloads of any length are written from and read into pieces of bounded size, but for the row
+that the table holds them in. Other columns are not looked at. A null html is an empty payload. A null url is written as an empty one. Rows that repeat the largest id of a group are all responses.
 A null id never is a group's response unless all are null. Archives are complete files under names of their own; a lost task's
 unfinished ones are never listed.
 """
@@ -91,23 +93,27 @@ def _write(folder: str):
 
 
 class _Stream:
-    """The uncompressed bytes of a file of gzip members."""
+    """The uncompressed bytes of a file of gzip members; a file that ends inside a member, its trailer included, is an error."""
 
     def __init__(self, source):
         self.source, self.packed, self.plain = source, b"", b""
-        self.unpacker = zlib.decompressobj(31)
+        self.unpacker = None
 
     def _more(self) -> bool:
-        if self.unpacker.eof:
-            self.packed, self.unpacker = self.unpacker.unused_data or self.packed, zlib.decompressobj(31)
+        """Unpacks another piece; False after the last member."""
         if not self.packed:
             self.packed = self.source.read(PIECE)
-            if not self.packed:
-                return False
+        if not self.packed:
+            if self.unpacker is not None:
+                raise ValueError("an archive ends inside a member")
+            return False
+        if self.unpacker is None:
+            self.unpacker = zlib.decompressobj(31)
         self.plain += self.unpacker.decompress(self.packed, PIECE)
-        self.packed = b"" if self.unpacker.eof else self.unpacker.unconsumed_tail
-        if self.unpacker.eof and not self.unpacker.unused_data:
-            self.packed = b""
+        if self.unpacker.eof:
+            self.packed, self.unpacker = self.unpacker.unused_data, None
+        else:
+            self.packed = self.unpacker.unconsumed_tail
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -172,15 +178,18 @@ def _page(name: str) -> int | None:
 def _read(batches):
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     for batch in batches:
-        for archive in batch.column(0).to_pylist():
+        for archive, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             files, place = _open(archive)
             rows: list[dict] = []
+            n = 0
             with files.open_input_stream(place, compression=None) as source:
-                for r in records(source):
+                for n, r in enumerate(records(source), 1):  # noqa: B007
                     rows.append({"page_id": r["page"], "payload_bytes": r["bytes"], "payload_digest": r["digest"], "record_type": r["type"], "refers_to": r["refers_to"]})
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
+            if expected is not None and n != expected:
+                raise ValueError(f"{archive} has {n} records of {expected}")
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
@@ -198,9 +207,13 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """The records of the listed archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records of the listed archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    An archive with another number of records than the column ``records`` says, where there is one, is an error.
+    """
     n = partitions(archives.sparkSession)
-    return archives.select("archive").repartition(n).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    expected = F.col("records") if "records" in archives.columns else F.lit(None).cast("long")
+    return archives.select("archive", expected.alias("records")).repartition(n).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
