@@ -1,8 +1,9 @@
 """Secret scans over a ledger of text blobs, with DataFrame functions only.
 
 Each version of a path (a document) is a blob, addressed by the SHA-256 of its text. The ledger, a Parquet folder that runs append to,
-has a row for each blob and rule version that was scanned, with the spans found. A run scans the blobs whose pair with the present rules
-is not in the ledger, once each however many paths hold them, and joins spans back to all paths.
+has a row for each blob and rule version that was scanned, with the spans found. The version is a digest of the rules. A run scans the blobs whose pair
+with the present rules is not in the ledger, once each however many paths hold them, and joins spans back to all paths. Digests are held
+against the ledger alone; only texts of blobs that it lacks travel.
 
 A null text is the empty blob. Texts of any length are scanned whole. A null id is a path like any other; repeated rows are paths of one
 blob. Spans that begin together are in the rules' order. An empty table gives no rows. Other columns, whatever their names, are carried
@@ -11,12 +12,13 @@ by ``redact`` and not looked at otherwise.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskweave.shared import new_path
+from taskweave.shared import new_path, written
 
 
 @dataclass(frozen=True)
@@ -35,12 +37,17 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-RULE_VERSION = "1"
 SALTS = 16
+#: Digests of unseen blobs that are broadcast to pick their texts; more are joined in a shuffle.
+FEW_BLOBS = 1 << 19
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 LEDGER = "blob binary, rule_version string, spans " + SPANS
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:16]
+
+
 def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
@@ -76,11 +83,11 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return placed.groupBy("blob").agg(F.array_sort(F.collect_list(good)).cast(SPANS).alias("spans"))
 
 
-def ledger_at(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger stored at a path; without rows where nothing is stored yet."""
+def ledger_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger stored at a path; None where nothing is stored yet."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], LEDGER)
+        return None
     return spark.read.schema(LEDGER).parquet(path)
 
 
@@ -88,28 +95,38 @@ def addressed(versions: DataFrame) -> DataFrame:
     return versions.select("path", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def record(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:
+def unseen_texts(versions: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(blob, text), once for each blob that ``ledger`` has no row of."""
+    every = addressed(versions)
+    new = written(versions.select(blob_of(F.col("text")).alias("blob")).distinct().join(ledger.select("blob"), "blob", "left_anti"), "unseen")
+    few = new.count() <= FEW_BLOBS
+    return every.join(F.broadcast(new) if few else new, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+
+
+def record(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
     """Scans what ``ledger`` has no row of and appends it there. ``versions``: rows of (path, text)."""
     spark = versions.sparkSession
-    seen = ledger_at(spark, ledger).where(F.col("rule_version") == rule_version).select("blob").distinct()
-    blobs = addressed(versions).groupBy("blob").agg(F.first("text").alias("text"))  # copies are reduced before they travel
-    unseen = blobs.join(seen, "blob", "left_anti")
-    scan(unseen, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").option("compression", "zstd").parquet(ledger)
+    held = ledger_at(spark, ledger)
+    if held is None:
+        blobs = addressed(versions).groupBy("blob").agg(F.first("text").alias("text"))  # copies are reduced before they travel
+    else:
+        blobs = unseen_texts(versions, held.where(F.col("rule_version") == version_of(rules)))
+    scan(blobs, rules).select("blob", F.lit(version_of(rules)).alias("rule_version"), "spans").write.mode("append").option("compression", "zstd").parquet(ledger)
 
 
-def held_spans(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+def held_spans(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, salt, spans) of the blobs with any, for each salt: a blob of many paths is joined in parts."""
-    known = ledger_at(spark, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+    known = ledger_at(spark, ledger).where((F.col("rule_version") == version_of(rules)) & (F.size("spans") > 0)).dropDuplicates(["blob"])
     return known.select("blob", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "spans")
 
 
-def scan_versions(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def scan_versions(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, spans) of all ``versions``, rows of (path, text), by the ledger at a path, to which this run adds; without one, by a new ledger."""
     spark = versions.sparkSession
     ledger = ledger or new_path(spark, "secret-ledger")
-    record(versions, ledger, rules, rule_version)
+    record(versions, ledger, rules)
     paths = addressed(versions).select("path", "blob", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
-    return paths.join(held_spans(spark, ledger, rule_version), ["blob", "salt"], "left").select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return paths.join(held_spans(spark, ledger, rules), ["blob", "salt"], "left").select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _marked(rule: Rule, mark: str):
@@ -127,18 +144,18 @@ def redacted(text: Column, mark: str = "[REDACTED]", rules: tuple[Rule, ...] = R
     return text
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with their secrets replaced, with all their columns: those that the scan finds any in, by ledger and paths.
 
     A text is rewritten where its blob has spans; rows whose text is null stay as they are.
     """
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "secret-ledger")
-    record(docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text")), ledger)
+    record(docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text")), ledger, rules)
     keyed = docs.select(F.struct("*").alias("row"), blob_of(F.col(text_col)).alias("blob"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt"))
     text = F.col("row")[text_col]
-    clean = F.when(F.col("spans").isNotNull(), redacted(text)).otherwise(text).alias(text_col)
-    return keyed.join(held_spans(spark, ledger), ["blob", "salt"], "left").select([clean if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    clean = F.when(F.col("spans").isNotNull(), redacted(text, rules=rules)).otherwise(text).alias(text_col)
+    return keyed.join(held_spans(spark, ledger, rules), ["blob", "salt"], "left").select([clean if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _is_kind(kind: str):
