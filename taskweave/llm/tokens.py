@@ -12,10 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Bytes of a generation of a worker's table, of which there are two, by the estimate ``Kept.cost``.
-KEPT_BYTES = 24 << 20
+#: Bytes of a generation of a worker's table, of which there are two, by the estimate of ``Kept.add``.
+KEPT_BYTES = 48 << 20
 #: The longest string that is kept, and how many strings are learned at once.
-LONGEST, AT_ONCE = 1024, 8192
+LONGEST, AT_ONCE = 1024, 1 << 15
 _MARKS = ".,;:!?|%$#&*"
 _PLAIN = re.compile(r"[!-~¡-ÿ]+")
 
@@ -28,15 +28,10 @@ class Kept:
         self.before: dict[str, bytes] = {}
         self.held = 0
 
-    @staticmethod
-    def cost(text: str, ids: bytes) -> int:
-        """About the bytes of an entry: two objects with their heads, and a place in a table that is half empty."""
-        return 200 + len(text) + len(ids)
-
-    def add(self, text: str, ids: bytes) -> None:
-        if text not in self.now:
-            self.now[text] = ids
-            self.held += self.cost(text, ids)
+    def add(self, texts: list[str], ids: list[bytes]) -> None:
+        """Holds more strings, none of which it holds; an entry counts as two objects with their heads and a place in a table."""
+        self.now.update(zip(texts, ids, strict=True))
+        self.held += 160 * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
 
     def turn(self) -> None:
         """Starts a new generation if this one is full."""
@@ -45,14 +40,11 @@ class Kept:
 
     def lacking(self, asked: Iterable[str]) -> list[str]:
         """What isn't held; all else that is asked for is in ``now`` afterwards."""
-        now, before, out = self.now, self.before, []
-        for x in asked:
-            if x not in now:
-                if (found := before.get(x)) is None:
-                    out.append(x)
-                else:
-                    self.add(x, found)
-        return out
+        now, before = self.now, self.before
+        new = [x for x in asked if x not in now]
+        again = [x for x in new if x in before]
+        self.add(again, [before[x] for x in again])
+        return [x for x in new if x not in before]
 
 
 class Encoder:
@@ -129,15 +121,15 @@ class Encoder:
                 else:
                     continue
                 plain.append(p)
-        pieces = self.kept.lacking(dict.fromkeys(x for c in cut for x in c))
-        for piece, ids in zip(pieces, self._of_pieces(pieces), strict=True):
-            self.kept.add(piece, ids)
-        get = self.kept.now.__getitem__
-        for p, c in zip(plain, cut, strict=True):
-            self.kept.add(p, get(c[0]) if len(c) == 1 else b"".join(map(get, c)))
-        for p in missing if len(plain) < len(missing) else ():
-            if p not in self.kept.now:
-                self.kept.add(p, self._whole(p))
+        pieces = self.kept.lacking({x for c in cut for x in c})
+        self.kept.add(pieces, self._of_pieces(pieces))
+        now = self.kept.now
+        get = now.__getitem__
+        known = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        new = {p: i for p, i in zip(plain, known, strict=True) if p not in now}
+        if len(plain) < len(missing):
+            new |= {p: self._whole(p) for p in missing if p not in now and p not in new}
+        self.kept.add(list(new), list(new.values()))
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """The ids of distinct parts; the table turns between a few of them, so that one batch cannot outgrow it."""
@@ -145,8 +137,12 @@ class Encoder:
         for i in range(0, len(parts), AT_ONCE):
             some = parts[i : i + AT_ONCE]
             self.kept.turn()
-            self._learn(self.kept.lacking(p for p in some if len(p) <= LONGEST))
-            out += [self.kept.now[p] if len(p) <= LONGEST else self._long(p) for p in some]
+            if max(map(len, some)) <= LONGEST:
+                self._learn(self.kept.lacking(some))
+                out += map(self.kept.now.__getitem__, some)
+            else:
+                self._learn(self.kept.lacking([p for p in some if len(p) <= LONGEST]))
+                out += [self.kept.now[p] if len(p) <= LONGEST else self._long(p) for p in some]
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
