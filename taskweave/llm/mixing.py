@@ -33,6 +33,8 @@ BLOCK = 256
 SHARD_SLOTS, SHARDS = 1 << 16, 4096
 BUCKET_DOCS = 1 << 14
 PIECE_SLOTS = 1 << 18
+#: Sources that are broadcast; a table of more is joined in a shuffle.
+FEW_SOURCES = 1 << 16
 SEED = 20240501
 ROUNDS = 6
 
@@ -168,7 +170,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sizes = [r["size"] for r in counted]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
     sources = [Source(i, s, t, block) for i, (s, t) in enumerate(zip(sizes, goals, strict=True))]
-    table = spark.createDataFrame([(r.source, s.number, s.size, s.target) for r, s in zip(counted, sources, strict=True)], "source string, source_no int, source_size long, target double")
+    named = spark.createDataFrame([(r.source, s.number, s.size, s.target) for r, s in zip(counted, sources, strict=True)], "source string, source_no int, source_size long, target double")
+    table = F.broadcast(named) if len(sources) <= FEW_SOURCES else named
     ends = [s.slots() for s in sources]
     slots = np.array([n for n, _ in ends], dtype=np.int64)
     per_shard = max(SHARD_SLOTS, -(-int(slots.sum()) // SHARDS))
@@ -183,17 +186,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     filled = pieces.repartition(partitions(spark)).mapInArrow(_slots, "shard long, source_no long, slot long, block long, words long")
 
     n_buckets = sum(r.n for r in counted) // BUCKET_DOCS + 1
-    numbered = sized.join(table.select("source", "source_no"), sized["source"].eqNullSafe(table["source"])).select(sized["*"], "source_no")
+    numbered = sized.join(table.select(F.col("source").alias("_source"), "source_no"), F.col("source").eqNullSafe(F.col("_source"))).select(sized["*"], "source_no")
     full = numbered.where("size > 0").withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int"))
     sums = full.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     starts = sums.select("source_no", "bucket", (F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("begun"))
     within = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = full.join(starts, ["source_no", "bucket"]).withColumn("start", F.col("begun") + F.sum("size").over(within) - F.col("size"))
+    placed = full.join(starts.hint("merge"), ["source_no", "bucket"]).withColumn("start", F.col("begun") + F.sum("size").over(within) - F.col("size"))
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = placed.select("row", "source_no", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
     origin = F.col("block") * block
     cut = cut.select("row", F.col("source_no").cast("long").alias("source_no"), "block", "start", F.greatest("start", origin).alias("from"), F.least(F.col("start") + F.col("size"), origin + block).alias("to"))
-    joined = cut.join(filled, ["source_no", "block"])
+    joined = cut.join(filled.hint("merge"), ["source_no", "block"])
     stop = F.least("to", F.col("block") * block + F.col("words"))
     spans = joined.where(stop > F.col("from")).select("row", "shard", "source_no", "slot", (F.col("from") - F.col("start")).alias("begin"), (stop - F.col("start")).alias("end"))
     return Mixture(numbered, table, spans)
