@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taskweave.operators import features as X
+from taskweave.operators import fields as P
 from taskweave.operators import retrieval as R
 from taskweave.plans import fixtures as V
 from taskweave.plans.registry import query
@@ -76,11 +77,39 @@ def action_object():
     return F.concat(X.slug("A_", c("action")), X.slug("__O_", c("object")))
 
 
-@query("ft_field_blocks", W + " SELECT * FROM " + block_sql("task", WORDS_OF("task"), 1.0) + " UNION ALL SELECT * FROM " + block_sql("title", WORDS_OF("jobrole_title"), 0.65) + " UNION ALL SELECT * FROM " + block_sql("purpose", WORDS_OF("purpose"), 0.5) + " UNION ALL SELECT * FROM " + block_sql("cross", f"SELECT task_id, {SLUG} AS term FROM labelled", 0.7))
+def field_sql(i: int, block: P.Block, grams: str) -> str:
+    """One block's weights: frequencies of training rows, terms of all rows."""
+    return f"""g{i} AS ({grams}), c{i} AS (SELECT task_id, term, count(*) AS tf FROM g{i} GROUP BY ALL), d{i} AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c{i} WHERE task_id % 4 <> 0 GROUP BY term HAVING count(*) >= {block.least_df} ORDER BY total DESC, term LIMIT {block.most}),
+b{i} AS (SELECT task_id, '{block.name}' AS block, term, {block.weight} * w / sqrt(sum(w * w) OVER (PARTITION BY task_id)) AS weight FROM (SELECT task_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM labelled WHERE task_id % 4 <> 0)) / (1 + df)) + 1) AS w FROM c{i} JOIN d{i} USING (term)))"""
+
+
+def grams_sql(block: P.Block) -> str:
+    text = f"strip_accents(trim(regexp_replace(coalesce({block.column}, ''), '\\s+', ' ', 'g')))"
+    if block.analyser == "slug":
+        slug = lambda column: f"trim(regexp_replace(lower(strip_accents(coalesce({column}, ''))), '[^a-z0-9]+', '_', 'g'), '_')"
+        return f"SELECT task_id, 'a_' || {slug('action')} || '__o_' || {slug('object')} AS term FROM labelled"
+    sizes = range(block.low, block.high + 1)
+    if block.analyser == "word":
+        return " UNION ALL ".join(f"SELECT task_id, array_to_string(w[i:i + {n - 1}], ' ') AS term FROM (SELECT task_id, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM (SELECT task_id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM labelled))" for n in sizes)
+    if block.analyser == "char":
+        return " UNION ALL ".join(f"SELECT task_id, substr(t, i, {n}) AS term FROM (SELECT task_id, t, unnest(generate_series(1, length(t) - {n - 1})) AS i FROM (SELECT task_id, lower({text}) AS t FROM labelled))" for n in sizes)
+    words = f"SELECT task_id, ' ' || unnest(list_filter(string_split(lower({text}), ' '), lambda x: x <> '')) || ' ' AS w FROM labelled"
+    short = f"SELECT task_id, w AS term FROM ({words}) WHERE length(w) <= {block.low}"
+    return short + "".join(f" UNION ALL SELECT task_id, substr(w, i, {n}) FROM (SELECT task_id, w, unnest(generate_series(1, length(w) - {n - 1})) AS i FROM ({words}) WHERE length(w) > {n if n == block.low else n - 1})" for n in sizes)
+
+
+CHAMPION = P.PROFILES["champion"]
+FIELDS = ", ".join(field_sql(i, b, grams_sql(b)) for i, b in enumerate(CHAMPION))
+
+
+@query("ft_field_blocks", W + ", " + FIELDS + " " + " UNION ALL ".join(f"SELECT task_id, block, md5(string_agg(term, '|' ORDER BY term)) AS terms, count(*)::BIGINT AS n, round(sum(weight), 5) AS total, round(max(weight), 6) AS top FROM b{i} GROUP BY task_id, block" for i in range(len(CHAMPION))))
 def ft_field_blocks(spark, sf):
-    words = lambda name: X.word_ngrams(c(name), 1, 1)
-    specs = [("task", words("task"), 1.0), ("title", words("jobrole_title"), 0.65), ("purpose", words("purpose"), 0.5), ("cross", F.array(action_object()), 0.7)]
-    return X.blocks(rows(spark, sf), "task_id", specs).withColumn("weight", F.round("weight", 6))
+    """All eight blocks, fitted on three quarters of the tasks and applied to all: of each row and block the known terms and their weights."""
+    every = rows(spark, sf)
+    model = P.FieldFeatures(idCol="task_id", blocks=CHAMPION).fit(every.where("task_id % 4 <> 0"))
+    name = P.of_block(CHAMPION, [b.name for b in CHAMPION])
+    known = model.weights(every).groupBy("task_id", name.alias("block"))
+    return known.agg(F.md5(F.array_join(F.array_sort(F.collect_list("term")), "|")).alias("terms"), F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
 @query("ft_multiview", W + " SELECT * FROM " + block_sql("char", CHARS.split("cg AS (", 1)[1][:-1].replace(" FROM t)", " FROM (SELECT task_id, regexp_replace(lower(task), '\\s+', ' ', 'g') AS t FROM labelled))"), 0.5) + " UNION ALL SELECT * FROM " + block_sql("role", WORDS_OF("jobrole_title"), 0.25))
@@ -162,19 +191,20 @@ def labels_of(spark, sf):
 
 @query("join_shared_terms", W + SPLIT + " SELECT row, other, round(s, 6) AS similarity FROM sim")
 def join_shared_terms(spark, sf):
-    return R.dot_products(*split_weights(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+    return R.compared(*split_weights(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("rt_knn_vote", W + SPLIT + """, near AS (SELECT row, other, round(s, 9) AS s FROM sim QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(s, 9) DESC, other) <= 15), d AS (SELECT row, other, greatest(round(1 - s, 9), 0) AS d, max((round(1 - s, 9) <= 0)::INT) OVER (PARTITION BY row) AS zero FROM near),
 v AS (SELECT d.row, y AS label, round(sum(CASE WHEN zero = 1 THEN (d <= 0)::INT::DOUBLE ELSE 1 / greatest(d, 1e-9) END), 6) AS v FROM d JOIN labelled ON task_id = other GROUP BY ALL) SELECT row, arg_min(label, (-v, label)) AS label FROM v GROUP BY row""")
 def rt_knn_vote(spark, sf):
-    return R.knn_vote(R.dot_products(*split_weights(spark, sf)), labels_of(spark, sf))
+    return R.knn_vote(R.compared(*split_weights(spark, sf), 15), labels_of(spark, sf))
 
 
 @query("rt_class_similarity", W + SPLIT + ", m AS (SELECT task_id FROM labelled WHERE y = 'E1' AND task_id % 4 <> 0) SELECT row, round(max(s), 6) AS top, round(sum(s) / (SELECT count(*) FROM m), 6) AS mean FROM sim WHERE other IN (SELECT task_id FROM m) GROUP BY row")
 def rt_class_similarity(spark, sf):
-    members = rows(spark, sf).where("y = 'E1' and task_id % 4 <> 0").select(c("task_id").alias("other"))
-    return R.class_similarity(R.dot_products(*split_weights(spark, sf)), members).select("row", F.round("top", 6).alias("top"), F.round("mean", 6).alias("mean"))
+    ask, known = split_weights(spark, sf)
+    members = known.join(rows(spark, sf).where("y = 'E1'").select(c("task_id").alias("row")), "row", "left_semi")
+    return R.class_similarity(ask, members).select("row", F.round("top", 6).alias("top"), F.round("mean", 6).alias("mean"))
 
 
 @query("rt_centroids", W + SPLIT + ", cs AS (SELECT y AS label, term, sum(weight) AS w FROM known JOIN labelled USING (task_id) GROUP BY ALL), cn AS (SELECT label, term, w / sqrt(sum(w * w) OVER (PARTITION BY label)) AS w FROM cs) SELECT task_id AS row, label, round(sum(weight * w), 6) AS similarity FROM ask JOIN cn USING (term) GROUP BY ALL")

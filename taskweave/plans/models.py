@@ -1,8 +1,10 @@
-"""Queries: fitted models. Train on tasks outside every fourth, score the rest; results of optimisers have row checks only."""
+"""Queries: fitted models. They learn from tasks outside every fourth and score the rest; results of optimisers are held against held-out labels,
+runs on shuffled labels and direct computation."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,127 +12,180 @@ from pyspark.sql import functions as F
 
 from taskweave.operators import evaluate as E
 from taskweave.operators import features as X
+from taskweave.operators import fields as P
 from taskweave.operators import labels as L
+from taskweave.operators import linear as N
 from taskweave.operators import models as M
+from taskweave.operators import ordered as O
+from taskweave.operators import retrieval as R
 from taskweave.operators import search as Q
 from taskweave.operators import splits as S
+from taskweave.operators import svd as D
 from taskweave.plans import fixtures as V
 from taskweave.plans.features import COUNTS, counts
 from taskweave.plans.registry import query
-from taskweave.plans.scoring import ARG, COLUMNS, OFFSETS
+from taskweave.plans.scoring import COLUMNS, OFFSETS
 from taskweave.shared import new_path, written
 from taskweave.sources import tables as S_
 
 c = F.col
 HELD = "task_id % 4 = 0"
+VALIDATION = "task_id % 4 = 1"
+#: The most terms of a block in the queries that compare many models: the weights of all models are one matrix of terms by models.
+CAP = 1 << 14
+WORD3, WORD4 = P.Block("word", "task", "word", 1, 3, 2, CAP, 1.0), P.Block("word_long", "task", "word", 1, 4, 2, CAP, 1.0)
+CHAR5, CHAR6 = P.Block("char", "task", "char_wb", 3, 5, 3, CAP, 0.65), P.Block("char_long", "task", "char_wb", 2, 6, 3, CAP, 0.65)
+TITLED = P.Block("title", "jobrole_title", "word", 1, 2, 1, CAP, 0.5)
+CLASSES = L.CLASSES
+EACH = range(len(CLASSES))
+RANK = L.rank(c("y"))
+TARGET = L.score(c("y"))
+
+
+def featured(spark, sf, blocks, folds=None):
+    """(fitted features, rows with them): vocabularies and frequencies are those of training rows. ``folds``: further columns (task_id, ...)."""
+    rows = V.labelled(spark, sf)
+    model = P.FieldFeatures(idCol="task_id", blocks=blocks).fit(rows.where(f"not ({HELD})"))
+    rows = model.transform(rows).select("task_id", "jobrole_id", "y", "index", "value", F.expr(f"int({HELD})").alias("held"), F.expr(f"int({VALIDATION})").alias("validation"))
+    return model, written(rows if folds is None else rows.join(folds, "task_id"), "featured")
 
 
-def prepared(spark, sf, specs=None):
-    """Training rows and held-out rows with hashed vectors."""
-    rows = V.labelled(spark, sf)
-    specs = specs or [("task", X.word_ngrams(c("task"), 1, 2), 1.0), ("title", X.word_ngrams(c("jobrole_title"), 1, 1), 0.65), ("purpose", X.word_ngrams(c("purpose"), 1, 1), 0.5)]
-    data = written(M.dataset(X.blocks(rows, "task_id", specs), rows.select("task_id", "jobrole_id", "y"), "task_id", "y"), "dataset")
-    return data.where(f"not ({HELD})"), data.where(HELD)
+def laid(rows, folds=("held", "validation"), target=None):
+    """Rows as blocks for ``linear.fit``, with balanced class weights of training rows."""
+    sizes = {r.y: r["count"] for r in rows.where("held = 0").groupBy("y").count().collect()}  # a row for each class
+    weight = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, sum(sizes.values()) / (len(sizes) * n))]), c("y")) if sizes else F.lit(1.0)
+    return N.packed(rows, RANK, target, F.coalesce(weight, F.lit(1.0)), list(folds))
+
+
+NO_HELD, FITTING = ((0, 1),), ((0, 1), (1, 1))
+
+
+def asked(rows, weights, problems=None):
+    """Held-out rows with ``scores``."""
+    return N.scored(rows.where("held = 1"), weights)
+
+
+def each_score(names):
+    return [c("scores")[k].alias(n) for k, n in enumerate(names)]
+
+
+def best_of(scores):
+    return Q.argmax(scores, CLASSES)
 
 
-def dense(spark, sf):
-    """Rows whose vectors are the three score columns."""
-    s = V.scores(spark, sf).withColumn("weight", F.lit(1.0)).withColumn("index", L.rank(c("y")).cast("double")).withColumn("target", L.score(c("y")))
-    return VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(s)
+def vectors(rows, width: int):
+    """Spark ML's vectors of (index, value) arrays, which has no built-in constructor of sparse rows."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT())
+    return rows.withColumn("features", vector("index", "value")).withColumn("weight", F.lit(1.0)).withColumn("index", RANK.cast("double"))
+
+
+def released(rows):
+    """The released recipe: the smaller profile and a machine for each class against the rest."""
+    return Pipeline(stages=[P.FieldFeatures(idCol="task_id", blocks=P.PROFILES["basic"]), N.LinearClasses(c=0.2)]).fit(rows)
+
+
+def split_rows(spark, sf):
+    rows = V.labelled(spark, sf)
+    return rows.where(f"not ({HELD})"), rows.where(HELD)
 
 
 @query("ml_svc_ovr")
 def ml_svc_ovr(spark, sf):
-    train, held = prepared(spark, sf)
-    return M.predicted(M.one_vs_rest(train), held).select("task_id", "y", "label")
+    train, held = split_rows(spark, sf)
+    return released(train).transform(held).select("task_id", "y", "label")
 
 
 @query("ml_refit_full")
 def ml_refit_full(spark, sf):
-    train, held = prepared(spark, sf)
-    model = M.one_vs_rest(train.unionByName(held))
-    return M.predicted(model, held).select("task_id", "label", F.lit("full").alias("fit_scope"))
+    """Held-out rows by the sealed model, which did not see them, and by the one that is refitted on all rows for release."""
+    train, held = split_rows(spark, sf)
+    sealed, full = released(train), released(train.unionByName(held))
+    out = sealed.transform(held).select("task_id", "y", "label")
+    return out.join(full.transform(held).select("task_id", c("label").alias("refit_label")), "task_id").select("*", F.lit("full").alias("fit_scope"), F.lit(full.stages[0].rows).alias("fitted_rows"))
 
 
 @query("snk_model", "WITH " + V.CTE_TASKS + " SELECT 'E0|E1|E23' AS classes, 1 AS version, count(*)::BIGINT AS labelled_rows FROM labelled")
 def snk_model(spark, sf):
-    """Saved with a manifest, which is read back."""
-    train, _ = prepared(spark, sf)
+    """Features and weights saved with a manifest, which is read back."""
     path = new_path(spark, "model")
-    S_.save_model(M.one_vs_rest(train), path, L.CLASSES, 1, V.labelled(spark, sf).count())
+    S_.save_model(released(split_rows(spark, sf)[0]), path, CLASSES, 1, V.labelled(spark, sf).count())
     return spark.read.schema(S_.MANIFEST).json(f"{path}/manifest")
 
 
 @query("src_model")
 def src_model(spark, sf):
-    """Loaded, refused if its classes or version differ, and used to score held-out rows."""
-    from pyspark.ml.classification import OneVsRestModel
-
-    train, held = prepared(spark, sf)
+    """Loaded, refused if its classes or version differ, and used to score rows that were not there when it was fitted."""
+    train, held = split_rows(spark, sf)
     path = new_path(spark, "model")
-    S_.save_model(M.one_vs_rest(train), path, L.CLASSES, 1, 0)
-    return M.predicted(S_.load_model(spark, OneVsRestModel, path, L.CLASSES, 1), held).select("task_id", "label")
-
+    S_.save_model(released(train), path, CLASSES, 1, 0)
+    return S_.load_model(spark, PipelineModel, path, CLASSES, 1).transform(held).select("task_id", "y", "label")
 
-def picked(candidates, validation, positive, fit):
-    """The candidate whose scores have the best F1 on validation rows: (candidate, its model, threshold)."""
-    top = None
-    for candidate in candidates:
-        model = fit(candidate)
-        found = Q.best(Q.threshold_grid(M.scored(model, validation(candidate), "s"), positive, "s", [k / 20 - 2 for k in range(81)]), "f1", "t").first()
-        if top is None or found.f1 > top[0]:
-            top = found.f1, candidate, model, found.t
-    return top[1:]
 
+#: View, C and weight of the positive rows of the specialists' candidates.
+SPECIALISTS = [
+    ("word", 0.25, 2), ("word", 0.5, 4), ("word", 1.0, 8), ("word", 1.0, 16), ("char_word", 0.25, 2), ("char_word", 0.5, 4), ("char_word", 0.75, 8), ("char_word", 1.0, 16),
+    ("word_long", 0.25, 2), ("word_long", 0.5, 4), ("word_long", 1.0, 8), ("char_word_long", 0.25, 2), ("char_word_long", 0.5, 4), ("char_word_long", 0.75, 8), ("char_word_long", 1.0, 16),
+]
+VIEWS = {"word": ("word",), "char_word": ("word", "char"), "word_long": ("word_long",), "char_word_long": ("word_long", "char_long")}
+POINTS = [round(-2.5 + 0.05 * k, 2) for k in range(101)]
 
-def weighted_svc(rows, positive, constant, weight):
-    return M.binary_svc(rows.withColumn("weight", F.when(positive, float(weight)).otherwise(1.0)), positive, constant)
 
-
-#: View, C and weight of the positive rows.
-SPECIALISTS = [("word", 0.25, 2), ("word", 1.0, 8), ("char_word", 0.25, 2), ("char_word", 1.0, 16)]
-VALIDATION = "task_id % 4 = 1"
+def best_threshold(rows, positive, score, points=POINTS):
+    """(f1, threshold) with the best F1."""
+    found = Q.best(Q.threshold_grid(rows, positive, score, points), "f1", "t").first()
+    return found.f1, found.t
 
 
 @query("ml_svc_specialists")
 def ml_svc_specialists(spark, sf):
-    """One binary SVM a class: view, C, weight and threshold are those with the best F1 on validation rows; the highest score above its threshold, with offsets found there, wins."""
-    word, char = ("word", X.word_ngrams(c("task"), 1, 2), 1.0), ("char", X.char_wb_ngrams(c("task"), 3, 4), 0.65)
-    data = {"word": prepared(spark, sf, [word]), "char_word": prepared(spark, sf, [word, char])}
-    known, out = None, None
-    for k, name in enumerate(L.CLASSES):
-        positive = c("y") == name
-        fit = lambda s: weighted_svc(data[s[0]][0].where(f"not ({VALIDATION})"), positive, *s[1:])  # noqa: B023, E731
-        setting, model, t = picked(SPECIALISTS, lambda s: data[s[0]][0].where(VALIDATION), positive, fit)
-        train, held = data[setting[0]]
-        centred = lambda model, rows: M.scored(model, rows, "s").select("task_id", "y", (c("s") - t).alias(f"score_{k}"))  # noqa: B023, E731
-        seen, asked = centred(model, train.where(VALIDATION)), centred(weighted_svc(train, positive, *setting[1:]), held)
-        known = seen if known is None else known.join(seen, ["task_id", "y"])
-        out = asked if out is None else out.join(asked, ["task_id", "y"])
-    columns = [f"score_{k}" for k in range(len(L.CLASSES))]
-    offsets = Q.coordinate_search(written(known, "specialists"), "y", columns, L.CLASSES, OFFSETS)
-    label = Q.argmax([c(s) + F.lit(b) for s, b in zip(columns, offsets, strict=True)], L.CLASSES)
-    return out.select("task_id", "y", *[c(f"score_{k}").alias(f"score_{n}") for k, n in enumerate(L.CLASSES)], *[(c(f"score_{k}") >= 0).alias(f"is_{n}") for k, n in enumerate(L.CLASSES)], label.alias("label"))
+    """One binary machine a class: view, C, weight and threshold are those with the best F1 on validation rows; the highest score above its threshold, with offsets found there, wins.
+
+    All candidates of all classes are fitted in one go, and so are the three that are chosen, on all training rows.
+    """
+    model, rows = featured(spark, sf, [WORD3, CHAR5, WORD4, CHAR6])
+    blocks = laid(rows)
+    problem = lambda k, s, without: N.Problem(positive=(k,), c=s[1], weight=float(s[2]), without=without, features=model.ranges(*VIEWS[s[0]]))
+    every = [(k, s) for k in EACH for s in SPECIALISTS]
+    tried = N.fit(blocks, [problem(k, s, FITTING) for k, s in every], model.width)
+    known = written(N.scored(rows.where("validation = 1"), tried).select("task_id", "y", "scores"), "tried")
+    flat = known.select("y", *each_score([f"s{i}" for i in range(len(every))]))
+    chosen = []
+    for k in EACH:
+        own = [i for i, (of, _) in enumerate(every) if of == k]
+        (f1, t), i = max(((best_threshold(flat, c("y") == CLASSES[k], f"s{i}"), i) for i in own), key=lambda x: (x[0][0], -x[1]))
+        chosen.append((i, t))
+    columns = [f"score_{k}" for k in EACH]
+    centred = written(flat.select("y", *[(c(f"s{i}") - t).alias(n) for (i, t), n in zip(chosen, columns, strict=True)]), "specialists")
+    offsets = Q.coordinate_search(centred, "y", columns, CLASSES, OFFSETS)
+    final = N.fit(blocks, [problem(*every[i], NO_HELD) for i, _ in chosen], model.width)
+    out = asked(rows, final).select("task_id", "y", *[(c("scores")[k] - chosen[k][1]).alias(f"score_{n}") for k, n in enumerate(CLASSES)])
+    label = best_of([c(f"score_{n}") + F.lit(b) for n, b in zip(CLASSES, offsets, strict=True)])
+    return out.select("*", *[(c(f"score_{n}") >= 0).alias(f"is_{n}") for n in CLASSES], label.alias("label"))
 
 
 @query("ml_char_word_svc")
 def ml_char_word_svc(spark, sf):
-    train, held = prepared(spark, sf, [("word", X.word_ngrams(c("task"), 1, 2), 1.0), ("char", X.char_wb_ngrams(c("task"), 3, 5), 0.65)])
-    return M.predicted(M.one_vs_rest(train, 0.5), held).select("task_id", "y", "label")
+    model, rows = featured(spark, sf, [WORD3, CHAR5])
+    weights = N.fit(laid(rows), [N.Problem(positive=(k,), c=0.5, balanced=True, without=NO_HELD) for k in EACH], model.width)
+    return asked(rows, weights).select("task_id", "y", best_of([c("scores")[k] for k in EACH]).alias("label"))
 
 
 @query("ml_logreg")
 def ml_logreg(spark, sf):
-    train, held = prepared(spark, sf)
-    return M.predicted(M.logistic(train), held).select("task_id", "y", "label")
+    model, rows = featured(spark, sf, [WORD3, TITLED])
+    data = written(vectors(rows, model.width).select("task_id", "y", "held", "index", "weight", "features"), "dataset")
+    return M.predicted(M.logistic(data.where("held = 0"), 10.0), data.where("held = 1")).select("task_id", "y", "label")
 
 
 @query("ml_teacher_aided")
 def ml_teacher_aided(spark, sf):
-    """Diagnostic: the source score is a feature, so the result is leaky by design."""
-    rows = VectorAssembler(inputCols=[*COLUMNS, "target"], outputCol="wide").transform(dense(spark, sf)).drop("features").withColumnRenamed("wide", "features")
-    model = M.logistic(rows.where(f"not ({HELD})"))
-    return M.predicted(model, rows.where(HELD)).select("task_id", "y", "label", F.lit(True).alias("leaky"))
+    """Diagnostic: the source score is a feature beside the text's dimensions, so the result is leaky by design."""
+    rows = dense(spark, sf)
+    rows = rows.withColumn("features", array_to_vector(F.concat("svd", F.array(TARGET))))
+    model = M.logistic(rows.where("held = 0"), 100.0)
+    return M.predicted(model, rows.where("held = 1")).select("task_id", "y", "label", F.lit(True).alias("leaky"))
 
 
 NB = "WITH " + V.CTE_TASKS + COUNTS + ", seen AS (SELECT y AS label, term, sum(tf) AS c FROM counts JOIN labelled USING (task_id) WHERE task_id % 4 <> 0 GROUP BY ALL), terms AS (SELECT term, sum(c) AS a FROM seen GROUP BY term), cls AS (SELECT label, sum(c) AS t FROM seen GROUP BY label), ask AS (SELECT * FROM counts WHERE task_id % 4 = 0)"
@@ -155,23 +210,27 @@ def ml_nb_complement(spark, sf):
 
 @query("ml_nbsvm")
 def ml_nbsvm(spark, sf):
-    """Binary term features scaled by naive Bayes log ratios, then a binary SVM."""
-    rows = V.labelled(spark, sf)
-    k = counts(spark, sf)
-    ratio = X.nb_ratio(k.where(f"not ({HELD})"), "task_id", rows.select("task_id", "y"), c("y") == "E0")
-    data = written(M.dataset(k.join(ratio, "term").select("task_id", "term", c("ratio").alias("weight")), rows.select("task_id", "y"), "task_id", "y"), "dataset")
-    model = M.binary_svc(data.where(f"not ({HELD})"), c("y") == "E0")
-    return M.scored(model, data.where(HELD), "score").select("task_id", "y", "score")
+    """Binary term features scaled by naive Bayes log ratios of the training rows, then a binary machine: E0 or not."""
+    model, rows = featured(spark, sf, [WORD3, CHAR5])
+    k = rows.select(c("task_id").alias("row"), "y", "held", F.explode("index").alias("term"))
+    each = k.where("held = 0").groupBy("term").agg((F.count_if(c("y") == "E0") + 1).alias("p"), (F.count_if(c("y") != "E0") + 1).alias("q"))
+    total = each.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    ratio = each.crossJoin(F.broadcast(total)).select("term", (F.ln(c("p") / c("_p")) - F.ln(c("q") / c("_q"))).alias("ratio"))
+    lists = k.join(F.broadcast(ratio), "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", "ratio"))).alias("x"))  # as many as the blocks' caps allow
+    scaled = lists.select(c("row").alias("task_id"), F.transform("x", lambda x: x["term"]).alias("index"), F.transform("x", lambda x: x["ratio"]).alias("value"))
+    data = written(rows.drop("index", "value").join(scaled, "task_id"), "ratios")
+    weights = N.fit(laid(data), [N.Problem(positive=(0,), c=0.05, without=NO_HELD)], model.width)
+    e0 = lambda x: F.when(x, "E0").otherwise("impacted")
+    return asked(data, weights).select("task_id", e0(c("y") == "E0").alias("y"), c("scores")[0].alias("score"), e0(c("scores")[0] >= 0).alias("label"))
 
 
 @query("ml_hierarchical")
 def ml_hierarchical(spark, sf):
     """Stage 1: E0 or not; stage 2, trained on the others: E1 or E23."""
-    train, held = prepared(spark, sf)
-    first = M.binary_svc(train, c("y") != "E0")
-    second = M.binary_svc(train.where("y <> 'E0'"), c("y") == "E23")
-    out = M.scored(second, M.scored(first, held, "impacted"), "high")
-    return out.select("task_id", "y", F.when(c("impacted") < 0, "E0").when(c("high") < 0, "E1").otherwise("E23").alias("label"))
+    model, rows = featured(spark, sf, [WORD3, TITLED])
+    stages = [N.Problem(positive=(1, 2), c=1.0, balanced=True, without=NO_HELD), N.Problem(positive=(2,), c=1.0, balanced=True, without=NO_HELD, among=(1, 2))]
+    out = asked(rows, N.fit(laid(rows), stages, model.width))
+    return out.select("task_id", "y", F.when(c("scores")[0] < 0, "E0").when(c("scores")[1] < 0, "E1").otherwise("E23").alias("label"))
 
 
 P_SQL = "1 / (1 + exp(-({0})))"
@@ -193,69 +252,83 @@ def ml_ordinal_svm(spark, sf):
 @query("ml_ordinal_threshold_fit")
 def ml_ordinal_threshold_fit(spark, sf):
     """A logistic model for each step of the order, decoded into class probabilities; the likeliest class wins."""
-    train, out = prepared(spark, sf)
-    for t in range(len(L.CLASSES) - 1):
-        model = M.logistic(train.withColumn("index", (c("index") > t).cast("double")))
-        out = model.transform(out).withColumn(f"over_{t}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    p = M.monotone_classes([c(f"over_{t}") for t in range(len(L.CLASSES) - 1)])
+    model, rows = featured(spark, sf, [WORD3, TITLED])
+    steps = [N.Problem(positive=tuple(range(t + 1, len(CLASSES))), c=10.0, loss="logistic", balanced=True, without=NO_HELD, free_intercept=True) for t in EACH[:-1]]
+    out = asked(rows, N.fit(laid(rows), steps, model.width))
+    p = M.monotone_classes([1 / (1 + F.exp(-c("scores")[t])) for t in EACH[:-1]])
     out = out.select("task_id", "y", *[v.alias(k) for k, v in p.items()])
-    return out.withColumn("label", Q.argmax([c(k) for k in L.CLASSES], L.CLASSES))
+    return out.withColumn("label", best_of([c(k) for k in CLASSES]))
 
 
-#: C and weight of the positive rows.
+#: C and weight of the positive rows of the boundaries' candidates.
 BOUNDARIES = [(0.25, 1), (0.5, 1), (0.5, 2), (0.75, 2), (1.0, 4)]
 
 
 @query("ml_ordinal_svm_fit")
 def ml_ordinal_svm_fit(spark, sf):
-    """A boundary SVM for each step of the order, its setting by F1 on validation rows, all thresholds by macro F1 there; models of all training rows score the rest."""
-    train, out = prepared(spark, sf)
-    fitting, known = train.where(f"not ({VALIDATION})"), train.where(VALIDATION)
-    columns = [f"over_{t}" for t in range(len(L.CLASSES) - 1)]
-    for t, name in enumerate(columns):
-        positive, top = c("index") > t, None
-        for setting in BOUNDARIES:
-            model = weighted_svc(fitting, positive, *setting)
-            f1 = Q.threshold_grid(M.scored(model, train.where(VALIDATION), "s"), positive, "s", [0.0]).first().f1
-            if top is None or f1 > top[0]:
-                top = f1, setting, model
-        known = M.scored(top[2], known, name)
-        out = M.scored(weighted_svc(train, positive, *top[1]), out, name)
-    cuts = Q.coordinate_search(written(known.select("y", *columns), "boundaries"), "y", columns, L.CLASSES, [k / 20 - 2 for k in range(81)], 4, Q.passed_grid)
-    return out.select("task_id", "y", *columns, L.from_rank(M.passed_rank([c(n) for n in columns], cuts)).alias("label"))
+    """A boundary machine for each step of the order, its setting by F1 on validation rows, all thresholds by macro F1 there; models of all training rows score the rest."""
+    model, rows = featured(spark, sf, [WORD3, CHAR5])
+    blocks = laid(rows)
+    above = lambda t: tuple(range(t + 1, len(CLASSES)))
+    every = [(t, s) for t in EACH[:-1] for s in BOUNDARIES]
+    problem = lambda t, s, without: N.Problem(positive=above(t), c=s[0], weight=float(s[1]), without=without)
+    known = written(N.scored(rows.where("validation = 1"), N.fit(blocks, [problem(t, s, FITTING) for t, s in every], model.width)).select("y", *each_score([f"s{i}" for i in range(len(every))])), "tried")
+    chosen = []
+    for t in EACH[:-1]:
+        own = [i for i, (of, _) in enumerate(every) if of == t]
+        chosen.append(max(own, key=lambda i: (best_threshold(known, RANK > t, f"s{i}", [0.0])[0], -i)))  # noqa: B023
+    columns = [f"over_{t}" for t in EACH[:-1]]
+    seen = written(known.select("y", *[c(f"s{i}").alias(n) for i, n in zip(chosen, columns, strict=True)]), "boundaries")
+    cuts = Q.coordinate_search(seen, "y", columns, CLASSES, [k / 20 - 2 for k in range(81)], 4, Q.passed_grid)
+    out = asked(rows, N.fit(blocks, [problem(*every[i], NO_HELD) for i in chosen], model.width)).select("task_id", "y", *each_score(columns))
+    return out.withColumn("label", L.from_rank(M.passed_rank([c(n) for n in columns], cuts)))
+
+
+#: Dimensions of the text's singular vectors.
+DIMENSIONS = 180
+
+
+def dense(spark, sf, k: int = DIMENSIONS):
+    """Rows with ``svd``, their places along the leading singular vectors of the training rows' terms, and what Spark ML's estimators take."""
+    model, rows = featured(spark, sf, [WORD3, TITLED])
+    _, v = D.truncated(N.packed(rows.where("held = 0"), RANK), model.width, k)
+    rows = D.projected(rows, v).select("task_id", "y", "held", "validation", "svd", RANK.cast("double").alias("index"), F.lit(1.0).alias("weight"), TARGET.alias("target"))
+    return written(rows, "dense")
 
 
 @query("ml_ordered_logit")
 def ml_ordered_logit(spark, sf):
-    s = V.scores(spark, sf).withColumn("r", L.rank(c("y")))
-    p = M.descend(s.where(f"not ({HELD})"), COLUMNS, "r", M.ordered_logit_gradient(3), np.zeros(5), 25)
-    z = sum((F.lit(float(w)) * c(k) for w, k in zip(p[1:3], COLUMNS[1:], strict=True)), F.lit(float(p[0])) * c(COLUMNS[0]))
-    cuts = [float(p[3]), float(p[3] + np.exp(p[4]))]
-    passed = [1 / (1 + F.exp(F.lit(cut) - z)) for cut in cuts]
-    return s.where(HELD).select("task_id", "y", *[v.alias(f"p_{k}") for k, v in M.monotone_classes(passed).items()])
+    """Proportional odds on the text's dimensions, by Fisher scoring."""
+    rows = dense(spark, sf)
+    p = O.fit(rows.where("held = 0"), "svd", "index")
+    shares = M.monotone_classes(O.passed(c("svd"), p))
+    out = rows.where("held = 1").select("task_id", "y", *[v.alias(f"p_{k}") for k, v in shares.items()])
+    return out.withColumn("label", best_of([c(f"p_{k}") for k in CLASSES]))
+
+
+def score_model(spark, sf, problem):
+    """Held-out rows with a predicted score, from -0.1 to 0.9, and the class whose score is nearest. Targets are centred on the training rows' mean."""
+    model, rows = featured(spark, sf, [WORD3, TITLED])
+    mean = rows.where("held = 0").agg(F.coalesce(F.avg(TARGET), F.lit(0.0))).first()[0]
+    weights = N.fit(laid(rows, target=TARGET - mean), [problem], model.width)
+    score = F.least(F.greatest(c("scores")[0] + mean, F.lit(-0.1)), F.lit(0.9))
+    out = asked(rows, weights).select("task_id", "y", score.alias("score"))
+    return out.withColumn("label", best_of([-F.abs(c("score") - L.score(F.lit(k))) for k in CLASSES]))
 
 
 @query("ml_ridge_score")
 def ml_ridge_score(spark, sf):
-    rows = dense(spark, sf)
-    out = M.ridge(rows.where(f"not ({HELD})"), "target").transform(rows.where(HELD))
-    return out.select("task_id", "y", F.least(F.greatest("prediction", F.lit(-0.1)), F.lit(0.9)).alias("score"))
+    return score_model(spark, sf, N.Problem(c=10.0, loss="square", balanced=True, without=NO_HELD))
 
 
 @query("ml_huber_score")
 def ml_huber_score(spark, sf):
-    rows = dense(spark, sf)
-    return M.ridge(rows.where(f"not ({HELD})"), "target", loss="huber").transform(rows.where(HELD)).select("task_id", "y", c("prediction").alias("score"))
+    return score_model(spark, sf, N.Problem(c=10.0, loss="huber", balanced=True, without=NO_HELD))
 
 
 @query("ml_svr_score")
 def ml_svr_score(spark, sf):
-    s = V.scores(spark, sf).withColumn("target", L.score(c("y")))
-    p = M.descend(s.where(f"not ({HELD})"), COLUMNS, "target", M.insensitive_gradient(), np.zeros(4), 25, 0.2)
-    z = F.lit(float(p[3]))
-    for w, k in zip(p[:3], COLUMNS, strict=True):
-        z = z + F.lit(float(w)) * c(k)
-    return s.where(HELD).select("task_id", "y", z.alias("score"))
+    return score_model(spark, sf, N.Problem(c=10.0, loss="insensitive", balanced=True, without=NO_HELD))
 
 
 def embedded(spark, sf):
@@ -296,13 +369,14 @@ def ml_dense_probe(spark, sf):
 
 @query("ml_trees")
 def ml_trees(spark, sf):
-    rows = written(dense(spark, sf).select("task_id", "y", "index", "weight", "features"), "dense")
-    train, held = rows.where(f"not ({HELD})"), rows.where(HELD)
+    """On the text's dimensions."""
+    rows = dense(spark, sf).withColumn("features", array_to_vector("svd"))
+    train, held = rows.where("held = 0"), rows.where("held = 1")
     kinds = {
         "decision_tree": DecisionTreeClassifier(labelCol="index", maxDepth=10, weightCol="weight", seed=7),
-        "random_forest": RandomForestClassifier(labelCol="index", numTrees=40, weightCol="weight", seed=7),
-        "extra_trees": RandomForestClassifier(labelCol="index", numTrees=40, featureSubsetStrategy="log2", bootstrap=False, seed=7),
-        "boosted": OneVsRest(classifier=GBTClassifier(maxIter=5, seed=7), labelCol="index"),
+        "random_forest": RandomForestClassifier(labelCol="index", numTrees=100, maxDepth=10, weightCol="weight", seed=7),
+        "extra_trees": RandomForestClassifier(labelCol="index", numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt", bootstrap=False, seed=7),
+        "boosted": OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=7), labelCol="index"),
     }
     out = None
     for name, kind in kinds.items():
@@ -313,74 +387,150 @@ def ml_trees(spark, sf):
 
 @query("ml_platt")
 def ml_platt(spark, sf):
-    s = V.scores(spark, sf)
+    """A machine for each class, fitted without the validation rows, on which a sigmoid of each score is fitted."""
+    model, rows = featured(spark, sf, [WORD3, TITLED])
+    weights = N.fit(laid(rows), [N.Problem(positive=(k,), c=1.0, without=FITTING) for k in EACH], model.width)
+    names = [f"s{k}" for k in EACH]
+    known = written(N.scored(rows.where("validation = 1"), weights).select("y", *each_score(names)), "validation")
     raw = []
-    for k, name in enumerate(L.CLASSES):
-        a, b = M.platt(s.where(f"not ({HELD})"), f"s{k}", c("y") == name)
+    for k, name in enumerate(CLASSES):
+        a, b = M.platt(known, f"s{k}", c("y") == name)
         raw.append(1 / (1 + F.exp(-(F.lit(a) * c(f"s{k}") + F.lit(b)))))
     total = raw[0] + raw[1] + raw[2]
-    return s.where(HELD).select("task_id", "y", *[(r / total).alias(f"p_{n}") for r, n in zip(raw, L.CLASSES, strict=True)])
+    out = asked(rows, weights).select("task_id", "y", *each_score(names)).select("task_id", "y", *[(r / total).alias(f"p_{n}") for r, n in zip(raw, CLASSES, strict=True)])
+    return out.withColumn("label", best_of([c(f"p_{n}") for n in CLASSES]))
+
+
+#: View and C of the stack's base models, and the meta model's choices of C.
+BASES = [("task", 0.2), ("task", 0.5), ("titled", 0.2), ("titled", 0.5)]
+META_C = [0.1, 1.0, 10.0]
+OUTER, INNER = 4, 3
+
+
+def stack_folds(rows):
+    """(task_id, outer, inner): group-disjoint folds, and for each outer fold the inner folds of the rows outside it, as an array by outer fold."""
+    nested = S.nested_folds(rows, "jobrole_id", "y", OUTER, INNER).groupBy("jobrole_id").agg(F.map_from_entries(F.collect_list(F.struct("outer", "inner"))).alias("m"))
+    outer = S.group_folds(rows, "jobrole_id", "y", OUTER).select("jobrole_id", c("fold").alias("outer"))
+    inner = F.transform(F.sequence(F.lit(0), F.lit(OUTER - 1)), lambda o: F.coalesce(F.try_element_at("m", o), F.lit(-1)))
+    return rows.select("task_id", "jobrole_id").join(outer, "jobrole_id").join(nested, "jobrole_id", "left").select("task_id", "outer", *[inner[o].alias(f"inner_{o}") for o in range(OUTER)])
+
+
+def base_scores(spark, sf):
+    """(rows with fold columns and ``scores``, places): base scores of all fold combinations that the nested stack asks for.
+
+    ``places[(outer, left out inner folds)]`` are the columns of the base models that saw neither. All are fitted in one go.
+    """
+    every = V.labelled(spark, sf)
+    model, rows = featured(spark, sf, [WORD3, CHAR5, TITLED], stack_folds(every))
+    views = {"task": model.ranges("word", "char"), "titled": model.ranges("word", "char", "title")}
+    folds = ["outer", *[f"inner_{o}" for o in range(OUTER)]]
+    wanted = [(o, gone) for o in range(OUTER) for gone in [(), *[(i,) for i in range(INNER)], *[(0, i) for i in range(1, INNER)]]]
+    problems, places = [], {}
+    for o, gone in wanted:
+        places[o, gone] = list(range(len(problems), len(problems) + len(BASES) * len(CLASSES)))
+        without = ((0, o), *[(o + 1, i) for i in gone])
+        problems += [N.Problem(positive=(k,), c=v, balanced=True, without=without, features=views[view]) for view, v in BASES for k in EACH]
+    weights = N.fit(laid(rows, folds), problems, model.width, 40, 1e-3)
+    return written(N.scored(rows, weights).select("task_id", "y", *folds, "scores"), "base-scores"), places
+
+
+def nested_stack(rows, places, more=()):
+    """(task_id, outer, y, label, meta_c): each outer fold by a meta model of the others.
+
+    In each outer fold, C of the meta model and class offsets are chosen on inner fold 0, which neither the base scores nor the meta model of the other
+    inner folds have seen; then a meta model of out-of-fold base scores of all rows outside the outer fold scores the fold. ``more``: further columns.
+    """
+    names = [f"f{j}" for j in range(len(BASES) * len(CLASSES))]
+    take = lambda columns: F.transform(F.array(*[F.lit(j) for j in columns]), lambda j: F.get("scores", j))
+    out = None
+    for o in range(OUTER):
+        inner = c(f"inner_{o}")
+        by_fold = lambda pairs: F.coalesce(*[F.when(inner == i, take(places[o, gone])) for i, gone in pairs])  # noqa: B023, E731
+        oof = by_fold([(i, (i,)) for i in range(INNER)])
+        deep = by_fold([(0, (0,)), *[(i, (0, i)) for i in range(1, INNER)]])
+        flat = lambda x: [x[j].alias(n) for j, n in enumerate(names)]
+        base = lambda x, where: written(rows.where(where).select("task_id", "y", inner.alias("inner"), *flat(x), *more), "stack")  # noqa: B023, E731
+        inputs = [*names, *more]
+        ready = lambda df, of: VectorAssembler(inputCols=inputs, outputCol="features").transform(X.scaled(df, inputs, of=of)).withColumn("index", RANK.cast("double")).withColumn("weight", F.lit(1.0))  # noqa: B023, E731
+        tried = ready(base(deep, c("outer") != o), c("inner") != 0)
+        top = None
+        for v in META_C:
+            fitted = M.logistic(tried.where("inner <> 0"), v).transform(tried.where("inner = 0")).select("y", *[vector_to_array("probability")[k].alias(f"m{k}") for k in EACH])
+            fitted = written(fitted, "meta")
+            offsets = Q.coordinate_search(fitted, "y", ["m0", "m1", "m2"], CLASSES, OFFSETS)
+            f1 = Q.offset_grid(fitted, "y", ["m0", "m1", "m2"], CLASSES, [[b] for b in offsets]).first().macro_f1
+            if top is None or f1 > top[0] + 1e-12:
+                top = f1, v, offsets
+        whole = rows.select("task_id", "y", (c("outer") == o).alias("asked"), F.when(c("outer") == o, take(places[o, ()])).otherwise(oof).alias("x"), *more)
+        whole = ready(written(whole.select("task_id", "y", "asked", *flat(c("x")), *more), "stack"), ~c("asked"))
+        fitted = M.logistic(whole.where("not asked"), top[1]).transform(whole.where("asked")).withColumn("p", vector_to_array("probability"))
+        part = fitted.select("task_id", F.lit(o).alias("outer"), "y", best_of([c("p")[k] + F.lit(b) for k, b in zip(EACH, top[2], strict=True)]).alias("label"), F.lit(top[1]).alias("meta_c"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def out_of_fold(spark, sf, folds: int = 4):
-    """Base scores o0, o1, o2: training rows' from models that did not see their fold, held-out rows' (fold -1) from a model of all training rows."""
-    train, held = prepared(spark, sf)
-    dealt = written(train.join(S.group_folds(train, "jobrole_id", "y", folds).select("jobrole_id", "fold"), "jobrole_id"), "folds")
-    out = M.predicted(M.one_vs_rest(train), held.withColumn("fold", F.lit(-1)))
-    for f in range(folds):
-        out = out.unionByName(M.predicted(M.one_vs_rest(dealt.where(c("fold") != f)), dealt.where(c("fold") == f)))
-    return out.select("task_id", "y", "index", "weight", "fold", *[c("scores")[k].alias(f"o{k}") for k in range(3)])
+@query("ml_oof_stack")
+def ml_oof_stack(spark, sf):
+    """Nested: every row is scored once, by a stack that saw nothing of its group."""
+    return nested_stack(*base_scores(spark, sf))
 
 
-def stacked(rows, inputs):
-    """Held-out rows by a logistic model of the scaled inputs and offsets; scale, model and offsets are fitted on training rows."""
-    train = c("fold") >= 0
-    data = VectorAssembler(inputCols=inputs, outputCol="features").transform(X.scaled(rows, inputs, of=train))
-    fitted = M.predicted(M.logistic(data.where(train)), data).select("task_id", "y", "fold", *[c("scores")[k].alias(f"m{k}") for k in range(3)])
-    fitted, columns = written(fitted, "stacked"), ["m0", "m1", "m2"]
-    offsets = Q.coordinate_search(fitted.where(train), "y", columns, L.CLASSES, OFFSETS)
-    return fitted.where("fold = -1").select("task_id", "y", Q.argmax([c(m) + F.lit(b) for m, b in zip(columns, offsets, strict=True)], L.CLASSES).alias("label"))
+SIGNALS = [f"{n}_{k}" for n in ("nb", "rule", "near") for k in EACH]
 
 
-@query("ml_oof_stack")
-def ml_oof_stack(spark, sf):
-    return stacked(written(out_of_fold(spark, sf), "oof"), ["o0", "o1", "o2"])
+def weights_of(spark, sf):
+    return X.tfidf_of(V.labelled(spark, sf), "task_id", X.word_ngrams(c("task"), 1, 2)).withColumnRenamed("task_id", "row")
 
 
 @query("ml_oof_enriched")
 def ml_oof_enriched(spark, sf):
-    """The stack with more signals: the score table, their products with the base scores."""
-    rows = out_of_fold(spark, sf).join(V.scores(spark, sf).select("task_id", *COLUMNS), "task_id")
-    rows = written(rows.select("*", *[(c(f"o{k}") * c(f"s{k}")).alias(f"x{k}") for k in range(3)]), "oof")
-    return stacked(rows, [f"{p}{k}" for p in "osx" for k in range(3)])
+    """The nested stack with rule, naive Bayes and centroid signals from the rows of other outer folds, and with stored dense vectors' centroids."""
+    rows, places = base_scores(spark, sf)
+    folds = rows.select(c("task_id").alias("row"), c("outer").alias("fold"), c("y").alias("label"))
+    signals = R.fold_signals(weights_of(spark, sf), folds, CLASSES, OUTER)
+    vectors = V.table(spark, sf, "embeddings").select(c("vec_id").alias("row"), F.posexplode(X.unit(c("embedding"))).alias("term", "weight")).join(folds.select("row"), "row", "left_semi")
+    near = R.fold_signals(vectors.withColumn("term", c("term").cast("string")), folds, CLASSES, OUTER).select("row", *[c(f"near_{k}").alias(f"dense_{k}") for k in EACH])
+    more = signals.join(near, "row").withColumnRenamed("row", "task_id")
+    return nested_stack(written(rows.join(more, "task_id"), "enriched"), places, [*SIGNALS, *[f"dense_{k}" for k in EACH]])
+
+
+def _fold_sql() -> str:
+    """Each fold's signals counted afresh from the rows of the other folds."""
+    tfidf = "raw AS (SELECT task_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1) AS w FROM counts JOIN (SELECT term, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 2) USING (term)), weights AS (SELECT task_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY task_id)) AS weight FROM raw)"
+    one = lambda k: f"count(*) FILTER (y = '{CLASSES[k]}') AS n{k}, coalesce(sum(weight) FILTER (y = '{CLASSES[k]}'), 0) AS w{k}"
+    n = "(n0 + n1 + n2)"
+    seen = f"facts AS (SELECT f AS fold, term, {', '.join(one(k) for k in EACH)} FROM rows JOIN weights USING (task_id), (SELECT unnest([0, 1, 2, 3]) AS f) WHERE fold <> f GROUP BY ALL)"
+    sums = "sums AS (SELECT fold, " + ", ".join(f"sqrt(sum(w{k} * w{k})) AS len{k}, sum(n{k} + 1) AS p{k}, sum({n} - n{k} + 1) AS q{k}" for k in EACH) + " FROM facts GROUP BY fold)"
+    # Terms that only the row's own fold has count as terms that no row has.
+    every = f"asked AS (SELECT task_id, term, weight, rows.fold, {', '.join(f'coalesce(n{k}, 0) AS n{k}, coalesce(w{k}, 0) AS w{k}' for k in EACH)} FROM rows JOIN weights USING (task_id) LEFT JOIN facts USING (term, fold))"
+    own = "extra AS (SELECT fold, count(*) AS e FROM (SELECT f AS fold, term FROM (SELECT DISTINCT term FROM weights), (SELECT unnest([0, 1, 2, 3]) AS f) EXCEPT SELECT fold, term FROM facts) GROUP BY fold)"
+    cols = ", ".join(f"round(avg(ln((n{k} + 1) / (p{k} + coalesce(e, 0))) - ln(({n} - n{k} + 1) / (q{k} + coalesce(e, 0)))), 6) AS nb_{k}, round(coalesce(max(n{k} / {n}) FILTER ({n} >= 2), 0), 6) AS rule_{k}, round(coalesce(sum(weight * w{k} / len{k}), 0), 6) AS near_{k}" for k in EACH)
+    return f"{COUNTS}, {tfidf}, rows AS (SELECT task_id, y, (task_id % 4)::INT AS fold FROM labelled), {seen}, {sums}, {every}, {own} SELECT task_id, {cols} FROM asked JOIN sums USING (fold) LEFT JOIN extra USING (fold) GROUP BY task_id"
+
+
+@query("ml_fold_signals", "WITH " + V.CTE_TASKS + _fold_sql())
+def ml_fold_signals(spark, sf):
+    """What other folds' rows say of each row, for folds by id."""
+    folds = V.labelled(spark, sf).select(c("task_id").alias("row"), (c("task_id") % 4).cast("int").alias("fold"), c("y").alias("label"))
+    weights = weights_of(spark, sf)
+    found = R.fold_signals(weights, folds, CLASSES, 4).join(weights.select("row").distinct(), "row", "left_semi")
+    return found.select(c("row").alias("task_id"), *[F.round(n, 6).alias(n) for n in SIGNALS])
 
 
 @query("ft_svd")
 def ft_svd(spark, sf):
-    """Rows projected on the leading right singular vectors of their hashed term weights."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = V.labelled(spark, sf)
-    data = written(X.vectors(X.tfidf_of(rows, "task_id", X.word_ngrams(c("task"), 1, 1)), "task_id", 256), "vectors")
-    found = RowMatrix(data.select("features").rdd.map(lambda r: Vectors.fromML(r.features))).computeSVD(16)  # the class takes an RDD
-    v = spark.sparkContext.broadcast(found.V.toArray())
-
-    @F.udf("array<double>")
-    def project(x):
-        return [float(z) for z in v.value[x.indices].T @ x.values]
-
-    return data.select("task_id", project("features").alias("svd"))
+    """Rows' places along the leading singular vectors of the training rows' terms."""
+    return dense(spark, sf).select("task_id", "svd")
 
 
 @query("ru_linear_terms")
 def ru_linear_terms(spark, sf):
-    """The largest terms of a linear model count in each text; the class with most wins, E0 without any."""
-    from taskweave.operators import retrieval as R
-
-    size = 1 << 14
+    """The largest terms of a linear model of the training rows count in each text; the class with most wins, E0 without any."""
     rows = V.labelled(spark, sf)
-    data = written(M.dataset(X.tfidf_of(rows, "task_id", X.word_ngrams(c("task"), 1, 1)), rows.select("task_id", "y"), "task_id", "y", size), "dataset")
-    terms = X.term_counts(rows, "task_id", X.word_ngrams(c("task"), 1, 1)).select(c("task_id").alias("row"), "term")
-    top = M.top_by_class(M.one_vs_rest(data), terms.select("term").distinct(), size)
-    return R.apply_rules(terms, top.select("label", "term", F.lit(1.0).alias("score")), rows.select(c("task_id").alias("row")), "E0")
+    model, data = featured(spark, sf, [P.Block("word", "task", "word", 1, 1, 2, CAP, 1.0)])
+    weights = N.fit(laid(data), [N.Problem(positive=(k,), c=1.0, balanced=True, without=NO_HELD) for k in EACH], model.width)
+    flat = spark.createDataFrame([(name, i, float(w)) for k, name in enumerate(CLASSES) for i, w in enumerate(weights[:-1, k])], "label string, index int, weight double")  # the block's cap a class
+    top = R.linear_terms(flat.join(model.terms, "index").select("label", "term", "weight"))
+    terms = X.term_counts(rows.select("task_id", P.T.strip_accents(c("task")).alias("task")), "task_id", X.word_ngrams(c("task"), 1, 1)).select(c("task_id").alias("row"), "term")
+    found = R.apply_rules(terms, top.select("label", "term", F.lit(1.0).alias("score")), rows.select(c("task_id").alias("row")), "E0")
+    return found.join(rows.select(c("task_id").alias("row"), "y"), "row").where("row % 4 = 0")
