@@ -69,10 +69,32 @@ def review_levels(rows: DataFrame, row: str, reference: DataFrame, medium: float
     out = rows.select(row, *REVIEW).crossJoin(F.broadcast(review_thresholds(reference)))  # one row
     for name in REVIEW:
         out = out.join(percentile_rank(rows.select(row, name), row, name, reference.select(name), name, buckets).withColumnRenamed("rank", f"rank_{name}"), row)
-    score = F.greatest(*[1 - F.col(f"rank_{name}") for name in REVIEW])
+    return out.select(row, *_levels(lambda name: F.col(f"rank_{name}"), medium, high))
+
+
+#: Quantiles of a stored summary: a rank read from it is off by less than one in so many.
+SUMMARY = 1000
+SUMMARY_SCHEMA = ", ".join(f"least_{n} double, at_{n} array<double>" for n in REVIEW)
+
+
+def review_summary(reference: DataFrame, points: int = SUMMARY) -> DataFrame:
+    """One row to be stored with a model: the thresholds of ``review_thresholds``, and ``points`` + 1 quantiles of each signal as ``at_`` and its name."""
+    cuts = F.array(*[F.lit(i / points) for i in range(points + 1)])
+    at = [F.transform(F.percentile(name, cuts), lambda x: F.round(x, 9)).alias(f"at_{name}") for name in REVIEW]
+    return reference.agg(*[F.round(F.percentile(name, q), 9).alias(f"least_{name}") for name, (_, q) in REVIEW.items()], *at)
+
+
+def review_stored(rows: DataFrame, row: str, summary: DataFrame, medium: float = MEDIUM, high: float = HIGH) -> DataFrame:
+    """What ``review_levels`` gives, from a stored summary in place of the reference rows; rows are only mapped."""
+    out = rows.select(row, *REVIEW).crossJoin(F.broadcast(summary))  # one row
+    return out.select(row, *_levels(lambda name: F.size(F.filter(f"at_{name}", lambda q: q <= F.col(name))) / F.size(f"at_{name}"), medium, high))
+
+
+def _levels(rank, medium: float, high: float) -> list[Column]:
+    score = F.greatest(*[1 - rank(name) for name in REVIEW])
     reasons = F.array_compact(F.array(*[F.when(F.col(name) < F.col(f"least_{name}"), F.lit(reason)) for name, (reason, _) in REVIEW.items()]))
     level = F.when((F.size(reasons) > 0) | (score >= high), "high").when(score >= medium, "medium").otherwise("low")
-    return out.select(row, reasons.alias("review_reasons"), score.alias("review_score"), level.alias("review_level"), (level == "high").alias("needs_review"))
+    return [reasons.alias("review_reasons"), score.alias("review_score"), level.alias("review_level"), (level == "high").alias("needs_review")]
 
 
 def calibrate(rows: DataFrame, row: str, wrong: Column, buckets: int = 64) -> DataFrame:

@@ -1,7 +1,7 @@
 """Decision search: grids of thresholds, offsets and gates evaluated as data.
 
-A candidate costs conditional sums, so rows are read once and shuffled as a few counts for each candidate. Rows are first collapsed to
-how often each (truth, scores) comes.
+Thresholds, cuts and gates are judged from histograms: rows are counted once by how many candidates they reach, and running sums of those
+counts give every candidate. Offsets are counted as one confusion matrix a candidate in each task. So what is shuffled has a fixed size.
 """
 
 from __future__ import annotations
@@ -25,12 +25,18 @@ def best(candidates: DataFrame, metric: str, *order: str) -> DataFrame:
     return candidates.orderBy(F.desc(F.round(metric, 9)), *order).limit(1)
 
 
+def bucket(score: Column, points: Column) -> Column:
+    """How many of the points a score reaches."""
+    return F.size(F.filter(points, lambda p: p <= score))
+
+
 def threshold_grid(df: DataFrame, positive: Column, score: str, points: list[float]) -> DataFrame:
-    """(t, tp, called, support, f1) for each threshold."""
-    rows = df.groupBy(positive.cast("int").alias("_y"), F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    each = rows.withColumn("t", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    called = F.when(F.col("_s") >= F.col("t"), F.col("_n")).otherwise(0)
-    sums = each.groupBy("t").agg(F.sum(called * F.col("_y")).alias("tp"), F.sum(called).alias("called"), F.sum(F.col("_n") * F.col("_y")).alias("support"))
+    """(t, tp, called, support, f1) for each threshold, from a histogram of the rows by how many thresholds they reach."""
+    order = sorted(set(map(float, points)))
+    grid = F.array(*[F.lit(p) for p in order])
+    rows = df.select(positive.cast("int").alias("_y"), bucket(F.col(score), grid).alias("_b")).groupBy("_y", "_b").agg(F.count("*").alias("_n"))
+    each = rows.select("*", F.posexplode(grid).alias("_i", "t")).withColumn("_called", F.when(F.col("_b") > F.col("_i"), F.col("_n")).otherwise(0))  # points by points
+    sums = each.groupBy("t").agg(F.sum(F.col("_called") * F.col("_y")).alias("tp"), F.sum("_called").alias("called"), F.sum(F.col("_n") * F.col("_y")).alias("support"))
     return sums.withColumn("f1", f1(F.col("tp"), F.col("called"), F.col("support")))
 
 
@@ -135,19 +141,34 @@ def coordinate_search(df: DataFrame, truth: str, scores: list[str], classes, poi
 
 
 def cut_points(df: DataFrame, truth: str, score: str, classes, quantiles: list[float]) -> DataFrame:
-    """(a, b, macro_f1) for each pair of cuts among the score's quantiles; classes are in the order of the score."""
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(q) for q in quantiles])).alias("_q")).select(F.array_distinct(F.transform("_q", lambda x: F.round(x, 6))).alias("_q"))
-    pairs = cuts.select(F.explode("_q").alias("a"), "_q").select("a", F.explode("_q").alias("b")).where("a < b")
-    rows = collapsed(df, [truth, score]).crossJoin(F.broadcast(pairs))  # at most the pairs of the quantiles asked for
-    rows = rows.withColumn("_p", F.when(F.col(score) < F.col("a"), classes[0]).when(F.col(score) < F.col("b"), classes[1]).otherwise(classes[2]))
-    return macro_f1(rows, ["a", "b"], truth, "_p", "_n", classes)
+    """(a, b, macro_f1) for each pair of cuts among the score's quantiles; classes are in the order of the score.
+
+    Rows are counted once, by class and by how many cuts they reach; all pairs follow from running sums of those counts.
+    """
+    cuts = df.agg(F.percentile(score, F.array(*[F.lit(q) for q in quantiles])).alias("_q")).select(F.array_sort(F.array_distinct(F.transform("_q", lambda x: F.round(x, 6)))).alias("_q"))
+    rows = df.crossJoin(F.broadcast(cuts)).select(F.col(truth).alias("_y"), "_q", bucket(F.col(score), F.col("_q")).alias("_b"))
+    counts = rows.groupBy("_q", "_b").agg(*[F.count_if(F.col("_y") == c).alias(f"n{k}") for k, c in enumerate(classes)], F.count("*").alias("n"))
+    each = counts.select("*", F.posexplode("_q").alias("i", "cut"))  # cuts by cuts
+    below = F.col("_b") <= F.col("i")
+    names = ["n", *[f"n{k}" for k in range(len(classes))]]
+    sums = each.groupBy("i", "cut").agg(*[F.sum(F.when(below, F.col(x)).otherwise(0)).alias(x) for x in names], *[F.sum(x).alias(f"all_{x}") for x in names])
+    left, right = sums.select(*[F.col(x).alias(f"a_{x}") for x in ("i", "cut", *names)]), sums.select(*[F.col(x).alias(f"b_{x}") for x in ("i", "cut", *names)], *[f"all_{x}" for x in names])
+    pairs = F.broadcast(left).join(right, F.col("a_i") < F.col("b_i"))  # of the quantiles asked for
+    c = F.col
+    parts = [(c("a_n0"), c("a_n"), c("all_n0")), (c("b_n1") - c("a_n1"), c("b_n") - c("a_n"), c("all_n1")), (c("all_n2") - c("b_n2"), c("all_n") - c("b_n"), c("all_n2"))]
+    total = sum((f1(*p) for p in parts[1:]), f1(*parts[0]))
+    return pairs.select(c("a_cut").alias("a"), c("b_cut").alias("b"), (total / 3).alias("macro_f1"))
 
 
 def gate_grid(df: DataFrame, truth: str, predicted: str, gate_class: str, confidence: str, support: str, thresholds: list[float], supports: list[int], classes) -> DataFrame:
-    """(t, m, macro_f1) of overriding with ``gate_class`` where confidence and support reach a candidate's."""
-    rows = collapsed(df, [truth, predicted, confidence, support])
-    rows = rows.withColumn("t", F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))).withColumn("m", F.explode(F.array(*[F.lit(x) for x in supports])))
-    rows = rows.withColumn("_p", F.when((F.col(confidence) >= F.col("t")) & (F.col(support) >= F.col("m")), gate_class).otherwise(F.col(predicted)))
+    """(t, m, macro_f1) of overriding with ``gate_class`` where confidence and support reach a candidate's.
+
+    Rows are counted once, by label, prediction and how many thresholds and supports they reach.
+    """
+    t, m = F.array(*[F.lit(float(x)) for x in sorted(thresholds)]), F.array(*[F.lit(x) for x in sorted(supports)])
+    rows = collapsed(df.select(truth, predicted, F.coalesce(bucket(F.col(confidence), t), F.lit(0)).alias("_i"), F.coalesce(bucket(F.col(support), m), F.lit(0)).alias("_j")), [truth, predicted, "_i", "_j"])
+    rows = rows.select("*", F.posexplode(t).alias("_a", "t")).select("*", F.posexplode(m).alias("_b", "m"))
+    rows = rows.withColumn("_p", F.when((F.col("_i") > F.col("_a")) & (F.col("_j") > F.col("_b")), gate_class).otherwise(F.col(predicted)))
     return macro_f1(rows, ["t", "m"], truth, "_p", "_n", classes)
 
 

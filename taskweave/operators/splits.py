@@ -80,7 +80,8 @@ def component_holdout(rows: DataFrame, component: str, label: str, share: float
 
 def overlaps(rows: DataFrame, split: str, columns: dict[str, str]) -> DataFrame:
     """(check, severity, left_split, right_split, overlap): shared values of each column between each two splits. ``columns``: name -> severity."""
-    every = rows.select(split, F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])).alias("check", "value")).where("value is not null").distinct()
+    value = lambda c: F.unhex(F.md5(F.col(c).cast("string")))  # noqa: E731  (texts of any length meet by their digests)
+    every = rows.select(split, F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), value(c))])).alias("check", "value")).where("value is not null").distinct()
     left = every.withColumnRenamed(split, "left_split")
     both = left.join(every.withColumnRenamed(split, "right_split"), ["check", "value"]).where("left_split < right_split").groupBy("check", "left_split", "right_split").agg(F.count("*").alias("n"))
     names = rows.select(split).distinct()
@@ -110,8 +111,8 @@ def stratified(df: DataFrame, key: str, label: str, sector: str, role: str, want
     want = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])[F.col(label)]
     counts = quotas(able.groupBy(label, sector).agg(F.count("*").alias("n_rows")), sector, want, [label])
     inside = able.join(counts, [label, sector]).withColumn("_q", F.row_number().over(Window.partitionBy(label, sector).orderBy(*order)) <= F.col("quota"))
-    chosen = inside.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("_q"), *order)))
-    return chosen.where(F.col("_r") <= want).select(df.columns)
+    chosen = ranked(inside, [label], F.concat(F.when(F.col("_q"), "0").otherwise("1"), draw(seed, key)), "_r")
+    return chosen.where(F.col("_r") < want).select(df.columns)
 
 
 def oversampled(df: DataFrame, key: str, label: str, n: int, classes, seed: str = "draw") -> DataFrame:

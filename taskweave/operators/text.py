@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: The most characters of a request's fields.
 LIMITS = {"task": 10000, "title": 500, "action": 2000, "object": 5000, "purpose": 5000}
 
 
@@ -77,7 +78,13 @@ def lexical_tokens(c: Column) -> Column:
 
 
 def stable_id(parts: list[Column], chars: int = 20) -> Column:
-    return F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, chars)
+    """An id of several keys; a null key keeps its place by a mark of its own, so (a, null, b) and (a, b) differ."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x1e")) for p in parts]), 256), 1, chars)
+
+
+def digest(c: Column) -> Column:
+    """128 bits that stand for a text as a key, so that whole texts need not be shuffled to be compared."""
+    return F.unhex(F.md5(c))
 
 
 def rendered(template: str, **values: Column) -> Column:

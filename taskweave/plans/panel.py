@@ -1,4 +1,5 @@
-"""Queries: matched-panel analysis, with the bootstrap's 2,000 replicates; its draws have no SQL and are held against numpy."""
+"""Queries: matched-panel analysis, with the bootstrap's 2,000 replicates; its draws have no SQL, so their means are held against SQL and their
+intervals against theory."""
 
 from __future__ import annotations
 
@@ -44,32 +45,59 @@ def pa_distribution(spark, sf):
 
 @query("pa_bootstrap_ci")
 def pa_bootstrap_ci(spark, sf):
-    rows = outcome_rows(spark, sf).where("grain = 'raw_parent' and condition = 'legacy__gpt_4o'")
-    return A.bootstrap(rows, ["outcome"], "value").select("outcome", *six("mean", "low", "high"), "n")
+    """Every outcome's share in every cell, with its interval."""
+    by = ["grain", "condition", "outcome"]
+    return A.bootstrap(outcome_rows(spark, sf), by, "value").select(*by, *six("mean", "low", "high"), "n")
+
+
+#: Contrasts (name, left, right): prompts within each model, and models within each prompt.
+CONTRASTS = [(f"{a} minus {b} by {m}", f"{a}__{m}", f"{b}__{m}") for m in V.MODELS for a, b in (("production", "legacy"), ("production_legacy_anchors", "production"), ("production_legacy_anchors", "legacy"))]
+CONTRASTS += [(f"{V.MODELS[1]} minus {V.MODELS[0]} by {p}", f"{p}__{V.MODELS[1]}", f"{p}__{V.MODELS[0]}") for p in V.PROMPTS]
 
 
 @query("pa_paired_delta")
 def pa_paired_delta(spark, sf):
-    wide = complete(spark, sf).where("grain = 'raw_parent'")
-    left, right = F.col("legacy__gpt_4o"), F.col("production__gpt_4o")
-    pairs = wide.select(F.explode(F.create_map(*[x for k, v in A.outcomes(right).items() for x in (F.lit(k), (v.cast("int") - A.outcomes(left)[k].cast("int")) * 100)])).alias("outcome", "v"))
-    agree = wide.agg(F.round(A.agreement(left, right), 6).alias("agreement"))
-    return A.bootstrap(pairs, ["outcome"], "v").select("outcome", *six("mean", "low", "high"), "n").crossJoin(F.broadcast(agree))
+    """Left less right in percentage points for every contrast, grain and outcome, with paired intervals and exact agreement."""
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("contrast"), F.col(a).alias("l"), F.col(b).alias("r")) for n, a, b in CONTRASTS])).alias("x")
+    cells = complete(spark, sf).select("grain", sides).select("grain", "x.*")
+    left, right = A.outcomes(F.col("l")), A.outcomes(F.col("r"))
+    pairs = cells.select("grain", "contrast", F.explode(F.create_map(*[x for k in left for x in (F.lit(k), (left[k].cast("int") - right[k].cast("int")) * 100)])).alias("outcome", "v"))
+    by = ["grain", "contrast"]
+    agree = cells.groupBy(*by).agg(F.round(A.agreement(F.col("l"), F.col("r")), 6).alias("agreement"))
+    return A.bootstrap(pairs, [*by, "outcome"], "v").select(*by, "outcome", *six("mean", "low", "high"), "n").join(F.broadcast(agree), by)  # a row for each contrast and grain
+
+
+KIDS = LONG + ", kids AS (SELECT parent, condition, outcome, avg(value) AS child_rate, count(*) AS n FROM vals WHERE grain = 'atomic_child' GROUP BY ALL), own AS (SELECT parent, condition, outcome, value FROM vals WHERE grain = 'raw_parent')"
 
 
-@query("pa_representation", WIDE + """, kids AS (SELECT parent, avg((legacy__gpt_4o <> 'E0')::INT) AS child_rate, count(*) AS n FROM complete WHERE grain = 'atomic_child' GROUP BY parent)
-SELECT count(*)::BIGINT AS parents, sum(n)::BIGINT AS children, round(avg((p.legacy__gpt_4o <> 'E0')::INT), 6) AS parent_rate, round(avg(child_rate), 6) AS child_rate, round(avg((p.legacy__gpt_4o <> 'E0')::INT - child_rate) * 100, 6) AS delta FROM complete p JOIN kids USING (parent) WHERE grain = 'raw_parent'""")
+def parent_and_children(spark, sf):
+    """(parent, condition, outcome, own, child_rate, n) of parents with children."""
+    rows = outcome_rows(spark, sf)
+    keys = ["parent", "condition", "outcome"]
+    kids = rows.where("grain = 'atomic_child'").groupBy(*keys).agg(F.avg("value").alias("child_rate"), F.count("*").alias("n"))
+    return rows.where("grain = 'raw_parent'").select(*keys, F.col("value").alias("own")).join(kids, keys)
+
+
+@query("pa_representation", KIDS + " SELECT condition, outcome, count(*)::BIGINT AS parents, sum(n)::BIGINT AS children, round(avg(value), 6) AS parent_rate, round(avg(child_rate), 6) AS child_rate, round(avg(child_rate - value) * 100, 6) AS delta FROM own JOIN kids USING (parent, condition, outcome) GROUP BY ALL")
 def pa_representation(spark, sf):
-    wide = complete(spark, sf)
-    hit = (F.col("legacy__gpt_4o") != "E0").cast("int")
-    kids = wide.where("grain = 'atomic_child'").groupBy("parent").agg(F.avg(hit).alias("child_rate"), F.count("*").alias("n"))
-    both = wide.where("grain = 'raw_parent'").select("parent", hit.alias("own")).join(kids, "parent")
-    return both.agg(F.count("*").alias("parents"), F.sum("n").alias("children"), F.round(F.avg("own"), 6).alias("parent_rate"), F.round(F.avg("child_rate"), 6).alias("child_rate"), F.round(F.avg(F.col("own") - F.col("child_rate")) * 100, 6).alias("delta"))
+    """A parent's label against its children's mean, parents weighing the same, for every condition and outcome."""
+    both = parent_and_children(spark, sf).groupBy("condition", "outcome")
+    return both.agg(F.count("*").alias("parents"), F.sum("n").alias("children"), F.round(F.avg("own"), 6).alias("parent_rate"), F.round(F.avg("child_rate"), 6).alias("child_rate"), F.round(F.avg(F.col("child_rate") - F.col("own")) * 100, 6).alias("delta"))
+
+
+@query("pa_representation_ci")
+def pa_representation_ci(spark, sf):
+    """The same difference with paired intervals."""
+    by = ["condition", "outcome"]
+    return A.bootstrap(parent_and_children(spark, sf).withColumn("v", F.round((F.col("child_rate") - F.col("own")) * 100, 6)), by, "v").select(*by, *six("mean", "low", "high"), "n")
 
 
-@query("pa_parent_modal", WIDE + ", c AS (SELECT parent, legacy__gpt_4o AS l, count(*) AS k FROM complete WHERE grain = 'atomic_child' GROUP BY ALL) SELECT parent, arg_min(l, (-k, l)) AS modal, sum(k)::BIGINT AS n FROM c GROUP BY parent")
+@query("pa_parent_modal", LONG + ", c AS (SELECT parent, condition, label AS l, count(*) AS k FROM long WHERE grain = 'atomic_child' GROUP BY ALL) SELECT parent, condition, arg_min(l, (-k, l)) AS modal, sum(k)::BIGINT AS n FROM c GROUP BY parent, condition")
 def pa_parent_modal(spark, sf):
-    return A.modal(complete(spark, sf).where("grain = 'atomic_child'").select("parent", F.col("legacy__gpt_4o").alias("l")), ["parent"], "l")
+    """The commonest label of each parent's children in every condition."""
+    wide = complete(spark, sf).where("grain = 'atomic_child'")
+    cells = wide.select("parent", F.explode(F.create_map(*[x for c in CONDITIONS for x in (F.lit(c), F.col(c))])).alias("condition", "l"))
+    return A.modal(cells, ["parent", "condition"], "l")
 
 
 @query("pa_transitions", LONG + " SELECT l.condition, round(avg((l.label = c.legacy__gpt_4o)::INT), 6) AS agreement, round(100 * (avg((l.label IN ('E2', 'E3'))::INT) - avg((c.legacy__gpt_4o IN ('E2', 'E3'))::INT)), 6) AS change_pp FROM long l JOIN complete c USING (parent, child, grain) WHERE grain = 'raw_parent' GROUP BY l.condition")

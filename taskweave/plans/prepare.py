@@ -74,7 +74,7 @@ def snk_append_log(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_distinct("call_id").alias("calls"))
 
 
-@query("src_fingerprint", f"SELECT count(*)::BIGINT AS n_rows, coalesce(sum({V.h('row')}), 0)::BIGINT AS total FROM (SELECT concat_ws(chr(31), coalesce(doc_id::VARCHAR, '\\N'), coalesce(quality::VARCHAR, '\\N'), coalesce(toxic::VARCHAR, '\\N')) AS row FROM labels)")
+@query("src_fingerprint", f"SELECT count(*)::BIGINT AS n_rows, coalesce(sum({V.h('row')}), 0)::BIGINT AS total FROM (SELECT concat_ws(chr(31), coalesce(length(doc_id::VARCHAR) || ':' || doc_id, ''), coalesce(length(quality::VARCHAR) || ':' || quality, ''), coalesce(length(toxic::VARCHAR) || ':' || toxic, '')) AS row FROM labels)")
 def src_fingerprint(spark, sf):
     return S.fingerprint(V.table(spark, sf, "labels"))
 
@@ -152,7 +152,7 @@ def txt_lexical_tokens(spark, sf):
     return V.tasks(spark, sf).select("task_id", F.array_join(tokens, " ").alias("tokens"), F.size(tokens).alias("n"))
 
 
-@query("id_stable", W + " SELECT task_id, substr(sha256(concat_ws(chr(31), jobrole_id, task)), 1, 20) AS id FROM tasks")
+@query("id_stable", W + " SELECT task_id, substr(sha256(concat_ws(chr(31), coalesce(jobrole_id, chr(30)), coalesce(task, chr(30)))), 1, 20) AS id FROM tasks")
 def id_stable(spark, sf):
     return V.tasks(spark, sf).select("task_id", X.stable_id([F.col("jobrole_id"), F.col("task")]).alias("id"))
 
@@ -257,17 +257,20 @@ def join_history_left(spark, sf):
 @query("join_lookup_overlay", "WITH " + V.CTE_PRED + f""", one AS (SELECT task_id, {KEY} AS k, y_true, y_pred FROM predictions), best AS (SELECT k, y_true AS known, n, sum(n) OVER (PARTITION BY k) AS support, row_number() OVER (PARTITION BY k ORDER BY n DESC, y_true) AS r FROM (SELECT k, y_true, count(*) AS n FROM one GROUP BY ALL))
 SELECT task_id, CASE WHEN support >= 2 AND n / support >= 0.6 THEN known ELSE y_pred END AS label FROM one JOIN best USING (k) WHERE r = 1""")
 def join_lookup_overlay(spark, sf):
-    one = V.predictions(spark, sf).select("task_id", X.casefold_key(F.col("task")).alias("k"), "y_true", "y_pred")
+    one = V.predictions(spark, sf).select("task_id", X.digest(X.casefold_key(F.col("task"))).alias("k"), "y_true", "y_pred")
     found = T.text_lookup(one, "k", "y_true", one)
     return found.select("task_id", T.overlay(F.col("y_pred"), F.col("known_label"), (F.col("support") >= 2) & (F.col("confidence") >= 0.6)).alias("label"))
 
 
-@query("anti_pending_calls", P + " SELECT call_id FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.call_id = m.call_id AND status = 'success')")
+PENDING = " SELECT call_id FROM responses GROUP BY call_id HAVING count(*) FILTER (status = 'success') = 0"  # the log has every call of the manifest
+
+
+@query("anti_pending_calls", P + PENDING)
 def anti_pending_calls(spark, sf):
     return V.manifest(spark, sf).join(S.successful_ids(V.responses(spark, sf)), "call_id", "left_anti").select("call_id")
 
 
-@query("limit_n", P + " SELECT call_id FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.call_id = m.call_id AND status = 'success') ORDER BY call_id LIMIT 25")
+@query("limit_n", P + PENDING + " ORDER BY call_id LIMIT 25")
 def limit_n(spark, sf):
     return anti_pending_calls(spark, sf).orderBy("call_id").limit(25)
 
@@ -276,7 +279,7 @@ KEYED = W + f", keyed AS (SELECT *, {KEY} AS k FROM labelled), by_key AS (SELECT
 
 
 def keyed(spark, sf):
-    return V.labelled(spark, sf).withColumn("k", X.casefold_key(F.col("task")))
+    return V.labelled(spark, sf).withColumn("k", X.digest(X.casefold_key(F.col("task"))))
 
 
 @query("semi_conflict_filter", KEYED + " SELECT task_id FROM keyed JOIN by_key USING (k) WHERE t = 1")
@@ -295,7 +298,7 @@ def cross_conditions(spark, sf):
 
 @query("dedup_unanimous", W + f", keyed AS (SELECT *, lower({TAGGED}) AS k FROM labelled), good AS (SELECT k FROM keyed GROUP BY k HAVING count(DISTINCT y) = 1) SELECT task_id, y FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY jobrole_id, task_id) AS r FROM keyed JOIN good USING (k)) WHERE r = 1")
 def dedup_unanimous(spark, sf):
-    rows = V.labelled(spark, sf).withColumn("k", F.lower(tagged()))
+    rows = V.labelled(spark, sf).select("task_id", "jobrole_id", "y", X.digest(F.lower(tagged())).alias("k"))
     return T.unanimous(rows, "k", "y", ["jobrole_id", "task_id"]).select("task_id", "y")
 
 
@@ -306,7 +309,10 @@ def dedup_strict_task(spark, sf):
 
 @query("dup_conflict_report", KEYED + " SELECT k, count(*)::BIGINT AS n_rows, count(DISTINCT jobrole_id)::BIGINT AS n_groups, count(DISTINCT y)::BIGINT AS n_labels, count(DISTINCT label)::BIGINT AS n_raw_labels FROM keyed GROUP BY k HAVING count(*) > 1 AND count(DISTINCT y) > 1")
 def dup_conflict_report(spark, sf):
-    return T.conflict_report(keyed(spark, sf), "k", "jobrole_id", "y", "label")
+    rows = keyed(spark, sf)
+    report = T.conflict_report(rows.select("k", "jobrole_id", "y", "label"), "k", "jobrole_id", "y", "label")
+    texts = rows.join(report.select("k"), "k", "left_semi").dropDuplicates(["k"]).select("k", X.casefold_key(F.col("task")).alias("text"))
+    return report.join(texts, "k").drop("k").withColumnRenamed("text", "k")
 
 
 @query("dup_call_ids", P + ", runs AS (SELECT call_id, 1 AS run FROM responses UNION ALL SELECT call_id, 2 FROM responses WHERE h1 < 10) SELECT coalesce(sum(n_runs - 1), 0)::BIGINT AS across_runs, coalesce(sum(n - n_runs), 0)::BIGINT AS within_runs FROM (SELECT call_id, count(*) AS n, count(DISTINCT run) AS n_runs FROM runs GROUP BY call_id)")

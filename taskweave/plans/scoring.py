@@ -13,7 +13,7 @@ from taskweave.operators import text as X
 from taskweave.plans import fixtures as V
 from taskweave.plans.features import COUNTS, WB
 from taskweave.plans.registry import query
-from taskweave.shared import written
+from taskweave.shared import new_path, written
 
 S = "WITH " + V.CTE_SCORES
 CLASSES = L.CLASSES
@@ -115,6 +115,23 @@ def sc_review_levels(spark, sf):
     return found.select("task_id", F.array_join("review_reasons", ",").alias("reasons"), F.round("review_score", 6).alias("review_score"), F.col("review_level").alias("level"), "needs_review")
 
 
+AT = ", ".join(f"list_transform(quantile_cont({n}, [{', '.join(str(i / C.SUMMARY) for i in range(C.SUMMARY + 1))}]), lambda x: round(x, 9)) AS at_{n}" for n in C.REVIEW)
+STORED = (
+    LEAST("ref") + f", summary AS MATERIALIZED (SELECT {AT} FROM ref), scored AS (SELECT task_id, list_filter([" + ", ".join(f"CASE WHEN {n} < least_{n} THEN '{r}' END" for n, (r, _) in C.REVIEW.items())
+    + "], lambda x: x IS NOT NULL) AS reasons, greatest(" + ", ".join(f"1 - len(list_filter(at_{n}, lambda q: q <= {n})) / len(at_{n})" for n in C.REVIEW) + ") AS score FROM four, least, summary)"
+)
+
+
+@query("sc_review_stored", FOUR + ", " + STORED + f" SELECT task_id, array_to_string(reasons, ',') AS reasons, round(score, 6) AS review_score, CASE WHEN len(reasons) > 0 OR score >= {C.HIGH} THEN 'high' WHEN score >= {C.MEDIUM} THEN 'medium' ELSE 'low' END AS level FROM scored")
+def sc_review_stored(spark, sf):
+    """Levels of rows from a summary that was stored and read back; the reference rows are not there any more."""
+    rows = four_signals(spark, sf)
+    path = new_path(spark, "calibration")
+    C.review_summary(rows.where("task_id % 2 = 0")).write.parquet(path)
+    found = C.review_stored(rows, "task_id", spark.read.schema(C.SUMMARY_SCHEMA).parquet(path))
+    return found.select("task_id", F.array_join("review_reasons", ",").alias("reasons"), F.round("review_score", 6).alias("review_score"), F.col("review_level").alias("level"))
+
+
 @query("sc_review_calibrate", FOUR + ", " + LEVELS("four") + f", s2 AS (SELECT (label <> y)::INT AS wrong, len(reasons) > 0 OR score >= {C.HIGH} AS high FROM scored) SELECT least.*, (SELECT round(avg(high::INT), 6) FROM s2) AS review_rate, (SELECT round(avg(wrong) FILTER (high), 6) FROM s2) AS error_in_review, (SELECT round(avg(wrong) FILTER (NOT high), 6) FROM s2) AS error_outside FROM least")
 def sc_review_calibrate(spark, sf):
     out = C.calibrate(four_signals(spark, sf), "task_id", F.col("label") != F.col("y"), 16)
@@ -172,11 +189,14 @@ def op_bias_coordinate(spark, sf):
 GUESS = "round(CASE y WHEN 'E0' THEN 0.1 WHEN 'E23' THEN 0.4 ELSE 0.7 END + s0 / 8, 3)::DOUBLE"
 
 
-@query("op_cutpoints", S + f", r AS (SELECT y, {GUESS} AS g FROM scores), q AS (SELECT DISTINCT round(unnest(quantile_cont(g, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])), 6) AS c FROM r), p AS (SELECT a.c AS a, b.c AS b FROM q a, q b WHERE a.c < b.c), m AS (SELECT a, b, {macro('z', '1')} AS macro_f1 FROM (SELECT a, b, y, CASE WHEN g < a THEN 'E0' WHEN g < b THEN 'E23' ELSE 'E1' END AS z FROM r, p) GROUP BY ALL) SELECT a, b, round(macro_f1, 6) AS macro_f1 FROM m ORDER BY round(macro_f1, 9) DESC, a, b LIMIT 1")
+QUANTILES = ", ".join(str(round(0.01 * k, 2)) for k in range(1, 100))
+
+
+@query("op_cutpoints", S + f", r AS (SELECT y, {GUESS} AS g FROM scores), q AS (SELECT DISTINCT round(unnest(quantile_cont(g, [{QUANTILES}])), 6) AS c FROM r), p AS (SELECT a.c AS a, b.c AS b FROM q a, q b WHERE a.c < b.c), m AS (SELECT a, b, {macro('z', '1')} AS macro_f1 FROM (SELECT a, b, y, CASE WHEN g < a THEN 'E0' WHEN g < b THEN 'E23' ELSE 'E1' END AS z FROM r, p) GROUP BY ALL) SELECT a, b, round(macro_f1, 6) AS macro_f1 FROM m ORDER BY round(macro_f1, 9) DESC, a, b LIMIT 1")
 def op_cutpoints(spark, sf):
     s = V.scores(spark, sf)
     rows = s.select("y", F.round(L.score(F.col("y")) + F.col("s0") / 8, 3).alias("g"))
-    grid = Q.cut_points(rows, "y", "g", ["E0", "E23", "E1"], [round(0.1 * k, 1) for k in range(1, 10)])
+    grid = Q.cut_points(rows, "y", "g", ["E0", "E23", "E1"], [round(0.01 * k, 2) for k in range(1, 100)])
     return Q.best(grid, "macro_f1", "a", "b").withColumn("macro_f1", F.round("macro_f1", 6))
 
 
