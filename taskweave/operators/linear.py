@@ -29,9 +29,11 @@ from taskweave.shared import written
 
 CELLS = 1 << 22
 #: Entries of a packed block, and numbers that a task multiplies at once.
-BLOCK_ENTRIES, AT_ONCE = 1 << 18, 1 << 21
+BLOCK_ENTRIES, AT_ONCE = 1 << 17, 1 << 21
 #: Numbers of one range of a gradient on its way to the driver.
 RANGE = 1 << 18
+#: Cells of a block that is multiplied as a dense matrix if at least one in ``SPARSE`` of them is filled.
+DENSE, SPARSE = 1 << 23, 200
 #: Matrices of so many tasks go straight to the driver.
 DIRECT = 4
 MEMORY = 6
@@ -40,7 +42,7 @@ EVERYTHING = ((0, 1 << 31),)
 
 @dataclass(frozen=True)
 class Problem:
-    """A linear model of the rows outside ``without`` (fold column, fold) and, where given, of the classes ``among``.
+    """A linear model of the rows outside ``without`` and inside ``only``, pairs of (fold column, fold), and, where given, of the classes ``among``.
 
     ``positive`` holds the class ranks that count as 1, the others as -1; losses on ``target`` take the row's number instead.
     """
@@ -51,6 +53,7 @@ class Problem:
     weight: float = 1.0  # of positive rows
     balanced: bool = False  # rows weighed by the column weight
     without: tuple[tuple[int, int], ...] = ()
+    only: tuple[tuple[int, int], ...] = ()
     among: tuple[int, ...] | None = None
     features: tuple[tuple[int, int], ...] = EVERYTHING
     free_intercept: bool = False
@@ -129,12 +132,18 @@ class _Block:
         self.order, self.cuts = take("order", np.int32), take("cuts", np.int64)
         self.y, self.target, self.weight = take("y", np.int32), take("target", np.float64), take("weight", np.float64)
         self.folds = take("folds", np.int32).reshape(self.n, -1)
+        cells, self.dense = self.n * len(self.features), None
+        if 0 < cells <= DENSE and len(self.value) * SPARSE >= cells:
+            self.dense = np.zeros((self.n, len(self.features)))
+            self.dense[np.repeat(np.arange(self.n), np.diff(self.starts)), self.local] = self.value
 
     def weights_for(self, p: Problem) -> np.ndarray:
         """Of each row how much it counts in a problem."""
         used = np.ones(self.n, dtype=bool)
         for column, fold in p.without:
             used &= self.folds[:, column] != fold
+        for column, fold in p.only:
+            used &= self.folds[:, column] == fold
         if p.among is not None:
             used &= np.isin(self.y, p.among)
         own = self.weight if p.balanced else np.ones(self.n)
@@ -145,6 +154,8 @@ class _Block:
 
     def products(self, weights: np.ndarray) -> np.ndarray:
         """Rows times a weight matrix, whose last row has the intercepts."""
+        if self.dense is not None:
+            return self.dense @ weights[self.features] + weights[-1]
         own, out = weights[self.features], np.repeat(weights[-1:], self.n, axis=0)
         step = max(1, AT_ONCE // max(1, weights.shape[1]))
         sizes = np.diff(self.starts)
@@ -160,6 +171,8 @@ class _Block:
 
     def turned(self, slopes: np.ndarray) -> np.ndarray:
         """Of each of the block's features the sum of its rows' slopes."""
+        if self.dense is not None:
+            return self.dense.T @ slopes
         row = np.repeat(np.arange(self.n), np.diff(self.starts))[self.order]
         value, out = self.value[self.order], np.empty((len(self.features), slopes.shape[1]))
         step, i = max(1, AT_ONCE // max(1, slopes.shape[1])), 0
@@ -228,45 +241,49 @@ def _pass(sent, problems: list[Problem]):
     return run
 
 
-def minimised(evaluate, start: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of a matrix moved to the least of as many functions: (matrix, slopes). ``evaluate(matrix, columns)`` gives values and slopes."""
-    every = np.arange(start.shape[1])
-    w = start.copy()
-    f, g = evaluate(w, every)
-    far = np.maximum(1.0, np.abs(g).max(axis=0))
-    s, y, rho = [np.zeros((MEMORY, *w.shape)) for _ in range(2)] + [np.zeros((MEMORY, w.shape[1]))]
-    ahead, length = -g, 1 / np.maximum(1.0, np.sqrt((g * g).sum(axis=0)))
-    dot = lambda a, b: np.einsum("ij,ij->j", a, b)
-    open_ = every[np.abs(g).max(axis=0) > tolerance * far]
+def minimised(evaluate, start: np.ndarray, steps: int, tolerance: float) -> np.ndarray:
+    """Columns of a matrix moved to the least of as many functions. ``evaluate(matrix, columns)`` gives values and slopes.
+
+    All columns step together; one that did not improve tries a shorter step while others go on. Columns that have arrived stand still, and are
+    dropped when they are half of all.
+    """
+    out, columns, w = start.copy(), np.arange(start.shape[1]), start.copy()
+    f, g = evaluate(w, columns)
+    far, dot = np.maximum(1.0, np.abs(g).max(axis=0)), lambda a, b: np.einsum("ij,ij->j", a, b)
+    ahead, length, scale = -g, 1 / np.maximum(1.0, np.sqrt(dot(g, g))), np.ones(len(columns))
+    past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # moves, changes of slope, and one by their product
     for _ in range(steps):
-        if not len(open_):
+        moving = (np.abs(g).max(axis=0) > tolerance * far) & (length > 1e-12)
+        if not moving.any():
             break
-        trial = w[:, open_] + length[open_] * ahead[:, open_]
-        fn, gn = evaluate(trial, open_)
-        good = fn <= f[open_] + 1e-4 * length[open_] * dot(g[:, open_], ahead[:, open_])
-        bad = open_[~good]
-        length[bad] /= 4
-        new = open_[good]
-        if len(new):
-            ds, dy = trial[:, good] - w[:, new], gn[:, good] - g[:, new]
-            w[:, new], g[:, new], f[new] = trial[:, good], gn[:, good], fn[good]
-            curve = dot(ds, dy)
-            for a, b in ((s, ds), (y, dy)):
-                a[1:, :, new], a[0, :, new] = a[:-1, :, new].copy(), b.T
-            rho[1:, new], rho[0, new] = rho[:-1, new].copy(), np.where(curve > 1e-12, 1 / np.maximum(curve, 1e-12), 0)
-            q, alpha = g[:, new].copy(), []
-            for k in range(MEMORY):
-                alpha.append(rho[k, new] * dot(s[k][:, new], q))
-                q -= alpha[k] * y[k][:, new]
-            square = dot(dy, dy)
-            q *= np.where((curve > 1e-12) & (square > 0), curve / np.maximum(square, 1e-300), length[new])
-            for k in reversed(range(MEMORY)):
-                q += s[k][:, new] * (alpha[k] - rho[k, new] * dot(y[k][:, new], q))
-            ahead[:, new], length[new] = -q, 1.0
-            uphill = new[dot(q, g[:, new]) <= 0]
-            ahead[:, uphill] = -g[:, uphill]
-        open_ = open_[(np.abs(g[:, open_]).max(axis=0) > tolerance * far[open_]) & (length[open_] > 1e-12)]
-    return w, g
+        if 2 * moving.sum() <= len(columns):
+            out[:, columns[~moving]] = w[:, ~moving]
+            columns, w, g, ahead, f, far, length, scale = columns[moving], w[:, moving], g[:, moving], ahead[:, moving], f[moving], far[moving], length[moving], scale[moving]
+            past, moving = [(s[:, moving], y[:, moving], r[moving]) for s, y, r in past], moving[moving]
+        trial = w + np.where(moving, length, 0) * ahead
+        fn, gn = evaluate(trial, columns)
+        good = moving & (fn <= f + 1e-4 * length * dot(g, ahead))
+        length = np.where(moving & ~good, length / 4, length)
+        if not good.any():
+            continue
+        s, y = np.where(good, trial - w, 0), np.where(good, gn - g, 0)
+        curve, square = dot(s, y), dot(y, y)
+        fit = curve > 1e-12
+        past = [*past, (s, y, np.where(fit, 1 / np.where(fit, curve, 1), 0))][-MEMORY:]
+        scale = np.where(fit, curve / np.where(fit, square, 1), scale)
+        w, g, f = np.where(good, trial, w), np.where(good, gn, g), np.where(good, fn, f)
+        q, along = g.copy(), []
+        for s, y, r in reversed(past):
+            along.append(r * dot(s, q))
+            q -= along[-1] * y
+        q *= scale
+        for (s, y, r), a in zip(past, reversed(along), strict=True):
+            q += (a - r * dot(y, q)) * s
+        down = dot(q, g) > 0
+        ahead = np.where(good, np.where(down, -q, -g), ahead)
+        length = np.where(good, 1.0, length)
+    out[:, columns] = w
+    return out
 
 
 def fit(blocks: DataFrame, problems: list[Problem], width: int, steps: int = 50, tolerance: float = 1e-3) -> np.ndarray:
@@ -292,7 +309,7 @@ def fit(blocks: DataFrame, problems: list[Problem], width: int, steps: int = 50,
             kept = charged[:, columns]
             return total[-1] + (kept * w * w).sum(axis=0) / 2, (total[:-1] + kept * w) * seen[:, columns]
 
-        out[:, a : a + len(group)] = minimised(evaluate, out[:, a : a + len(group)], steps, tolerance)[0]
+        out[:, a : a + len(group)] = minimised(evaluate, out[:, a : a + len(group)], steps, tolerance)
     return out
 
 

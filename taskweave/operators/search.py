@@ -140,6 +140,57 @@ def coordinate_search(df: DataFrame, truth: str, scores: list[str], classes, poi
     return held
 
 
+def grouped_offsets(df: DataFrame, group: str, truth: str, scores: list[str], classes, points: list[float], passes: int = 3) -> dict[int, tuple[float, list[float]]]:
+    """For each group (a number) the best (macro F1, offsets) by ``coordinate_search``; all groups move together, a job for each coordinate of a pass.
+
+    Tasks count one confusion matrix for each group and candidate; groups are models or folds, so few.
+    """
+    names = list(classes)
+    groups = sorted(r[0] for r in df.select(group).distinct().collect())  # a row for each group
+    held, top = {g: [0.0] * len(scores) for g in groups}, dict.fromkeys(groups, -1.0)
+    rows = df.select(F.col(group).cast("int"), truth, *[F.col(s).cast("double") for s in scores]).na.drop(subset=scores)
+
+    def tried(candidates: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        n = max(map(len, candidates.values()))
+
+        def count(batches):
+            place = {c: i for i, c in enumerate(names)}
+            total = {g: np.zeros((n, len(names) + 1, len(names)), dtype=np.int64) for g in candidates}
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                y = np.array([place.get(c, len(names)) for c in batch.column(1).to_pylist()])
+                x = np.stack([batch.column(k + 2).to_numpy(zero_copy_only=False) for k in range(len(scores))], axis=1)
+                for g in np.unique(own).tolist():
+                    for i, offsets in enumerate(candidates[g]):
+                        called = np.rint((x[own == g] + offsets) * 1e6).argmax(axis=1)
+                        total[g][i] += np.bincount(y[own == g] * len(names) + called, minlength=total[g][i].size).reshape(total[g][i].shape)
+            for g, t in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([t.tobytes()], pa.binary())], names=["g", "t"])
+
+        sums = {g: np.zeros((n, len(names) + 1, len(names))) for g in candidates}
+        for r in rows.mapInArrow(count, "g int, t binary").collect():  # of fixed size for each task
+            sums[r.g] += np.frombuffer(r.t, dtype=np.int64).reshape(sums[r.g].shape)
+        out = {}
+        for g, t in sums.items():
+            hit = np.stack([t[:, k, k] for k in range(len(names))], axis=1)
+            both = t[:, : len(names)].sum(axis=2) + t.sum(axis=1)
+            out[g] = np.where(both > 0, 2 * hit / np.maximum(both, 1), 0).mean(axis=1)[: len(candidates[g])]
+        return out
+
+    for _ in range(passes):
+        before = {g: list(h) for g, h in held.items()}
+        for k in range(len(scores)):
+            grid = {g: sorted({h[k], *points}) for g, h in held.items()}
+            found = tried({g: np.array([[*h[:k], v, *h[k + 1 :]] for v in grid[g]]) for g, h in held.items()})
+            for g, values in found.items():
+                i = int(np.round(values, 9).argmax())
+                if values[i] > top[g] + 1e-12:
+                    held[g][k], top[g] = grid[g][i], float(values[i])
+        if held == before:
+            break
+    return {g: (top[g], held[g]) for g in groups}
+
+
 def cut_points(df: DataFrame, truth: str, score: str, classes, quantiles: list[float]) -> DataFrame:
     """(a, b, macro_f1) for each pair of cuts among the score's quantiles; classes are in the order of the score.
 

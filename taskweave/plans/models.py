@@ -6,7 +6,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -32,7 +31,7 @@ c = F.col
 HELD = "task_id % 4 = 0"
 VALIDATION = "task_id % 4 = 1"
 #: The most terms of a block in the queries that compare many models: the weights of all models are one matrix of terms by models.
-CAP = 1 << 14
+CAP = 1 << 13
 WORD3, WORD4 = P.Block("word", "task", "word", 1, 3, 2, CAP, 1.0), P.Block("word_long", "task", "word", 1, 4, 2, CAP, 1.0)
 CHAR5, CHAR6 = P.Block("char", "task", "char_wb", 3, 5, 3, CAP, 0.65), P.Block("char_long", "task", "char_wb", 2, 6, 3, CAP, 0.65)
 TITLED = P.Block("title", "jobrole_title", "word", 1, 2, 1, CAP, 0.5)
@@ -50,17 +49,22 @@ def featured(spark, sf, blocks, folds=None):
     return model, written(rows if folds is None else rows.join(folds, "task_id"), "featured")
 
 
-def laid(rows, folds=("held", "validation"), target=None):
-    """Rows as blocks for ``linear.fit``, with balanced class weights of training rows."""
+def balanced(rows):
+    """Class weights that are balanced over training rows."""
     sizes = {r.y: r["count"] for r in rows.where("held = 0").groupBy("y").count().collect()}  # a row for each class
-    weight = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, sum(sizes.values()) / (len(sizes) * n))]), c("y")) if sizes else F.lit(1.0)
-    return N.packed(rows, RANK, target, F.coalesce(weight, F.lit(1.0)), list(folds))
+    known = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, sum(sizes.values()) / (len(sizes) * n))]) if sizes else None
+    return F.lit(1.0) if known is None else F.coalesce(F.try_element_at(known, c("y")), F.lit(1.0))
+
+
+def laid(rows, folds=("held", "validation"), target=None):
+    """Rows as blocks for ``linear.fit``, with balanced class weights."""
+    return N.packed(rows, RANK, target, balanced(rows), list(folds))
 
 
 NO_HELD, FITTING = ((0, 1),), ((0, 1), (1, 1))
 
 
-def asked(rows, weights, problems=None):
+def asked(rows, weights):
     """Held-out rows with ``scores``."""
     return N.scored(rows.where("held = 1"), weights)
 
@@ -292,7 +296,7 @@ def dense(spark, sf, k: int = DIMENSIONS):
     """Rows with ``svd``, their places along the leading singular vectors of the training rows' terms, and what Spark ML's estimators take."""
     model, rows = featured(spark, sf, [WORD3, TITLED])
     _, v = D.truncated(N.packed(rows.where("held = 0"), RANK), model.width, k)
-    rows = D.projected(rows, v).select("task_id", "y", "held", "validation", "svd", RANK.cast("double").alias("index"), F.lit(1.0).alias("weight"), TARGET.alias("target"))
+    rows = D.projected(rows, v).select("task_id", "y", "held", "validation", "svd", RANK.cast("double").alias("index"), balanced(rows).alias("weight"), TARGET.alias("target"))
     return written(rows, "dense")
 
 
@@ -300,7 +304,7 @@ def dense(spark, sf, k: int = DIMENSIONS):
 def ml_ordered_logit(spark, sf):
     """Proportional odds on the text's dimensions, by Fisher scoring."""
     rows = dense(spark, sf)
-    p = O.fit(rows.where("held = 0"), "svd", "index")
+    p = O.fit(rows.where("held = 0"), "svd", "index", penalty=0.05)
     shares = M.monotone_classes(O.passed(c("svd"), p))
     out = rows.where("held = 1").select("task_id", "y", *[v.alias(f"p_{k}") for k, v in shares.items()])
     return out.withColumn("label", best_of([c(f"p_{k}") for k in CLASSES]))
@@ -375,8 +379,8 @@ def ml_trees(spark, sf):
     kinds = {
         "decision_tree": DecisionTreeClassifier(labelCol="index", maxDepth=10, weightCol="weight", seed=7),
         "random_forest": RandomForestClassifier(labelCol="index", numTrees=100, maxDepth=10, weightCol="weight", seed=7),
-        "extra_trees": RandomForestClassifier(labelCol="index", numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt", bootstrap=False, seed=7),
-        "boosted": OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=7), labelCol="index"),
+        "extra_trees": RandomForestClassifier(labelCol="index", numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt", bootstrap=False, weightCol="weight", seed=7),
+        "boosted": OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=7), labelCol="index", weightCol="weight"),
     }
     out = None
     for name, kind in kinds.items():
@@ -404,7 +408,7 @@ def ml_platt(spark, sf):
 #: View and C of the stack's base models, and the meta model's choices of C.
 BASES = [("task", 0.2), ("task", 0.5), ("titled", 0.2), ("titled", 0.5)]
 META_C = [0.1, 1.0, 10.0]
-OUTER, INNER = 4, 3
+OUTER, INNER = 3, 3
 
 
 def stack_folds(rows):
@@ -430,43 +434,59 @@ def base_scores(spark, sf):
         places[o, gone] = list(range(len(problems), len(problems) + len(BASES) * len(CLASSES)))
         without = ((0, o), *[(o + 1, i) for i in gone])
         problems += [N.Problem(positive=(k,), c=v, balanced=True, without=without, features=views[view]) for view, v in BASES for k in EACH]
-    weights = N.fit(laid(rows, folds), problems, model.width, 40, 1e-3)
+    weights = N.fit(laid(rows, folds), problems, model.width, 40, 2e-3)
     return written(N.scored(rows, weights).select("task_id", "y", *folds, "scores"), "base-scores"), places
 
 
-def nested_stack(rows, places, more=()):
+def nested_stack(rows, places, signals=None):
     """(task_id, outer, y, label, meta_c): each outer fold by a meta model of the others.
 
-    In each outer fold, C of the meta model and class offsets are chosen on inner fold 0, which neither the base scores nor the meta model of the other
-    inner folds have seen; then a meta model of out-of-fold base scores of all rows outside the outer fold scores the fold. ``more``: further columns.
+    In each outer fold, C of the meta model and class offsets are chosen on inner fold 0, which neither the base scores nor the meta model of
+    the other inner folds have seen; then a meta model of out-of-fold base scores of all rows outside the outer fold scores the fold.
+    ``signals``: (task_id, without, ...), more inputs for each outer fold. Inputs are scaled by the rows that a meta model is fitted on. All
+    meta models are fitted in one go: group g < OUTER chooses for outer fold g, and group OUTER + g scores it.
     """
-    names = [f"f{j}" for j in range(len(BASES) * len(CLASSES))]
+    base = len(BASES) * len(CLASSES)
+    more = [n for n in signals.columns if n not in ("task_id", "without")] if signals is not None else []
+    size = base + len(more)
     take = lambda columns: F.transform(F.array(*[F.lit(j) for j in columns]), lambda j: F.get("scores", j))
-    out = None
+    cells = []
     for o in range(OUTER):
-        inner = c(f"inner_{o}")
+        inner, out = c(f"inner_{o}"), c("outer") == o
         by_fold = lambda pairs: F.coalesce(*[F.when(inner == i, take(places[o, gone])) for i, gone in pairs])  # noqa: B023, E731
-        oof = by_fold([(i, (i,)) for i in range(INNER)])
-        deep = by_fold([(0, (0,)), *[(i, (0, i)) for i in range(1, INNER)]])
-        flat = lambda x: [x[j].alias(n) for j, n in enumerate(names)]
-        base = lambda x, where: written(rows.where(where).select("task_id", "y", inner.alias("inner"), *flat(x), *more), "stack")  # noqa: B023, E731
-        inputs = [*names, *more]
-        ready = lambda df, of: VectorAssembler(inputCols=inputs, outputCol="features").transform(X.scaled(df, inputs, of=of)).withColumn("index", RANK.cast("double")).withColumn("weight", F.lit(1.0))  # noqa: B023, E731
-        tried = ready(base(deep, c("outer") != o), c("inner") != 0)
-        top = None
-        for v in META_C:
-            fitted = M.logistic(tried.where("inner <> 0"), v).transform(tried.where("inner = 0")).select("y", *[vector_to_array("probability")[k].alias(f"m{k}") for k in EACH])
-            fitted = written(fitted, "meta")
-            offsets = Q.coordinate_search(fitted, "y", ["m0", "m1", "m2"], CLASSES, OFFSETS)
-            f1 = Q.offset_grid(fitted, "y", ["m0", "m1", "m2"], CLASSES, [[b] for b in offsets]).first().macro_f1
-            if top is None or f1 > top[0] + 1e-12:
-                top = f1, v, offsets
-        whole = rows.select("task_id", "y", (c("outer") == o).alias("asked"), F.when(c("outer") == o, take(places[o, ()])).otherwise(oof).alias("x"), *more)
-        whole = ready(written(whole.select("task_id", "y", "asked", *flat(c("x")), *more), "stack"), ~c("asked"))
-        fitted = M.logistic(whole.where("not asked"), top[1]).transform(whole.where("asked")).withColumn("p", vector_to_array("probability"))
-        part = fitted.select("task_id", F.lit(o).alias("outer"), "y", best_of([c("p")[k] + F.lit(b) for k, b in zip(EACH, top[2], strict=True)]).alias("label"), F.lit(top[1]).alias("meta_c"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        deep, oof = by_fold([(0, (0,)), *[(i, (0, i)) for i in range(1, INNER)]]), by_fold([(i, (i,)) for i in range(INNER)])
+        cells += [
+            F.when(~out, F.struct(F.lit(o).alias("g"), F.lit(o).alias("without"), (inner != 0).cast("int").alias("fit"), deep.alias("x"))),
+            F.struct(F.lit(OUTER + o).alias("g"), F.lit(o).alias("without"), (~out).cast("int").alias("fit"), F.when(out, take(places[o, ()])).otherwise(oof).alias("x")),
+        ]
+    long = rows.select("task_id", "y", F.explode(F.array_compact(F.array(*cells))).alias("s")).select("task_id", "y", "s.*")
+    if more:
+        long = long.join(signals, ["task_id", "without"]).withColumn("x", F.concat("x", F.array(*[c(n).cast("double") for n in more])))
+    long = written(long.select("task_id", "y", "g", "without", "fit", "x"), "stack")
+    each = long.where("fit = 1").select("g", F.posexplode("x").alias("j", "v")).groupBy("g", "j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    scale = each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("j", "m", F.when(c("s") > 0, c("s")).otherwise(1.0).alias("s")))).alias("scale"))  # a row for each group
+    place = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: (c("g") * size + j).cast("int"))
+    ready = long.join(F.broadcast(scale), "g").select("task_id", "y", "g", "without", "fit", place.alias("index"), F.zip_with("x", "scale", lambda v, z: (v - z["m"]) / z["s"]).alias("value"))
+    ready = written(ready, "meta")
+    problems = [N.Problem(positive=(k,), c=v, loss="logistic", only=((0, g), (1, 1)), free_intercept=True) for g in range(2 * OUTER) for v in META_C for k in EACH]
+    weights = N.fit(N.packed(ready, RANK, folds=["g", "fit"]), problems, 2 * OUTER * size)
+    share = lambda v: [1 / (1 + F.exp(-F.get("scores", (c("g") * len(META_C) + v) * len(CLASSES) + k))) for k in EACH]
+    chances = F.array(*[F.array(*share(v)) for v in range(len(META_C))])
+    known = N.scored(ready.where("g >= {0} or fit = 0".format(OUTER)), weights).select("task_id", "y", "g", "without", "fit", chances.alias("p"))
+    known = written(known.where("fit = 0"), "chances")
+    normal = lambda p: [p[k] / F.aggregate(p, F.lit(0.0), lambda a, b: a + b) for k in EACH]
+    tried = known.where(c("g") < OUTER).select("y", "without", F.posexplode("p").alias("v", "q")).select("y", (c("without") * len(META_C) + c("v")).alias("group"), *[x.alias(f"m{k}") for k, x in enumerate(normal(c("q")))])
+    found = Q.grouped_offsets(tried, "group", "y", ["m0", "m1", "m2"], CLASSES, OFFSETS)
+    out = known.where(c("g") >= OUTER)
+    label, chosen = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for o in range(OUTER):
+        own = [v for v in range(len(META_C)) if o * len(META_C) + v in found]
+        v = max(own, key=lambda v: (found[o * len(META_C) + v][0], -v)) if own else 0  # noqa: B023
+        offsets = found[o * len(META_C) + v][1] if own else [0.0] * len(CLASSES)
+        p = normal(c("p")[v])
+        label = F.when(c("without") == o, best_of([x + F.lit(b) for x, b in zip(p, offsets, strict=True)])).otherwise(label)
+        chosen = F.when(c("without") == o, F.lit(META_C[v])).otherwise(chosen)
+    return out.select("task_id", c("without").alias("outer"), "y", label.alias("label"), chosen.alias("meta_c"))
 
 
 @query("ml_oof_stack")
@@ -484,14 +504,14 @@ def weights_of(spark, sf):
 
 @query("ml_oof_enriched")
 def ml_oof_enriched(spark, sf):
-    """The nested stack with rule, naive Bayes and centroid signals from the rows of other outer folds, and with stored dense vectors' centroids."""
+    """The nested stack with rule, naive Bayes and centroid signals, and with centroids of stored dense vectors, from rows that are neither of the row's own outer fold nor of the one to be scored."""
     rows, places = base_scores(spark, sf)
     folds = rows.select(c("task_id").alias("row"), c("outer").alias("fold"), c("y").alias("label"))
-    signals = R.fold_signals(weights_of(spark, sf), folds, CLASSES, OUTER)
+    signals = R.fold_signals(weights_of(spark, sf), folds, CLASSES, OUTER, nested=True)
     vectors = V.table(spark, sf, "embeddings").select(c("vec_id").alias("row"), F.posexplode(X.unit(c("embedding"))).alias("term", "weight")).join(folds.select("row"), "row", "left_semi")
-    near = R.fold_signals(vectors.withColumn("term", c("term").cast("string")), folds, CLASSES, OUTER).select("row", *[c(f"near_{k}").alias(f"dense_{k}") for k in EACH])
-    more = signals.join(near, "row").withColumnRenamed("row", "task_id")
-    return nested_stack(written(rows.join(more, "task_id"), "enriched"), places, [*SIGNALS, *[f"dense_{k}" for k in EACH]])
+    near = R.fold_signals(vectors.withColumn("term", c("term").cast("string")), folds, CLASSES, OUTER, nested=True).select("row", "without", *[c(f"near_{k}").alias(f"dense_{k}") for k in EACH])
+    more = signals.join(near, ["row", "without"]).select(c("row").alias("task_id"), "without", *SIGNALS, *[f"dense_{k}" for k in EACH])
+    return nested_stack(rows, places, written(more, "signals"))
 
 
 def _fold_sql() -> str:

@@ -27,7 +27,7 @@ def sparse_rows(spark, n=120, width=30, seed=1):
 
 PROBLEMS = [
     linear.Problem(positive=(0,), c=0.5), linear.Problem(positive=(1,), c=2.0, weight=4.0, without=((0, 1),)), linear.Problem(positive=(2,), c=0.2, features=((0, 10), (20, 25))),
-    linear.Problem(positive=(1,), c=1.0, loss="logistic", among=(1, 2), free_intercept=True), linear.Problem(c=3.0, loss="square"), linear.Problem(c=3.0, loss="huber", without=((0, 2),)), linear.Problem(c=5.0, loss="insensitive"),
+    linear.Problem(positive=(1,), c=1.0, loss="logistic", among=(1, 2), free_intercept=True), linear.Problem(c=3.0, loss="square"), linear.Problem(c=3.0, loss="huber", without=((0, 2),)), linear.Problem(c=5.0, loss="insensitive"), linear.Problem(positive=(0, 2), c=1.0, only=((0, 3),)),
 ]
 
 
@@ -37,13 +37,14 @@ def test_problems_fitted_together_equal_separate_fits(spark, monkeypatch, cells)
     monkeypatch.setattr(linear, "CELLS", cells)
     monkeypatch.setattr(linear, "BLOCK_ENTRIES", 300)
     monkeypatch.setattr(linear, "DIRECT", 4 if cells == 130 else 1)
+    monkeypatch.setattr(linear, "DENSE", 0 if cells == 130 else 1 << 20)
     monkeypatch.setattr(linear, "AT_ONCE", 40)
     monkeypatch.setattr(linear, "RANGE", 50)
     x, y, fold, rows = sparse_rows(spark)
     found = linear.fit(linear.packed(rows, F.col("y"), F.col("target"), folds=["fold"]), PROBLEMS, x.shape[1], 200, 1e-7)
     wide = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     for p, w in zip(PROBLEMS, found.T, strict=True):
-        used = np.array([all(f != v for _, v in p.without) and (p.among is None or c in p.among) for f, c in zip(fold, y, strict=True)])
+        used = np.array([all(f != v for _, v in p.without) and all(f == v for _, v in p.only) and (p.among is None or c in p.among) for f, c in zip(fold, y, strict=True)])
         sign = np.where(np.isin(y, p.positive), 1.0, -1.0)
         weigh = p.c * used * np.where(np.isin(y, p.positive), p.weight, 1.0)
         z = wide @ w
@@ -110,3 +111,86 @@ def test_saved_model_scores_new_rows_in_a_new_session(spark, tmp_path):
     assert all(np.allclose(batch[k].scores, again[k].scores, atol=1e-9) and batch[k].label == again[k].label for k in batch)
     out = subprocess.run([sys.executable, "-c", SCORE.format(root=str(ROOT), folder=f"file:{tmp_path}/cp", path=path, sf=SF, task=one)], capture_output=True, text=True, timeout=300)
     assert np.allclose(json.loads(out.stdout.split("SCORES", 1)[1]), batch[one].scores, atol=1e-9), out.stderr[-2000:]
+
+
+def test_singular_values_equal_numpy(spark):
+    from taskweave.operators import svd
+
+    x, _, _, rows = sparse_rows(spark, 150, 40, 3)
+    values, vectors = svd.truncated(linear.packed(rows, F.col("y")), 40, 10)
+    expected = np.linalg.svd(x, compute_uv=False)[:10]
+    assert np.allclose(values, expected, rtol=0.01) and np.allclose(vectors.T @ vectors, np.eye(10), atol=1e-8)
+    found = np.array([r.svd for r in svd.projected(rows, vectors).collect()])
+    assert np.allclose(np.sort((found**2).sum(axis=0))[::-1], expected**2, rtol=0.02)
+
+
+def test_ordered_model_has_no_slope_left(spark):
+    """At the fitted weights and cuts the penalised likelihood, written out by itself, falls to every side."""
+    from taskweave.operators import ordered
+
+    random = np.random.default_rng(4)
+    x = random.normal(size=(300, 4))
+    y = np.digitize(x @ [1.0, -2.0, 0.5, 0.0] + random.logistic(size=300), [-1, 1.5])
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y, strict=True)], "x array<double>, y int").repartition(3)
+    p = ordered.fit(rows, "x", "y", penalty=0.5)
+
+    def likelihood(p):
+        below = lambda k: np.ones(len(x)) if k == 2 else np.zeros(len(x)) if k < 0 else 1 / (1 + np.exp(x @ p[:4] - p[4 + k]))
+        share = np.choose(y, [below(k) - below(k - 1) for k in range(3)])
+        return np.log(share).sum() - 0.25 * (p[:4] ** 2).sum()
+
+    slope = [(likelihood(p + 1e-5 * e) - likelihood(p - 1e-5 * e)) / 2e-5 for e in np.eye(6)]
+    assert np.abs(slope).max() < 1e-4 and p[4] < p[5]
+    shares = np.array([[r.a, r.b] for r in rows.select(*[v.alias(n) for v, n in zip(ordered.passed(F.col("x"), p), "ab", strict=True)]).collect()])
+    assert (shares[:, 0] >= shares[:, 1]).all()
+
+
+def test_signals_do_not_see_the_rows_own_label(spark):
+    """Another label of a row moves the signals of other folds' rows only, and, nested, of none that is scored with its fold."""
+    from taskweave.operators import retrieval
+
+    random = np.random.default_rng(5)
+    terms = [(i, f"t{int(t)}", float(1 + t % 3)) for i in range(24) for t in random.choice(12, 4, replace=False)]
+    weights = spark.createDataFrame(terms, "row long, term string, weight double")
+
+    def signals(label, nested):
+        rows = spark.createDataFrame([(i, i % 3 if i < 21 else -1, label if i == 4 else "abc"[i * 7 % 3]) for i in range(24)], "row long, fold int, label string")
+        return {(r.row, r["without"] if nested else None): tuple(r)[1 + nested :] for r in retrieval.fold_signals(weights, rows, "abc", 3, nested).collect()}
+
+    one, two = signals("a", False), signals("b", False)
+    changed = {i for (i, _) in one if one[i, None] != two[i, None]}
+    assert changed and not changed & {i for i in range(21) if i % 3 == 1}
+    one, two = signals("a", True), signals("b", True)
+    assert {w for (i, w) in one if one[i, w] != two[i, w]} <= {0, 2} and len(one) == 72
+    plain = signals("a", False)
+    assert all(np.allclose(one[i, i % 3], plain[i, None]) for i in range(21))
+
+
+def test_offsets_of_groups_equal_a_search_for_each(spark):
+    from taskweave.operators import search
+
+    random = np.random.default_rng(6)
+    rows = [(int(i % 3), str(random.choice(list("abc"))), *[float(v) for v in np.round(random.normal(size=3), 2)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "g int, y string, s0 double, s1 double, s2 double").repartition(3)
+    points = [-0.5, -0.2, 0.2, 0.5]
+    found = search.grouped_offsets(df, "g", "y", ["s0", "s1", "s2"], "abc", points)
+    for g in range(3):
+        assert found[g][1] == search.coordinate_search(df.where(F.col("g") == g), "y", ["s0", "s1", "s2"], "abc", points)
+
+
+def test_pairs_in_blocks_equal_brute_force(spark, monkeypatch):
+    from taskweave.operators import retrieval
+
+    random = np.random.default_rng(7)
+    table = {i: {f"t{int(t)}": round(float(random.random()), 2) for t in random.choice(30, 5, replace=False)} for i in range(60)}
+    weights = spark.createDataFrame([(i, t, v) for i, d in table.items() for t, v in d.items()], "row long, term string, weight double").repartition(3)
+    left, right = weights.where("row < 20"), weights.where("row >= 20")
+    near = lambda a, b: sum(v * table[b].get(t, 0) for t, v in table[a].items())
+    for entries, products in ((1 << 20, 1 << 22), (60, 50)):
+        monkeypatch.setattr(retrieval, "ASK_ENTRIES", entries)
+        monkeypatch.setattr(retrieval, "PRODUCTS", products)
+        pairs = {(r.row, r.other): r.similarity for r in retrieval.compared(left, right).collect()}
+        expected = {(a, b): near(a, b) for a in range(20) for b in range(20, 60) if table[a].keys() & table[b].keys()}
+        assert pairs.keys() == expected.keys() and all(abs(pairs[k] - expected[k]) < 1e-12 for k in pairs)
+        top = sorted((r.row, r.other) for r in retrieval.compared(left, right, 3).collect())
+        assert top == sorted((a, b) for a in range(20) for b in sorted((b for x, b in expected if x == a), key=lambda b: (-round(expected[a, b], 9), b))[:3])  # noqa: B023

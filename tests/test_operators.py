@@ -1,5 +1,7 @@
 """Golden tables, edge rules and streams."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,80 @@ def test_stream_keeps_the_first_success(spark, tmp_path):
     assert [r.call_id for r in spark.table("firsts").collect()] == ["a"]
 
 
+def streamed(spark, rows, folder, sink):
+    """Rows as a stream in two micro-batches into a ``foreachBatch`` sink, whose last batch is then replayed."""
+    first, last = rows
+    first.coalesce(1).write.parquet(f"{folder}/in/1")
+    last.coalesce(1).write.parquet(f"{folder}/in/2")
+    seen = []
+
+    def keep(batch, number):
+        sink(batch, number)
+        sink(batch, number)  # a replay
+        seen.append(number)
+
+    source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    query = source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert query.exception() is None and len(seen) >= 2
+
+
+def test_the_first_success_is_the_first_by_time(spark, tmp_path):
+    schema = "call_id string, status string, label string, ts timestamp"
+    row = lambda call, status, label, hour: (call, status, label, datetime.datetime(2024, 1, 1, hour))
+    one = spark.createDataFrame([row("a", "success", "late", 5), row("a", "success", "first", 1), row("b", "error", "x", 0), row("a", "error", "y", 0)], schema)
+    two = spark.createDataFrame([row("a", "success", "again", 7), row("b", "success", "second", 9)], schema)
+    assert {(r.call_id, r.label) for r in monitor.first_success(one.unionByName(two)).collect()} == {("a", "first"), ("b", "second")}
+    streamed(spark, (one, two), tmp_path, monitor.ingest_into(f"{tmp_path}/out"))
+    found = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.call_id, r.label) for r in found) == [("a", "first"), ("b", "second")]
+
+
+def test_scores_and_rejects_of_a_stream_equal_the_batch(spark, tmp_path):
+    from taskweave.plans import scoring as plans
+    from taskweave.plans import streams
+
+    rows = fixtures.labelled(spark, SF)
+    coverage = plans.covered(spark, SF).persist()
+    halves = rows.where("task_id % 2 = 0"), rows.where("task_id % 2 = 1")
+    streamed(spark, halves, tmp_path, monitor.score_into(f"{tmp_path}/out", streams.request_error(), lambda valid: streams.scored(valid, coverage)))
+    found = {(r.task_id, r.review_score) for r in spark.read.parquet(f"{tmp_path}/out/scored").collect()}
+    rejects = [r.error for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()]
+    assert found == {tuple(r) for r in streams.st_score(spark, SF).collect()} and len(found) + len(rejects) == rows.count() and set(rejects) <= {"task_too_long", "purpose_too_long", "object_too_long"}
+
+
+@pytest.mark.parametrize("name", ["quality_sample", "retry_latency"])
+def test_samples_and_latencies_of_a_stream(spark, tmp_path, name):
+    from taskweave.plans import streams
+
+    log = fixtures.scoring_log(spark, SF) if name == "quality_sample" else streams.timed(spark, SF).select("call_id", "model", "status", "attempt_count", "latency_ms", "ts")
+    log.repartition(2).write.parquet(str(tmp_path / "in"))
+    operator = (lambda df: monitor.quality_sample(df, "event_id").select("event_id", "stratum")) if name == "quality_sample" else lambda df: monitor.retry_latency(df, "model", exact=False)
+    stream = operator(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    found = {tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
+    batch = {tuple(r) for r in operator(log).collect()}
+    assert found == batch if name == "quality_sample" else found and found < batch
+
+
+def test_stored_calibration_is_near_the_exact_one(spark):
+    names = list(scoring.REVIEW)
+    values = [(i, *[float((i * p) % 997) for p in (7, 11, 13, 17)]) for i in range(997)]
+    rows = spark.createDataFrame(values, "id long, " + ", ".join(f"{n} double" for n in names))
+    exact = {r.id: r for r in scoring.review_levels(rows, "id", rows).collect()}
+    for r in scoring.review_stored(rows, "id", scoring.review_summary(rows)).collect():
+        assert abs(r.review_score - exact[r.id].review_score) <= 2 / scoring.SUMMARY and r.review_reasons == exact[r.id].review_reasons
+
+
+def test_ids_and_fingerprints_tell_nulls_apart(spark):
+    rows = spark.createDataFrame([("a", None, "b"), ("a", "b", None), (None, "a", "b")], "x string, y string, z string")
+    assert len({r[0] for r in rows.select(text.stable_id([F.col(k) for k in "xyz"])).collect()}) == 3
+    one = lambda v: sources.fingerprint(spark.createDataFrame([v], "x string, y string")).first().total
+    assert len({one(v) for v in ((None, "a"), ("\\N", "a"), ("", "a"), ("a", None))}) == 4
+
+
 def test_a_model_with_other_classes_is_refused(spark, tmp_path):
     from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
     from pyspark.ml.linalg import Vectors
