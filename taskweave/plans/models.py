@@ -37,8 +37,14 @@ CHAR5, CHAR6 = P.Block("char", "task", "char_wb", 3, 5, 3, CAP, 0.65), P.Block("
 TITLED = P.Block("title", "jobrole_title", "word", 1, 2, 1, CAP, 0.5)
 CLASSES = L.CLASSES
 EACH = range(len(CLASSES))
-RANK = L.rank(c("y"))
-TARGET = L.score(c("y"))
+
+
+def rank():
+    return L.rank(c("y"))
+
+
+def target_score():
+    return L.score(c("y"))
 
 
 def featured(spark, sf, blocks, folds=None):
@@ -58,7 +64,7 @@ def balanced(rows):
 
 def laid(rows, folds=("held", "validation"), target=None):
     """Rows as blocks for ``linear.fit``, with balanced class weights."""
-    return N.packed(rows, RANK, target, balanced(rows), list(folds))
+    return N.packed(rows, rank(), target, balanced(rows), list(folds))
 
 
 NO_HELD, FITTING = ((0, 1),), ((0, 1), (1, 1))
@@ -82,7 +88,7 @@ def vectors(rows, width: int):
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT())
-    return rows.withColumn("features", vector("index", "value")).withColumn("weight", F.lit(1.0)).withColumn("index", RANK.cast("double"))
+    return rows.withColumn("features", vector("index", "value")).withColumn("weight", F.lit(1.0)).withColumn("index", rank().cast("double"))
 
 
 def released(rows):
@@ -187,7 +193,7 @@ def ml_logreg(spark, sf):
 def ml_teacher_aided(spark, sf):
     """Diagnostic: the source score is a feature beside the text's dimensions, so the result is leaky by design."""
     rows = dense(spark, sf)
-    rows = rows.withColumn("features", array_to_vector(F.concat("svd", F.array(TARGET))))
+    rows = rows.withColumn("features", array_to_vector(F.concat("svd", F.array(target_score()))))
     model = M.logistic(rows.where("held = 0"), 100.0)
     return M.predicted(model, rows.where("held = 1")).select("task_id", "y", "label", F.lit(True).alias("leaky"))
 
@@ -280,7 +286,7 @@ def ml_ordinal_svm_fit(spark, sf):
     chosen = []
     for t in EACH[:-1]:
         own = [i for i, (of, _) in enumerate(every) if of == t]
-        chosen.append(max(own, key=lambda i: (best_threshold(known, RANK > t, f"s{i}", [0.0])[0], -i)))  # noqa: B023
+        chosen.append(max(own, key=lambda i: (best_threshold(known, rank() > t, f"s{i}", [0.0])[0], -i)))  # noqa: B023
     columns = [f"over_{t}" for t in EACH[:-1]]
     seen = written(known.select("y", *[c(f"s{i}").alias(n) for i, n in zip(chosen, columns, strict=True)]), "boundaries")
     cuts = Q.coordinate_search(seen, "y", columns, CLASSES, [k / 20 - 2 for k in range(81)], 4, Q.passed_grid)
@@ -295,8 +301,8 @@ DIMENSIONS = 180
 def dense(spark, sf, k: int = DIMENSIONS):
     """Rows with ``svd``, their places along the leading singular vectors of the training rows' terms, and what Spark ML's estimators take."""
     model, rows = featured(spark, sf, [WORD3, TITLED])
-    _, v = D.truncated(N.packed(rows.where("held = 0"), RANK), model.width, k)
-    rows = D.projected(rows, v).select("task_id", "y", "held", "validation", "svd", RANK.cast("double").alias("index"), balanced(rows).alias("weight"), TARGET.alias("target"))
+    _, v = D.truncated(N.packed(rows.where("held = 0"), rank()), model.width, k)
+    rows = D.projected(rows, v).select("task_id", "y", "held", "validation", "svd", rank().cast("double").alias("index"), balanced(rows).alias("weight"), target_score().alias("target"))
     return written(rows, "dense")
 
 
@@ -313,8 +319,8 @@ def ml_ordered_logit(spark, sf):
 def score_model(spark, sf, problem):
     """Held-out rows with a predicted score, from -0.1 to 0.9, and the class whose score is nearest. Targets are centred on the training rows' mean."""
     model, rows = featured(spark, sf, [WORD3, TITLED])
-    mean = rows.where("held = 0").agg(F.coalesce(F.avg(TARGET), F.lit(0.0))).first()[0]
-    weights = N.fit(laid(rows, target=TARGET - mean), [problem], model.width)
+    mean = rows.where("held = 0").agg(F.coalesce(F.avg(target_score()), F.lit(0.0))).first()[0]
+    weights = N.fit(laid(rows, target=target_score() - mean), [problem], model.width)
     score = F.least(F.greatest(c("scores")[0] + mean, F.lit(-0.1)), F.lit(0.9))
     out = asked(rows, weights).select("task_id", "y", score.alias("score"))
     return out.withColumn("label", best_of([-F.abs(c("score") - L.score(F.lit(k))) for k in CLASSES]))
@@ -469,7 +475,7 @@ def nested_stack(rows, places, signals=None):
     ready = long.join(F.broadcast(scale), "g").select("task_id", "y", "g", "without", "fit", place.alias("index"), F.zip_with("x", "scale", lambda v, z: (v - z["m"]) / z["s"]).alias("value"))
     ready = written(ready, "meta")
     problems = [N.Problem(positive=(k,), c=v, loss="logistic", only=((0, g), (1, 1)), free_intercept=True) for g in range(2 * OUTER) for v in META_C for k in EACH]
-    weights = N.fit(N.packed(ready, RANK, folds=["g", "fit"]), problems, 2 * OUTER * size)
+    weights = N.fit(N.packed(ready, rank(), folds=["g", "fit"]), problems, 2 * OUTER * size)
     share = lambda v: [1 / (1 + F.exp(-F.get("scores", (c("g") * len(META_C) + v) * len(CLASSES) + k))) for k in EACH]
     chances = F.array(*[F.array(*share(v)) for v in range(len(META_C))])
     known = N.scored(ready.where("g >= {0} or fit = 0".format(OUTER)), weights).select("task_id", "y", "g", "without", "fit", chances.alias("p"))

@@ -164,6 +164,7 @@ def test_signals_do_not_see_the_rows_own_label(spark):
     assert {w for (i, w) in one if one[i, w] != two[i, w]} <= {0, 2} and len(one) == 72
     plain = signals("a", False)
     assert all(np.allclose(one[i, i % 3], plain[i, None]) for i in range(21))
+    assert all(one[i, 1] == two[i, 1] for i in range(24))
 
 
 def test_offsets_of_groups_equal_a_search_for_each(spark):
