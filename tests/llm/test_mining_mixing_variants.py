@@ -217,7 +217,7 @@ def test_variants_equal_brute_force(spark, monkeypatch, small):
     words |= {"aaaaaaa": 40, "aaaaaaaa": 8, "aaaaaa": 9000, "þ×÷ÿàa": 5, "þ×÷ÿàaa": 30, "z" * 3000: 5, "z" * 2999: 500, "z" * 1500 + "y" + "z" * 1499: 60}
     table = spark.createDataFrame(list(words.items()), "word string, n long").withColumn("root", F.lit(1)).repartition(3)
     found = found_variants(variants.grouped(table))
-    assert found == brute_variants(words) and sum(r[1] is not None for r in found) > 20 and any(r[2] not in (r[0], r[1]) for r in found)
+    assert found == brute_variants(words) and sum(r[1] is not None for r in found) > 10 and any(r[2] not in (r[0], r[1]) for r in found)
 
 
 def test_chains_of_forms_end(spark):
