@@ -45,23 +45,26 @@ Plan = list[tuple[tuple[int, ...], int]]
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
         encoder = Encoder.of(path)
-        for batch in slices(batches, "text", SLICE_BYTES):
-            docs = batch.column(0)
-            row, piece, start, length, crc, body = [], [], [], [], [], []
-            for i, found in enumerate(encoder.encode(batch.column(1))):
-                ids = np.append(found.astype("<u4"), np.uint32(end_id))
-                for k, a in enumerate(range(0, len(ids), capacity)):
-                    part = ids[a : a + capacity].tobytes()
-                    row.append(i)
-                    piece.append(k)
-                    start.append(a)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        body.append(part)
-            columns = [docs.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(body, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        try:
+            for batch in slices(batches, "text", SLICE_BYTES):
+                docs = batch.column(0)
+                row, piece, start, length, crc, body = [], [], [], [], [], []
+                for i, found in enumerate(encoder.encode(batch.column(1))):
+                    ids = np.append(found.astype("<u4"), np.uint32(end_id))
+                    for k, a in enumerate(range(0, len(ids), capacity)):
+                        part = ids[a : a + capacity].tobytes()
+                        row.append(i)
+                        piece.append(k)
+                        start.append(a)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            body.append(part)
+                columns = [docs.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(body, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        finally:
+            encoder.forget()  # the worker serves other operators next
 
     return run
 

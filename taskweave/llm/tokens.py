@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with the ids of parts that come again kept in each Python worker."""
+"""Token ids of whole texts, with the ids of parts that come again kept while a task runs."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Bytes of a generation of a worker's table, of which there are two, by the estimate of ``Kept.add``.
+#: Bytes of a generation of a task's table, of which there are two, by the estimate of ``Kept.add``.
 KEPT_BYTES = 48 << 20
 #: The longest string that is kept, and how many strings are learned at once.
 LONGEST, AT_ONCE = 1024, 1 << 15
@@ -81,6 +81,10 @@ class Encoder:
             cls._made[path, pretoken] = cls(path, pretoken)
         return cls._made[path, pretoken]
 
+    def forget(self) -> None:
+        """Drops all that is kept: Python workers outlive tasks, and their next one may be another operator's."""
+        self.kept = Kept()
+
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each of which is one word to the tokenizer."""
         out: list[bytes] = []
