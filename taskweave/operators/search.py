@@ -223,6 +223,34 @@ def gate_grid(df: DataFrame, truth: str, predicted: str, gate_class: str, confid
     return macro_f1(rows, ["t", "m"], truth, "_p", "_n", classes)
 
 
+def class_gates(df: DataFrame, truth: str, predicted: str, scores: dict[str, str], thresholds: list[float], classes) -> list[tuple[str, float | None, float, float]]:
+    """(class, threshold, macro F1 before, after) of each class in turn, in the order of ``scores`` (class -> its column).
+
+    A class overrides where its score reaches a threshold, the lowest of the best; the gate is kept only if macro F1 rises, else its
+    threshold is None, and later classes see the calls of those that were kept. A null score reaches nothing. A job for each class,
+    which shuffles counts by label, call and bucket; one row of it comes back. An empty table keeps none.
+    """
+    rows, out = df.withColumn("_call", F.col(predicted)).withColumn("_any", F.lit(1)), []
+    start = macro_f1(collapsed(rows, [truth, "_call"]).withColumn("_all", F.lit(1)), ["_all"], truth, "_call", "_n", classes).first()
+    held = start.macro_f1 if start else 0.0
+    for name, column in scores.items():
+        found = best(gate_grid(rows, truth, "_call", name, column, "_any", thresholds, [1], classes), "macro_f1", "t").first()
+        kept = found is not None and found.macro_f1 > held + 1e-9
+        out.append((name, found.t if kept else None, held, found.macro_f1 if kept else held))
+        if kept:
+            held = found.macro_f1
+            rows = rows.withColumn("_call", F.when(F.col(column) >= found.t, name).otherwise(F.col("_call")))
+    return out
+
+
+def gated_call(predicted: Column, scores: dict[str, str], gates: list[tuple[str, float | None, float, float]]) -> Column:
+    """The call after the gates that ``class_gates`` kept."""
+    for name, t, *_ in gates:
+        if t is not None:
+            predicted = F.when(F.col(scores[name]) >= t, name).otherwise(predicted)
+    return predicted
+
+
 def simplex_weights(spark, trials: int, parts: int, seed: str = "blend") -> DataFrame:
     """(trial, w array): exponential draws from MD5, normalised."""
     u = lambda k: (F.conv(F.substring(draw(seed, F.concat_ws("|", F.col("trial").cast("string"), F.lit(str(k)))), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taskweave.shared import partitions, written
+
+#: Groups that one task searches at once.
+BLOCK = 4096
+
 
 def draw(seed: str, key: Column | str) -> Column:
     """A fixed random text for a key."""
@@ -78,6 +85,143 @@ def component_holdout(rows: DataFrame, component: str, label: str, share: float
     return running.select(component, F.when(fits & (F.col("_run") <= share * F.col("_total")), "test").otherwise("train").alias("split"))
 
 
+def placed(counts: np.ndarray, goals: np.ndarray, start: np.ndarray, rng: np.random.Generator, most: float = np.inf, kick: float = 0.0, mixed: bool = False, bound: np.ndarray | None = None, shakes: int = 20) -> tuple[float, np.ndarray]:
+    """(cost, split by group): a greedy start, then the best single move again and again until none lowers the cost.
+
+    ``counts`` has a row for each group (all its rows, then those of each class), ``goals`` one for each split; a split whose goals are
+    NaN is free and costs nothing. ``start`` has a split for each group, or -1 where the greedy pass has to choose, groups of many
+    classes and many rows first, ties by ``rng``, or all in an order by ``rng`` if ``mixed``. No move takes a split with goals above
+    ``most`` times its rows; ``kick`` is the chance that the greedy pass puts a group into the first split in any case. Groups that are
+    ``bound`` stay where they start. At the end three groups are moved at random and the search goes on from there, ``shakes`` times;
+    what costs no less is taken back.
+    """
+    goal, weight = np.nan_to_num(goals), np.where(np.isnan(goals), 0.0, 1 / np.maximum(np.nan_to_num(goals), 1.0) ** 2)
+    limit = np.where(np.isnan(goals[:, 0]), np.inf, most * goal[:, 0])
+    bound = np.zeros(len(counts), dtype=bool) if bound is None else bound
+    rows, classes = np.arange(len(counts)), counts[:, 1:]
+
+    def filled(at: np.ndarray) -> np.ndarray:
+        return np.stack([counts[at == s].sum(axis=0) for s in range(len(goals))])
+
+    def descended(at: np.ndarray) -> tuple[float, np.ndarray]:
+        full = filled(at)
+        while len(counts):
+            entering = np.stack([(counts * (2 * (f - g) + counts) * w).sum(axis=1) for f, g, w in zip(full, goal, weight, strict=True)], axis=1)
+            gain = entering + (counts * (counts - 2 * (full - goal)[at]) * weight[at]).sum(axis=1)[:, None]
+            gain[full[None, :, 0] + counts[:, :1] > limit] = np.inf
+            gain[rows, at] = gain[bound] = np.inf
+            i, s = divmod(int(gain.argmin()), len(goals))
+            if gain[i, s] >= -1e-9:
+                break
+            full[at[i]] -= counts[i]
+            full[s] += counts[i]
+            at[i] = s
+        return float((weight * (full - goal) ** 2).sum()), at
+
+    at = start.copy()
+    full = filled(at)
+    order = rng.permutation(len(counts)) if mixed else np.lexsort((rng.random(len(counts)), -counts[:, 0], -classes.max(axis=1, initial=0), -(classes > 0).sum(axis=1)))
+    for i in order[at[order] < 0].tolist():
+        dearer = (counts[i] * (2 * (full - goal) + counts[i]) * weight).sum(axis=1)
+        dearer[full[:, 0] + counts[i, 0] > limit] = np.inf
+        s = 0 if kick and rng.random() < kick and dearer[0] < np.inf else int(dearer.argmin())
+        at[i], full[s] = s, full[s] + counts[i]
+    best, at = descended(at)
+    free = np.flatnonzero(~bound)
+    for _ in range(shakes if len(free) else 0):
+        trial = at.copy()
+        trial[rng.choice(free, min(3, len(free)), replace=False)] = rng.integers(len(goals), size=min(3, len(free)))
+        if (filled(trial)[:, 0] <= limit).all():
+            cost, trial = descended(trial)
+            if cost < best - 1e-9:
+                best, at = cost, trial
+    return best, at
+
+
+def _searcher(shares: list[float | None], restarts: int, turns: int, seed: int, most: float, kick: float, allowed: float | None):
+    """Searches a block of groups, restarts ``turn``, ``turn + turns``, ... of it; the first starts from ``start``, every second one places groups in a random order."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        block, turn = map(int, key)
+        group = group.sort_values("key", kind="stable")
+        counts = np.array(group["counts"].tolist(), dtype=np.float64).reshape(len(group), -1)
+        filled = np.array(group["filled"].iloc[0], dtype=np.float64).reshape(len(shares), -1)
+        total = counts.sum(axis=0) + filled.sum(axis=0)
+        goals = np.array([np.full(len(total), np.nan) if p is None else np.maximum(p * total - f, 0) for p, f in zip(shares, filled, strict=True)])
+        given, free = group["start"].to_numpy(dtype=np.int64), next((s for s, p in enumerate(shares) if p is None), None)
+        fixed = np.full(len(group), -1)
+        if allowed is not None:
+            fixed[counts[:, 0] > allowed] = free
+        found = []
+        for r in range(turn, restarts, turns):
+            start = fixed if r else np.where(fixed < 0, given, fixed)
+            found.append((*placed(counts, goals, start, np.random.default_rng([seed, block, r]), most, kick if r else 0.0, r % 2 == 1, fixed >= 0), r))
+        cost, at, r = min(found, key=lambda x: (round(x[0], 12), x[2]))
+        return pd.DataFrame({"block": [block], "cost": [cost], "restart": [r], "keys": [group["key"].tolist()], "at": [at.tolist()]})
+
+    return run
+
+
+def searched(rows: DataFrame, group: str, label: str, shares: dict[str, float | None], start: DataFrame, restarts: int = 25, seed: int = 42, most: float = float("inf"), kick: float = 0.0, largest: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(group, split) by restarted local search over the table of groups by classes; whole groups stay together.
+
+    ``shares`` names each split's share of the rows and of each class, None for one split that takes what is left and costs nothing.
+    ``start`` is a known (group, split), which the first restart improves. ``largest``: groups with a larger share of all rows stay in the
+    free split. The other arguments are those of ``placed``.
+
+    Up to ``block`` groups are one search, whose restarts are dealt to tasks. Beyond that, groups with more than one ``block``-th of all
+    rows, so fewer than ``block``, are placed first; the others are dealt to blocks by a hash, and each block is searched for its part of
+    what the large ones left open, so no task sees more than a block. A split's miss over all blocks is at most the sum of theirs.
+    A class is counted as its rows; rows with a null label count among all rows alone, and a null group is left out, as in ``start``'s
+    join. An empty table gives no rows. Classes and splits are few.
+    """
+    names, free = list(shares), [s for s, p in shares.items() if p is None]
+    if len(free) > 1 or (largest is not None and not free):
+        raise ValueError("one split at most is free, and a largest share needs one")
+    spark = rows.sparkSession
+    classes = sorted((r[0] for r in rows.select(label).distinct().collect() if r[0] is not None), key=str)  # a row for each class
+    base = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("key")).agg(F.array(F.count("*"), *[F.count_if(F.col(label) == c) for c in classes]).alias("counts"))
+    place = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))])
+    table = written(base.join(start.select(F.col(group).alias("key"), place[F.col("split")].alias("start")), "key"), "groups")
+    n, total = table.agg(F.count("*"), F.sum(F.col("counts")[0])).first()
+    none = np.zeros((len(names), 1 + len(classes)))
+    allowed = None if largest is None else largest * (total or 0)
+
+    def blocks(some: DataFrame, n_blocks: int, number: Column, filled: Column) -> DataFrame:
+        turns = max(1, min(restarts, partitions(spark) // n_blocks))
+        run = _searcher(list(shares.values()), restarts, turns, seed, most, kick, allowed)
+        dealt = some.withColumn("block", number).withColumn("filled", filled).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        key_type = table.schema["key"].dataType.simpleString()
+        tried = dealt.groupBy("block", "turn").applyInPandas(run, f"block long, cost double, restart int, keys array<{key_type}>, at array<int>")
+        won = tried.groupBy("block").agg(F.min_by(F.struct("keys", "at"), F.struct(F.round("cost", 12), F.col("restart"))).alias("w"))
+        return won.select(F.explode(F.arrays_zip("w.keys", "w.at")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
+
+    flat = lambda a: F.array(*[F.lit(float(x)) for x in a.ravel()])
+    if n <= block:
+        found = blocks(table, 1, F.lit(0).cast("long"), flat(none))
+    else:
+        heavy = F.col("counts")[0] * block > total
+        first = written(blocks(table.where(heavy), 1, F.lit(0).cast("long"), flat(none)), "large")
+        light, n_blocks = table.where(~heavy), -(-n // block)
+        sums = lambda t: [F.sum(F.col("counts")[k]).cast("double") for k in range(1 + len(classes))]
+        taken = none.copy()
+        for r in table.join(first, "key").groupBy("at").agg(F.array(*sums(0)).alias("c")).collect():  # a row for each split
+            taken[r["at"]] = r["c"]
+        left = np.array([x or 0.0 for x in light.agg(F.array(*sums(0))).first()[0]])
+        numbered = light.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(n_blocks)))
+        own = numbered.groupBy("_b").agg(F.array(*[s / F.lit(max(x, 1.0)) for s, x in zip(sums(0), left, strict=True)]).alias("_part"))
+        part = F.array(*[F.lit(float(taken[s, k])) * F.col("_part")[k] for s in range(len(names)) for k in range(taken.shape[1])])
+        found = first.unionByName(blocks(numbered.join(own, "_b"), n_blocks, F.col("_b"), part))
+    return found.select(F.col("key").alias(group), F.array(*[F.lit(s) for s in names])[F.col("at")].alias("split"))
+
+
+def best_of(rows: DataFrame, group: str, label: str, candidates: list[DataFrame], target: dict[str, float]) -> tuple[DataFrame, list[float]]:
+    """The (group, split) with the least ``split_cost``, the first of equals, and all their costs (one number each)."""
+    costs = [s.first().cost for s in (split_cost(rows, group, label, c, target) for c in candidates)]
+    costs = [float("inf") if c is None else c for c in costs]
+    return candidates[min(range(len(costs)), key=lambda i: (round(costs[i], 12), i))], costs
+
+
 def overlaps(rows: DataFrame, split: str, columns: dict[str, str]) -> DataFrame:
     """(check, severity, left_split, right_split, overlap): shared values of each column between each two splits. ``columns``: name -> severity."""
     value = lambda c: F.unhex(F.md5(F.col(c).cast("string")))  # noqa: E731  (texts of any length meet by their digests)

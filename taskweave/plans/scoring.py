@@ -218,6 +218,28 @@ def op_gates(spark, sf):
     return m.agg(value("before").alias("b"), value("after").alias("a")).select(F.round("b", 6).alias("before"), F.round("a", 6).alias("after"), (F.col("a") > F.col("b") + 1e-12).alias("accepted"))
 
 
+GATED = {"E1": "s1", "E23": "s2", "E0": "s0"}
+STEPS = [round(-0.5 + 0.025 * k, 3) for k in range(81)]
+
+
+def _gates_sql() -> str:
+    sql, held = S + f", c0 AS (SELECT task_id, y, s0, s1, s2, {ARG.format('s0', 's1', 's2')} AS p FROM scores), h0 AS (SELECT {macro('p', '1')} AS f FROM c0)", []
+    for i, (name, s) in enumerate(GATED.items()):
+        m = f"SELECT t, {macro('z', '1')} AS f FROM (SELECT t, y, CASE WHEN {s} >= t THEN '{name}' ELSE p END AS z FROM c{i}, (SELECT unnest({STEPS})::DOUBLE AS t)) GROUP BY t"
+        sql += f", b{i} AS (SELECT t, f FROM ({m}) ORDER BY round(f, 9) DESC, t LIMIT 1), g{i} AS (SELECT CASE WHEN b{i}.f > h{i}.f + 1e-9 THEN t END AS t, h{i}.f AS before, greatest(h{i}.f, CASE WHEN b{i}.f > h{i}.f + 1e-9 THEN b{i}.f ELSE 0 END) AS after FROM b{i}, h{i})"
+        sql += f", h{i + 1} AS (SELECT after AS f FROM g{i}), c{i + 1} AS (SELECT task_id, y, s0, s1, s2, CASE WHEN {s} >= t THEN '{name}' ELSE p END AS p FROM c{i}, g{i})"
+        held.append(f"SELECT {i} AS step, '{name}' AS gate, t, round(before, 6) AS before, round(after, 6) AS after FROM g{i}")
+    return sql + " " + " UNION ALL ".join(held)
+
+
+@query("op_gates_by_class", _gates_sql())
+def op_gates_by_class(spark, sf):
+    """Overrides of one class after another, each kept only if macro F1 rises."""
+    found = Q.class_gates(V.scores(spark, sf).withColumn("p", Q.argmax(cols(*COLUMNS), CLASSES)), "y", "p", GATED, STEPS, CLASSES)
+    rows = [(i, c, t, before, after) for i, (c, t, before, after) in enumerate(found)]  # a row for each class
+    return spark.createDataFrame(rows, "step int, gate string, t double, before double, after double").withColumn("before", F.round("before", 6)).withColumn("after", F.round("after", 6))
+
+
 @query("op_gate_grid", GATE + f", m AS (SELECT t, m, {macro('z', '1')} AS macro_f1 FROM (SELECT t, m, y, CASE WHEN conf >= t AND sup >= m THEN 'E1' ELSE p END AS z FROM r, (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) a(t), (VALUES (1), (3), (5)) b(m)) GROUP BY ALL) SELECT t, m, round(macro_f1, 6) AS macro_f1 FROM m ORDER BY round(macro_f1, 9) DESC, t, m LIMIT 1")
 def op_gate_grid(spark, sf):
     grid = Q.gate_grid(gated(spark, sf), "y", "p", "E1", "conf", "sup", [0.5, 0.7, 0.9], [1, 3, 5], CLASSES)

@@ -11,6 +11,7 @@ from taskweave.operators.graph import connected_components
 from taskweave.plans import fixtures as V
 from taskweave.plans.prepare import COMPONENTS, KEY, role_task_edges
 from taskweave.plans.registry import query
+from taskweave.shared import written
 
 SIZES = "WITH " + V.CTE_TASKS + """, counts AS (SELECT jobrole_id, y, count(*) AS n FROM labelled GROUP BY ALL), sizes AS (SELECT jobrole_id, sum(n)::BIGINT AS size, arg_min(y, (-n, y)) AS dominant FROM counts GROUP BY jobrole_id)"""
 SNAKE = "CASE WHEN (i // {k}) % 2 = 0 THEN i % {k} ELSE {k} - 1 - i % {k} END"
@@ -36,6 +37,19 @@ def split_group_holdout(spark, sf):
     return splits.crossJoin(F.broadcast(S.split_cost(rows, "jobrole_id", "y", splits, {"train": 0.7, "validation": 0.15, "test": 0.15}).select(F.round("cost", 6).alias("cost"))))
 
 
+TARGET = {"train": 0.7, "validation": 0.15, "test": 0.15}
+
+
+@query("split_group_holdout_search")
+def split_group_holdout_search(spark, sf):
+    """The restarted search, with the cost of the serpentine deal beside its own; what costs less is returned."""
+    rows = V.labelled(spark, sf)
+    dealt = S.group_holdout(rows, "jobrole_id", "y")
+    found = written(S.searched(rows, "jobrole_id", "y", TARGET, dealt), "searched")
+    splits, costs = S.best_of(rows, "jobrole_id", "y", [found, dealt], TARGET)
+    return splits.select("jobrole_id", "split", F.lit(min(costs)).alias("cost"), F.lit(costs[1]).alias("serpentine_cost"))
+
+
 @query("split_kfold", "WITH " + V.CTE_TASKS + " SELECT task_id, y, ((row_number() OVER (PARTITION BY y ORDER BY md5('7|' || task_id)) - 1) % 5)::INT AS fold FROM labelled")
 def split_kfold(spark, sf):
     return S.row_folds(V.labelled(spark, sf), "task_id", "y").select("task_id", "y", "fold")
@@ -55,6 +69,17 @@ def split_component_holdout(spark, sf):
     return S.component_holdout(rows, "component", "y")
 
 
+@query("split_component_holdout_search")
+def split_component_holdout_search(spark, sf):
+    """Whole components whose rows and classes come near a fifth: 500 restarts, components above a fifth stay in train, test at most a tenth above its share."""
+    found = written(connected_components(role_task_edges(spark, sf)), "components")
+    rows = V.labelled(spark, sf).withColumn("node", F.concat(F.lit("r:"), "jobrole_id")).join(found, "node")
+    dealt = S.component_holdout(rows, "component", "y")
+    splits = written(S.searched(rows, "component", "y", {"test": 0.2, "train": None}, dealt, restarts=500, most=1.1, kick=0.015, largest=0.2), "searched")
+    best, costs = S.best_of(rows, "component", "y", [splits, dealt], {"test": 0.2})
+    return best.select("component", "split", F.lit(min(costs)).alias("cost"), F.lit(costs[1]).alias("running_sum_cost"))
+
+
 def _leaks(table: str, split: str, checks: dict[str, tuple[str, str]]) -> str:
     values = " UNION ".join(f"SELECT {split} AS s, '{c}' AS c, ({e})::VARCHAR AS v FROM {table}" for c, (e, _) in checks.items())
     severity = " ".join(f"WHEN '{c}' THEN '{s}'" for c, (_, s) in checks.items())

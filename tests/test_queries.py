@@ -16,7 +16,7 @@ HELD_OUT = [
     "ml_ridge_score", "ml_huber_score", "ml_svr_score", "ml_platt", "ml_oof_stack", "ml_oof_enriched", "ml_ridge_classifier",
 ]
 #: Tested below, each in a way of its own.
-OTHERS = {"ml_ordered_logit", "ml_trees", "ml_dense_probe", "ft_svd", "ru_linear_terms", "pa_bootstrap_ci", "pa_paired_delta", "pa_representation_ci"}
+OTHERS = {"ml_ordered_logit", "ml_trees", "ml_dense_probe", "ft_svd", "ru_linear_terms", "pa_bootstrap_ci", "pa_paired_delta", "pa_representation_ci", "split_group_holdout_search", "split_component_holdout_search"}
 
 
 def test_every_query_has_a_test():
@@ -33,6 +33,13 @@ def test_matches_duckdb(spark, duck, name):
     assert_same(QUERIES[name](spark, SF), duck, ORACLES[name])
 
 
+@pytest.mark.parametrize(("name", "plain", "old"), [("split_group_holdout_search", "split_group_holdout", "serpentine_cost"), ("split_component_holdout_search", "split_component_holdout", "running_sum_cost")])
+def test_searched_splits_cost_no_more(spark, name, plain, old):
+    rows, known = QUERIES[name](spark, SF).collect(), QUERIES[plain](spark, SF).collect()
+    assert sorted(r[0] for r in rows) == sorted(r[0] for r in known) and {r.split for r in rows} <= {"train", "validation", "test"}
+    assert all(r.cost <= r[old] for r in rows) and len({r.cost for r in rows}) == 1
+
+
 def macro(rows):
     """(macro F1, that of a model that always names the commonest class)."""
     truth, called = [r.y for r in rows], [r.label for r in rows]
