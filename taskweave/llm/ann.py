@@ -1,19 +1,18 @@
-"""Approximate nearest neighbours by cosine: an inverted file with product-quantised residuals.
-
-Vectors are scaled to length 1. The number of lists grows with the square root of the rows, up to ``MOST_LISTS``. Coarse centroids and
-the codebooks of residuals are fitted on ``PER_LIST`` vectors for each list, picked by a hash of their ids; every vector is indexed:
-its list, and a code for each subspace. Lists are laid into blocks of about ``BLOCK_ROWS`` codes, several short lists in one block, a
-long list in several. A query probes the lists nearest to it and travels once to each block that holds one of them; a block keeps its
-``RANKED`` best of the query, found by one table of inner products for each query and subspace. The best of all are ranked again by
-the exact cosine of the original vectors in double precision. Equal vectors are searched as one, which stands for its smallest ids, so
-copies take no places from each other and ties go to the smaller vec_id.
-
-The data's structure decides how many lists have to be probed: as many as hold the share ``COVERED`` of the nearest neighbours within
-the sample. A query that finds fewer than ``k`` in its lists is searched in all lists. Vectors that are null, empty, zero, of another
-length than most, or that hold null or non-finite components take no part, as queries or as candidates; nor do rows with a null id.
-Components so large or small that their squares leave the range of doubles are scaled by the largest first.
-Of rows that repeat an id the first in the order of their components counts. An empty table gives no rows. Other columns are not
-looked at.
+"""Approximate nearest neighbours by cosine: an inverted file whose lists hold the vectors themselves.
+
+Vectors are scaled to length 1. The number of lists grows with the square root of the rows, up to ``MOST_LISTS``. Coarse centroids are
+fitted on ``PER_LIST`` vectors for each list, picked by a hash of their ids; every vector is indexed. Lists are laid into blocks of about
+``BLOCK_ROWS`` vectors, several short lists in one block, a long list in several. A query probes the lists nearest to it and travels once
+to each block that holds one of them; a block keeps its ``RANKED`` best of the query by inner products in double precision, so vectors
+that lie close together are told apart. The best of all are ranked again by the cosine of the original vectors. Equal vectors are searched
+as one, which stands for its smallest ids, so copies take no places from each other and ties go to the smaller vec_id.
+
+The data's structure decides how many lists have to be probed: ``MEASURED`` of the queries are compared with all rows, and as many lists
+are probed as hold the share ``COVERED`` of their nearest neighbours. A query that finds fewer than ``k`` in its lists is searched in all
+lists. Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components take no part, as
+queries or as candidates; nor do rows with a null id. Components so large or small that their squares leave the range of doubles are
+scaled by the largest first. Of rows that repeat an id the first in the order of their bytes counts. An empty table gives no rows. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,10 +29,10 @@ from taskweave.shared import written
 
 FEWEST_LISTS, MOST_LISTS, PER_LIST = 16, 1024, 32
 COVERED, MEASURED = 0.97, 512
-SPACES, CODES = 32, 256
-RANKED = 100
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 1024
-CELLS = 1 << 22
+RANKED = 32
+BLOCK_ROWS, BLOCK_QUERIES = 16384, 4096
+#: Products that a task holds at once, and components of a block's rows or queries.
+CELLS, COMPONENTS = 1 << 22, 1 << 21
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -51,71 +50,33 @@ def centers_of(x: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
     return found
 
 
-@dataclass
-class Index:
-    """Coarse centroids, and for each subspace the codebook of residuals."""
+def lists_by_nearness(x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """For each vector the lists, nearest first."""
+    return np.argsort((lists**2).sum(axis=1) - 2 * x @ lists.T, axis=1, kind="stable")
 
-    lists: np.ndarray
-    books: list[np.ndarray]
 
-    @classmethod
-    def of(cls, sample: np.ndarray, n_lists: int) -> Index:
-        lists = centers_of(sample, n_lists)
-        rest = sample - lists[nearest(sample, lists)]
-        return cls(lists, [centers_of(rest[:, s], CODES) for s in cls._spaces(sample.shape[1])])
-
-    @staticmethod
-    def _spaces(width: int) -> list[slice]:
-        edges = np.linspace(0, width, min(SPACES, width) + 1).astype(int)
-        return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """For each vector the lists, nearest first."""
-        return np.argsort((self.lists**2).sum(axis=1) - 2 * x @ self.lists.T, axis=1, kind="stable")
-
-    def probes(self, sample: np.ndarray, k: int) -> int:
-        """How many lists hold ``COVERED`` of the ``k`` nearest others of ``MEASURED`` vectors, within the sample."""
-        asked = np.linspace(0, len(sample) - 1, min(MEASURED, len(sample))).astype(int)
-        near = sample[asked] @ sample.T
-        near[np.arange(len(asked)), asked] = -np.inf
-        best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-        if not best.size:
-            return len(self.lists)
-        place = np.argsort(self.order(sample[asked]), axis=1)  # of each list in the query's order
-        return int(np.quantile(np.take_along_axis(place, nearest(sample, self.lists)[best], axis=1), COVERED, method="higher")) + 1
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = nearest(x, self.lists)
-        rest = x - self.lists[at]
-        return at, np.stack([nearest(rest[:, s], b) for s, b in zip(self._spaces(x.shape[1]), self.books, strict=True)], axis=1).astype(np.uint8)
-
-    def scores(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries with the coded vectors of one list."""
-        out = np.repeat((queries @ self.lists[at])[:, None], len(codes), axis=1)
-        for k, (s, book) in enumerate(zip(self._spaces(queries.shape[1]), self.books, strict=True)):
-            out += (queries[:, s] @ book.T)[:, codes[:, k]]
-        return out
+def _packed(x: np.ndarray) -> bytes:
+    """A vector in single precision where that loses nothing."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
 
 
 def _units(batches):
     for batch in batches:
-        ids, rows = [], []
+        ids, widths, rows = [], [], []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid and i is not None else np.zeros(0)
-            if len(x) and np.isfinite(x).all() and (largest := np.abs(x).max()) > 0:
+            if len(x) and np.isfinite(x).all() and x.any():
                 ids.append(i)
-                y = x / largest
-                rows.append((y / np.sqrt((y * y).sum())).astype(np.float32).tobytes() + x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) // 12 for r in rows], pa.int32()), pa.array(rows, pa.binary())], names=["vec_id", "width", "vector"])
-
-
-def _matrix(column, width: int) -> np.ndarray:
-    return np.stack([np.frombuffer(x, dtype=np.float32, count=width) for x in column])
+                widths.append(len(x))
+                rows.append(_packed(x))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(widths, pa.int32()), pa.array(rows, pa.binary())], names=["vec_id", "width", "vector"])
 
 
 def _exact(column, width: int) -> np.ndarray:
     """The original vectors; those whose squares overflow or vanish are scaled by the largest component."""
-    x = np.stack([np.frombuffer(v, dtype=np.float64, offset=4 * width) for v in column])
+    x = np.stack([np.frombuffer(v, dtype=np.float32 if len(v) == 4 * width else np.float64).astype(np.float64) for v in column])
     with np.errstate(over="ignore", under="ignore"):
         square = (x * x).sum(axis=1)
     odd = ~np.isfinite(square) | (square < np.finfo(np.float64).tiny / np.finfo(np.float64).eps)
@@ -123,6 +84,15 @@ def _exact(column, width: int) -> np.ndarray:
     return x
 
 
+def _unit(column, width: int) -> np.ndarray:
+    x = _exact(column, width)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    return _unit(column, width).astype(np.float32)
+
+
 @dataclass
 class Layout:
     """Where each list lies: the first of its blocks, and how many it has. A block holds short lists together or a part of a long one."""
@@ -131,11 +101,12 @@ class Layout:
     parts: np.ndarray
 
     @classmethod
-    def of(cls, sizes: np.ndarray) -> Layout:
-        first, parts = np.zeros(len(sizes), dtype=np.int64), np.maximum(1, -(-sizes // BLOCK_ROWS))
+    def of(cls, sizes: np.ndarray, rows: int | None = None) -> Layout:
+        rows = BLOCK_ROWS if rows is None else rows
+        first, parts = np.zeros(len(sizes), dtype=np.int64), np.maximum(1, -(-sizes // rows))
         free, held = 0, 0  # the open block, and its rows
         for i, n in enumerate(sizes.tolist()):
-            if held and held + n > BLOCK_ROWS:
+            if held and held + n > rows:
                 free, held = free + 1, 0
             first[i] = free
             if parts[i] > 1:
@@ -153,48 +124,88 @@ class Layout:
         return found
 
 
-def _code(index_of, width: int):
+def _listed(lists_of, width: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                at, codes = index_of.value.encode(_matrix(batch.column(1).to_pylist(), width))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "vec_id", "codes"])
+                at = nearest(_matrix(batch.column(1).to_pylist(), width), lists_of.value)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), batch.column(1)], names=["list", "vec_id", "vector"])
 
     return run
 
 
-def _probe(index_of, layout_of, width: int, probes: int):
+def _near_lists(asked_of, width: int, k: int):
+    """Of each measured query the lists of a task's ``k`` nearest vectors other than its own."""
+
+    def run(batches):
+        asked = asked_of.value
+        x, own = _unit(asked, width), {}
+        for i, v in enumerate(asked):
+            own.setdefault(v, []).append(i)
+        near, at = np.zeros((len(x), 0)), np.zeros((len(x), 0), dtype=np.int32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step := max(1, CELLS // len(x))):
+                lists, column = batch.column(0).slice(a, step).to_numpy(), batch.column(1).slice(a, step).to_pylist()
+                some = x @ _unit(column, width).T
+                for j, v in enumerate(column):
+                    if v in own:
+                        some[own[v], j] = -np.inf
+                near, at = np.hstack([near, some]), np.hstack([at, np.repeat(lists[None, :], len(x), axis=0)])
+                if near.shape[1] > k:
+                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    near, at = np.take_along_axis(near, best, axis=1), np.take_along_axis(at, best, axis=1)
+        query, place = np.nonzero(near > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(at[query, place], pa.int32()), pa.array(near[query, place])], names=["query", "list", "near"])
+
+    return run
+
+
+def probes_for(asked: DataFrame, listed: DataFrame, lists: np.ndarray, width: int, k: int) -> int:
+    """How many lists hold ``COVERED`` of the ``k`` nearest others of ``MEASURED`` queries, among all rows."""
+    some = [bytes(r.vector) for r in asked.orderBy(F.xxhash64(F.lit("measured"), "vec_id"), "vec_id").limit(MEASURED).collect()]
+    if not some:
+        return 1
+    sent = listed.sparkSession.sparkContext.broadcast(some)
+    near = listed.select("list", "vector").mapInArrow(_near_lists(sent, width, k), "query int, list int, near double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "list"))).where(F.col("r") <= k)
+    rows = best.select("query", "list").collect()  # at most MEASURED * k
+    if not rows:
+        return len(lists)
+    place = np.argsort(lists_by_nearness(_matrix(some, width), lists), axis=1)  # of each list in the query's order
+    return int(np.quantile([place[r.query, r.list] for r in rows], COVERED, method="higher")) + 1
+
+
+def _probe(lists_of, layout_of, width: int, probes: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1).to_pylist(), width)
-                to = [layout_of.value.blocks(lists) for lists in index_of.value.order(x)[:, :probes]]
+                to = [layout_of.value.blocks(lists) for lists in lists_by_nearness(x, lists_of.value)[:, :probes]]
                 row = pa.array(np.repeat(np.arange(len(x)), [len(t) for t in to]))
                 block, lists = [b for t in to for b in t], [np.array(v, dtype=np.int32).tobytes() for t in to for v in t.values()]
-                unit = pa.array([v.tobytes() for v in x], pa.binary())  # without the doubles
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column(0).take(row), unit.take(row), pa.array(lists, pa.binary())], names=["block", "query_id", "vector", "lists"])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column(0).take(row), batch.column(1).take(row), pa.array(lists, pa.binary())], names=["block", "query_id", "vector", "lists"])
 
     return run
 
 
-def _search(index_of, width: int):
+def _search(width: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
         if len(queries) and len(rows):
             rows = rows.sort_values(["list", "vec_id"])
-            ids, codes = rows["vec_id"].to_numpy(), np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["codes"]])
+            ids, held = rows["vec_id"].to_numpy(), _unit(rows["vector"], width)
             lists, edges = np.unique(rows["list"].to_numpy(), return_index=True)
             edges = np.append(edges, len(ids))
-            own, x = queries["query_id"].to_numpy(), _matrix(queries["vector"], width)
+            own, x = queries["query_id"].to_numpy(), _unit(queries["vector"], width)
             probed = np.stack([np.isin(lists, np.frombuffer(v, dtype=np.int32)) for v in queries["lists"]])
             by_id = np.argsort(ids, kind="stable")
             step = max(1, CELLS // len(ids))
             for i in range(0, len(own), step):
-                near = np.full((len(own[i : i + step]), len(ids)), -np.inf, dtype=np.float32)
+                near = np.full((len(own[i : i + step]), len(ids)), -np.inf)
                 for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     here = np.flatnonzero(probed[i : i + step, j])
-                    near[here, a:b] = index_of.value.scores(x[i : i + step][here], int(lists[j]), codes[a:b])
-                near = near[:, by_id]
+                    near[here, a:b] = x[i : i + step][here] @ held[a:b].T
+                near = np.round(near[:, by_id], 14)  # what differs by rounding alone is a tie, and goes to the smaller id
                 keep = min(RANKED + 1, len(ids))  # one may be the query alone
                 least = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep, None]
                 above, tied = near > least, (near == least) & (near > -np.inf)
@@ -237,25 +248,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     distinct, members = copies.where("n = 1").select("vec_id", "vector"), copies.select("of", F.col("vec_id").alias("member"))
     n_lists = int(np.clip(2 ** round(np.log2(distinct.count()) / 2), FEWEST_LISTS, MOST_LISTS))
     sample = _matrix([r.vector for r in distinct.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(n_lists * PER_LIST).collect()], width)  # at most MOST_LISTS * PER_LIST
-    fitted = Index.of(sample, n_lists)
-    probes = fitted.probes(sample, k) if probes is None else probes
-    index = context.broadcast(fitted)
-    coded = written(distinct.mapInArrow(_code(index, width), "list int, vec_id long, codes binary"), "codes")
-    sizes = np.zeros(len(fitted.lists), dtype=np.int64)
-    for r in coded.groupBy("list").count().collect():  # a row for each list
+    fitted = centers_of(sample, n_lists)
+    lists = context.broadcast(fitted)
+    listed = written(distinct.mapInArrow(_listed(lists, width), "list int, vec_id long, vector binary"), "lists")
+    asked = units.where(is_query)
+    probes = probes_for(asked, listed, fitted, width, k) if probes is None else probes
+    sizes = np.zeros(len(fitted), dtype=np.int64)
+    for r in listed.groupBy("list").count().collect():  # a row for each list
         sizes[r.list] = r["count"]
-    layout = Layout.of(sizes)
+    layout = Layout.of(sizes, max(1, min(BLOCK_ROWS, COMPONENTS // width)))
     placed = context.broadcast(layout)
     place = vectors.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(zip(layout.first.tolist(), layout.parts.tolist(), strict=True))], "list int, first int, parts int")
-    asked = units.where(is_query)
 
     def found(asked: DataFrame, probes: int) -> DataFrame:
-        n_parts = asked.count() // BLOCK_QUERIES + 1
-        queries = asked.mapInArrow(_probe(index, placed, width, probes), "block int, query_id long, vector binary, lists binary").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int"))
+        n_parts = asked.count() // max(1, min(BLOCK_QUERIES, COMPONENTS // width)) + 1
+        queries = asked.mapInArrow(_probe(lists, placed, width, probes), "block int, query_id long, vector binary, lists binary").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int"))
         block = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-        rows = coded.join(F.broadcast(place), "list").select("list", "vec_id", "codes", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
+        rows = listed.join(F.broadcast(place), "list").select("list", "vec_id", "vector", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
         keys = ["block", "part"]
-        near = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_search(index, width), "query_id long, vec_id long, near float")
+        near = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_search(width), "query_id long, vec_id long, near double")
         best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
         likely = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= RANKED + 1).select("query_id", "vec_id")
         pairs = likely.join(distinct.select("vec_id", F.col("vector").alias("b")), "vec_id").join(units.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("a")), "query_id")
@@ -267,9 +278,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     first = written(found(asked, probes), "neighbours")
     full = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
     short = written(asked.join(full, "vec_id", "left_anti"), "short")
-    if probes >= len(fitted.lists) or not short.limit(1).count():
+    if probes >= len(fitted) or not short.limit(1).count():
         return first
-    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(found(short, len(fitted.lists)))
+    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(found(short, len(fitted)))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

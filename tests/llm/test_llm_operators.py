@@ -508,6 +508,30 @@ def test_recall_and_exact_scores(spark):
     assert len(found) == sum(ids % 50 == 0) and hits >= 0.9 * 5 * len(found)
 
 
+@pytest.mark.parametrize("kind", ["tight clusters", "tighter clusters", "queries elsewhere", "a line"])
+def test_recall_on_other_rows(spark, kind):
+    """Vectors closer to each other than any fixed code book tells apart, and queries that are not spread as the rows are."""
+    random = np.random.default_rng(11)
+    n, width = 12000, 16
+    x = random.normal(size=(n, width))
+    asked = np.arange(n) % 50 == 0
+    if "clusters" in kind:
+        x = random.normal(size=(20, width))[random.integers(0, 20, n)] + (0.003 if kind == "tight clusters" else 1e-5) * random.normal(size=(n, width))
+    elif kind == "queries elsewhere":
+        x[~asked] = random.normal(size=(20, width))[random.integers(0, 20, (~asked).sum())] + 0.05 * random.normal(size=((~asked).sum(), width))
+    else:
+        x = np.array([1.0] + [0.0] * (width - 1)) + random.uniform(0, 1e-3, size=(n, 1)) * np.ones(width)
+    found = {}
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in np.flatnonzero(asked).tolist():
+        near = np.argsort(((u - u[q]) ** 2).sum(axis=1), kind="stable")  # in order of the cosine, without its rounding near 1
+        hits += len(set(near[near != q][:5].tolist()) & found[q])
+    assert hits >= 0.9 * 5 * asked.sum()
+
+
 def test_copies_give_their_smallest_ids(spark):
     random = np.random.default_rng(4)
     x = random.normal(size=(1000, 8))
