@@ -18,6 +18,7 @@ def _gram(sent):
         total = np.zeros_like(matrix)
         for block in linear.blocks_of(batches):
             if len(block.features):
+                block.lay(matrix.shape[1])
                 total[block.features] += block.turned(block.products(matrix))
         yield from linear.ranges_out(total)
 

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from conftest import ROOT
-from taskweave.operators import fields, linear
+from taskweave.operators import features, fields, linear
 from taskweave.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +83,25 @@ def test_fields_learn_from_training_rows_only(spark):
     assert got == pytest.approx({t: v / norm for t, v in idf.items()})
 
 
+@pytest.mark.parametrize(("kind", "low", "high", "whole"), [("word", 1, 3, features.word_ngrams), ("char", 3, 5, features.char_ngrams), ("char_wb", 2, 4, features.char_wb_ngrams)])
+def test_ngrams_counted_in_tasks_equal_exploded_ones(spark, kind, low, high, whole):
+    """Without a row for each n-gram; ids that repeat are counted together, as a group-by does."""
+    texts = ["a bb ccc bb ccc", "", None, "  Stra\u00dfe\u00a0\u0130x \U0001d54f\U0001d54f\U0001d54f  y ", "ab", "a", "\t\n", "\u03a3\u03b1\u03c2 12_3"]
+    rows = spark.createDataFrame([(i % 6, t) for i, t in enumerate(texts)], "row long, t string").repartition(3)
+    found = features.term_counts(rows, "row", (features.Grams(kind, low, high), F.col("t")))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, features.term_counts(rows, "row", whole(F.col("t"), low, high)).collect()))
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_large_vocabularies_are_joined_to_the_same_features(spark, monkeypatch):
+    train, held = small(spark)
+    model = fields.FieldFeatures(idCol="task_id").fit(train)
+    shown = lambda: {r.task_id: (r["index"], [round(v, 9) for v in r["value"]]) for r in model.transform(held).collect()}
+    sent = shown()
+    monkeypatch.setattr(fields, "BROADCAST_TERMS", 0)
+    assert shown() == sent and sent
+
+
 SCORE = """
 import sys, json
 sys.path.insert(0, {root!r}); sys.path.insert(0, {root!r} + '/tests')
