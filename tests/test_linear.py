@@ -214,3 +214,14 @@ def test_pairs_in_blocks_equal_brute_force(spark, monkeypatch):
         assert pairs.keys() == expected.keys() and all(abs(pairs[k] - expected[k]) < 1e-12 for k in pairs)
         top = sorted((r.row, r.other) for r in retrieval.compared(left, right, 3).collect())
         assert top == sorted((a, b) for a in range(20) for b in sorted((b for x, b in expected if x == a), key=lambda b: (-round(expected[a, b], 9), b))[:3])  # noqa: B023
+
+
+def test_fold_signals_hold_a_row_for_each_term(spark, monkeypatch):
+    """However many folds there are, no table is longer than the terms of the rows."""
+    from taskweave.operators import retrieval
+
+    terms = spark.createDataFrame([(i, f"t{i % 5}", 1.0) for i in range(8)], "row long, term string, weight double")
+    rows = spark.createDataFrame([(i, i % 4, "ab"[i % 2]) for i in range(8)], "row long, fold int, label string")
+    sizes, write = [], retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: (found := write(df, name), sizes.append(found.count()))[0])
+    assert retrieval.fold_signals(terms, rows, "ab", 4, nested=True).count() == 8 * 4 and max(sizes) <= 8
