@@ -225,3 +225,14 @@ def test_fold_signals_hold_a_row_for_each_term(spark, monkeypatch):
     sizes, write = [], retrieval.written
     monkeypatch.setattr(retrieval, "written", lambda df, name: (found := write(df, name), sizes.append(found.count()))[0])
     assert retrieval.fold_signals(terms, rows, "ab", 4, nested=True).count() == 8 * 4 and max(sizes) <= 8
+
+
+def test_tfidf_counts_texts_once(spark):
+    """The same weights as by a join with the vocabulary, from one pass over the texts."""
+    rows = fixtures.labelled(spark, SF).select("task_id", "task")
+    terms = (features.Grams("word", 1, 2), F.col("task"))
+    counts = features.term_counts(rows, "task_id", terms)
+    shown = lambda df: sorted((r.task_id, r.term, round(r.weight, 9)) for r in df.collect())
+    found = features.tfidf_of(rows, "task_id", terms)
+    assert shown(found) == shown(features.tfidf(counts, "task_id", features.vocabulary(counts), rows.agg(F.count("*").alias("n"))))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
