@@ -216,6 +216,33 @@ def test_pairs_in_blocks_equal_brute_force(spark, monkeypatch):
         assert top == sorted((a, b) for a in range(20) for b in sorted((b for x, b in expected if x == a), key=lambda b: (-round(expected[a, b], 9), b))[:3])  # noqa: B023
 
 
+def test_all_pairs_are_not_stored(spark, monkeypatch):
+    """Pairs are made when they are read: only the lists of both sides are written, and pairs whose sum is 0 are there."""
+    from taskweave.operators import retrieval
+
+    weights = spark.createDataFrame([(i, t, v) for i in range(40) for t, v in (("a", 1.0), ("b", 1.0 if i % 2 else -1.0))], "row long, term string, weight double")
+    names, write = [], retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    pairs = retrieval.compared(weights.where("row < 10"), weights.where("row >= 10"))
+    assert "compared" not in names and {(r.row, r.other): r.similarity for r in pairs.collect()} == {(a, b): 2.0 if a % 2 == b % 2 else 0.0 for a in range(10) for b in range(10, 40)}
+
+
+def test_common_terms_are_one_matrix(spark, monkeypatch):
+    """The same pairs, nearest rows and numbers whichever terms count as common, also of rows that repeat a term."""
+    from taskweave.operators import retrieval
+
+    random = np.random.default_rng(9)
+    entries = [(i, f"t{int(t)}", float(random.random() + 0.1)) for i in range(80) for t in random.zipf(1.5, 12) % 40]
+    weights = spark.createDataFrame(entries, "row long, term string, weight double").repartition(3)
+    sides = weights.where("row < 30"), weights.where("row >= 30")
+    found = []
+    for common, most in ((0.0, 1 << 22), (0.2, 1 << 22), (0.2, 90), (2.0, 1 << 22)):
+        monkeypatch.setattr(retrieval, "COMMON", common)
+        monkeypatch.setattr(retrieval, "COMMON_ENTRIES", most)
+        found.append([sorted((r.row, r.other, round(r.similarity, 9)) for r in retrieval.compared(*sides, k).collect()) for k in (None, 3)])
+    assert len(found[0][1]) == 90 and all(f == found[0] for f in found)
+
+
 def test_fold_signals_hold_a_row_for_each_term(spark, monkeypatch):
     """However many folds there are, no table is longer than the terms of the rows."""
     from taskweave.operators import retrieval
