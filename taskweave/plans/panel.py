@@ -26,11 +26,21 @@ def successes(spark, sf):
 
 
 def complete(spark, sf):
-    return A.complete_cells(successes(spark, sf), ["parent", "child", "grain"], "condition", "label", "call_id", CONDITIONS)
+    return A.complete_cells(successes(spark, sf), ["parent", "child", "grain"], "condition", "label", "attempt_count", CONDITIONS)
+
+
+def combined(spark, sf):
+    """(grain, conditions..., weight)."""
+    return A.patterns(complete(spark, sf), ["grain"], CONDITIONS)
 
 
 def outcome_rows(spark, sf):
-    return A.long_outcomes(complete(spark, sf), ["parent", "child", "grain"], CONDITIONS)
+    """(grain, weight, condition, label, outcome, value)."""
+    return A.long_outcomes(combined(spark, sf), ["grain", "weight"], CONDITIONS)
+
+
+def mean(value):
+    return F.sum(value * F.col("weight")) / F.sum("weight")
 
 
 @query("pa_complete_cells", WIDE + " SELECT * FROM complete")
@@ -40,14 +50,14 @@ def pa_complete_cells(spark, sf):
 
 @query("pa_distribution", LONG + " SELECT grain, condition, outcome, sum(value)::BIGINT AS n, round(avg(value), 6) AS share FROM vals GROUP BY ALL")
 def pa_distribution(spark, sf):
-    return outcome_rows(spark, sf).groupBy("grain", "condition", "outcome").agg(F.sum("value").alias("n"), F.round(F.avg("value"), 6).alias("share"))
+    return outcome_rows(spark, sf).groupBy("grain", "condition", "outcome").agg(F.sum(F.col("value") * F.col("weight")).alias("n"), F.round(mean(F.col("value")), 6).alias("share"))
 
 
 @query("pa_bootstrap_ci")
 def pa_bootstrap_ci(spark, sf):
     """Every outcome's share in every cell, with its interval."""
     by = ["grain", "condition", "outcome"]
-    return A.bootstrap(outcome_rows(spark, sf), by, "value").select(*by, *six("mean", "low", "high"), "n")
+    return A.bootstrap(outcome_rows(spark, sf), by, "value", weight="weight").select(*by, *six("mean", "low", "high"), "n")
 
 
 #: Contrasts (name, left, right): prompts within each model, and models within each prompt.
@@ -59,37 +69,34 @@ CONTRASTS += [(f"{V.MODELS[1]} minus {V.MODELS[0]} by {p}", f"{p}__{V.MODELS[1]}
 def pa_paired_delta(spark, sf):
     """Left less right in percentage points for every contrast, grain and outcome, with paired intervals and exact agreement."""
     sides = F.explode(F.array(*[F.struct(F.lit(n).alias("contrast"), F.col(a).alias("l"), F.col(b).alias("r")) for n, a, b in CONTRASTS])).alias("x")
-    cells = complete(spark, sf).select("grain", sides).select("grain", "x.*")
+    cells = combined(spark, sf).select("grain", "weight", sides).select("grain", "weight", "x.*")
     left, right = A.outcomes(F.col("l")), A.outcomes(F.col("r"))
-    pairs = cells.select("grain", "contrast", F.explode(F.create_map(*[x for k in left for x in (F.lit(k), (left[k].cast("int") - right[k].cast("int")) * 100)])).alias("outcome", "v"))
+    pairs = cells.select("grain", "contrast", "weight", F.explode(F.create_map(*[x for k in left for x in (F.lit(k), (left[k].cast("int") - right[k].cast("int")) * 100)])).alias("outcome", "v"))
     by = ["grain", "contrast"]
-    agree = cells.groupBy(*by).agg(F.round(A.agreement(F.col("l"), F.col("r")), 6).alias("agreement"))
-    return A.bootstrap(pairs, [*by, "outcome"], "v").select(*by, "outcome", *six("mean", "low", "high"), "n").join(F.broadcast(agree), by)  # a row for each contrast and grain
+    agree = cells.groupBy(*by).agg(F.round(mean((F.col("l") == F.col("r")).cast("int")), 6).alias("agreement"))
+    return A.bootstrap(pairs, [*by, "outcome"], "v", weight="weight").select(*by, "outcome", *six("mean", "low", "high"), "n").join(F.broadcast(agree), by)  # a row for each contrast and grain
 
 
 KIDS = LONG + ", kids AS (SELECT parent, condition, outcome, avg(value) AS child_rate, count(*) AS n FROM vals WHERE grain = 'atomic_child' GROUP BY ALL), own AS (SELECT parent, condition, outcome, value FROM vals WHERE grain = 'raw_parent')"
 
 
 def parent_and_children(spark, sf):
-    """(parent, condition, outcome, own, child_rate, n) of parents with children."""
-    rows = outcome_rows(spark, sf)
-    keys = ["parent", "condition", "outcome"]
-    kids = rows.where("grain = 'atomic_child'").groupBy(*keys).agg(F.avg("value").alias("child_rate"), F.count("*").alias("n"))
-    return rows.where("grain = 'raw_parent'").select(*keys, F.col("value").alias("own")).join(kids, keys)
+    """(condition, outcome, own, child_rate, n, weight) of parents with children."""
+    return A.against_children(complete(spark, sf), "parent", F.col("grain") == "raw_parent", CONDITIONS)
 
 
 @query("pa_representation", KIDS + " SELECT condition, outcome, count(*)::BIGINT AS parents, sum(n)::BIGINT AS children, round(avg(value), 6) AS parent_rate, round(avg(child_rate), 6) AS child_rate, round(avg(child_rate - value) * 100, 6) AS delta FROM own JOIN kids USING (parent, condition, outcome) GROUP BY ALL")
 def pa_representation(spark, sf):
     """A parent's label against its children's mean, parents weighing the same, for every condition and outcome."""
     both = parent_and_children(spark, sf).groupBy("condition", "outcome")
-    return both.agg(F.count("*").alias("parents"), F.sum("n").alias("children"), F.round(F.avg("own"), 6).alias("parent_rate"), F.round(F.avg("child_rate"), 6).alias("child_rate"), F.round(F.avg(F.col("child_rate") - F.col("own")) * 100, 6).alias("delta"))
+    return both.agg(F.sum("weight").alias("parents"), F.sum(F.col("n") * F.col("weight")).alias("children"), F.round(mean(F.col("own")), 6).alias("parent_rate"), F.round(mean(F.col("child_rate")), 6).alias("child_rate"), F.round(mean(F.col("child_rate") - F.col("own")) * 100, 6).alias("delta"))
 
 
 @query("pa_representation_ci")
 def pa_representation_ci(spark, sf):
     """The same difference with paired intervals."""
     by = ["condition", "outcome"]
-    return A.bootstrap(parent_and_children(spark, sf).withColumn("v", F.round((F.col("child_rate") - F.col("own")) * 100, 6)), by, "v").select(*by, *six("mean", "low", "high"), "n")
+    return A.bootstrap(parent_and_children(spark, sf).withColumn("v", F.round((F.col("child_rate") - F.col("own")) * 100, 6)), by, "v", weight="weight").select(*by, *six("mean", "low", "high"), "n")
 
 
 @query("pa_parent_modal", LONG + ", c AS (SELECT parent, condition, label AS l, count(*) AS k FROM long WHERE grain = 'atomic_child' GROUP BY ALL) SELECT parent, condition, arg_min(l, (-k, l)) AS modal, sum(k)::BIGINT AS n FROM c GROUP BY parent, condition")
@@ -111,8 +118,8 @@ def pa_transitions(spark, sf):
 @query("pa_factorial_effects", LONG + """, m AS (SELECT outcome, avg(value) FILTER (condition = 'legacy__gpt_4o') AS a, avg(value) FILTER (condition = 'production__gpt_4o') AS b, avg(value) FILTER (condition = 'legacy__gpt_5_2') AS c, avg(value) FILTER (condition = 'production__gpt_5_2') AS d FROM vals WHERE grain = 'raw_parent' GROUP BY outcome)
 SELECT outcome, round(100 * (b - a), 6) AS prompt_effect_gpt_4o, round(100 * (d - c), 6) AS prompt_effect_gpt_5_2, round(100 * (c - a), 6) AS model_effect_legacy, round(100 * (d - b), 6) AS model_effect_production, round(100 * ((d - c) - (b - a)), 6) AS interaction FROM m""")
 def pa_factorial_effects(spark, sf):
-    mean = lambda c: F.avg(F.when(F.col("condition") == c, F.col("value")))
-    m = outcome_rows(spark, sf).where("grain = 'raw_parent'").groupBy("outcome").agg(mean("legacy__gpt_4o").alias("a"), mean("production__gpt_4o").alias("b"), mean("legacy__gpt_5_2").alias("c"), mean("production__gpt_5_2").alias("d"))
+    share = lambda c: F.sum(F.when(F.col("condition") == c, F.col("value") * F.col("weight"))) / F.sum(F.when(F.col("condition") == c, F.col("weight")))
+    m = outcome_rows(spark, sf).where("grain = 'raw_parent'").groupBy("outcome").agg(share("legacy__gpt_4o").alias("a"), share("production__gpt_4o").alias("b"), share("legacy__gpt_5_2").alias("c"), share("production__gpt_5_2").alias("d"))
     pp = lambda e, name: F.round(100 * F.expr(e), 6).alias(name)
     return m.select("outcome", pp("(b - a)", "prompt_effect_gpt_4o"), pp("(d - c)", "prompt_effect_gpt_5_2"), pp("(c - a)", "model_effect_legacy"), pp("(d - b)", "model_effect_production"), pp("((d - c) - (b - a))", "interaction"))
 

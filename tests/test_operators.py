@@ -289,3 +289,47 @@ def test_thresholds_equal_brute_force(spark):
         each = [2 * sum(r[0] == k == p for r, p in zip(rows, called, strict=True)) / max(1, sum(r[0] == k for r in rows) + called.count(k)) for k in "abc"]
         assert abs(value - sum(each) / 3) < 1e-9
     assert len(found) == 9
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_panel_is_dealt_by_parent_once(spark):
+    """Units are shuffled once, by parent; cells are hashed where they lie, and what is shuffled after that are combinations."""
+    from taskweave.plans import panel as plans
+
+    wide = plan_of(plans.complete(spark, SF))
+    assert wide.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in wide and "SortMergeJoin" not in wide
+    assert plan_of(plans.parent_and_children(spark, SF)).count("Exchange hashpartitioning") == 2
+    rows = plans.complete(spark, SF)
+    assert plans.combined(spark, SF).agg(F.sum("weight")).first()[0] == rows.count()
+
+
+def test_equal_panels_count_as_often_as_they_come(spark):
+    """A row with a weight is as good as that many rows."""
+    rows = spark.createDataFrame([(0.0,)] * 30 + [(1.0,)] * 70, "v double")
+    whole, weighed = panel.bootstrap(rows, [], "v", 50).first(), panel.bootstrap(rows.groupBy("v").agg(F.count("*").alias("w")), [], "v", 50, weight="w").first()
+    assert whole == weighed
+
+
+def test_unanimous_is_one_pass(spark):
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 1, 1), ("b", 1, 3), ("b", 2, 4), (None, 1, 6), (None, 2, 5), ("c", None, 7), ("d", None, 9), ("d", 1, 8)], "k string, t int, i int")
+    found = tables.unanimous(rows, "k", "t", ["i"])
+    assert {tuple(r) for r in found.collect()} == {("a", 1, 1), (None, 2, 5), ("c", None, 7), ("d", 1, 8)} and "Join" not in plan_of(found)
+
+
+def test_tasks_of_odd_texts(spark):
+    """Fields from the first words alone are those of the whole list of words, and labelled rows are picked by the text's start."""
+    texts = [None, "", "  ", "a", "a b", " a b c", "a\tb\nc", "a  b\r\nc d e\x0bf\x0cg h  i ", "\t a b", "a b c d e f", "a b c d e f g"]
+    documents = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    w = [None if t is None else (" ".join(t.split()).split(" ")) for t in texts]
+    rest = lambda x, a: None if x is None else " ".join(x[a:])
+    expected = {i: (rest(x and x[:2], 0), rest(x, 2), rest(x and x[2:3], 0), rest(x and x[3:6], 0), rest(x, 6) if i % 5 else None) for i, x in enumerate(w)}
+    found = {r.task_id: (r.jobrole_title, r.task, r.action, r.object, r.purpose) for r in fixtures._tasks(documents, labels).collect()}
+    assert found == expected
+    start = documents.where(F.col("text").rlike(fixtures.THREE)).select("doc_id").collect()
+    assert sorted(r[0] for r in start) == [i for i, x in enumerate(w) if x and len(x) > 2]
+    scan = plan_of(fixtures.labelled(spark, SF).select("task_id", "task"))
+    assert not any("split(" in line for line in scan.splitlines() if "Filter" in line)
