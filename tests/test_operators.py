@@ -333,3 +333,13 @@ def test_tasks_of_odd_texts(spark):
     assert sorted(r[0] for r in start) == [i for i, x in enumerate(w) if x and len(x) > 2]
     scan = plan_of(fixtures.labelled(spark, SF).select("task_id", "task"))
     assert not any("split(" in line for line in scan.splitlines() if "Filter" in line)
+
+
+def test_answers_are_looked_at_once(spark):
+    """Answers in odd shapes; no pattern is computed ahead of the ones before it, or a second time."""
+    raw = [None, "", "{", '{"label":"E2"}', '{"label":"E9"}\nE1', ' \n{"label": "E0"} x', "label (e0/e1/e2/e3): ** e3**", "so\n**E1** it is", "E12", '["E0"]', '{"label": null}\nE2']
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, raw string")
+    found = df.select("i", text.parsed_label(F.col("raw")).alias("label"))
+    assert [r.label for r in found.orderBy("i").collect()] == [None, None, None, "E2", None, "E0", "E3", "E1", None, None, "E2"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2 and plan.count("get_json_object(") == 1
