@@ -343,3 +343,16 @@ def test_answers_are_looked_at_once(spark):
     assert [r.label for r in found.orderBy("i").collect()] == [None, None, None, "E2", None, "E0", "E3", "E1", None, None, "E2"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") == 2 and plan.count("get_json_object(") == 1
+
+
+def test_rules_make_terms_once(spark):
+    """Shares of labels come from one pass over the terms, and the best phrases of rows from one."""
+    from taskweave.operators import retrieval
+
+    made = spark.range(6).select(F.col("id").alias("row"), F.explode(F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id") % 2))).alias("term"))
+    labels = spark.createDataFrame([(i, "ab"[i % 2], i % 2) for i in range(5)], "row long, label string, positive int")
+    rules = retrieval.association_rules(made, labels.select("row", "label"), 0.1, 1.0)
+    scores = retrieval.phrase_scores(made, labels.select("row", "positive"), made.select("row").distinct())
+    assert {(r.label, r.term): r.place for r in rules.collect() if r.term != "all"} == {("a", "t0"): 1, ("b", "t1"): 1}
+    assert {tuple(r) for r in scores.collect()} == {(i, 1.0, 2) if i % 2 else (i, 0.4, 5) for i in range(6)}
+    assert rules._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1
