@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskweave.operators.text import lexical_tokens
+from taskweave.operators.features import Grams, known_shares
 
 
 def margin(scores: list[Column]) -> Column:
@@ -14,12 +14,10 @@ def margin(scores: list[Column]) -> Column:
     return ordered[0] - ordered[1]
 
 
-def coverage(df: DataFrame, row: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(row, n_tokens, coverage): the share of a text's tokens, with repeats, that the vocabulary has; 0 without tokens."""
-    tokens = df.select(row, F.explode_outer(lexical_tokens(F.col(text))).alias("term"))
-    found = tokens.join(vocabulary.select("term", F.lit(1).alias("_known")), "term", "left")
-    n = F.count("term")
-    return found.groupBy(row).agg(n.alias("n_tokens"), F.when(n > 0, F.count("_known") / n).otherwise(0.0).alias("coverage"))
+def coverage(df: DataFrame, row: str, text: str, of: Column, least_df: int = 2) -> DataFrame:
+    """(row, n_tokens, coverage): the share of a text's tokens, with repeats, that enough rows ``of`` the reference have; 0 without tokens."""
+    found = known_shares(df, row, [(Grams("letters"), F.col(text))], of, least_df)
+    return found.select(row, F.col("n_0").alias("n_tokens"), F.when(F.col("n_0") > 0, F.col("known_0") / F.col("n_0")).otherwise(0.0).alias("coverage"))
 
 
 def review_score(margin: Column, coverage: Column, n_tokens: Column) -> Column:
@@ -87,7 +85,14 @@ def review_summary(reference: DataFrame, points: int = SUMMARY) -> DataFrame:
 def review_stored(rows: DataFrame, row: str, summary: DataFrame, medium: float = MEDIUM, high: float = HIGH) -> DataFrame:
     """What ``review_levels`` gives, from a stored summary in place of the reference rows; rows are only mapped."""
     out = rows.select(row, *REVIEW).crossJoin(F.broadcast(summary))  # one row
-    return out.select(row, *_levels(lambda name: F.size(F.filter(f"at_{name}", lambda q: q <= F.col(name))) / F.size(f"at_{name}"), medium, high))
+    ranked = out.select("*", *[(_at_most(F.col(f"at_{name}"), F.col(name)) / F.size(f"at_{name}")).alias(f"rank_{name}") for name in REVIEW])
+    return ranked.select(row, *_levels(lambda name: F.col(f"rank_{name}"), medium, high))
+
+
+def _at_most(points: Column, value: Column) -> Column:
+    """How many of ascending points, fewer than 2**20, are at most the value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(20))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(points, n + step - 1) <= value, n + step).otherwise(n))
 
 
 def _levels(rank, medium: float, high: float) -> list[Column]:

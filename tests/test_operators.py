@@ -356,3 +356,31 @@ def test_rules_make_terms_once(spark):
     assert {(r.label, r.term): r.place for r in rules.collect() if r.term != "all"} == {("a", "t0"): 1, ("b", "t1"): 1}
     assert {tuple(r) for r in scores.collect()} == {(i, 1.0, 2) if i % 2 else (i, 0.4, 5) for i in range(6)}
     assert rules._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_known_shares_equal_counts_joined_with_their_vocabulary(spark, monkeypatch, held):
+    """One pass over the texts, in parts of any size; a row that comes twice is one row, and texts may be empty or null."""
+    from taskweave.operators import features as T
+
+    monkeypatch.setattr(T, "HELD_NAMES", held)
+    texts = ["aa bb aa", "aa bb cc\tdd", "cc ee", "", None, "aa  abc", "ff ff", "ff gg abc", "aa bb zz"]
+    df = spark.createDataFrame([*enumerate(texts), (6, "hh ff")], "id long, text string")
+    grams = [(T.Grams("word", 1, 2), F.col("text")), (T.Grams("char_wb", 3, 4), F.col("text"))]
+    known = T.known_shares(df, "id", grams, F.expr("id % 2 = 0"))
+    assert known._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {r.id: r for r in known.collect()}
+    assert set(found) == set(range(len(texts))) and found[3].n_0 == found[4].n_1 == 0
+    for k, of in enumerate(grams):
+        counts = T.term_counts(df, "id", of)
+        want = T.activity(counts, "id", T.vocabulary(counts.where("id % 2 = 0"))).collect()
+        assert {r.id: r.known_share for r in want} == {i: r[f"known_{k}"] / r[f"n_{k}"] for i, r in found.items() if r[f"n_{k}"]}
+
+
+def test_ranks_from_a_stored_summary_count_points(spark):
+    """As many points as are at most the value: ties count, and so do values beyond both ends; a missing value has none."""
+    from taskweave.operators import scoring as C
+
+    points = [0.0, 0.0, 0.1, 0.5, 0.5, 0.5, 1.0]
+    rows = spark.createDataFrame([(points, v) for v in (-1.0, 0.0, 0.05, 0.1, 0.5, 0.9, 1.0, 2.0, None)], "at array<double>, v double")
+    assert [r[0] for r in rows.select(C._at_most(F.col("at"), F.col("v"))).collect()] == [0, 2, 2, 3, 6, 6, 7, 7, 0]
