@@ -384,3 +384,21 @@ def test_ranks_from_a_stored_summary_count_points(spark):
     points = [0.0, 0.0, 0.1, 0.5, 0.5, 0.5, 1.0]
     rows = spark.createDataFrame([(points, v) for v in (-1.0, 0.0, 0.05, 0.1, 0.5, 0.9, 1.0, 2.0, None)], "at array<double>, v double")
     assert [r[0] for r in rows.select(C._at_most(F.col("at"), F.col("v"))).collect()] == [0, 2, 2, 3, 6, 6, 7, 7, 0]
+
+
+def test_panels_are_joined_where_they_lie(spark):
+    """Both sides lie by their group, of very different sizes; no row travels once more, groups may be missing, and repeats fail whatever they meet."""
+    n = 20_000
+    left = spark.range(n).select((F.col("id") % 500).alias("g"), F.concat(F.lit("k"), "id").alias("k"), (F.col("id") * 2).alias("x"))
+    left = left.withColumn("g", F.when(F.col("g") != 3, F.col("g"))).repartition("g")
+    right = spark.range(0, n, 100).select((F.col("id") % 500).alias("g"), F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("y"))
+    right = right.unionByName(spark.createDataFrame([(None, "k503", 503), (5, "other", 1), (6, None, 2)], "g long, k string, y long")).repartition("g")
+    found = tables.one_to_one(left, right, "k", "g")
+    assert found.columns == ["g", "k", "x", "y"] and sorted((r.k, r.x, r.y) for r in found.collect()) == sorted((f"k{i}", 2 * i, i) for i in [*range(0, n, 100), 503])
+    open_ = tables.without(left.unionByName(left.where("k = 'k1'")), right, "k", "g")
+    assert sorted(r.k for r in open_.collect()) == sorted(["k1", *[f"k{i}" for i in range(n) if i % 100 and i != 503]])
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (tables.one_to_one(left, right, "k", "g"), tables.without(left, right, "k", "g"))]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 2]
+    for a, b in ((left.unionByName(left.where("k = 'k1'")), right), (left, right.unionByName(right.where("k = 'other'")))):
+        with pytest.raises(Exception, match="repeated k"):
+            tables.one_to_one(a.repartition("g"), b.repartition("g"), "k", "g").collect()
