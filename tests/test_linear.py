@@ -263,3 +263,25 @@ def test_tfidf_counts_texts_once(spark):
     found = features.tfidf_of(rows, "task_id", terms)
     assert shown(found) == shown(features.tfidf(counts, "task_id", features.vocabulary(counts), rows.agg(F.count("*").alias("n"))))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_numbers_of_features_in_place_of_values(spark):
+    import numpy as np
+    from taskweave.operators import linear
+
+    rows = spark.createDataFrame([(1, [2, 0], [0.5, 0.5]), (2, [], []), (3, [1], [9.0])], "id int, index array<int>, value array<double>").coalesce(1)
+    found = linear.valued(rows, np.array([0.1, -2.0, 3.0]))
+    assert {r.id: list(r.value) for r in found.collect()} == {1: [3.0, 0.1], 2: [], 3: [-2.0]}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # rows stay where they are
+
+
+def test_words_that_come_again_are_counted_alike(monkeypatch):
+    from collections import Counter
+
+    from taskweave.operators import features
+
+    monkeypatch.setattr(features, "HELD_WORDS", 2)
+    g = features.Grams("char_wb", 2, 5)
+    count = g.counter()
+    for text in ("ab abc ab  abcdef", "", "ab x", "abc ab q ab"):
+        assert list(count(text).items()) == list(Counter(g.of(text)).items())
